@@ -16,11 +16,14 @@ def half_even(value: Column, digits: int) -> Column:
     return F.bround(value.cast("double"), digits) + F.lit(0.0)
 
 
+def divide(top: Column, bottom: Column) -> Column:
+    """top / bottom as double; NULL when bottom is 0 (also in ANSI mode)."""
+    return F.try_divide(top.cast("double"), bottom.cast("double"))
+
+
 def ratio(top: Column, bottom: Column, empty: float = 0.0) -> Column:
     """top / bottom, and ``empty`` when bottom is 0."""
-    return F.when(bottom == 0, F.lit(float(empty))).otherwise(
-        top.cast("double") / bottom.cast("double")
-    )
+    return F.when(bottom == 0, F.lit(float(empty))).otherwise(divide(top, bottom))
 
 
 def clip(value: Column, low=None, high=None) -> Column:

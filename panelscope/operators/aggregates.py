@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numeric import divide
 from .ordering import exact_quantiles
 
 
@@ -120,7 +121,7 @@ def split_summary(df: DataFrame, split: str, target: str) -> DataFrame:
     everything = Window.partitionBy()  # one row per split
     return per.select(
         split, "n_rows",
-        (F.lit(100.0) * F.col("n_rows") / F.sum("n_rows").over(everything)).alias("percentage"),
+        divide(F.lit(100.0) * F.col("n_rows"), F.sum("n_rows").over(everything)).alias("percentage"),
         "positive_rate", "dropped_rows",
     )
 

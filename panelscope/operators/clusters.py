@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numeric import divide
 from ..sources.durable import durable
 
 # Labels of the four operational clusters.
@@ -89,11 +90,11 @@ def davies_bouldin(df: DataFrame, cluster: str, columns: Sequence[str]) -> DataF
     worst = F.transform(
         "cs",
         lambda a: F.array_max(
-            F.transform(F.filter("cs", lambda b: b[cluster] != a[cluster]), lambda b: (a["s"] + b["s"]) / distance(a, b))
+            F.transform(F.filter("cs", lambda b: b[cluster] != a[cluster]), lambda b: divide(a["s"] + b["s"], distance(a, b)))
         ),
     )
     return packed.select(
-        (F.aggregate(worst, F.lit(0.0), lambda acc, v: acc + v) / F.size("cs")).alias("davies_bouldin"),
+        divide(F.aggregate(worst, F.lit(0.0), lambda acc, v: acc + v), F.size("cs")).alias("davies_bouldin"),
         F.size("cs").alias("n_clusters"),
     )
 
@@ -127,10 +128,10 @@ def silhouette(df: DataFrame, unit: str, cluster: str, columns: Sequence[str], b
     own = F.col("own") == F.col("c")
     ab = per.groupBy("u", "own").agg(
         F.max(F.when(own, F.col("size"))).alias("size"),
-        F.max(F.when(own & (F.col("size") > 1), F.col("d") / (F.col("size") - 1))).alias("a"),
+        F.max(F.when(own & (F.col("size") > 1), divide(F.col("d"), F.col("size") - 1))).alias("a"),
         F.min(F.when(~own, F.col("d") / F.col("size"))).alias("b"),
     )
-    s = F.when(F.col("size") == 1, 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    s = F.when(F.col("size") == 1, 0.0).otherwise(F.coalesce(divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
     return ab.agg(F.avg(s).alias("silhouette"), F.count(F.lit(1)).alias("n_units"))
 
 
@@ -157,10 +158,10 @@ def squared_silhouette(df: DataFrame, cluster: str, columns: Sequence[str]) -> D
         return k["n"] * norm + k["sq"] - F.lit(2.0) * k["n"] * dot
 
     own = F.filter(table, lambda k: k["c"] == F.col(cluster))[0]
-    a = F.when(own["n"] > 1, spread(own) / (own["n"] - 1))
+    a = F.when(own["n"] > 1, divide(spread(own), own["n"] - 1))
     b = F.array_min(F.transform(F.filter(table, lambda k: k["c"] != F.col(cluster)), lambda k: spread(k) / k["n"]))
     rows = df.select(own["n"].alias("n"), a.alias("a"), b.alias("b"))
-    s = F.when(F.col("n") <= 1, 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    s = F.when(F.col("n") <= 1, 0.0).otherwise(F.coalesce(divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
     return rows.agg(F.avg(s).alias("silhouette"), F.count(F.lit(1)).alias("n_units"))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import clip
+from ..functions.numeric import clip, divide
 from ..schema import NO_EVENT
 from .ordering import quantile_values
 
@@ -156,7 +156,7 @@ def anomaly_vs_baseline(
     """
     mean = F.avg(value).over(Window.partitionBy(unit, month))
     diff = F.col(value) - mean
-    return df.withColumn(output, diff if additive else diff / (mean * F.lit(0.3) + F.lit(5.0)))
+    return df.withColumn(output, diff if additive else divide(diff, mean * F.lit(0.3) + F.lit(5.0)))
 
 
 # --- multi-hazard scoring ---------------------------------------------------

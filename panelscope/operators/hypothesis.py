@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import ratio
+from ..functions.numeric import divide, ratio
 from ..functions.tails import normal_quantile, p_chi_square, p_f, p_normal, p_spearman
 from .ordering import average_rank, exact_quantiles
 from .permute import permuted_values
@@ -28,7 +28,7 @@ def _group_sums(df: DataFrame, group: str, value: str) -> DataFrame:
 def anova_oneway(df: DataFrame, group: str, value: str) -> DataFrame:
     """F, degrees of freedom, sums of squares, eta squared and p."""
     g = _group_sums(df, group, value)
-    grand = F.sum(F.col("n") * F.col("m")) / F.sum("n")
+    grand = divide(F.sum(F.col("n") * F.col("m")), F.sum("n"))
     # between = sum n m^2 - N grand^2 is rewritten around the grand mean in a
     # second tiny aggregate to avoid cancellation.
     totals = g.agg(grand.alias("grand"), F.collect_list(F.struct("n", "m", "vp")).alias("groups"))
@@ -40,7 +40,7 @@ def anova_oneway(df: DataFrame, group: str, value: str) -> DataFrame:
         "n", F.col("k").alias("n_groups"), (F.col("k") - 1).alias("df_between"),
         (F.col("n") - F.col("k")).alias("df_residual"), "ss_between", "ss_residual",
     )
-    f = (F.col("ss_between") / F.col("df_between")) / (F.col("ss_residual") / F.col("df_residual"))
+    f = divide(divide(F.col("ss_between"), F.col("df_between")), divide(F.col("ss_residual"), F.col("df_residual")))
     stats = stats.withColumn("f_statistic", f)
     return stats.withColumns(
         {
@@ -60,21 +60,21 @@ def levene(df: DataFrame, group: str, value: str) -> DataFrame:
 
 def anova_welch(df: DataFrame, group: str, value: str) -> DataFrame:
     """Unequal-variance F over group moments."""
-    g = _group_sums(df, group, value).withColumn("w", F.col("n") / F.col("v"))
+    g = _group_sums(df, group, value).withColumn("w", divide(F.col("n"), F.col("v")))
     t = g.agg(
         F.count(F.lit(1)).alias("k"), F.sum("w").alias("sw"),
-        (F.sum(F.col("w") * F.col("m")) / F.sum("w")).alias("mw"),
+        divide(F.sum(F.col("w") * F.col("m")), F.sum("w")).alias("mw"),
         F.collect_list(F.struct("n", "m", "w")).alias("groups"),
     )
     between = F.aggregate("groups", F.lit(0.0), lambda a, x: a + x["w"] * (x["m"] - F.col("mw")) * (x["m"] - F.col("mw")))
     lack = F.aggregate(
         "groups", F.lit(0.0),
-        lambda a, x: a + (1 - x["w"] / F.col("sw")) * (1 - x["w"] / F.col("sw")) / (x["n"] - 1),
+        lambda a, x: a + divide((1 - x["w"] / F.col("sw")) * (1 - x["w"] / F.col("sw")), x["n"] - 1),
     )
     k = F.col("k")
     out = t.select(k, between.alias("between"), lack.alias("lack"))
-    f = (F.col("between") / (k - 1)) / (1 + 2 * (k - 2) * F.col("lack") / (k * k - 1))
-    out = out.select(f.alias("f_statistic"), (k - 1).alias("df_num"), ((k * k - 1) / (3 * F.col("lack"))).alias("df_denom"))
+    f = divide(divide(F.col("between"), k - 1), 1 + divide(2 * (k - 2) * F.col("lack"), k * k - 1))
+    out = out.select(f.alias("f_statistic"), (k - 1).alias("df_num"), divide(k * k - 1, 3 * F.col("lack")).alias("df_denom"))
     return out.withColumn("p_value", p_f(F.col("f_statistic"), F.col("df_num"), F.col("df_denom")))
 
 
@@ -90,13 +90,13 @@ def effect_label(v: Column) -> Column:
 
 def _cells(df: DataFrame, row: str, column: str) -> DataFrame:
     """Non-empty cells with their margins.  Sizes are label counts, not rows."""
-    n = df.groupBy(row, column).agg(F.count(F.lit(1)).alias("o"))
+    n = df.groupBy(row, column).agg(F.count(F.lit(1)).alias("_o"))
     everything = Window.partitionBy()  # one row per non-empty cell
     return n.select(
-        row, column, "o",
-        F.sum("o").over(Window.partitionBy(row)).alias("r"),
-        F.sum("o").over(Window.partitionBy(column)).alias("c"),
-        F.sum("o").over(everything).alias("n"),
+        row, column, "_o",
+        F.sum("_o").over(Window.partitionBy(row)).alias("_r"),
+        F.sum("_o").over(Window.partitionBy(column)).alias("_c"),
+        F.sum("_o").over(everything).alias("_n"),
     )
 
 
@@ -108,10 +108,10 @@ def chi_square(df: DataFrame, row: str, column: str) -> DataFrame:
     """
     cells = _cells(df, row, column)
     stat = cells.agg(
-        F.max("n").alias("n"),
-        (F.max("n") * (F.sum(F.col("o") * F.col("o") / (F.col("r") * F.col("c"))) - 1)).alias("chi2"),
-        F.collect_set(F.struct(F.col(row).alias("label"), F.col("r").alias("m"))).alias("rows"),
-        F.collect_set(F.struct(F.col(column).alias("label"), F.col("c").alias("m"))).alias("cols"),
+        F.max("_n").alias("n"),
+        (F.max("_n") * (F.sum(F.col("_o") * F.col("_o") / (F.col("_r") * F.col("_c"))) - 1)).alias("chi2"),
+        F.collect_set(F.struct(F.col(row).alias("label"), F.col("_r").alias("m"))).alias("rows"),
+        F.collect_set(F.struct(F.col(column).alias("label"), F.col("_c").alias("m"))).alias("cols"),
     )
     r, c = F.size("rows"), F.size("cols")
     expected = F.flatten(
@@ -124,7 +124,7 @@ def chi_square(df: DataFrame, row: str, column: str) -> DataFrame:
     out = out.select(
         F.col("n").alias("n_observations"), "chi2", "dof",
         F.array_min("e").alias("min_expected"),
-        (F.lit(100.0) * small / F.size("e")).alias("pct_cells_below_5"),
+        divide(F.lit(100.0) * small, F.size("e")).alias("pct_cells_below_5"),
         F.when(F.col("k") > 1, F.sqrt(F.col("chi2") / (F.col("n") * (F.col("k") - 1)))).otherwise(0.0).alias("cramers_v"),
     )
     return out.withColumns(
@@ -142,17 +142,17 @@ def chi_square_permutation(
     before comparing, because equal tables may sum in a different order.
     """
     observed = _cells(df, row, column)
-    margins_r = observed.groupBy(row).agg(F.max("r").alias("r"))
-    margins_c = observed.groupBy(column).agg(F.max("c").alias("c"))
+    margins_r = observed.groupBy(row).agg(F.max("_r").alias("_r"))
+    margins_c = observed.groupBy(column).agg(F.max("_c").alias("_c"))
     obs = chi_square(df, row, column).select(
         F.round("chi2", digits).alias("chi2_observed"), F.col("n_observations").alias("n")
     ).first()
     shuffled = permuted_values(df.select(unit, row, column), unit, column, replicates, seed, keep=[row])
-    cells = shuffled.groupBy("rep", row, column).agg(F.count(F.lit(1)).alias("o"))
+    cells = shuffled.groupBy("rep", row, column).agg(F.count(F.lit(1)).alias("_o"))
     # one row per row label / column label on the right-hand sides
     scored = cells.join(margins_r, row).join(margins_c, column)
     per_rep = scored.groupBy("rep").agg(
-        F.round(F.lit(obs["n"]) * (F.sum(F.col("o") * F.col("o") / (F.col("r") * F.col("c"))) - 1), digits).alias("chi2")
+        F.round(F.lit(obs["n"]) * (F.sum(F.col("_o") * F.col("_o") / (F.col("_r") * F.col("_c"))) - 1), digits).alias("chi2")
     )
     return per_rep.agg(
         F.lit(obs["chi2_observed"]).alias("chi2_observed"),
@@ -213,7 +213,7 @@ def mann_kendall(df: DataFrame, by: Sequence[str], time: str, value: str) -> Dat
         _sen_slope().alias("sens_slope"),
     )
     s, sd = F.col("s"), F.sqrt("var_s")
-    z = F.when((s > 0) & (F.col("var_s") > 0), (s - 1) / sd).when((s < 0) & (F.col("var_s") > 0), (s + 1) / sd).otherwise(0.0)
+    z = F.when((s > 0) & (F.col("var_s") > 0), divide(s - 1, sd)).when((s < 0) & (F.col("var_s") > 0), divide(s + 1, sd)).otherwise(0.0)
     return out.withColumns(
         {
             "tau": ratio(s, n * (n - 1) / 2),
@@ -226,7 +226,7 @@ def mann_kendall(df: DataFrame, by: Sequence[str], time: str, value: str) -> Dat
 def _sen_slope() -> Column:
     slopes = F.array_sort(
         F.flatten(
-            F.transform("_p", lambda a, i: F.transform(_later(i), lambda b: (b["x"] - a["x"]) / (b["t"] - a["t"])))
+            F.transform("_p", lambda a, i: F.transform(_later(i), lambda b: divide(b["x"] - a["x"], b["t"] - a["t"])))
         )
     )
     m = F.size(slopes)

@@ -15,6 +15,9 @@ from .ordering import quantile_values
 HAZARD_INPUTS = ["rain_dev", "temp_dev", "wind", "seismic"]
 EXPOSURE_INPUTS = ["pop_density", "urban_rate", "infra_density"]
 VULNERABILITY_INPUTS = ["poverty", "elderly", "child", "rev_housing", "rev_healthcare"]
+SCORES = [
+    "Hazard_Score", "Exposure_Score", "Vulnerability_Score", "Preparedness_Score", "Preparedness_Deficit_Score",
+]
 PREPAREDNESS_INPUTS = ["shelter_rate", "hospital_rate", "rescue_rate"]
 
 
@@ -93,7 +96,7 @@ def component_scores(df: DataFrame, ranges: dict[str, tuple[float, float]]) -> D
         return f"({' + '.join(terms)}) / {_number(len(terms))}"
 
     binary = ["Early_Warning_System * 100D", "Evacuation_Plan_Available * 100D"]
-    scored = df.selectExpr(
+    scored = df.drop(*SCORES).selectExpr(
         "*",
         f"{mean_of(HAZARD_INPUTS)} AS Hazard_Score",
         f"{mean_of(EXPOSURE_INPUTS)} AS Exposure_Score",

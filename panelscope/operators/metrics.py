@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import ratio
+from ..functions.numeric import divide, ratio
 from .ordering import exact_quantiles, running_totals
 
 # Distinct values of a probability kept to four digits: 0.0000 ... 1.0000.
@@ -79,11 +79,11 @@ def curve_areas(hist: DataFrame, by: Sequence[str] = (), proven_rows: int | None
     p_total, n_total = F.col("total_pos"), F.col("total_neg")
     before = tp - pos
     flagged_before = before + fp - neg
-    precision = tp / (tp + fp)
-    previous = F.when(flagged_before > 0, before / flagged_before).otherwise(F.lit(1.0))
-    step = pos / p_total
+    precision = divide(tp, tp + fp)
+    previous = F.when(flagged_before > 0, divide(before, flagged_before)).otherwise(F.lit(1.0))
+    step = divide(pos, p_total)
     return c.groupBy(*by).agg(
-        F.when(F.max(p_total) * F.max(n_total) > 0, F.sum(neg * (before + pos / 2.0)) / (F.max(p_total) * F.max(n_total))).alias("roc_auc"),
+        divide(F.sum(neg * (before + pos / 2.0)), F.max(p_total).cast("double") * F.max(n_total)).alias("roc_auc"),
         F.sum(step * (precision + previous) / 2.0).alias("pr_auc"),
         F.sum(step * precision).alias("average_precision"),
     )
@@ -135,7 +135,7 @@ def brier(hist: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         (F.sum("pos") / F.sum("n")).alias("prevalence"),
     )
     out = out.withColumn("brier_null", F.col("prevalence") * (1.0 - F.col("prevalence")))
-    skill = F.when(F.col("brier_null") > 0, 1.0 - F.col("brier") / F.col("brier_null")).otherwise(0.0)
+    skill = F.when(F.col("brier_null") > 0, 1.0 - divide(F.col("brier"), F.col("brier_null"))).otherwise(0.0)
     return out.withColumn("brier_skill", skill).withColumn(
         "band",
         F.when(F.col("brier_skill") < 0.10, "weak (<0.10)").when(F.col("brier_skill") < 0.25, "marginal (0.10-0.25)")
@@ -241,7 +241,7 @@ def decision_thresholds() -> list[float]:
 def decision_curve(hist: DataFrame, thresholds: Sequence[float] | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Net benefit of the model, of treating all and of treating none."""
     t = _threshold_table(hist, thresholds or decision_thresholds(), by)
-    odds = F.when(F.col("threshold") < 1.0, F.col("threshold") / (1.0 - F.col("threshold")))
+    odds = F.when(F.col("threshold") < 1.0, divide(F.col("threshold"), 1.0 - F.col("threshold")))
     prevalence = F.col("total_pos") / F.col("total")
     model = F.coalesce(F.col("tp") / F.col("total") - F.col("fp") / F.col("total") * odds, F.lit(0.0))
     treat_all = F.coalesce(prevalence - (1.0 - prevalence) * odds, F.lit(0.0))
@@ -290,7 +290,7 @@ def regression_metrics(df: DataFrame, y: str = "y", y_hat: str = "y_hat", **orde
     )
     ape = df.where(t > 0.1).select(F.abs(e / t).alias("ape"))
     median = exact_quantiles(ape, ["ape"], [0.5], **ordering).select((F.col("q")[0] * 100.0).alias("mdape"))
-    r2 = F.when(F.col("sst") > 0, 1.0 - F.col("sse") / F.col("sst")).otherwise(0.0)
+    r2 = F.when(F.col("sst") > 0, 1.0 - divide(F.col("sse"), F.col("sst"))).otherwise(0.0)
     # both sides are single aggregate rows
     return sums.join(F.broadcast(median), F.lit(True), "left").select(
         "n", "mae", "rmse", r2.alias("r_squared"), F.coalesce("mdape", F.lit(0.0)).alias("mdape"), "mean_y", "std_y"
@@ -305,7 +305,7 @@ def weighted_r2(df: DataFrame, y: str, y_hat: str, weight: str, by: Sequence[str
         F.sum(w).alias("n"), F.sum(w * e * e).alias("sse"), F.sum(w * t).alias("sy"), F.sum(w * t * t).alias("syy")
     )
     sst = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
-    return out.select(*by, "n", F.when(sst > 0, 1.0 - F.col("sse") / sst).otherwise(0.0).alias("r_squared"))
+    return out.select(*by, "n", F.when(sst > 0, 1.0 - divide(F.col("sse"), sst)).otherwise(0.0).alias("r_squared"))
 
 
 def classification_report(

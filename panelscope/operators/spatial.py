@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numeric import divide
 from ..sources.durable import durable
 from .permute import permuted_values
 
@@ -112,9 +113,9 @@ def morans_i(values: DataFrame, edges: DataFrame, unit: str, value: str) -> Data
     mean, n, ss = values.agg(F.avg(value), F.count(value), F.count(value) * F.var_pop(value)).first()
     centred = values.select(unit, (F.col(value) - F.lit(mean)).alias("_z"))
     terms = _moran_terms(centred, _weighted(edges, unit), unit, "_z", [])
-    i = F.lit(float(n)) / F.col("s0") * F.col("cross") / F.lit(ss) if ss else F.lit(0.0)
+    i = divide(F.lit(float(n)) * F.col("cross"), F.col("s0") * F.lit(ss)) if ss else F.lit(0.0)
     return terms.select(
-        i.alias("morans_i"), F.lit(-1.0 / (n - 1)).alias("expected_i"), F.lit(n).cast("bigint").alias("n_units")
+        i.alias("morans_i"), F.lit(-1.0 / (n - 1) if n > 1 else None).cast("double").alias("expected_i"), F.lit(n).cast("bigint").alias("n_units")
     )
 
 
@@ -127,8 +128,8 @@ def morans_permutation(
     centred = values.select(unit, (F.col(value) - F.lit(mean)).alias("_z"))
     shuffled = permuted_values(centred, unit, "_z", n_permutations, seed)
     terms = _moran_terms(shuffled, _weighted(edges, unit), unit, "_z", ["rep"])
-    per_rep = terms.select(F.round(F.lit(float(n)) / F.col("s0") * F.col("cross") / F.lit(ss), digits).alias("i"))
-    obs = F.lit(round(observed["morans_i"], digits))
+    per_rep = terms.select(F.round(divide(F.lit(float(n)) * F.col("cross"), F.col("s0") * F.lit(ss or 0.0)), digits).alias("i"))
+    obs = F.lit(round(observed["morans_i"], digits) if observed["morans_i"] is not None else None).cast("double")
     out = per_rep.agg(
         F.count(F.lit(1)).alias("n_permutations"),
         F.avg("i").alias("mean_i"), F.stddev_pop("i").alias("sd_i"),
@@ -136,7 +137,7 @@ def morans_permutation(
     )
     return out.select(
         obs.alias("morans_i"), F.lit(observed["expected_i"]).alias("expected_i"), "n_permutations", "n_as_large",
-        F.when(F.col("sd_i") > 0, (obs - F.col("mean_i")) / F.col("sd_i")).otherwise(0.0).alias("z_score"),
+        F.when(F.col("sd_i") > 0, divide(obs - F.col("mean_i"), F.col("sd_i"))).otherwise(0.0).alias("z_score"),
         ((F.col("n_as_large") + 1) / (F.col("n_permutations") + 1)).alias("p_value"),
     )
 

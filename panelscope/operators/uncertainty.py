@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw_index, uniform
+from ..functions.numeric import divide
 from ..schema import COMPONENTS, EXPERT_WEIGHTS
 from ..sources.durable import durable
 from . import metrics
@@ -335,7 +336,7 @@ def bootstrap_r2_ci(
         *[F.sum(F.col(c) * F.col("mult")).alias(c) for c in ("n", "sse", "sy", "syy")]
     )
     sst = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
-    reps = per.where("n >= 10").select("rep", F.when(sst > 0, 1.0 - F.col("sse") / sst).otherwise(0.0).alias("r_squared"))
+    reps = per.where("n >= 10").select("rep", F.when(sst > 0, 1.0 - divide(F.col("sse"), sst)).otherwise(0.0).alias("r_squared"))
     return replicate_intervals(reps, ["r_squared"])
 
 

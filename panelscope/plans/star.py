@@ -202,10 +202,10 @@ def kpi_calibration(star: Star) -> DataFrame:
     """Prevalence of the whole panel, model and null Brier, skill."""
     prevalence = measure(
         star.unit_month,
-        {"Historical_Disaster_Prevalence": F.count_if(F.col("Disaster_Occurred") == 1) / F.count("Record_ID")},
+        {"Historical_Disaster_Prevalence": ratio(F.count_if(F.col("Disaster_Occurred") == 1), F.count("Record_ID"))},
     )
     gap = F.col("Predicted_Disaster_Probability") - F.col("Actual_Disaster_Occurred")
-    model = measure(star.predictions, {"Brier_Score_Model": F.sum(gap * gap) / F.count("Prediction_ID")})
+    model = measure(star.predictions, {"Brier_Score_Model": ratio(F.sum(gap * gap), F.count("Prediction_ID"))})
     # two single aggregate rows
     both = prevalence.join(F.broadcast(model), F.lit(True))
     p = F.col("Historical_Disaster_Prevalence")
