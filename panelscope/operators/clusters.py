@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import divide
-from ..sources.durable import durable
+from ..sources.durable import count_rows, durable
 
 # Labels of the four operational clusters.
 TYPOLOGY = {
@@ -108,7 +108,7 @@ def silhouette(df: DataFrame, unit: str, cluster: str, columns: Sequence[str], b
     blocks; distances are reduced inside the block expression and only
     (unit, cluster, sum) rows are emitted.  ``squared_silhouette`` is linear.
     """
-    rows = df.count()
+    rows = count_rows(df)
     blocks = max(1, -(-rows // block_rows))
     tagged = df.select(
         F.col(unit).alias("u"), F.col(cluster).alias("c"), F.array(*columns).alias("x"),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import clip, divide
 from ..schema import NO_EVENT
+from ..sources.durable import known_rows, with_rows
 from .ordering import quantile_values
 
 
@@ -61,9 +62,9 @@ def threshold_flags(df: DataFrame) -> DataFrame:
     )
 
 
-def median_split_flag(df: DataFrame, column: str, output: str) -> DataFrame:
+def median_split_flag(df: DataFrame, column: str, output: str, proven_rows: int | None = None) -> DataFrame:
     """1 above the exact median of the whole column."""
-    median = quantile_values(df, column, [0.5])[0]
+    median = quantile_values(df, column, [0.5], proven_rows=proven_rows)[0]
     return df.withColumn(output, above(F.col(column), F.lit(median)))
 
 
@@ -109,10 +110,12 @@ def lead_target(
 def engineer_features(df: DataFrame) -> DataFrame:
     """All engineered columns; the unit windows share one shuffle and sort."""
     out = date_parts(df).drop("DateKey").withColumn("Season", season(F.col("Month")))
-    out = median_split_flag(threshold_flags(out), "Population_Density", "High_Population_Density_Flag")
+    out = median_split_flag(
+        threshold_flags(out), "Population_Density", "High_Population_Density_Flag", known_rows(df)
+    )
     if "Disaster_Risk_Score" in out.columns:
         out = out.withColumn("Risk_Preparedness_Gap", F.col("Disaster_Risk_Score") - F.col("Preparedness_Score"))
-    return lead_target(rolling_count(lag_features(out)))
+    return with_rows(lead_target(rolling_count(lag_features(out))), known_rows(df))
 
 
 def alert_level(p: Column, threshold: Column | float) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import divide, ratio
 from ..functions.tails import normal_quantile, p_chi_square, p_f, p_normal, p_spearman
+from ..sources.durable import durable
 from .ordering import average_rank, exact_quantiles
 from .permute import permuted_values
 
@@ -141,13 +142,14 @@ def chi_square_permutation(
     sum of o^2 / (r c) over its cells.  Statistics are rounded to ``digits``
     before comparing, because equal tables may sum in a different order.
     """
+    df = durable(df.select(unit, row, column))
     observed = _cells(df, row, column)
     margins_r = observed.groupBy(row).agg(F.max("_r").alias("_r"))
     margins_c = observed.groupBy(column).agg(F.max("_c").alias("_c"))
     obs = chi_square(df, row, column).select(
         F.round("chi2", digits).alias("chi2_observed"), F.col("n_observations").alias("n")
     ).first()
-    shuffled = permuted_values(df.select(unit, row, column), unit, column, replicates, seed, keep=[row])
+    shuffled = permuted_values(df, unit, column, replicates, seed, keep=[row])
     cells = shuffled.groupBy("rep", row, column).agg(F.count(F.lit(1)).alias("_o"))
     # one row per row label / column label on the right-hand sides
     scored = cells.join(margins_r, row).join(margins_c, column)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import clip
 from ..schema import EQUAL_WEIGHTS, EXPERT_WEIGHTS
+from ..sources.durable import known_rows, with_rows
 from .ordering import quantile_values
 
 # Scaled inputs of each component score.
@@ -128,7 +129,7 @@ def fit_index(df: DataFrame) -> IndexParams:
     """Min-max ranges and risk-quartile thresholds of a rated panel."""
     ranges = {r["input"]: (r["min"], r["max"]) for r in minmax_fit(df, INDEX_INPUTS).collect()}
     scored = component_scores(df, ranges).select(weighted_score().alias("risk"))
-    q = quantile_values(scored, "risk", [0.25, 0.50, 0.75])
+    q = quantile_values(scored, "risk", [0.25, 0.50, 0.75], proven_rows=known_rows(df))
     return IndexParams(ranges, tuple(q))
 
 
@@ -137,7 +138,8 @@ def score_index(df: DataFrame, params: IndexParams) -> DataFrame:
     scored = component_scores(df, params.ranges).withColumns(
         {"Disaster_Risk_Score": weighted_score(), "Equal_Weighted_Risk": weighted_score(EQUAL_WEIGHTS)}
     )
-    return scored.withColumn("Risk_Category", risk_category(F.col("Disaster_Risk_Score"), params.thresholds))
+    out = scored.withColumn("Risk_Category", risk_category(F.col("Disaster_Risk_Score"), params.thresholds))
+    return with_rows(out, known_rows(df))
 
 
 def preparedness_index() -> Column:

@@ -15,17 +15,17 @@ from os.path import commonprefix
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.durable import durable
+from ..sources.durable import count_rows, durable, known_rows
 
 # Rows one window task or one percentile buffer may hold.
 TASK_ROWS = 200_000
 
 
 def _largest_group(df: DataFrame, by: Sequence[str]) -> int:
-    if by:
-        top = df.groupBy(*by).count().agg(F.max("count")).first()[0]
-        return int(top or 0)
-    return df.count()
+    rows = count_rows(df)
+    if not by or rows <= TASK_ROWS:
+        return rows  # no group is larger than the table
+    return int(df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0)
 
 
 def _range_bucket(df: DataFrame, value: str, rows: int, task_rows: int) -> Column:
@@ -62,8 +62,9 @@ def running_totals(
         w = Window.partitionBy(*by).orderBy(order).rowsBetween(*frame)
         return df.select("*", *[F.sum(src).over(w).alias(out) for out, src in sums.items()])
 
-    df = durable(df)
-    tagged = df.withColumn("_range", _range_bucket(df, value, proven_rows, task_rows))
+    if known_rows(df) is None:
+        df = durable(df)
+    tagged = df.withColumn("_range", _range_bucket(df, value, count_rows(df), task_rows))
     w = Window.partitionBy(*by, "_range").orderBy(order).rowsBetween(*frame)
     local = tagged.select("*", *[F.sum(src).over(w).alias(out) for out, src in sums.items()])
     range_order = F.col("_range").desc() if descending else F.col("_range").asc()
@@ -123,7 +124,7 @@ def row_numbers(
     """Number rows by a unique ``key`` in ascending order."""
     if proven_rows is None:
         df = durable(df)
-        proven_rows = df.count()
+        proven_rows = count_rows(df)
     if proven_rows <= task_rows:
         w = Window.orderBy(key)
         return df.withColumn(output, (F.row_number().over(w) + (start - 1)).cast("bigint"))
@@ -142,7 +143,7 @@ def _order_value(df: DataFrame, key: str) -> Column:
 
 
 def _number_by_range(df: DataFrame, order: str, tie: str, rows: int, task_rows: int) -> DataFrame:
-    df = durable(df)
+    df = durable(df)  # the order column is computed once
     tagged = df.withColumn("_range", _range_bucket(df, order, rows, task_rows))
     inside = Window.partitionBy("_range").orderBy(order, tie)
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -220,18 +221,21 @@ def exact_quantiles(
     probs: Sequence[float],
     by: Sequence[str] = (),
     task_rows: int = TASK_ROWS,
+    proven_rows: int | None = None,
 ) -> DataFrame:
     """Linear-interpolation quantiles: rows (``by``, column, q array<double>).
 
     Groups that fit a task use the built-in ``percentile``; larger ones are
     narrowed range by range, so no task ever holds a whole large group.
+    ``proven_rows`` bounds the rows and spares the size check.
     """
+    proven_rows = known_rows(df) if proven_rows is None else proven_rows
     by, columns, probs = list(by), list(columns), [float(p) for p in probs]
     slim = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
-    counts = slim.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows")) if by else slim.agg(
-        F.count(F.lit(1)).alias("_rows")
-    )
-    large = counts.where(F.col("_rows") > task_rows).collect()  # at most rows / task_rows groups
+    large = []
+    if proven_rows is None or proven_rows > task_rows:
+        counts = slim.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
+        large = counts.where(F.col("_rows") > task_rows).collect()  # at most rows / task_rows groups
 
     def builtin(part: DataFrame) -> DataFrame:
         grid = F.array(*[F.lit(p) for p in probs])
@@ -269,8 +273,8 @@ def exact_quantiles(
 
 
 def quantile_values(
-    df: DataFrame, column: str, probs: Sequence[float], task_rows: int = TASK_ROWS
+    df: DataFrame, column: str, probs: Sequence[float], task_rows: int = TASK_ROWS, proven_rows: int | None = None
 ) -> list[float]:
     """Fitted quantiles of one column as driver scalars (parameters)."""
-    row = exact_quantiles(df, [column], probs, task_rows=task_rows).first()
+    row = exact_quantiles(df, [column], probs, task_rows=task_rows, proven_rows=proven_rows).first()
     return [None] * len(probs) if row is None or row["q"] is None else list(row["q"])

@@ -58,7 +58,8 @@ def panel_complete_sums(
     if span["lo"] is not None:
         months = F.sequence(F.lit(span["lo"]), F.lit(span["hi"]), F.expr("interval 1 month"))
         types = dict(rows.dtypes)
-        spine = units.select(unit).distinct().select(
+        # a unit listed twice would only add zeros
+        spine = units.select(
             unit,
             F.explode(months).alias(period),
             *[F.lit(0).cast(types[n]).alias(n) for n in sums],

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw_index, uniform
-from ..sources.durable import durable
+from ..sources.durable import count_rows, durable, known_rows, with_rows
 from .ordering import TASK_ROWS, row_numbers
 
 
@@ -32,8 +32,9 @@ def permuted_values(
     replicate has more units than one task should sort, positions are computed
     in equal-width ranges of the uniform, which are balanced by construction.
     """
-    base = durable(df.select(unit, value, *keep))
-    rows = base.count()
+    base = df.select(unit, value, *keep)
+    base = durable(base) if known_rows(df) is None else with_rows(base, known_rows(df))
+    rows = count_rows(base)
     numbered = row_numbers(base.select(unit, value), unit, "_pos", proven_rows=rows, task_rows=task_rows)
     slots = replicates(base.select(unit, *keep), n_replicates)
     slots = slots.withColumn("_u", uniform(seed, F.col("rep"), F.col(unit)))
@@ -63,7 +64,7 @@ def cluster_draws(units: DataFrame, unit: str, n_replicates: int, seed: int = 42
     is carried as a weight; rows are never copied.
     """
     distinct = durable(units.select(unit).distinct())
-    n = distinct.count()
+    n = count_rows(distinct)
     numbered = row_numbers(distinct, unit, "_index", start=0, proven_rows=n, task_rows=task_rows)
     slots = replicates(numbered.select(F.col("_index").alias("_slot")), n_replicates)
     drawn = slots.select("rep", draw_index(n, seed, F.col("rep"), F.col("_slot")).alias("_index"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import divide
-from ..sources.durable import durable
+from ..sources.durable import count_rows, durable
 from .permute import permuted_values
 
 # A grid cell may hold this many sites before the grid is refined.
@@ -84,7 +84,7 @@ def knn_edges(
         done = durable(near.select(F.col("sa").alias("a"), F.col("so").alias("o"), "near"))
         found = done if found is None else found.unionByName(done)
         waiting = durable(waiting.join(done.select("a", "o"), ["a", "o"], "left_anti"))
-        if whole or waiting.isEmpty():
+        if whole or not count_rows(waiting):
             break
         side *= 2.0
     others = F.slice(F.filter("near", lambda e: e["v"] != F.col("u")), 1, k)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.draws import draw_index, uniform
 from ..functions.numeric import divide
 from ..schema import COMPONENTS, EXPERT_WEIGHTS
-from ..sources.durable import durable
+from ..sources.durable import count_rows, durable
 from . import metrics
 from .ordering import TASK_ROWS, average_rank, exact_quantiles, running_totals
 from .permute import cluster_draws
@@ -120,7 +120,7 @@ def simulated_scores(
 def _ranked(means: DataFrame, weights: DataFrame, ids: Sequence[str], unit: str, baseline: str, digits: int) -> DataFrame:
     """Simulated and baseline ranks; scores are rounded so that equal sums tie."""
     base = durable(means)
-    rows = base.count()
+    rows = count_rows(base)
     ranked = average_rank(
         base.withColumn("_base", F.round(baseline, digits)), "_base", output="base_rank", proven_rows=rows
     )
@@ -249,7 +249,7 @@ def mc_rank_stability(means: DataFrame, weights: DataFrame, unit: str = "Distric
     """Share of simulations in which a unit's rank is within ``band`` of its median."""
     base = durable(means)
     sims = simulated_scores(base, weights, ["sim"], unit).withColumn("score", F.round("score", digits))
-    ranked = durable(ordinal_rank(sims.select("sim", unit, "score"), ["sim"], "score", unit, base.count()))
+    ranked = durable(ordinal_rank(sims.select("sim", unit, "score"), ["sim"], "score", unit, count_rows(base)))
     medians = ranked.groupBy(unit).agg(F.percentile("rank", F.lit(0.5)).alias("median"))
     per_unit = ranked.join(medians, unit).groupBy(unit).agg(
         F.avg((F.abs(F.col("rank") - F.col("median")) <= band).cast("double")).alias("stability")

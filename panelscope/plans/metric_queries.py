@@ -98,6 +98,13 @@ def average_precision_query(spark, folder):
     return m.curve_areas(_hist(spark, folder), proven_rows=LIMIT).select(*_r("average_precision"))
 
 
+@query("curve_areas", f"""WITH {_CURVE}, a AS (SELECT sum((rec-rec0)*(pre+pre0)/2) pr_auc, sum((rec-rec0)*pre) average_precision FROM seg),
+  b AS (SELECT sum(neg*(tp-pos/2.0::DOUBLE))/any_value(tp_all*fp_all) roc_auc FROM c, tot)
+  SELECT {r6('roc_auc')} roc_auc, {r6('pr_auc')} pr_auc, {r6('average_precision')} average_precision FROM a, b""")
+def curve_areas_query(spark, folder):
+    return m.curve_areas(_hist(spark, folder), proven_rows=LIMIT).select(*_r("roc_auc", "pr_auc", "average_precision"))
+
+
 @query("brier", f"""WITH {o.SCORED}, b AS (SELECT avg((p-y)*(p-y)) b, avg(y)*(1-avg(y)) b0 FROM scored)
   SELECT {r6('b')} brier, {r6('b0')} brier_null, {r6('1-b/b0')} brier_skill,
   CASE WHEN 1-b/b0<0.10 THEN 'weak (<0.10)' WHEN 1-b/b0<0.25 THEN 'marginal (0.10-0.25)' ELSE 'skillful (>=0.25)' END band FROM b""")

@@ -328,7 +328,7 @@ quadrants AS (SELECT District, CASE WHEN risk>mr AND prep<mp THEN 'High Risk - L
 
 def unit_quadrants(spark, folder, indexed=None):
     indexed = v.indexed(spark, folder) if indexed is None else indexed
-    means = agg.unit_means(indexed, ["Disaster_Risk_Score", "Preparedness_Score"])
+    means = durable(agg.unit_means(indexed, ["Disaster_Risk_Score", "Preparedness_Score"]))
     medians = {
         r["column"]: r["q"][0]
         for r in ordering.exact_quantiles(means, ["Disaster_Risk_Score", "Preparedness_Score"], [0.5]).collect()

@@ -10,7 +10,7 @@ from ..operators import metrics as met
 from ..operators import permute, spatial
 from ..operators import uncertainty as unc
 from ..schema import COMPONENTS
-from ..sources.durable import durable
+from ..sources.durable import count_rows, durable
 from . import oracles as o
 from . import views as v
 from .panel_queries import MODAL, _r, r6
@@ -430,7 +430,7 @@ _ORD = f"""{_MC}, orr AS (SELECT sim, District, row_number() OVER (PARTITION BY
 def rank_ordinal_query(spark, folder):
     means = _unit_components(spark, folder)
     sims = unc.simulated_scores(means, unc.uniform_weights(spark, 1000), ["sim"]).withColumn("score", F.round("score", 9))
-    return unc.ordinal_rank(sims, ["sim"], "score", "District", means.count()).select("sim", "District", "rank")
+    return unc.ordinal_rank(sims, ["sim"], "score", "District", count_rows(means)).select("sim", "District", "rank")
 
 
 @query("mc_rank_stability", f"""WITH {_ORD}, md AS (SELECT District, median(rk) md FROM orr GROUP BY 1),

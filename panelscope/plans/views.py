@@ -58,11 +58,11 @@ _SUMS = {
 }
 
 
-def monthly_sums(spark: SparkSession, folder: str, unit_table: DataFrame | None = None) -> DataFrame:
+def monthly_sums(spark: SparkSession, folder: str) -> DataFrame:
     """Balanced unit x month sums, zero-filled."""
     sums = panel_complete_sums(
         unit_cells(spark, folder),
-        units(spark, folder) if unit_table is None else unit_table,
+        read_table(spark, folder, "supplier").selectExpr("s_suppkey AS unit"),
         "unit",
         "Event_Date",
         {name: F.expr(text) for name, text in _SUMS.items()},
@@ -142,7 +142,7 @@ def panel(spark: SparkSession, folder: str) -> DataFrame:
     unit_table = units(spark, folder)
     # A plain equi-join: Spark broadcasts the unit table while it is under the
     # auto-broadcast size and shuffles both sides beyond it.
-    base = monthly_sums(spark, folder, unit_table).join(unit_table, "unit")
+    base = monthly_sums(spark, folder).join(unit_table, "unit")
     return base.selectExpr(*_HELPERS).selectExpr(*_PANEL).withColumn(
         "Disaster_Preparedness_Index", preparedness_index()
     )

@@ -10,7 +10,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,8 +26,28 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` as parquet in the shared folder and read it back."""
+    """Write ``df`` as parquet in the shared folder and read it back.
+
+    The rows are counted by the write itself, so later size checks are free.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return with_rows(spark.read.schema(df.schema).parquet(path), seen.get["n"])
+
+
+def with_rows(df: DataFrame, rows: int | None) -> DataFrame:
+    """Remember the exact row count of a DataFrame."""
+    df._known_rows = rows
+    return df
+
+
+def known_rows(df: DataFrame) -> int | None:
+    return getattr(df, "_known_rows", None)
+
+
+def count_rows(df: DataFrame) -> int:
+    """Row count, without a job if it is already known."""
+    rows = known_rows(df)
+    return df.count() if rows is None else rows
