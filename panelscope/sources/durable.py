@@ -10,8 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,13 +27,15 @@ def shared_folder(spark: SparkSession) -> str:
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` as parquet in the shared folder and read it back.
 
-    The rows are counted by the write itself, so later size checks are free.
+    Counting the rows of such a table reads file footers only; see
+    ``count_rows``.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
-    return with_rows(spark.read.schema(df.schema).parquet(path), seen.get["n"])
+    df.write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._durable_rows = lambda: table.count()
+    return table
 
 
 def with_rows(df: DataFrame, rows: int | None) -> DataFrame:
@@ -44,10 +45,13 @@ def with_rows(df: DataFrame, rows: int | None) -> DataFrame:
 
 
 def known_rows(df: DataFrame) -> int | None:
+    """Row count if it is known or costs only file footers, else None."""
+    if getattr(df, "_known_rows", None) is None and hasattr(df, "_durable_rows"):
+        df._known_rows = df._durable_rows()
     return getattr(df, "_known_rows", None)
 
 
 def count_rows(df: DataFrame) -> int:
-    """Row count, without a job if it is already known."""
+    """Row count, counted at most once per durable table."""
     rows = known_rows(df)
     return df.count() if rows is None else rows
