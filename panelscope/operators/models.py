@@ -36,7 +36,6 @@ from pyspark.ml.regression import (
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.draws import uniform
 from ..functions.numeric import half_even
 from ..schema import (
     CATEGORICAL_PREDICTORS,
@@ -46,8 +45,9 @@ from ..schema import (
     RECORD_KEYS,
     require_columns,
 )
-from ..sources.durable import durable
+from ..sources.durable import count_rows, durable
 from . import metrics
+from .ordering import row_numbers
 from .permute import permuted_values
 from .profile import mode_values
 
@@ -510,9 +510,10 @@ def permutation_importance(
 
 
 def holdout_units(units: DataFrame, unit: str, share: float, rep: int, seed: int) -> DataFrame:
-    """The ``share`` of units with the smallest keyed uniforms of this repeat."""
-    n = units.count()
-    return units.orderBy(uniform(seed, "holdout", rep, F.col(unit)), unit).limit(max(1, int(n * share)))
+    """The ``share`` of units that come first in a keyed random order of this repeat."""
+    order = F.concat_ws(":", F.md5(F.concat_ws(":", F.lit(seed), F.lit(rep), F.col(unit).cast("string"))), F.col(unit).cast("string"))
+    placed = row_numbers(durable(units.select(unit, order.alias("_order"))), "_order", "_place")
+    return placed.where(F.col("_place") <= max(1, int(count_rows(units) * share))).select(unit)
 
 
 def group_holdout(

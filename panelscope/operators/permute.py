@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw_index, uniform
-from ..sources.durable import count_rows, durable, known_rows, with_rows
+from ..sources.durable import count_rows, durable
 from .ordering import TASK_ROWS, row_numbers
 
 
@@ -32,29 +32,29 @@ def permuted_values(
     replicate has more units than one task should sort, positions are computed
     in equal-width ranges of the uniform, which are balanced by construction.
     """
-    base = df.select(unit, value, *keep)
-    base = durable(base) if known_rows(df) is None else with_rows(base, known_rows(df))
-    rows = count_rows(base)
-    numbered = row_numbers(base.select(unit, value), unit, "_pos", proven_rows=rows, task_rows=task_rows)
-    slots = replicates(base.select(unit, *keep), n_replicates)
-    slots = slots.withColumn("_u", uniform(seed, F.col("rep"), F.col(unit)))
+    numbered = durable(row_numbers(df.select(unit, value, *keep), unit, "_i", task_rows=task_rows))
+    rows = count_rows(numbered)
+    # only (rep, uniform, number) is shuffled and sorted; numbers follow unit order
+    slots = replicates(numbered.select("_i", unit), n_replicates).select(
+        F.col("rep"), F.col("_i").cast("int" if rows < 2**31 else "bigint").alias("_i"), uniform(seed, F.col("rep"), F.col(unit)).alias("_u")
+    )
     pieces = 1 if rows <= task_rows else 2 * -(-rows // task_rows)
     if pieces == 1:
-        w = Window.partitionBy("rep").orderBy("_u", unit)
-        placed = slots.withColumn("_pos", F.row_number().over(w).cast("bigint"))
+        w = Window.partitionBy("rep").orderBy("_u", "_i")
+        placed = slots.select("rep", "_i", F.row_number().over(w).alias("_pos"))
     else:
         tagged = slots.withColumn("_range", F.floor(F.col("_u") * pieces))
         before = Window.partitionBy("rep").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
         offsets = tagged.groupBy("rep", "_range").agg(F.count(F.lit(1)).alias("_rows")).select(
             "rep", "_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before")
         )
-        w = Window.partitionBy("rep", "_range").orderBy("_u", unit)
+        w = Window.partitionBy("rep", "_range").orderBy("_u", "_i")
         placed = (
             tagged.withColumn("_local", F.row_number().over(w)).join(offsets, ["rep", "_range"])
-            .withColumn("_pos", F.col("_local") + F.col("_before"))
+            .select("rep", "_i", (F.col("_local") + F.col("_before")).alias("_pos"))
         )
-    values = numbered.select("_pos", value)
-    return placed.join(values, "_pos").select("rep", unit, *keep, value)
+    values = numbered.select(F.col("_i").alias("_pos"), value)
+    return placed.join(numbered.select("_i", unit, *keep), "_i").join(values, "_pos").select("rep", unit, *keep, value)
 
 
 def cluster_draws(units: DataFrame, unit: str, n_replicates: int, seed: int = 42, task_rows: int = TASK_ROWS) -> DataFrame:

@@ -51,10 +51,16 @@ def sweep_weights(
 def uniform_weights(
     spark: SparkSession, n: int = 200, low: float = 0.1, high: float = 0.9, seed: int = 42, size: int = len(COMPONENTS)
 ) -> DataFrame:
-    """(sim, w0..): uniform weights rescaled to sum 1, keyed by (sim, component)."""
-    raw = spark.range(1, n + 1).select(
-        F.col("id").alias("sim"),
-        *[(F.lit(low) + F.lit(high - low) * uniform(seed, F.col("id"), i)).alias(f"r{i}") for i in range(size)],
+    """(sim, w0..) for simulations 1..n; see ``weights_for``."""
+    return weights_for(spark.range(1, n + 1).select(F.col("id").alias("sim")), low, high, seed, size)
+
+
+def weights_for(
+    sims: DataFrame, low: float = 0.1, high: float = 0.9, seed: int = 42, size: int = len(COMPONENTS)
+) -> DataFrame:
+    """Uniform weights rescaled to sum 1, keyed by (sim, component)."""
+    raw = sims.select(
+        "sim", *[(F.lit(low) + F.lit(high - low) * uniform(seed, F.col("sim"), i)).alias(f"r{i}") for i in range(size)]
     )
     total = sum((F.col(f"r{i}") for i in range(1, size)), F.col("r0"))
     return raw.select("sim", *[(F.col(f"r{i}") / total).alias(f"w{i}") for i in range(size)])

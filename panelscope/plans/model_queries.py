@@ -88,7 +88,7 @@ def _loss_query(name: str, kind: str, **params):
     return run
 
 
-_loss_query("fit_ridge_pipeline", "ridge")
+_loss_query("fit_ridge_full", "ridge")
 _loss_query("fit_rf_regressor", "random_forest", **FOREST)
 _loss_query("fit_gbt_regressor", "gradient_boosting", **BOOST)
 _loss_query("fit_gamma_glm", "gamma")

@@ -403,11 +403,15 @@ def mc_risk_query(spark, folder):
     return out.select("District", *_r(*[c for c in out.columns if c != "District"]))
 
 
-@query("mc_weight_stats", f"WITH {_sim_weights(1000)} " + " UNION ALL ".join(
+_ORDER_WEIGHTS = _sim_weights(1000).replace("(SELECT unnest(generate_series(1,1000)) sim)", "(SELECT o_orderkey sim FROM orders)")
+
+
+@query("mc_weight_stats", f"WITH {_ORDER_WEIGHTS} " + " UNION ALL ".join(
     f"SELECT 'w{i}' weight, {r6(f'avg(w{i})')} \"mean\", {r6(f'stddev_pop(w{i})')} \"std\", {r6(f'min(w{i})')} \"min\", {r6(f'max(w{i})')} \"max\" FROM wt"
     for i in range(4)))
 def mc_weight_query(spark, folder):
-    return unc.mc_weight_stats(unc.uniform_weights(spark, 1000)).select("weight", *_r("mean", "std", "min", "max"))
+    sims = v.read_table(spark, folder, "orders").select(F.col("o_orderkey").alias("sim"))
+    return unc.mc_weight_stats(unc.weights_for(sims)).select("weight", *_r("mean", "std", "min", "max"))
 
 
 @query("mc_convergence", f"""WITH {_MC}, cp AS (SELECT unnest([100,200,500,1000]) n),
