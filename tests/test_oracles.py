@@ -11,12 +11,9 @@ from panelscope.plans.check import compare, oracle_connection
 from panelscope.plans.registry import all_oracles, all_queries
 
 QUERIES, ORACLES = all_queries(), all_oracles()
-DEFAULT = """read_panel panel_complete panel_balance profile_structure iqr_outliers clean_panel impute_median quality_rules
-risk_category dominant_hazard modal_category five_number_by_flag lag_features rolling_12 lead_target rank_average top_k_units
-anova_welch chi_square chi_square_permutation mann_kendall ols_cluster_robust knn_edges morans_permutation knockout
-random_weight_ranks mc_convergence mc_rank_stability cluster_bootstrap_ci residual_bootstrap_intervals roc_auc pr_auc ece
-optimal_threshold decision_curve cost_curve regression_metrics model_comparison dim_geography fact_predictions kpi_calibration
-inactive_date_role fit_ridge silhouette""".split()
+DEFAULT = """panel_complete clean_panel quality_rules risk_category modal_category five_number_by_flag rolling_12
+rank_average chi_square_permutation mann_kendall knn_edges random_weight_ranks cluster_bootstrap_ci
+residual_bootstrap_intervals curve_areas model_comparison fact_predictions silhouette""".split()
 NAMES = sorted(QUERIES) if os.environ.get("PANELSCOPE_ALL") else DEFAULT
 
 
