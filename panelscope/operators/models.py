@@ -158,7 +158,8 @@ def classifier(kind: str, seed: int = 42, **params):
         "lightgbm": {"maxDepth": 5, "stepSize": 0.1},
     }
     if kind == "logistic_regression":
-        model = LogisticRegression(**{**common, "maxIter": 1000, "regParam": 0.001, **params})
+        # features are already standardised; see ``fit_classifier`` for the penalty
+        model = LogisticRegression(**{**common, "maxIter": 1000, "standardization": False, **params})
     elif kind == "random_forest":
         model = RandomForestClassifier(
             **{**common, "numTrees": 100, "maxDepth": 12, "featureSubsetStrategy": "sqrt", "seed": seed, **params}
@@ -185,6 +186,9 @@ def fit_classifier(
     else:
         rows = with_class_weight(rows)
     rows = durable(rows)  # iterative fits read a compact table, not the lineage
+    if kind == "logistic_regression":
+        # unit inverse penalty on the summed loss: balanced weights sum to n
+        params.setdefault("regParam", 1.0 / max(1, count_rows(rows)))
     stages = feature_pipeline(rows, numeric, categorical) + [classifier(kind, seed, **params)]
     return Pipeline(stages=stages).fit(rows)
 

@@ -153,3 +153,20 @@ def test_clusters(spark):
     assert clusters.davies_bouldin(labelled, "Cluster", ["a", "b"]).first()["davies_bouldin"] < 0.1
     pcs = clusters.pca_2d(df, "u", ["a", "b"])
     assert pcs.columns == ["u", "PCA_1", "PCA_2"] and pcs.count() == 60
+
+
+def test_logistic_penalty_is_one_over_n(parts):
+    """Weighted mean loss plus |w|^2 / (2 n): the gradient vanishes at the fit."""
+    import numpy as np
+
+    train = parts[0]
+    model = models.fit_classifier(train, "logistic_regression", ["Rainfall_Anomaly", "Poverty_Rate"], [])
+    rows = models.with_class_weight(train.where("Disaster_Next_Month IS NOT NULL"))
+    pdf = model.transform(rows).select(
+        vector_to_array("features").alias("x"), vector_to_array("base_probability")[1].alias("p"),
+        F.col("Disaster_Next_Month").alias("y"), models.WEIGHT,
+    ).toPandas()
+    x = np.stack(pdf["x"].to_numpy())
+    beta = model.stages[-1].coefficients.toArray()
+    gradient = (x * ((pdf["p"] - pdf["y"]) * pdf[models.WEIGHT]).values[:, None]).sum(0) + beta
+    assert np.abs(gradient).max() < 0.05 * max(1.0, np.abs(beta).max())
