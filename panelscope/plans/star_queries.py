@@ -90,22 +90,26 @@ def join_dim_keys_query(spark, folder):
     return keyed.select("Record_ID", "DateKey", "GeographyKey", "DisasterTypeKey")
 
 
+_EXACT = {"Record_ID", "DateKey", "GeographyKey", "DisasterTypeKey", "Disaster_Occurred", "Compound_Event", "Risk_Category",
+          "Disaster_Duration_Days", "Number_of_Deaths", "Number_of_Injuries", "Number_of_People_Affected", "Displacement_Count", "Houses_Damaged"}
+
+
 def _fact_columns(columns):
-    exact = {"Record_ID", "DateKey", "GeographyKey", "DisasterTypeKey", "Disaster_Occurred", "Compound_Event", "Risk_Category",
-             "Disaster_Duration_Days", "Number_of_Deaths", "Number_of_Injuries", "Number_of_People_Affected", "Displacement_Count", "Houses_Damaged"}
-    spark_cols = [F.col(c) if c in exact else rounded(F.col(c)).alias(c) for c in columns]
-    sql_cols = ", ".join(c if c in exact else f"{r6(c)} {c}" for c in columns)
-    return spark_cols, sql_cols
+    return [F.col(c) if c in _EXACT else rounded(F.col(c)).alias(c) for c in columns]
+
+
+def _fact_sql(columns) -> str:
+    return ", ".join(c if c in _EXACT else f"{r6(c)} {c}" for c in columns)
 
 
-@query("fact_unit_month", f"WITH {DIMS} SELECT {_fact_columns(st.FACT_UNIT_MONTH)[1]} FROM fum")
+@query("fact_unit_month", f"WITH {DIMS} SELECT {_fact_sql(st.FACT_UNIT_MONTH)} FROM fum")
 def fact_unit_month_query(spark, folder):
-    return build_star(spark, folder).unit_month.select(*_fact_columns(st.FACT_UNIT_MONTH)[0])
+    return build_star(spark, folder).unit_month.select(*_fact_columns(st.FACT_UNIT_MONTH))
 
 
-@query("fact_events", f"WITH {DIMS} SELECT {_fact_columns(st.FACT_EVENTS)[1]} FROM fe")
+@query("fact_events", f"WITH {DIMS} SELECT {_fact_sql(st.FACT_EVENTS)} FROM fe")
 def fact_events_query(spark, folder):
-    return build_star(spark, folder).events.select(*_fact_columns(st.FACT_EVENTS)[0])
+    return build_star(spark, folder).events.select(*_fact_columns(st.FACT_EVENTS))
 
 
 @query("fact_predictions", f"WITH {DIMS} SELECT * REPLACE ({r6('Expected_Economic_Risk_Million')} AS Expected_Economic_Risk_Million) FROM fp")

@@ -238,7 +238,10 @@ def residual_morans_query(spark, folder):
 
 # --- residual diagnostics ---------------------------------------------------
 
-_E = F.col("y") - F.col("y_hat")
+
+def _error():
+    return F.col("y") - F.col("y_hat")
+
 
 
 @query("residual_shape", f"""WITH {o.LINE_LOSSES}, e AS (SELECT y-y_hat e, avg(y-y_hat) OVER () m FROM line_losses),
@@ -246,13 +249,13 @@ _E = F.col("y") - F.col("y_hat")
   s AS (SELECT n, m3/pow(m2,1.5) sk, m4/(m2*m2)-3 ku FROM c)
   SELECT n, {r6('sk')} skewness, {r6('ku')} kurtosis, {r6('n/6.0::DOUBLE*(sk*sk+ku*ku/4)', 4)} jarque_bera FROM s""")
 def residual_shape_query(spark, folder):
-    out = hyp.residual_shape(v.line_losses(spark, folder), _E)
+    out = hyp.residual_shape(v.line_losses(spark, folder), _error())
     return out.select("n", *_r("skewness", "kurtosis"), *_r("jarque_bera", digits=4))
 
 
 @query("residual_normality_ks")
 def ks_query(spark, folder):
-    return hyp.ks_normal(v.losses(spark, folder), _E)
+    return hyp.ks_normal(v.losses(spark, folder), _error())
 
 
 @query("heteroscedasticity", f"""WITH {o.LINE_LOSSES}, p AS (SELECT y_hat a, abs(y-y_hat) b FROM line_losses),
@@ -274,7 +277,7 @@ def influence_query(spark, folder):
   unnest([{','.join(f'{(i + 1) / 100!r}::DOUBLE' for i in range(99))}]) pr,
   unnest(quantile_cont(y-y_hat, [{','.join(f'{(i + 1) / 100!r}' for i in range(99))}])) q FROM line_losses)""")
 def qq_query(spark, folder):
-    return hyp.qq_points(v.line_losses(spark, folder), _E).select(*_r("prob"), *_r("sample", digits=4))
+    return hyp.qq_points(v.line_losses(spark, folder), _error()).select(*_r("prob"), *_r("sample", digits=4))
 
 
 _PCT = [1, 5, 25, 50, 75, 95, 99]
@@ -283,7 +286,7 @@ _PCT = [1, 5, 25, 50, 75, 95, 99]
 @query("residual_percentiles", f"WITH {o.LINE_LOSSES} SELECT " + ", ".join(
     f"{r6(f'quantile_cont(y-y_hat,{p / 100})', 4)} p{p}" for p in _PCT) + " FROM line_losses")
 def residual_percentiles_query(spark, folder):
-    return hyp.residual_percentiles(v.line_losses(spark, folder), _E).select(*_r(*[f"p{p}" for p in _PCT], digits=4))
+    return hyp.residual_percentiles(v.line_losses(spark, folder), _error()).select(*_r(*[f"p{p}" for p in _PCT], digits=4))
 
 
 # --- index sensitivity ------------------------------------------------------
