@@ -24,6 +24,12 @@ def op4_line_frequency(spark: SparkSession, folder: str) -> DataFrame:
     return line_rules(table(spark, folder, "documents")).select(F.col("doc.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_partenum_join(spark: SparkSession, folder: str) -> DataFrame:
+    from panelscope.llm.partenum import jaccard_components
+
+    return jaccard_components(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
