@@ -18,8 +18,9 @@ the domain dealt anew, which its partners with as many empty choices do too.
 
 Equal sets are one node (a 64-bit identity), so copies cost nothing. Buckets of
 a signature are linked as stars; only where a bucket still holds several
-components are the pairs between components tested. Similarity is always
-counted exactly on the whole sets.
+components are the pairs between components looked at, and only those whose
+sizes and outlines (512-bit maps of the features, a lower bound of the
+difference) allow the similarity. It is always counted exactly on whole sets.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -40,6 +41,8 @@ NUM, DEN = 85, 100  # similarity at least NUM / DEN
 WIDTH = 4
 DEALS = 5  # how often the domain is dealt anew; in the last deal empty choices are signed too
 FEW = 16  # k below it: two of three parts
+HUBS = 4
+OUTLINE = 8  # words of 64 bits: 512 bits
 U = np.uint64
 
 
@@ -115,6 +118,13 @@ def signatures(features: np.ndarray, starts: np.ndarray, num: int = NUM, den: in
     return np.concatenate(out) if out else np.zeros(0, U)
 
 
+def outline(features: np.ndarray) -> np.ndarray:
+    """A bitmap of the features by their leading bits. Two sets differ in at least as many features as their outlines in bits."""
+    bits = np.zeros(64 * OUTLINE, bool)
+    bits[(features >> U(64 - 9)).astype(np.int64)] = True
+    return np.packbits(bits).view(np.int64)
+
+
 def _sets(batch: pa.RecordBatch, text: str) -> Iterator[tuple[int, np.ndarray]]:
     for row, found, bounds in hashed_rows(batch.column(text)):
         for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
@@ -123,9 +133,10 @@ def _sets(batch: pa.RecordBatch, text: str) -> Iterator[tuple[int, np.ndarray]]:
 
 def _identities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [(len(s), identity(s)) for _, s in _sets(batch, "text")]
-        size, node = (np.array(x, np.int64) for x in (zip(*sets) if sets else ((), ())))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), pa.array(node)], ["doc_id", "n_shingles", "node"])
+        sets = [(len(s), identity(s), outline(s)) for _, s in _sets(batch, "text")]
+        size, node, bits = zip(*sets) if sets else ((), (), ())
+        bits = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * OUTLINE), pa.array(np.concatenate(bits) if sets else np.zeros(0, np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(node, pa.int64()), bits], ["doc_id", "n_shingles", "node", "bits"])
 
 
 def _rows(parts: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
@@ -168,17 +179,23 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 nodes, parts, held = [], [], 0
 
 
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose sets reach the similarity."""
+def _similar(base: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose whole sets reach the similarity; features are made only for sets in a pair, from one text each."""
+    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(nodes, "node").select("node", F.col("first").alias("doc_id"))
+    sets = durable(base.join(wanted, "doc_id").mapInArrow(_feature_rows, "node long, features array<long>").groupBy("node").agg(F.any_value("features").alias("features")))
     left = sets.select(F.col("node").alias("u"), F.col("features").alias("fu"))
     right = sets.select(F.col("node").alias("v"), F.col("features").alias("fv"))
     both = pairs.join(left, "u").join(right, "v").withColumn("common", F.size(F.array_intersect("fu", "fv")))
     return both.filter(DEN * F.col("common") >= NUM * (F.size("fu") + F.size("fv") - F.col("common"))).select("u", "v")
 
 
-def _close(a: str, b: str):
-    """Sizes alone allow the similarity."""
-    return (DEN * F.col(a) >= NUM * F.col(b)) & (DEN * F.col(b) >= NUM * F.col(a))
+def _possible(a: str, b: str) -> Column:
+    """Sizes and outlines of two nodes (structs) allow the similarity."""
+    x, y = F.col(a), F.col(b)
+    apart = sum((F.bit_count(x["bits"][i].bitwiseXOR(y["bits"][i])) for i in range(OUTLINE)), F.lit(0))
+    total = x["size"] + y["size"]
+    sizes = (DEN * x["size"] >= NUM * y["size"]) & (DEN * y["size"] >= NUM * x["size"])
+    return sizes & ((DEN + NUM) * apart <= (DEN - NUM) * total)
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -190,32 +207,32 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     are ignored, whatever their names. An empty table gives an empty result.
     """
     base = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    ids = durable(base.mapInArrow(_identities, "doc_id long, n_shingles long, node long"))
-    nodes = ids.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("size"))
+    ids = durable(base.mapInArrow(_identities, "doc_id long, n_shingles long, node long, bits array<long>"))
+    nodes = ids.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("size"), F.any_value("bits").alias("bits"))
+    nodes = durable(nodes.select("node", "first", F.struct("size", "bits").alias("look")))
+    one = nodes.select(F.col("node").alias("u"), F.col("look").alias("lu"))
+    two = nodes.select(F.col("node").alias("v"), F.col("look").alias("lv"))
 
     signed = base.select("text").mapInArrow(_signature_rows, "sig long, node long")
     bucket = W.partitionBy("sig").orderBy("node")
-    members = signed.withColumn("hub", F.first("node").over(bucket)).filter("node != hub").distinct()
-    members = durable(members)
-
-    stars = members.groupBy("hub", "node").agg(F.count(F.lit(1)).alias("n")).select(F.col("hub").alias("u"), F.col("node").alias("v"))
-    stars = durable(stars)
-    wanted = stars.select(F.col("u").alias("node")).union(stars.select("v")).distinct().join(nodes, "node").select("node", F.col("first").alias("doc_id"))
-    # one text for each wanted set
-    texts = base.join(wanted, "doc_id").mapInArrow(_feature_rows, "node long, features array<long>")
-    sets = durable(texts.groupBy("node").agg(F.any_value("features").alias("features")))
-    links = durable(_similar(stars, sets))
-
+    members = signed.withColumn("hub", F.first("node").over(bucket)).filter("node != hub")
+    members = durable(members.select("sig", F.explode(F.array("node", "hub")).alias("node")).distinct())
+
+    # several hubs for each bucket, so that one odd hub doesn't leave its bucket in pieces
+    hubs = members.groupBy("sig").agg(*[F.min_by("node", F.xxhash64("node", F.lit(j))).alias(f"hub{j}") for j in range(HUBS)])
+    stars = members.join(hubs, "sig").select("node", F.explode(F.array_distinct(F.array(*[f"hub{j}" for j in range(HUBS)]))).alias("hub")).filter("node != hub")
+    stars = stars.select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
+    stars = durable(stars.join(one, "u").join(two, "v").filter(_possible("lu", "lv")).select("u", "v"))
+    links = durable(_similar(base, nodes, stars))
     roots = durable(components(links))
-    # buckets that still hold several components: the pairs between these are tested one by one
-    every = members.select("sig", "node").union(members.select("sig", "hub")).distinct()
-    every = every.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
+    every = members.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
     mixed = every.groupBy("sig").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("sig")
-    every = durable(every.join(mixed, "sig").join(nodes.select("node", "size"), "node"))
-    one = every.select("sig", F.col("node").alias("u"), F.col("root").alias("ru"), F.col("size").alias("su"))
-    two = every.select("sig", F.col("node").alias("v"), F.col("root").alias("rv"), F.col("size").alias("sv"))
-    between = one.join(two, "sig").filter((F.col("ru") != F.col("rv")) & (F.col("u") < F.col("v")) & _close("su", "sv")).select("u", "v").distinct()
-    more = durable(_similar(between.join(stars, ["u", "v"], "left_anti"), sets))
+    every = durable(every.join(mixed, "sig").join(nodes.select("node", "look"), "node"))
+    one = every.select("sig", F.col("node").alias("u"), F.col("root").alias("ru"), F.col("look").alias("lu")).alias("x")
+    two = every.select("sig", F.col("node").alias("v"), F.col("root").alias("rv"), F.col("look").alias("lv")).alias("y")
+    pair = (F.col("x.sig") == F.col("y.sig")) & (F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & _possible("lu", "lv")
+    between = one.join(two, pair).select("u", "v").distinct().join(stars, ["u", "v"], "left_anti")
+    more = durable(_similar(base, nodes, durable(between)))
     if more.count():
         roots = durable(components(links.union(more)))
     first = nodes.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
