@@ -24,12 +24,30 @@ def op4_line_frequency(spark: SparkSession, folder: str) -> DataFrame:
     return line_rules(table(spark, folder, "documents")).select(F.col("doc.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_tournament_packing(spark: SparkSession, folder: str) -> DataFrame:
+    from panelscope.llm.packing import pack
+
+    return pack(table(spark, folder, "documents"))
+
+
 def op6_partenum_join(spark: SparkSession, folder: str) -> DataFrame:
     from panelscope.llm.partenum import jaccard_components
 
     return jaccard_components(table(spark, folder, "documents"))
 
 
+def op7_heap_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    from panelscope.llm.token_count import token_counts
+
+    return token_counts(table(spark, folder, "documents"))
+
+
+def op10_template_tree(spark: SparkSession, folder: str) -> DataFrame:
+    from panelscope.llm.templates import drop_recurring
+
+    return drop_recurring(table(spark, folder, "documents")).select(F.col("doc.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.col("cleaned").alias("text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
