@@ -42,6 +42,12 @@ def op7_heap_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"))
 
 
+def op8_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
+    from panelscope.llm.kneser_ney import score
+
+    return score(table(spark, folder, "documents"))
+
+
 def op10_template_tree(spark: SparkSession, folder: str) -> DataFrame:
     from panelscope.llm.templates import drop_recurring
 
