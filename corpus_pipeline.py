@@ -1,7 +1,72 @@
-"""The corpus pipeline; filled in stage by stage."""
+"""From raw documents to packed sequences, in five stages.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written
+and read again before the next. All but the last return the columns of
+``documents``, with n_chars counted anew where a text loses lines.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from panelscope.llm.line_rules import line_rules
+from panelscope.llm.mixing import mix
+from panelscope.llm.packing import pack
+from panelscope.llm.partenum import jaccard_components
+from panelscope.llm.templates import drop_recurring
+from panelscope.llm.words import WORD
+from panelscope.sources.durable import durable
+
+
+def _with_text(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of ``doc`` with the cleaned text."""
+    new = {"text": F.col("cleaned"), "n_chars": F.length("cleaned").cast("long")}
+    return rows.select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in columns])
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Frequent lines go, and documents that fail the rules or are depleted."""
+    return _with_text(line_rules(docs).filter("kept"), docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of recurring templates go, but for the first; documents without a word left go."""
+    return _with_text(drop_recurring(docs).filter(F.col("cleaned").rlike(WORD)), docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each component stays; repeated rows stay once."""
+    kept = jaccard_components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = docs.alias("a").join(kept.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))).select("a.*", F.col("b.n").alias("__rows"))
+    once = rows.filter("__rows = 1").unionByName(rows.filter("__rows > 1").dropDuplicates(["doc_id", "text"]))
+    return once.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    row = F.xxhash64("doc_id", "source", "text")
+    copies = mix(docs.select(row.alias("row"), "source", "text"), key="row").filter("copies > 0").select(F.col("doc_id").alias("__row"), "copies").distinct()
+    rows = docs.join(copies, row == F.col("__row"))
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents by sequence."""
+    return pack(docs)
+
+
+STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("mixing", mixing), ("packing", packing)]
+
+#: Token ids and similarity on hashed sets have no SQL; tests compare stages with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each result written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = durable(docs)
+    return docs

@@ -18,6 +18,18 @@ def op1_pareto_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_site_style_tree(spark: SparkSession, folder: str) -> DataFrame:
+    from panelscope.llm.style_tree import main_text
+
+    return main_text(table(spark, folder, "pages"))
+
+
+def op3_impact_ordered_search(spark: SparkSession, folder: str) -> DataFrame:
+    from panelscope.llm.impact_index import top_k
+
+    return top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op4_line_frequency(spark: SparkSession, folder: str) -> DataFrame:
     from panelscope.llm.line_rules import line_rules
 
@@ -48,6 +60,12 @@ def op8_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
     return score(table(spark, folder, "documents"))
 
 
+def op9_feistel_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    from panelscope.llm.pseudonyms import pseudonymise
+
+    return pseudonymise(table(spark, folder, "documents")).select(F.col("doc.doc_id").alias("doc_id"), "n_found", "n_replaced", F.col("cleaned").alias("text"))
+
+
 def op10_template_tree(spark: SparkSession, folder: str) -> DataFrame:
     from panelscope.llm.templates import drop_recurring
 
