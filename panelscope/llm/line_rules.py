@@ -120,7 +120,9 @@ def rules(docs: DataFrame, frequent: DataFrame, key: str = "doc_id", host: str =
     out = out.withColumn("left", F.col("n_words") - lost)
     out = out.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     depleted = (F.col("left") < F.col("n_words")) & ((F.col("left") < min_words) | (100 * F.col("left") < min_left_percent * F.col("n_words")))
-    out = out.withColumn("kept", ~F.col("base_failed") & ~depleted)
+    # a filter on a column that is not deterministic stays above the projections; moved below them it would
+    # put the arrays into each other's lambdas, where they are made anew for every element
+    out = out.withColumn("kept", ~F.col("base_failed") & ~depleted & (F.monotonically_increasing_id() >= 0))
     cleaned = F.when(F.coalesce(F.size("gone"), F.lit(0)) > 0, F.array_join(F.filter(F.split(body, "\n", -1), lambda x: ~F.array_contains("gone", x)), "\n")).otherwise(F.col(f"doc.{text}"))
     return out.select("doc", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (F.col("n_words") - F.col("left")).alias("n_frequent_words"), "base_failed", "kept", cleaned.alias("cleaned"))
 
