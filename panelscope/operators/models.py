@@ -162,7 +162,7 @@ def classifier(kind: str, seed: int = 42, **params):
         model = LogisticRegression(**{**common, "maxIter": 1000, "standardization": False, **params})
     elif kind == "random_forest":
         model = RandomForestClassifier(
-            **{**common, "numTrees": 100, "maxDepth": 12, "featureSubsetStrategy": "sqrt", "seed": seed, **params}
+            **{**common, "numTrees": 100, "maxDepth": 30, "featureSubsetStrategy": "sqrt", "seed": seed, **params}
         )
     elif kind in boosted:
         model = GBTClassifier(**{**common, "maxIter": 100, "seed": seed, **boosted[kind], **params})
@@ -179,7 +179,7 @@ def fit_classifier(
     """Fit features + classifier on rows with a target."""
     require_columns(train, [*numeric, *categorical, TARGET], "training data")
     rows = train.where(F.col(TARGET).isNotNull()).select(*numeric, *categorical, F.col(TARGET).cast("double").alias(TARGET))
-    if not balanced:
+    if not balanced or kind == "gradient_boosting":  # plain boosting takes no class weight
         rows = rows.withColumn(WEIGHT, F.lit(1.0))
     elif kind in ("xgboost", "lightgbm"):
         rows = with_positive_weight(rows)
@@ -298,7 +298,7 @@ def regressor(kind: str, rows: DataFrame, label: str, seed: int = 42, **params):
     if kind in ("ridge", "linear"):
         return ridge(label, _ridge_penalty(rows, label, params.pop("alpha", 1.0)))
     if kind == "random_forest":
-        return RandomForestRegressor(**{**tree, "numTrees": 100, "maxDepth": 12, "featureSubsetStrategy": "all", **params})
+        return RandomForestRegressor(**{**tree, "numTrees": 100, "maxDepth": 30, "featureSubsetStrategy": "all", **params})
     boosted = {
         "gradient_boosting": {"maxDepth": 5, "stepSize": 0.1},
         "xgboost": {"maxDepth": 6, "stepSize": 0.3},
@@ -381,6 +381,8 @@ def expanding_folds(df: DataFrame, period: str, n_folds: int = 5) -> list[tuple[
     """
     periods = [r[0] for r in df.select(period).distinct().orderBy(period).collect()]
     size = len(periods) // (n_folds + 1)
+    if not size:
+        raise ValueError(f"{n_folds} folds need at least {n_folds + 1} periods, found {len(periods)}")
     folds = []
     for i in range(n_folds):
         start = len(periods) - (n_folds - i) * size
@@ -413,7 +415,10 @@ def tune_time_series(
         results = list(pool.map(run, jobs))
     values: dict[int, list[float]] = {}
     for setting, value in results:
-        values.setdefault(setting, []).append(value)
+        if value is not None:  # a fold without positives has no average precision
+            values.setdefault(setting, []).append(value)
+    if not values:
+        raise ValueError("no fold has both classes")
     table = [
         (i, str(sorted(draws[i].items())), float(np.mean(v)), float(np.std(v)), len(v)) for i, v in values.items()
     ]

@@ -196,9 +196,8 @@ def reference_range_check(
 
 
 def column_dictionary(df: DataFrame) -> DataFrame:
-    """Column, type, role, description and null count."""
-    known = {n: (r, d) for n, _, r, d in PANEL_COLUMNS}
-    known.update({n: (r, n.replace("_", " ")) for n, r in ENGINEERED_ROLES})
+    """Column, type, role, description (the name in words) and null count."""
+    known = {n: (r, n.replace("_", " ")) for n, r in [*((n, r) for n, _, r in PANEL_COLUMNS), *ENGINEERED_ROLES]}
     roles = F.create_map(*[F.lit(x) for n in df.columns if n in known for x in (n, known[n][0])])
     texts = F.create_map(*[F.lit(x) for n in df.columns if n in known for x in (n, known[n][1])])
     return profile_structure(df).select(
