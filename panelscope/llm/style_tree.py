@@ -22,6 +22,7 @@ all pages is a few rows per task. Removed nodes are a short list per host.
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -239,16 +240,21 @@ def low_importance(pages: DataFrame, min_pages: int = MIN_PAGES, low: float = LO
     nodes = pages.mapInArrow(_nodes, "host string, kind long, path long, feature long, pages long")
     nodes = durable(nodes.groupBy("host", "kind", "path", "feature").agg(F.sum("pages").alias("pages")))
     sites = nodes.filter("kind = 0").select("host", F.col("pages").alias("m")).filter(F.col("m") >= min_pages)
-    rest = nodes.filter("kind > 0").join(sites, "host")
-    share = F.col("pages") / F.col("m")
-    texts = rest.filter("kind = 2").withColumn("importance", F.greatest(F.lit(0.0), 1 - F.log("pages") / F.log("m")))
-    elements = texts.groupBy("host", "path").agg((F.sum(F.col("importance") * F.col("pages")) / F.sum("pages")).alias("content"), F.sum("pages").alias("shown"), F.first("m").alias("m"))
-    styles = rest.filter("kind = 1").groupBy("host", "path").agg(F.sum(-share * F.log(share) / F.log("m")).alias("presentation"))
-    elements = elements.join(styles, ["host", "path"], "left")
-    composite = 0.1 * F.least(F.lit(1.0), F.coalesce("presentation", F.lit(0.0))) + 0.9 * F.col("content")
+    # With S the sum of p log p, the mean importance of an element's texts is 1 - S / (log m * sum p), and its styles'
+    # entropy is (log m * sum p - S) / (m log m): both need m only after the sums, where one row per element is left.
+    spread = F.col("pages") * F.log("pages")
+    of = lambda kind, value: F.sum(F.when(F.col("kind") == kind, value))
+    elements = nodes.filter("kind > 0").groupBy("host", "path").agg(of(2, F.col("pages")).alias("shown"), of(2, spread).alias("text_spread"), of(1, F.col("pages")).alias("styled"), of(1, spread).alias("style_spread"))
+    elements = elements.filter("shown > 0").join(sites, "host")
+    scale = F.log("m")
+    content = 1 - F.col("text_spread") / (scale * F.col("shown"))
+    presentation = F.coalesce((scale * F.col("styled") - F.col("style_spread")) / (F.col("m") * scale), F.lit(0.0))
+    composite = 0.1 * F.least(F.lit(1.0), presentation) + 0.9 * content
     # an element that few pages show is no template
     branches = elements.filter((composite < low) & (F.col("shown") * 2 >= F.col("m"))).select("host", F.col("path").alias("node"))
-    leaves = texts.filter(F.col("importance") < low).select("host", F.col("feature").alias("node"))
+    # importance below ``low`` means p > m ** (1 - low), so texts of fewer pages need not meet their host
+    texts = nodes.filter((F.col("kind") == 2) & (F.col("pages") >= math.floor(min_pages ** (1 - low)))).join(sites, "host")
+    leaves = texts.filter(1 - F.log("pages") / scale < low).select("host", F.col("feature").alias("node"))
     return durable(branches.union(leaves).groupBy("host").agg(F.sort_array(F.collect_set("node")).alias("removed")))
 
 
