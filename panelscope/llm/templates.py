@@ -81,7 +81,8 @@ def drop_recurring(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     """
     gone = recurring_lines(docs, key, text, min_docs)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), row_key(key, text).alias("row"))
-    rows = rows.join(gone, "row", "left")
+    # ``gone`` grows with the documents, so it is no table to broadcast: one plan at every size
+    rows = rows.join(gone.hint("merge"), "row", "left")
     parts = F.split(F.col(f"doc.{text}"), "\n", -1)
     counted = F.coalesce(F.size(F.filter(parts, lambda x: x.rlike(WORD))), F.lit(0)).cast("long")
     cleaned = F.when(F.col("gone").isNull(), F.col(f"doc.{text}")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("gone", i)), "\n"))
