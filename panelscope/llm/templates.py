@@ -65,8 +65,10 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", mi
     kinds = kinds.join(template, "leaf").select("leaf", "same", F.when(fits, F.xxhash64("leaf", F.lit("leaf"))).otherwise(F.xxhash64("leaf", "same")).alias("template"))
     placed = durable(slim.join(kinds, ["leaf", "same"]).select("template", "doc", "row", "doc_id", "line_no"))
     recurring = placed.groupBy("template").agg(F.count_distinct("doc").alias("docs"), F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no", "row")).alias("first")).filter(F.col("docs") >= min_docs)
+    # written, so that both sides of the next join are plain shuffles, which Spark splits where a template is hot
+    recurring = durable(recurring.select("template", "first"))
     first = (F.col("row") == F.col("first.row")) & (F.col("line_no") == F.col("first.line_no"))
-    gone = placed.join(recurring.select("template", "first"), "template").filter(~first)
+    gone = placed.join(recurring, "template").filter(~first)
     return durable(gone.groupBy("row").agg(F.sort_array(F.collect_set("line_no")).alias("gone")))
 
 
