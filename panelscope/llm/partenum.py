@@ -210,24 +210,25 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     ids = durable(base.mapInArrow(_identities, "doc_id long, n_shingles long, node long, bits array<long>"))
     nodes = ids.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("size"), F.any_value("bits").alias("bits"))
     nodes = durable(nodes.select("node", "first", F.struct("size", "bits").alias("look")))
-    one = nodes.select(F.col("node").alias("u"), F.col("look").alias("lu"))
-    two = nodes.select(F.col("node").alias("v"), F.col("look").alias("lv"))
-
     signed = base.select("text").mapInArrow(_signature_rows, "sig long, node long")
     bucket = W.partitionBy("sig").orderBy("node")
     members = signed.withColumn("hub", F.first("node").over(bucket)).filter("node != hub")
-    members = durable(members.select("sig", F.explode(F.array("node", "hub")).alias("node")).distinct())
-
-    # several hubs for each bucket, so that one odd hub doesn't leave its bucket in pieces
-    hubs = members.groupBy("sig").agg(*[F.min_by("node", F.xxhash64("node", F.lit(j))).alias(f"hub{j}") for j in range(HUBS)])
-    stars = members.join(hubs, "sig").select("node", F.explode(F.array_distinct(F.array(*[f"hub{j}" for j in range(HUBS)]))).alias("hub")).filter("node != hub")
-    stars = stars.select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
-    stars = durable(stars.join(one, "u").join(two, "v").filter(_possible("lu", "lv")).select("u", "v"))
+    members = members.select("sig", F.explode(F.array("node", "hub")).alias("node")).distinct()
+    members = durable(members.join(nodes.select("node", "look"), "node"))
+
+    # several hubs for each bucket, so that one odd hub doesn't leave its bucket in pieces; the order of the nodes is
+    # the same in all buckets, so that buckets of one group have the same hubs. Pairs are judged where they arise.
+    bucket = W.partitionBy("sig").orderBy(F.xxhash64("node"), "node").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    other = F.struct("node", "look")
+    hubs = F.array(F.last(other).over(bucket), *[F.nth_value(other, j).over(bucket) for j in range(1, HUBS)])
+    stars = members.withColumn("hubs", hubs).select("node", F.col("look").alias("lu"), F.explode("hubs").alias("hub"))
+    stars = stars.select(F.col("node").alias("u"), F.col("hub.node").alias("v"), "lu", F.col("hub.look").alias("lv")).filter((F.col("u") != F.col("v")) & _possible("lu", "lv"))
+    stars = durable(stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     links = durable(_similar(base, nodes, stars))
     roots = durable(components(links))
-    every = members.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
+    every = members.join(roots, "node", "left").select("sig", "node", "look", F.coalesce("root", "node").alias("root"))
     mixed = every.groupBy("sig").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("sig")
-    every = durable(every.join(mixed, "sig").join(nodes.select("node", "look"), "node"))
+    every = durable(every.join(mixed, "sig"))
     one = every.select("sig", F.col("node").alias("u"), F.col("root").alias("ru"), F.col("look").alias("lu")).alias("x")
     two = every.select("sig", F.col("node").alias("v"), F.col("root").alias("rv"), F.col("look").alias("lv")).alias("y")
     pair = (F.col("x.sig") == F.col("y.sig")) & (F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & _possible("lu", "lv")
