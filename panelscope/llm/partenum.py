@@ -42,6 +42,7 @@ WIDTH = 4
 DEALS = 5  # how often the domain is dealt anew; in the last deal empty choices are signed too
 FEW = 16  # k below it: two of three parts
 HUBS = 4
+TURNS = 2  # each with other hubs
 OUTLINE = 8  # words of 64 bits: 512 bits
 U = np.uint64
 
@@ -198,6 +199,20 @@ def _possible(a: str, b: str) -> Column:
     return sizes & ((DEN + NUM) * apart <= (DEN - NUM) * total)
 
 
+def _stars(members: DataFrame, turn: int) -> DataFrame:
+    """u, v: pairs of members of a bucket with its hubs that are in different components and may be similar.
+
+    Several hubs for each bucket, so that one odd hub doesn't leave its bucket in pieces; the order of the nodes is the
+    same in all buckets, so that buckets of one group have the same hubs. Pairs are judged where they arise.
+    """
+    bucket = W.partitionBy("sig").orderBy(F.xxhash64("node", F.lit(turn)), "node").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    member = F.struct("node", "root", "look")
+    hubs = F.array(F.last(member).over(bucket), *[F.nth_value(member, j).over(bucket) for j in range(1, HUBS)])
+    pairs = members.withColumn("hubs", hubs).select("node", "root", F.col("look").alias("lu"), F.explode("hubs").alias("hub")).filter(F.col("root") != F.col("hub.root"))
+    pairs = pairs.select(F.col("node").alias("u"), F.col("hub.node").alias("v"), "lu", F.col("hub.look").alias("lv")).filter(_possible("lu", "lv"))
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row of ``docs``.
 
@@ -216,23 +231,21 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     members = members.select("sig", F.explode(F.array("node", "hub")).alias("node")).distinct()
     members = durable(members.join(nodes.select("node", "look"), "node"))
 
-    # several hubs for each bucket, so that one odd hub doesn't leave its bucket in pieces; the order of the nodes is
-    # the same in all buckets, so that buckets of one group have the same hubs. Pairs are judged where they arise.
-    bucket = W.partitionBy("sig").orderBy(F.xxhash64("node"), "node").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    other = F.struct("node", "look")
-    hubs = F.array(F.last(other).over(bucket), *[F.nth_value(other, j).over(bucket) for j in range(1, HUBS)])
-    stars = members.withColumn("hubs", hubs).select("node", F.col("look").alias("lu"), F.explode("hubs").alias("hub"))
-    stars = stars.select(F.col("node").alias("u"), F.col("hub.node").alias("v"), "lu", F.col("hub.look").alias("lv")).filter((F.col("u") != F.col("v")) & _possible("lu", "lv"))
-    stars = durable(stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    links = durable(_similar(base, nodes, stars))
-    roots = durable(components(links))
-    every = members.join(roots, "node", "left").select("sig", "node", "look", F.coalesce("root", "node").alias("root"))
-    mixed = every.groupBy("sig").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("sig")
-    every = durable(every.join(mixed, "sig"))
+    every, links, tried = members.withColumn("root", F.col("node")), None, None
+    for turn in range(TURNS):
+        stars = _stars(every, turn)
+        stars = durable(stars if tried is None else stars.join(tried, ["u", "v"], "left_anti"))
+        tried = stars if tried is None else tried.union(stars)
+        found = durable(_similar(base, nodes, stars))
+        links = found if links is None else links.union(found)
+        roots = durable(components(links))
+        every = every.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = every.groupBy("sig").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("sig")
+        every = durable(every.join(mixed, "sig"))
     one = every.select("sig", F.col("node").alias("u"), F.col("root").alias("ru"), F.col("look").alias("lu")).alias("x")
     two = every.select("sig", F.col("node").alias("v"), F.col("root").alias("rv"), F.col("look").alias("lv")).alias("y")
     pair = (F.col("x.sig") == F.col("y.sig")) & (F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & _possible("lu", "lv")
-    between = one.join(two, pair).select("u", "v").distinct().join(stars, ["u", "v"], "left_anti")
+    between = one.join(two, pair).select("u", "v").distinct().join(tried, ["u", "v"], "left_anti")
     more = durable(_similar(base, nodes, durable(between)))
     if more.count():
         roots = durable(components(links.union(more)))
