@@ -20,13 +20,13 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that the session names; one process on one machine may have its own, removed at its end."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
-        return folder
+        return re.sub("^file:/(?!/)", "file:///", folder)  # the form that other readers take too
     if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     folder = tempfile.mkdtemp(prefix="panelscope-")
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(folder)  # the setting itself cannot be changed in a running session
-    return spark.sparkContext.getCheckpointDir()
+    return shared_folder(spark)
 
 
 def durable(df: DataFrame) -> DataFrame:
