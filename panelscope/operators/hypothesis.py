@@ -244,11 +244,11 @@ def sens_slope(df: DataFrame, by: Sequence[str], time: str, value: str) -> DataF
 # --- correlation and regression --------------------------------------------
 
 
-def spearman(df: DataFrame, x: str, y: str, proven_rows: int | None = None, **ordering) -> DataFrame:
+def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Pearson correlation of average ranks, with its t-approximation p."""
     slim = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("_x"), F.col(y).alias("_y"))
-    ranked = average_rank(slim, "_x", output="_rx", proven_rows=proven_rows, **ordering)
-    ranked = average_rank(ranked, "_y", output="_ry", proven_rows=proven_rows, **ordering)
+    ranked = average_rank(slim, "_x", output="_rx")
+    ranked = average_rank(ranked, "_y", output="_ry")
     out = ranked.agg(F.count(F.lit(1)).alias("n"), F.corr("_rx", "_ry").alias("rho"))
     return out.withColumn("p_value", p_spearman(F.col("rho"), F.col("n")))
 
@@ -381,10 +381,10 @@ def ks_normal(df: DataFrame, residual: Column) -> DataFrame:
     return KolmogorovSmirnovTest.test(e.select(((F.col("e") - mean) / sd).alias("z")), "z", "norm", 0.0, 1.0)
 
 
-def heteroscedasticity(df: DataFrame, y: str, y_hat: str, **ordering) -> DataFrame:
+def heteroscedasticity(df: DataFrame, y: str, y_hat: str) -> DataFrame:
     """Spearman correlation of the prediction with the absolute residual."""
     pairs = df.select(F.col(y_hat).alias("_fit"), F.abs(F.col(y) - F.col(y_hat)).alias("_abs"))
-    return spearman(pairs, "_fit", "_abs", **ordering)
+    return spearman(pairs, "_fit", "_abs")
 
 
 def influence_count(df: DataFrame, y: str, y_hat: str, n_predictors: int = 30) -> DataFrame:
@@ -400,19 +400,19 @@ def influence_count(df: DataFrame, y: str, y_hat: str, n_predictors: int = 30) -
     return out.withColumn("pct_influential", F.lit(100.0) * ratio(F.col("n_influential"), F.col("n_observations")))
 
 
-def qq_points(df: DataFrame, residual: Column, points: int = 99, **ordering) -> DataFrame:
+def qq_points(df: DataFrame, residual: Column, points: int = 99) -> DataFrame:
     """Residual quantiles against normal quantiles on an even grid."""
     probs = [(i + 1) / (points + 1) for i in range(points)]
     e = df.select(residual.cast("double").alias("e"))
-    grid = exact_quantiles(e, ["e"], probs, **ordering)
+    grid = exact_quantiles(e, ["e"], probs)
     theory = F.array(*[F.lit(normal_quantile(p)) for p in probs])
     levels = F.array(*[F.lit(p) for p in probs])
     return grid.select(F.explode(F.arrays_zip(levels.alias("prob"), theory.alias("theoretical"), F.col("q").alias("sample"))).alias("r")).select("r.*")
 
 
-def residual_percentiles(df: DataFrame, residual: Column, **ordering) -> DataFrame:
+def residual_percentiles(df: DataFrame, residual: Column) -> DataFrame:
     """p1, p5, p25, p50, p75, p95, p99 of the residual."""
     levels = [1, 5, 25, 50, 75, 95, 99]
     e = df.select(residual.cast("double").alias("e"))
-    q = exact_quantiles(e, ["e"], [p / 100 for p in levels], **ordering)
+    q = exact_quantiles(e, ["e"], [p / 100 for p in levels])
     return q.select(*[F.col("q")[i].alias(f"p{p}") for i, p in enumerate(levels)])

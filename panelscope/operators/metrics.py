@@ -18,9 +18,6 @@ from pyspark.sql import functions as F
 from ..functions.numeric import divide, ratio
 from .ordering import exact_quantiles, running_totals
 
-# Distinct values of a probability kept to four digits: 0.0000 ... 1.0000.
-FOUR_DIGIT_SCORES = 10_001
-
 
 def score_histogram(
     df: DataFrame, y: str = "y", p: str = "p", weight: str | None = None, by: Sequence[str] = ()
@@ -32,11 +29,11 @@ def score_histogram(
     ).withColumnRenamed(p, "p")
 
 
-def cumulative_confusion(hist: DataFrame, by: Sequence[str] = (), proven_rows: int | None = None) -> DataFrame:
+def cumulative_confusion(hist: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """TP and FP when everything scored >= p is flagged, with class totals."""
     by = list(by)
     h = hist.withColumn("neg", F.col("n") - F.col("pos"))
-    run = running_totals(h, "p", {"tp": "pos", "fp": "neg"}, by, descending=True, proven_rows=proven_rows)
+    run = running_totals(h, "p", {"tp": "pos", "fp": "neg"}, by, descending=True)
     totals = hist.groupBy(*by).agg(F.sum("pos").alias("total_pos"), (F.sum("n") - F.sum("pos")).alias("total_neg"))
     if by:
         return run.join(totals, by)
@@ -44,15 +41,15 @@ def cumulative_confusion(hist: DataFrame, by: Sequence[str] = (), proven_rows: i
     return run.join(F.broadcast(totals), F.lit(True))
 
 
-def roc_curve(hist: DataFrame, by: Sequence[str] = (), proven_rows: int | None = None) -> DataFrame:
-    c = cumulative_confusion(hist, by, proven_rows)
+def roc_curve(hist: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    c = cumulative_confusion(hist, by)
     return c.select(*by, F.col("p").alias("threshold"), ratio(F.col("fp"), F.col("total_neg")).alias("fpr"), ratio(F.col("tp"), F.col("total_pos")).alias("tpr"))
 
 
-def pr_curve(hist: DataFrame, by: Sequence[str] = (), proven_rows: int | None = None) -> DataFrame:
+def pr_curve(hist: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Precision and recall per distinct score, plus the point (recall 0, precision 1)."""
     by = list(by)
-    c = cumulative_confusion(hist, by, proven_rows)
+    c = cumulative_confusion(hist, by)
     points = c.select(
         *by, F.col("p").alias("threshold"),
         ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
@@ -65,7 +62,7 @@ def pr_curve(hist: DataFrame, by: Sequence[str] = (), proven_rows: int | None =
     return points.unionByName(final)
 
 
-def curve_areas(hist: DataFrame, by: Sequence[str] = (), proven_rows: int | None = None) -> DataFrame:
+def curve_areas(hist: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """ROC-AUC (ties half), trapezoid PR-AUC and average precision in one pass.
 
     Each histogram row knows its running totals and its own counts, so the
@@ -73,7 +70,7 @@ def curve_areas(hist: DataFrame, by: Sequence[str] = (), proven_rows: int | None
     The PR curve starts at (recall 0, precision 1).
     """
     by = list(by)
-    c = cumulative_confusion(hist, by, proven_rows)
+    c = cumulative_confusion(hist, by)
     tp, fp, pos = F.col("tp"), F.col("fp"), F.col("pos")
     neg = F.col("neg")
     p_total, n_total = F.col("total_pos"), F.col("total_neg")
@@ -89,8 +86,8 @@ def curve_areas(hist: DataFrame, by: Sequence[str] = (), proven_rows: int | None
     )
 
 
-def roc_auc(hist: DataFrame, by: Sequence[str] = (), proven_rows: int | None = None) -> DataFrame:
-    return curve_areas(hist, by, proven_rows).select(*by, "roc_auc")
+def roc_auc(hist: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return curve_areas(hist, by).select(*by, "roc_auc")
 
 
 def confusion_counts(hist: DataFrame, threshold: Column | float, by: Sequence[str] = ()) -> DataFrame:
@@ -187,7 +184,7 @@ def ece(hist: DataFrame, n_bins: int = 10, by: Sequence[str] = ()) -> DataFrame:
 
 
 def optimal_threshold(
-    hist: DataFrame, target_recall: float = 0.75, by: Sequence[str] = (), proven_rows: int | None = None
+    hist: DataFrame, target_recall: float = 0.75, by: Sequence[str] = ()
 ) -> DataFrame:
     """Threshold of highest precision among points with recall >= target.
 
@@ -195,7 +192,7 @@ def optimal_threshold(
     recall 0) takes part only if no point reaches the target; it means 0.50.
     """
     by = list(by)
-    curve = pr_curve(hist, by, proven_rows)
+    curve = pr_curve(hist, by)
     ok = F.col("recall") >= target_recall
     low_first = F.coalesce(-F.col("threshold"), F.lit(float("-inf")))
     best = F.max_by(
@@ -280,7 +277,7 @@ def cost_curve(
     return out.withColumn("is_optimal", best)
 
 
-def regression_metrics(df: DataFrame, y: str = "y", y_hat: str = "y_hat", **ordering) -> DataFrame:
+def regression_metrics(df: DataFrame, y: str = "y", y_hat: str = "y_hat") -> DataFrame:
     """MAE, RMSE, R2 (0 if constant y), MdAPE% on y > 0.1, mean and population sd of y."""
     t, e = F.col(y).cast("double"), (F.col(y) - F.col(y_hat)).cast("double")
     sums = df.agg(
@@ -289,7 +286,7 @@ def regression_metrics(df: DataFrame, y: str = "y", y_hat: str = "y_hat", **orde
         F.avg(t).alias("mean_y"), F.stddev_pop(t).alias("std_y"), F.count(t).alias("n"),
     )
     ape = df.where(t > 0.1).select(F.abs(e / t).alias("ape"))
-    median = exact_quantiles(ape, ["ape"], [0.5], **ordering).select((F.col("q")[0] * 100.0).alias("mdape"))
+    median = exact_quantiles(ape, ["ape"], [0.5]).select((F.col("q")[0] * 100.0).alias("mdape"))
     r2 = F.when(F.col("sst") > 0, 1.0 - divide(F.col("sse"), F.col("sst"))).otherwise(0.0)
     # both sides are single aggregate rows
     return sums.join(F.broadcast(median), F.lit(True), "left").select(
@@ -309,13 +306,13 @@ def weighted_r2(df: DataFrame, y: str, y_hat: str, weight: str, by: Sequence[str
 
 
 def classification_report(
-    hist: DataFrame, threshold: Column | float, by: Sequence[str] = (), proven_rows: int | None = None
+    hist: DataFrame, threshold: Column | float, by: Sequence[str] = ()
 ) -> DataFrame:
     """All threshold, curve and calibration metrics of one or more models."""
     by = list(by)
     parts = [
         threshold_metrics(hist, threshold, by),
-        curve_areas(hist, by, proven_rows),
+        curve_areas(hist, by),
         brier(hist, by).select(*by, F.col("brier").alias("brier_score")),
         ece(hist, by=by),
     ]

@@ -1,280 +1,140 @@
 """Exact running totals, ranks, row numbers and quantiles at any size.
 
-A window without PARTITION BY sends every row to one task.  These operators
-check the size first.  Small inputs use the plain window or the built-in
-``percentile``; large inputs are cut into value ranges that never split a tie,
-each range is processed by its own task, and ranges are stitched together with
-their totals.  Both ways give the same result.
+A window without PARTITION BY sends every row to one task.  Here rows are
+dealt into value ranges by ``repartitionByRange`` on the whole key, which never
+splits a tie and follows the data's own distribution; each range is processed
+by its own task and ranges are stitched together with their totals.  Ties are
+counted before they are dealt, so one frequent value is one row.  The plan is
+the same at every size: the number of ranges is Spark's own
+(``spark.sql.shuffle.partitions``, merged by AQE where they are small).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from os.path import commonprefix
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.durable import count_rows, durable, known_rows
+from ..sources.durable import durable
 
-# Rows one window task or one percentile buffer may hold.
-TASK_ROWS = 200_000
+_BEFORE = (Window.unboundedPreceding, -1)
 
 
-def _largest_group(df: DataFrame, by: Sequence[str]) -> int:
-    rows = count_rows(df)
-    if not by or rows <= TASK_ROWS:
-        return rows  # no group is larger than the table
-    return int(df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0)
+def _same(left: str, right: str, keys: Sequence[str]) -> Column:
+    """Join condition on ``keys`` in which NULL equals NULL."""
+    return reduce(lambda a, b: a & b, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys])
 
 
-def _range_bucket(df: DataFrame, value: str, rows: int, task_rows: int) -> Column:
-    """Range number of ``value`` from driver-held cut points (a bounded list)."""
-    pieces = min(512, max(2, 2 * -(-rows // task_rows)))
-    cuts = df.approxQuantile(value, [i / pieces for i in range(1, pieces)], 0.25 / pieces)
-    cuts = sorted(set(cuts))
-    cut_array = F.array(*[F.lit(float(c)) for c in cuts])
-    return F.size(F.filter(cut_array, lambda c: c < F.col(value)))
+def _ranged(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` with ``_range``, rising with ``keys``; equal keys share a range.
+
+    The table is written, so that every later pass sees the same ranges.
+    """
+    return durable(df.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()))
 
 
 def running_totals(
-    df: DataFrame,
-    value: str,
-    sums: dict[str, str],
-    by: Sequence[str] = (),
-    descending: bool = False,
-    proven_rows: int | None = None,
-    task_rows: int = TASK_ROWS,
+    df: DataFrame, value: str, sums: dict[str, str], by: Sequence[str] = (), descending: bool = False
 ) -> DataFrame:
     """Add inclusive running sums ``{output: input}`` in order of ``value``.
 
-    ``df`` holds one row per (``by``, ``value``).  ``proven_rows`` is an upper
-    bound of the rows per group that follows from the data model (for example
-    10,001 for probabilities kept to four digits); it spares the size check.
+    ``df`` holds one row per (``by``, ``value``).
     """
     by = list(by)
-    if proven_rows is None:
-        df = durable(df)
-        proven_rows = _largest_group(df, by)
-    order = F.col(value).desc() if descending else F.col(value).asc()
-    frame = (Window.unboundedPreceding, Window.currentRow)
-    if proven_rows <= task_rows:
-        w = Window.partitionBy(*by).orderBy(order).rowsBetween(*frame)
-        return df.select("*", *[F.sum(src).over(w).alias(out) for out, src in sums.items()])
-
-    if known_rows(df) is None:
-        df = durable(df)
-    tagged = df.withColumn("_range", _range_bucket(df, value, count_rows(df), task_rows))
-    w = Window.partitionBy(*by, "_range").orderBy(order).rowsBetween(*frame)
-    local = tagged.select("*", *[F.sum(src).over(w).alias(out) for out, src in sums.items()])
-    range_order = F.col("_range").desc() if descending else F.col("_range").asc()
-    before = Window.partitionBy(*by).orderBy(range_order).rowsBetween(Window.unboundedPreceding, -1)
-    totals = tagged.groupBy(*by, "_range").agg(
-        *[F.sum(src).alias(f"_total_{out}") for out, src in sums.items()]
-    )
-    offsets = totals.select(
-        *by,
-        "_range",
-        *[
-            F.coalesce(F.sum(f"_total_{out}").over(before), F.lit(0)).alias(f"_before_{out}")
-            for out in sums
-        ],
-    )
-    joined = local.join(offsets, by + ["_range"])
+    ranged = _ranged(df, [*by, value])
+
+    def ordered(c: str) -> Column:
+        return F.col(c).desc() if descending else F.col(c).asc()
+
+    inside = Window.partitionBy(*by, "_range").orderBy(ordered(value)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = ranged.select("*", *[F.sum(src).over(inside).alias(out) for out, src in sums.items()])
+    # one row per range and group
+    ranges = Window.partitionBy(*by).orderBy(ordered("_range")).rowsBetween(*_BEFORE)
+    totals = ranged.groupBy(*by, "_range").agg(*[F.sum(src).alias(out) for out, src in sums.items()])
+    offsets = totals.select(*by, "_range", *[F.coalesce(F.sum(out).over(ranges), F.lit(0)).alias(out) for out in sums])
+    joined = local.alias("a").join(offsets.alias("b"), _same("a", "b", [*by, "_range"]))
     return joined.select(
-        *df.columns, *[(F.col(out) + F.col(f"_before_{out}")).alias(out) for out in sums]
+        *[F.col(f"a.`{c}`") for c in df.columns], *[(F.col(f"a.{out}") + F.col(f"b.{out}")).alias(out) for out in sums]
     )
 
 
 def average_rank(
-    df: DataFrame,
-    value: str,
-    by: Sequence[str] = (),
-    descending: bool = True,
-    output: str = "rank",
-    proven_rows: int | None = None,
-    task_rows: int = TASK_ROWS,
+    df: DataFrame, value: str, by: Sequence[str] = (), descending: bool = True, output: str = "rank"
 ) -> DataFrame:
     """Add the rank of ``value`` within ``by``; ties share their mean rank."""
     by = list(by)
-    if proven_rows is None:
-        df = durable(df)
-        proven_rows = _largest_group(df, by)
-    if proven_rows <= task_rows:
-        order = F.col(value).desc() if descending else F.col(value).asc()
-        w = Window.partitionBy(*by).orderBy(order)
-        ties = F.count(F.lit(1)).over(Window.partitionBy(*by, value))
-        return df.withColumn(output, F.rank().over(w) + (ties - 1) / F.lit(2.0))
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_ties"))
-    ranked = running_totals(counts, value, {"_upto": "_ties"}, by, descending, proven_rows, task_rows)
-    ranks = ranked.select(
-        *by, value, (F.col("_upto") - (F.col("_ties") - 1) / F.lit(2.0)).alias(output)
-    )
-    return df.join(ranks, by + [value])
+    ranked = running_totals(counts, value, {"_upto": "_ties"}, by, descending)
+    ranks = ranked.select(*by, value, (F.col("_upto") - (F.col("_ties") - 1) / F.lit(2.0)).alias(output))
+    return df.alias("a").join(ranks.alias("b"), _same("a", "b", [*by, value])).select("a.*", F.col(f"b.`{output}`"))
 
 
-def row_numbers(
-    df: DataFrame,
-    key: str,
-    output: str = "row_number",
-    start: int = 1,
-    proven_rows: int | None = None,
-    task_rows: int = TASK_ROWS,
-) -> DataFrame:
+def row_numbers(df: DataFrame, key: str, output: str = "row_number", start: int = 1) -> DataFrame:
     """Number rows by a unique ``key`` in ascending order."""
-    if proven_rows is None:
-        df = durable(df)
-        proven_rows = count_rows(df)
-    if proven_rows <= task_rows:
-        w = Window.orderBy(key)
-        return df.withColumn(output, (F.row_number().over(w) + (start - 1)).cast("bigint"))
-    ordered = df.withColumn("_order", _order_value(df, key))
-    numbered = _number_by_range(ordered, "_order", key, proven_rows, task_rows)
-    return numbered.select(*df.columns, (F.col("_number") + (start - 1)).cast("bigint").alias(output))
-
-
-def _order_value(df: DataFrame, key: str) -> Column:
-    """Order-preserving number for a key; strings use the bytes after their common prefix."""
-    if dict(df.dtypes)[key] != "string":
-        return F.col(key).cast("double")
-    shared = len(commonprefix([str(v) for v in df.agg(F.min(key), F.max(key)).first()]))
-    tail = F.hex(F.encode(F.substring(key, shared + 1, 6), "UTF-8"))
-    return F.conv(F.rpad(F.substring(tail, 1, 12), 12, "0"), 16, 10).cast("double")
-
-
-def _number_by_range(df: DataFrame, order: str, tie: str, rows: int, task_rows: int) -> DataFrame:
-    df = durable(df)  # the order column is computed once
-    tagged = df.withColumn("_range", _range_bucket(df, order, rows, task_rows))
-    inside = Window.partitionBy("_range").orderBy(order, tie)
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        tagged.groupBy("_range")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .select("_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
-    )
-    return (
-        tagged.withColumn("_local", F.row_number().over(inside))
-        .join(F.broadcast(offsets), "_range")  # at most 512 ranges
-        .withColumn("_number", F.col("_local") + F.col("_before"))
-    )
-
-
-# --- exact quantiles --------------------------------------------------------
-
-
-def _order_statistic(values: DataFrame, rows: int, index: int, task_rows: int) -> float:
-    """Value at 0-based ``index`` of the sorted non-null column ``v``.
-
-    Narrows an interval around the target with a sketch and exact counts until
-    the interval fits one task.  Every pass is a plain aggregation.
-    """
-    low, high = values.agg(F.min("v"), F.max("v")).first()
-    below, inside = 0, rows
-    while inside > task_rows:
-        target = (index - below) / max(1, inside - 1)
-        within = values.where(F.col("v").between(low, high))
-        pivots = within.agg(
-            F.percentile_approx("v", [max(0.0, target - 0.005), min(1.0, target + 0.005)], 2000)
-        ).first()[0]
-        p1, p2 = float(pivots[0]), float(pivots[-1])
-        n_lt1, n_le1, n_lt2, n_le2 = within.agg(
-            F.count_if(F.col("v") < p1),
-            F.count_if(F.col("v") <= p1),
-            F.count_if(F.col("v") < p2),
-            F.count_if(F.col("v") <= p2),
-        ).first()
-        k = index - below
-        if n_lt1 <= k < n_le1:
-            return p1
-        if n_lt2 <= k < n_le2:
-            return p2
-        if k < n_lt1:
-            high = within.where(F.col("v") < p1).agg(F.max("v")).first()[0]
-            inside = n_lt1
-        elif k < n_lt2:
-            row = within.where((F.col("v") > p1) & (F.col("v") < p2)).agg(F.min("v"), F.max("v")).first()
-            low, high = row[0], row[1]
-            below, inside = below + n_le1, n_lt2 - n_le1
-        else:
-            low = within.where(F.col("v") > p2).agg(F.min("v")).first()[0]
-            below, inside = below + n_le2, inside - n_le2
-    held = values.where(F.col("v").between(low, high))
-    return float(
-        held.agg(F.element_at(F.array_sort(F.collect_list("v")), index - below + 1)).first()[0]
-    )
-
-
-def _interpolated(values: DataFrame, rows: int, prob: float, task_rows: int) -> float:
-    position = prob * (rows - 1)
-    floor = int(position)
-    share = position - floor
-    low = _order_statistic(values, rows, floor, task_rows)
-    if share == 0.0:
-        return low
-    high = _order_statistic(values, rows, floor + 1, task_rows)
-    return low + (high - low) * share
+    ranged = _ranged(df, [key])
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
+    before = F.sum("_rows").over(Window.orderBy("_range").rowsBetween(*_BEFORE))  # one row per range
+    offsets = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(key))
+    number = F.col("_local") + F.col("_before") + (start - 1)
+    return ranged.withColumn("_local", inside).join(offsets, "_range").select(*df.columns, number.cast("bigint").alias(output))
 
 
 def exact_quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    probs: Sequence[float],
-    by: Sequence[str] = (),
-    task_rows: int = TASK_ROWS,
-    proven_rows: int | None = None,
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()
 ) -> DataFrame:
     """Linear-interpolation quantiles: rows (``by``, column, q array<double>).
 
-    Groups that fit a task use the built-in ``percentile``; larger ones are
-    narrowed range by range, so no task ever holds a whole large group.
-    ``proven_rows`` bounds the rows and spares the size check.
+    All columns, groups and probabilities are found together: values are
+    counted with a map-side combine and dealt into ranges, the range totals
+    tell which ranges hold a wanted position, and only those are sorted.  NULLs
+    are left out; q is NULL for a group without values.
     """
-    proven_rows = known_rows(df) if proven_rows is None else proven_rows
     by, columns, probs = list(by), list(columns), [float(p) for p in probs]
-    slim = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
-    large = []
-    if proven_rows is None or proven_rows > task_rows:
-        counts = slim.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
-        large = counts.where(F.col("_rows") > task_rows).collect()  # at most rows / task_rows groups
-
-    def builtin(part: DataFrame) -> DataFrame:
-        grid = F.array(*[F.lit(p) for p in probs])
-        wide = part.groupBy(*by).agg(*[F.percentile(c, grid).alias(c) for c in columns])
-        pairs = F.array(
-            *[F.struct(F.lit(c).alias("column"), F.col(c).alias("q")) for c in columns]
-        )
-        return wide.select(*by, F.explode(pairs).alias("_pair")).select(*by, "_pair.*")
-
-    if not large:
-        return builtin(slim)
-
-    spark = df.sparkSession
-    found = []
-    for group in large:
-        part = slim
-        for key in by:
-            part = part.where(F.col(key).eqNullSafe(F.lit(group[key])))
-        for c in columns:
-            values = part.where(F.col(c).isNotNull()).select(F.col(c).alias("v"))
-            rows = values.count()
-            q = [_interpolated(values, rows, p, task_rows) for p in probs] if rows else None
-            found.append(tuple(group[key] for key in by) + (c, q))
-    schema = ", ".join(
-        [f"`{key}` {dict(slim.dtypes)[key]}" for key in by] + ["column string", "q array<double>"]
+    group = [*by, "column"]
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])
+    long = df.select(*by, F.explode(pairs).alias("_pair")).select(*by, "_pair.*")
+    ranged = _ranged(long.groupBy(*group, "v").agg(F.count("v").alias("_n")), [*group, "v"])
+
+    whole = Window.partitionBy(*group)  # one row per range of the group
+    cells = ranged.groupBy(*group, "_range").agg(F.sum("_n").alias("_rows"))
+    first = F.coalesce(F.sum("_rows").over(whole.orderBy("_range").rowsBetween(*_BEFORE)), F.lit(0))
+    last = F.sum("_rows").over(whole) - 1
+    slots = []
+    for i, p in enumerate(probs):
+        for side, place in enumerate((F.floor(F.lit(p) * F.col("_last")), F.ceil(F.lit(p) * F.col("_last")))):
+            slots.append(F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), place.alias("place")))
+
+    def within(slots: Column, low: Column, rows: Column) -> Column:
+        return F.filter(slots, lambda s: (s["place"] >= low) & (s["place"] < low + rows))
+
+    wanted = cells.select(*group, "_range", "_rows", first.alias("_first"), last.alias("_last")).withColumn(
+        "_slots", within(F.array(*slots), F.col("_first"), F.col("_rows"))
+    ).where(F.size("_slots") > 0)
+    held = ranged.alias("a").join(wanted.alias("b"), _same("a", "b", [*group, "_range"])).select("a.*", "b._first", "b._last", "b._slots")
+    inside = Window.partitionBy(*group, "_range").orderBy("v").rowsBetween(*_BEFORE)
+    low = F.col("_first") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
+    hits = held.withColumn("_low", low).withColumn("_slot", F.explode(within(F.col("_slots"), F.col("_low"), F.col("_n"))))
+    ends = hits.groupBy(*group, F.col("_slot.i").alias("_i")).agg(
+        F.max("_last").alias("_last"),
+        F.max(F.when(F.col("_slot.side") == 0, F.col("v"))).alias("_a"),
+        F.max(F.when(F.col("_slot.side") == 1, F.col("v"))).alias("_b"),
     )
-    exact = spark.createDataFrame(found, schema)
-    if not by:
-        return exact
-    keys = spark.createDataFrame(
-        [tuple(g[key] for key in by) for g in large],
-        ", ".join(f"`{key}` {dict(slim.dtypes)[key]}" for key in by),
+    place = F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("_i") + 1) * F.col("_last")
+    value = F.col("_a") + (F.col("_b") - F.col("_a")) * (place - F.floor(place))
+    found = ends.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_i", value.alias("_q")))).alias("_all"))
+    if by:
+        asked = ranged.select(*group).distinct()
+    else:  # also for a table without rows
+        asked = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in columns])).alias("column"))
+    return asked.alias("a").join(found.alias("b"), _same("a", "b", group), "left").select(
+        "a.*", F.transform("b._all", lambda s: s["_q"]).alias("q")
     )
-    return builtin(slim.join(F.broadcast(keys), by, "left_anti")).unionByName(exact)
 
 
-def quantile_values(
-    df: DataFrame, column: str, probs: Sequence[float], task_rows: int = TASK_ROWS, proven_rows: int | None = None
-) -> list[float]:
+def quantile_values(df: DataFrame, column: str, probs: Sequence[float]) -> list[float]:
     """Fitted quantiles of one column as driver scalars (parameters)."""
-    row = exact_quantiles(df, [column], probs, task_rows=task_rows, proven_rows=proven_rows).first()
+    row = exact_quantiles(df, [column], probs).first()
     return [None] * len(probs) if row is None or row["q"] is None else list(row["q"])

@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import draw_index, uniform
 from ..sources.durable import count_rows, durable
-from .ordering import TASK_ROWS, row_numbers
+from .ordering import row_numbers
+
+# Units whose positions one task sorts.
+RANGE_ROWS = 200_000
 
 
 def replicates(df: DataFrame, n: int, column: str = "rep") -> DataFrame:
@@ -23,7 +26,7 @@ def replicates(df: DataFrame, n: int, column: str = "rep") -> DataFrame:
 
 def permuted_values(
     df: DataFrame, unit: str, value: str, n_replicates: int, seed: int = 42,
-    keep: Sequence[str] = (), task_rows: int = TASK_ROWS,
+    keep: Sequence[str] = (), range_rows: int = RANGE_ROWS,
 ) -> DataFrame:
     """(rep, unit, keep..., value): values shuffled across units per replicate.
 
@@ -32,13 +35,13 @@ def permuted_values(
     replicate has more units than one task should sort, positions are computed
     in equal-width ranges of the uniform, which are balanced by construction.
     """
-    numbered = durable(row_numbers(df.select(unit, value, *keep), unit, "_i", task_rows=task_rows))
+    numbered = durable(row_numbers(df.select(unit, value, *keep), unit, "_i"))
     rows = count_rows(numbered)
     # only (rep, uniform, number) is shuffled and sorted; numbers follow unit order
     slots = replicates(numbered.select("_i", unit), n_replicates).select(
         F.col("rep"), F.col("_i").cast("int" if rows < 2**31 else "bigint").alias("_i"), uniform(seed, F.col("rep"), F.col(unit)).alias("_u")
     )
-    pieces = 1 if rows <= task_rows else 2 * -(-rows // task_rows)
+    pieces = 1 if rows <= range_rows else 2 * -(-rows // range_rows)
     if pieces == 1:
         w = Window.partitionBy("rep").orderBy("_u", "_i")
         placed = slots.select("rep", "_i", F.row_number().over(w).alias("_pos"))
@@ -57,7 +60,7 @@ def permuted_values(
     return placed.join(numbered.select("_i", unit, *keep), "_i").join(values, "_pos").select("rep", unit, *keep, value)
 
 
-def cluster_draws(units: DataFrame, unit: str, n_replicates: int, seed: int = 42, task_rows: int = TASK_ROWS) -> DataFrame:
+def cluster_draws(units: DataFrame, unit: str, n_replicates: int, seed: int = 42) -> DataFrame:
     """(rep, unit, mult): n units drawn with replacement per replicate.
 
     Slot i of replicate r takes unit number floor(u(r, i) * n).  Multiplicity
@@ -65,7 +68,7 @@ def cluster_draws(units: DataFrame, unit: str, n_replicates: int, seed: int = 42
     """
     distinct = durable(units.select(unit).distinct())
     n = count_rows(distinct)
-    numbered = row_numbers(distinct, unit, "_index", start=0, proven_rows=n, task_rows=task_rows)
+    numbered = row_numbers(distinct, unit, "_index", start=0)
     slots = replicates(numbered.select(F.col("_index").alias("_slot")), n_replicates)
     drawn = slots.select("rep", draw_index(n, seed, F.col("rep"), F.col("_slot")).alias("_index"))
     mult = drawn.groupBy("rep", "_index").agg(F.count(F.lit(1)).alias("mult"))

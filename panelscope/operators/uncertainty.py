@@ -14,7 +14,7 @@ from ..functions.numeric import divide
 from ..schema import COMPONENTS, EXPERT_WEIGHTS
 from ..sources.durable import count_rows, durable
 from . import metrics
-from .ordering import TASK_ROWS, average_rank, exact_quantiles, running_totals
+from .ordering import average_rank, exact_quantiles, running_totals
 from .permute import cluster_draws
 
 
@@ -126,12 +126,9 @@ def simulated_scores(
 def _ranked(means: DataFrame, weights: DataFrame, ids: Sequence[str], unit: str, baseline: str, digits: int) -> DataFrame:
     """Simulated and baseline ranks; scores are rounded so that equal sums tie."""
     base = durable(means)
-    rows = count_rows(base)
-    ranked = average_rank(
-        base.withColumn("_base", F.round(baseline, digits)), "_base", output="base_rank", proven_rows=rows
-    )
+    ranked = average_rank(base.withColumn("_base", F.round(baseline, digits)), "_base", output="base_rank")
     sims = simulated_scores(base, weights, ids, unit).withColumn("score", F.round("score", digits))
-    out = average_rank(sims.select(*ids, unit, "score"), "score", ids, output="sim_rank", proven_rows=rows)
+    out = average_rank(sims.select(*ids, unit, "score"), "score", ids, output="sim_rank")
     return out.join(ranked.select(unit, "base_rank"), unit)
 
 
@@ -255,7 +252,7 @@ def mc_rank_stability(means: DataFrame, weights: DataFrame, unit: str = "Distric
     """Share of simulations in which a unit's rank is within ``band`` of its median."""
     base = durable(means)
     sims = simulated_scores(base, weights, ["sim"], unit).withColumn("score", F.round("score", digits))
-    ranked = durable(ordinal_rank(sims.select("sim", unit, "score"), ["sim"], "score", unit, count_rows(base)))
+    ranked = durable(ordinal_rank(sims.select("sim", unit, "score"), ["sim"], "score", unit))
     medians = ranked.groupBy(unit).agg(F.percentile("rank", F.lit(0.5)).alias("median"))
     per_unit = ranked.join(medians, unit).groupBy(unit).agg(
         F.avg((F.abs(F.col("rank") - F.col("median")) <= band).cast("double")).alias("stability")
@@ -266,18 +263,15 @@ def mc_rank_stability(means: DataFrame, weights: DataFrame, unit: str = "Distric
     )
 
 
-def ordinal_rank(df: DataFrame, by: Sequence[str], value: str, unit: str, proven_rows: int | None = None, task_rows: int = TASK_ROWS) -> DataFrame:
+def ordinal_rank(df: DataFrame, by: Sequence[str], value: str, unit: str) -> DataFrame:
     """Rank 1..n by descending value, ties by unit id.
 
-    Large groups rank ties inside their (by, value) cell and add the running
-    count of larger values.
+    Ties are ranked inside their (by, value) cell, after the running count of
+    larger values.
     """
     by = list(by)
-    if proven_rows is not None and proven_rows <= task_rows:
-        w = Window.partitionBy(*by).orderBy(F.col(value).desc(), unit)
-        return df.withColumn("rank", F.row_number().over(w))
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_ties"))
-    run = running_totals(counts, value, {"_upto": "_ties"}, by, True, proven_rows, task_rows)
+    run = running_totals(counts, value, {"_upto": "_ties"}, by, True)
     inside = F.row_number().over(Window.partitionBy(*by, value).orderBy(unit))
     return df.withColumn("_in", inside).join(run, by + [value]).withColumn(
         "rank", F.col("_upto") - F.col("_ties") + F.col("_in")
@@ -291,7 +285,7 @@ CI_LEVELS = (0.025, 0.975)
 
 def cluster_bootstrap_ci(
     df: DataFrame, unit: str = "unit", y: str = "y", p: str = "p", threshold: float = 0.5,
-    n_replicates: int = 500, seed: int = 42, proven_scores: int | None = None,
+    n_replicates: int = 500, seed: int = 42,
 ) -> DataFrame:
     """95% interval of ROC-AUC, PR-AUC, recall, precision and F1.
 
@@ -306,7 +300,7 @@ def cluster_bootstrap_ci(
     )
     hist = durable(weighted)
     size = hist.groupBy("rep").agg(F.sum("n").alias("_n"), F.sum("pos").alias("_pos"))
-    areas = metrics.curve_areas(hist, ["rep"], proven_scores).select("rep", "roc_auc", "pr_auc")
+    areas = metrics.curve_areas(hist, ["rep"]).select("rep", "roc_auc", "pr_auc")
     points = metrics.threshold_metrics(hist, threshold, ["rep"]).select("rep", "recall", "precision", "f1_score")
     reps = areas.join(points, "rep").join(size, "rep").where("_n >= 10 AND _pos >= 2")
     return replicate_intervals(reps, ["roc_auc", "pr_auc", "recall", "precision", "f1_score"])
@@ -346,9 +340,9 @@ def bootstrap_r2_ci(
     return replicate_intervals(reps, ["r_squared"])
 
 
-def prediction_distribution(df: DataFrame, p: str, **ordering) -> DataFrame:
+def prediction_distribution(df: DataFrame, p: str) -> DataFrame:
     """Mean, population sd, median and 2.5/97.5 percentiles of predictions."""
-    q = exact_quantiles(df, [p], [0.5, 0.025, 0.975], **ordering).select("q")
+    q = exact_quantiles(df, [p], [0.5, 0.025, 0.975]).select("q")
     m = df.agg(F.avg(p).alias("mean"), F.stddev_pop(p).alias("std"))
     # both sides are single aggregate rows
     return m.join(F.broadcast(q), F.lit(True)).select(

@@ -12,7 +12,6 @@ from .panel_queries import _r, r6
 from .registry import query
 
 T = 0.3  # decision threshold of the registered queries
-LIMIT = m.FOUR_DIGIT_SCORES
 
 HIST = f"""{o.SCORED}, h AS (SELECT p, count(*)::BIGINT n, sum(y)::BIGINT pos FROM scored GROUP BY 1),
 tot AS (SELECT sum(pos)::DOUBLE tp_all, sum(n-pos)::DOUBLE fp_all, sum(n)::DOUBLE n_all FROM h),
@@ -36,7 +35,7 @@ def score_histogram_query(spark, folder):
 
 @query("cumulative_confusion", f"WITH {HIST} SELECT p, tp, fp FROM c")
 def cumulative_confusion_query(spark, folder):
-    return m.cumulative_confusion(_hist(spark, folder), proven_rows=LIMIT).select("p", "tp", "fp")
+    return m.cumulative_confusion(_hist(spark, folder)).select("p", "tp", "fp")
 
 
 @query("confusion_counts", f"WITH {CONF} SELECT tp, fp, fn, tn FROM k")
@@ -68,20 +67,20 @@ def fdr_query(spark, folder):
 
 @query("roc_curve", f"WITH {HIST} SELECT p threshold, {r6('fp/fp_all')} fpr, {r6('tp/tp_all')} tpr FROM c, tot")
 def roc_curve_query(spark, folder):
-    return m.roc_curve(_hist(spark, folder), proven_rows=LIMIT).select("threshold", *_r("fpr", "tpr"))
+    return m.roc_curve(_hist(spark, folder)).select("threshold", *_r("fpr", "tpr"))
 
 
 @query("roc_auc", f"""WITH {o.SCORED}, r AS (SELECT y, rank() OVER (ORDER BY p)+(count(*) OVER (PARTITION BY p)-1)/2.0::DOUBLE rk FROM scored),
   s AS (SELECT sum(rk) FILTER (y=1) sr, count(*) FILTER (y=1)::DOUBLE a, count(*) FILTER (y=0)::DOUBLE b FROM r)
   SELECT {r6('(sr-a*(a+1)/2)/(a*b)')} roc_auc FROM s""")
 def roc_auc_query(spark, folder):
-    return m.roc_auc(_hist(spark, folder), proven_rows=LIMIT).select(*_r("roc_auc"))
+    return m.roc_auc(_hist(spark, folder)).select(*_r("roc_auc"))
 
 
 @query("pr_curve", f"""WITH {HIST} SELECT p threshold, {r6('tp::DOUBLE/(tp+fp)')} "precision", {r6('tp/tp_all')} recall FROM c, tot
   UNION ALL SELECT NULL, 1.0::DOUBLE, 0.0::DOUBLE FROM tot""")
 def pr_curve_query(spark, folder):
-    return m.pr_curve(_hist(spark, folder), proven_rows=LIMIT).select("threshold", *_r("precision", "recall"))
+    return m.pr_curve(_hist(spark, folder)).select("threshold", *_r("precision", "recall"))
 
 
 _CURVE = f"""{HIST}, pts AS (SELECT p, tp::DOUBLE/(tp+fp) pre, tp/tp_all rec FROM c, tot),
@@ -90,19 +89,19 @@ seg AS (SELECT p, pre, rec, lag(pre,1,1.0::DOUBLE) OVER (ORDER BY p DESC) pre0,
 
 @query("pr_auc", f"WITH {_CURVE} SELECT {r6('sum((rec-rec0)*(pre+pre0)/2)')} pr_auc FROM seg")
 def pr_auc_query(spark, folder):
-    return m.curve_areas(_hist(spark, folder), proven_rows=LIMIT).select(*_r("pr_auc"))
+    return m.curve_areas(_hist(spark, folder)).select(*_r("pr_auc"))
 
 
 @query("average_precision", f"WITH {_CURVE} SELECT {r6('sum((rec-rec0)*pre)')} average_precision FROM seg")
 def average_precision_query(spark, folder):
-    return m.curve_areas(_hist(spark, folder), proven_rows=LIMIT).select(*_r("average_precision"))
+    return m.curve_areas(_hist(spark, folder)).select(*_r("average_precision"))
 
 
 @query("curve_areas", f"""WITH {_CURVE}, a AS (SELECT sum((rec-rec0)*(pre+pre0)/2) pr_auc, sum((rec-rec0)*pre) average_precision FROM seg),
   b AS (SELECT sum(neg*(tp-pos/2.0::DOUBLE))/any_value(tp_all*fp_all) roc_auc FROM c, tot)
   SELECT {r6('roc_auc')} roc_auc, {r6('pr_auc')} pr_auc, {r6('average_precision')} average_precision FROM a, b""")
 def curve_areas_query(spark, folder):
-    return m.curve_areas(_hist(spark, folder), proven_rows=LIMIT).select(*_r("roc_auc", "pr_auc", "average_precision"))
+    return m.curve_areas(_hist(spark, folder)).select(*_r("roc_auc", "pr_auc", "average_precision"))
 
 
 @query("brier", f"""WITH {o.SCORED}, b AS (SELECT avg((p-y)*(p-y)) b, avg(y)*(1-avg(y)) b0 FROM scored)
@@ -132,7 +131,7 @@ def reliability_query(spark, folder):
 @query("optimal_threshold", f"""WITH {HIST}, pts AS (SELECT p, tp::DOUBLE/(tp+fp) pre, tp/tp_all rec FROM c, tot)
   SELECT p threshold, {r6('pre')} "precision", {r6('rec')} recall FROM pts WHERE rec>=0.75 ORDER BY pre DESC, p LIMIT 1""")
 def optimal_threshold_query(spark, folder):
-    return m.optimal_threshold(_hist(spark, folder), proven_rows=LIMIT).select("threshold", *_r("precision", "recall"))
+    return m.optimal_threshold(_hist(spark, folder)).select("threshold", *_r("precision", "recall"))
 
 
 def _grid(values) -> str:
@@ -203,7 +202,7 @@ best AS (SELECT CASE WHEN abs((SELECT pr_auc FROM area WHERE model='steep')-(SEL
   {r6('CASE WHEN tp+fp=0 THEN 0 ELSE tp/(tp+fp) END')} "precision", {r6('2*tp/(2*tp+fp+fn)')} f1_score, {r6('brier')} brier_score, model=w is_winner
   FROM area JOIN conf USING (model), best""")
 def model_comparison_query(spark, folder):
-    report = m.classification_report(_models(spark, folder), T, ["model"], proven_rows=LIMIT)
+    report = m.classification_report(_models(spark, folder), T, ["model"])
     picked = m.select_model(report, preferred="steep", rival="flat")
     return picked.select("model", "is_winner", *_r("roc_auc", "pr_auc", "recall", "precision", "f1_score", "brier_score"))
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates as agg
 from ..operators import hypothesis as hyp
-from ..operators import metrics as met
 from ..operators import permute, spatial
 from ..operators import uncertainty as unc
 from ..schema import COMPONENTS
@@ -437,7 +436,7 @@ _ORD = f"""{_MC}, orr AS (SELECT sim, District, row_number() OVER (PARTITION BY
 def rank_ordinal_query(spark, folder):
     means = _unit_components(spark, folder)
     sims = unc.simulated_scores(means, unc.uniform_weights(spark, 1000), ["sim"]).withColumn("score", F.round("score", 9))
-    return unc.ordinal_rank(sims, ["sim"], "score", "District", count_rows(means)).select("sim", "District", "rank")
+    return unc.ordinal_rank(sims, ["sim"], "score", "District").select("sim", "District", "rank")
 
 
 @query("mc_rank_stability", f"""WITH {_ORD}, md AS (SELECT District, median(rk) md FROM orr GROUP BY 1),
@@ -488,7 +487,7 @@ def _interval(column: str, source: str) -> str:
   br AS (SELECT roc_auc, pr_auc, tp/(tp+fn) recall, tp/(tp+fp) "precision", 2*tp/(2*tp+fp+fn) f1_score FROM ba JOIN bk USING (rep) JOIN bt USING (rep) WHERE n>=10 AND a>=2)
   """ + " UNION ALL ".join(_interval(c, "br") for c in ("roc_auc", "pr_auc", "recall", "precision", "f1_score")))
 def cluster_bootstrap_query(spark, folder):
-    out = unc.cluster_bootstrap_ci(v.scored(spark, folder), threshold=0.3, proven_scores=met.FOUR_DIGIT_SCORES)
+    out = unc.cluster_bootstrap_ci(v.scored(spark, folder), threshold=0.3)
     return out.select("metric", "n_replicates", *_r("lower", "upper"))
 
 

@@ -1,5 +1,6 @@
 import os
 import sys
+from contextlib import contextmanager
 
 import pytest
 
@@ -20,6 +21,35 @@ def folder():
     return SF
 
 
+@pytest.fixture(params=["merged", "many"])
+def ranges(request, many_ranges):
+    """Runs a test with the ranges that AQE leaves, and with many."""
+    if request.param == "merged":
+        yield
+    else:
+        with many_ranges():
+            yield
+
+
+@pytest.fixture
+def many_ranges(spark):
+    """Many small value ranges, as a large table has."""
+
+    @contextmanager
+    def held():
+        names = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "23"}
+        before = {k: spark.conf.get(k) for k in names}
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        try:
+            yield
+        finally:
+            for k, v in before.items():
+                spark.conf.set(k, v)
+
+    return held
+
+
 @pytest.fixture(scope="session")
 def featured(spark, folder):
     from panelscope.plans import views

@@ -77,13 +77,10 @@ def test_decision_and_cost_curves(spark, scored):
     assert m.cost_curve(hist).count() == 90 and best(100.0) <= best(1.0)
 
 
-def test_range_wise_curve_equals_plain(spark, scored, monkeypatch):
+def test_curve_does_not_depend_on_ranges(scored, many_ranges):
     plain = m.curve_areas(m.score_histogram(scored)).first()
-    from panelscope.operators import ordering
-
-    original = ordering.running_totals
-    monkeypatch.setattr(m, "running_totals", lambda *a, **k: original(*a, **{**k, "task_rows": 20}))
-    wide = m.curve_areas(m.score_histogram(scored)).first()
+    with many_ranges():
+        wide = m.curve_areas(m.score_histogram(scored)).first()
     assert [wide[i] for i in range(3)] == pytest.approx([plain[i] for i in range(3)])
 
 
@@ -160,9 +157,10 @@ def test_bootstrap_intervals_bracket(spark, scored):
     assert all(r["n_replicates"] == 0 for r in tiny)
 
 
-def test_ordinal_rank_paths_agree(spark):
+def test_ordinal_rank_matches_window(spark, many_ranges):
     rows = [(s, f"u{i:03d}", float(RNG.integers(0, 20))) for s in range(3) for i in range(60)]
     df = spark.createDataFrame(rows, "sim int, u string, score double")
-    a = unc.ordinal_rank(df, ["sim"], "score", "u", 60).select("sim", "u", "rank").orderBy("sim", "u").collect()
-    b = unc.ordinal_rank(df, ["sim"], "score", "u", 60, task_rows=10).select("sim", "u", "rank").orderBy("sim", "u").collect()
-    assert [tuple(r) for r in a] == [tuple(r) for r in b]
+    want = sorted((s, u, 1 + i) for s in range(3) for i, (_, u) in enumerate(sorted((-x, u) for t, u, x in rows if t == s)))
+    with many_ranges():
+        got = unc.ordinal_rank(df, ["sim"], "score", "u").select("sim", "u", "rank").collect()
+    assert sorted(tuple(r) for r in got) == want
