@@ -3,7 +3,7 @@
 Every page is parsed into a light tree. The trees of a host are merged by the
 path of tags and classes: an element node of the merged tree knows the
 presentation styles (sequences of child tags) and the content (texts of blocks)
-that its pages show there. With m pages,
+that its pages show there. Copies of a page on a host are one page. With m pages,
 
 * presentation importance of an element = -sum p log_m p over its styles,
 * importance of a content node = 1 - log_m(pages that show this text here),
@@ -15,8 +15,9 @@ roles and class names declare decides: scripts, forms, navigation, adverts,
 comments and the like go, and an article or main element is the content where
 there is one.
 
-Node counts are summed per task before the shuffle, so a host with a third of
-all pages is a few rows per task. Removed nodes are a short list per host.
+The nodes of a page are dealt out by host and page, where copies meet, and
+counts are summed in the map tasks, so a host with a third of all pages is a few
+rows per task. Removed nodes are a short list per host.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -216,18 +216,25 @@ def _styles(root: Node) -> set[tuple[int, int]]:
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, kind, path, feature, pages): kind 0 counts pages, 1 styles, 2 texts."""
+    """(host, page, kinds, paths, features) of each page: kind 0 stands for the page, 1 for styles, 2 for texts."""
+    seen: set[tuple[str, int]] = set()
     for batch in batches:
-        counts: Counter = Counter()
-        for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-            root = parse(page or "")
-            counts[host, 0, 0, 0] += 1
-            for path, style in _styles(root):
-                counts[host, 1, path, style] += 1
-            for path, text in {(_id(path), _id(path, text)) for path, text in blocks(root)}:
-                counts[host, 2, path, text] += 1
-        keys = list(zip(*counts)) if counts else [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(keys[0], pa.string()), *[pa.array(k, pa.int64()) for k in keys[1:]], pa.array(list(counts.values()), pa.int64())], ["host", "kind", "path", "feature", "pages"])
+        hosts, pages, bounds, found = [], [], [0], []
+        for host, page, html in zip(*[batch.column(c).to_pylist() for c in ("host", "page", "html")]):
+            if (host, page) in seen:  # copies within a task are read once
+                continue
+            if len(seen) < 200_000:  # only spares work; further copies are merged later
+                seen.add((host, page))
+            root = parse(html or "")
+            found.append((0, 0, 0))
+            found += [(1, *x) for x in _styles(root)]
+            found += [(2, *x) for x in {(_id(path), _id(path, text)) for path, text in blocks(root)}]
+            hosts.append(host)
+            pages.append(page)
+            bounds.append(len(found))
+        columns = zip(*found) if found else ((), (), ())
+        lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(x, t)) for x, t in zip(columns, (pa.int8(), pa.int64(), pa.int64()))]
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages, pa.int64()), *lists], ["host", "page", "kinds", "paths", "features"])
 
 
 def host_of(url):
@@ -237,8 +244,11 @@ def host_of(url):
 
 def low_importance(pages: DataFrame, min_pages: int = MIN_PAGES, low: float = LOW) -> DataFrame:
     """host, removed: ids of content nodes and element paths of low importance, one row per host that has any."""
-    nodes = pages.mapInArrow(_nodes, "host string, kind long, path long, feature long, pages long")
-    nodes = durable(nodes.groupBy("host", "kind", "path", "feature").agg(F.sum("pages").alias("pages")))
+    # one row per distinct page of a host, known by its hash, so that copies of a page are no template
+    slim = pages.select("host", F.xxhash64(F.coalesce("html", F.lit(""))).alias("page"), "html").mapInArrow(_nodes, "host string, page long, kinds array<byte>, paths array<long>, features array<long>")
+    slim = slim.groupBy("host", "page").agg(F.any_value(F.struct("kinds", "paths", "features")).alias("x"))
+    nodes = slim.select("host", F.explode(F.arrays_zip(F.col("x.kinds").alias("kind"), F.col("x.paths").alias("path"), F.col("x.features").alias("feature"))).alias("x")).select("host", "x.*")
+    nodes = durable(nodes.groupBy("host", "kind", "path", "feature").agg(F.count(F.lit(1)).alias("pages")))
     sites = nodes.filter("kind = 0").select("host", F.col("pages").alias("m")).filter(F.col("m") >= min_pages)
     # With S the sum of p log p, the mean importance of an element's texts is 1 - S / (log m * sum p), and its styles'
     # entropy is (log m * sum p - S) / (m log m): both need m only after the sums, where one row per element is left.
@@ -274,8 +284,8 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     """page_id, url, text, n_chars: one row per row of ``pages``.
 
     A null page is empty; a page without content has an empty text. A null or
-    relative url belongs to the host "". Repeated rows count as pages each and
-    get the same text. Other columns are ignored, whatever their names.
+    relative url belongs to the host "". Rows with equal host and html
+    count as one page and get the same text. Other columns are ignored, whatever their names.
     """
     base = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), host_of(F.col(url)).alias("host"), F.col(html).alias("html"))
     removed = low_importance(base.select("host", "html"), min_pages, low)

@@ -160,6 +160,16 @@ def test_pages(spark, folder):
     assert main_text(pages.filter("false")).count() == 0
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    from panelscope.llm.style_tree import main_text
+
+    page = lambda x: f"<body><div class=x>Always the same</div><div class=y><p>{x}</p><p>More of {x}</p></div>"
+    site = [(i, f"http://h.example/{i}", page(f"text {min(i, 14)}")) for i in range(60)] + [(100 + i, f"http://small.example/{i}", page("one article")) for i in range(20)]
+    found = {r.page_id: r.text for r in main_text(spark.createDataFrame(site, "page_id long, url string, html string").repartition(7)).collect()}
+    assert all(found[i] == f"text {min(i, 14)}\nMore of text {min(i, 14)}" for i in range(60))
+    assert all(found[100 + i] == "Always the same\none article\nMore of one article" for i in range(20))
+
+
 def test_search(spark):
     from panelscope.llm import impact_index
 
