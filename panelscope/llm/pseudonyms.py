@@ -5,7 +5,9 @@ equal values stay equal across documents and formats (a card number with or
 without blanks) and the pseudonym is valid again:
 
 * card numbers (13 to 19 digits that pass the Luhn test): all digits but the
-  last are permuted, the last is made to pass the test;
+  last are permuted, the last is made to pass the test. A card may stand beside
+  other numbers (expiry, code, another card): in a run of numbers every piece
+  between number borders is tried, the usual lengths first;
 * telephone numbers: all digits behind the country code;
 * social security numbers (valid area, group and serial): all digits;
 * dates (valid days from 1800 to 2199): the day, within these 400 years;
@@ -29,12 +31,16 @@ KEY = "panelscope"
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
-DATE = r"(?<![\d./-])(?:\d{4}([-/])\d{2}\1\d{2}|\d{2}([./-])\d{2}\2\d{4})(?![\d/-])"
+DATE = r"(?<![\d./-])(?:\d{4}(?:-\d{2}-|/\d{2}/)\d{2}|\d{2}(?:-\d{2}-|/\d{2}/|\.\d{2}\.)\d{4})(?![\d/-])"
 ADDRESS = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)"
 PHONE = r"(?<![\d+])\+\d{1,3}(?:[ .-]?\(\d{1,4}\)|[ .-]\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<!\d)(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?![\d-])"
 SOCIAL = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-CARD = r"(?<![\dA-Za-z])\d(?:[ -]?\d){12,18}(?![\dA-Za-z])"
-ANY = "|".join((EMAIL, DATE, ADDRESS, PHONE, SOCIAL, CARD))
+OTHER = "|".join((EMAIL, DATE, ADDRESS, PHONE, SOCIAL))
+# Numbers over single blanks or hyphens, up to where another kind begins: cards and what stands beside them. Possessive,
+# so that a run of any length needs no stack.
+RUN = rf"(?<![\dA-Za-z])(?=\d(?:[ -]?\d){{12}})\d++(?![A-Za-z])(?:[ -](?!{OTHER})\d++(?![A-Za-z]))*+"
+ANY = f"{OTHER}|{RUN}"
+CARD_LENGTHS = (16, 15, 13, 14, 17, 18, 19)  # the first that passes is taken
 FIRST_DAY, DAYS = "1800-01-01", (27, 5411)  # 27 x 5411 = 146,097 days are 400 years
 
 
@@ -108,6 +114,37 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(worth, F.lit(0), lambda a, x: a + x)
 
 
+def _pieces(run: Column) -> Column:
+    """The numbers of a run, each with the blank or hyphen behind it."""
+    return F.regexp_extract_all(run, F.lit(r"\d+[ -]?"), F.lit(0))
+
+
+def _between(pieces: Column, start: Column, stop: Column) -> Column:
+    return F.array_join(F.slice(pieces, start + 1, stop - start), "")
+
+
+def cards_of(pieces: Column) -> Column:
+    """start, stop: the cards in a run in order. Where valid pieces overlap, the more usual length wins, then the first."""
+
+    def starting(start: Column) -> Column:
+        stops = F.sequence(start + 1, F.least(F.size(pieces), start + CARD_LENGTHS[-1]))
+        made = F.transform(stops, lambda stop: F.struct(digits_of(_between(pieces, start, stop)).alias("digits"), stop.alias("stop")))
+        valid = F.filter(made, lambda x: F.length(x["digits"]).between(min(CARD_LENGTHS), max(CARD_LENGTHS)) & (luhn_sum(x["digits"]) % 10 == 0))
+        return F.transform(valid, lambda x: F.struct(F.array_position(F.array(*map(F.lit, CARD_LENGTHS)), F.length(x["digits"])).alias("rank"), start.alias("start"), x["stop"].alias("stop")))
+
+    valid = F.sort_array(F.flatten(F.transform(F.sequence(F.lit(0), F.size(pieces) - 1), starting)))
+    none = F.array().cast("array<struct<start:int,stop:int>>")
+    free = lambda taken, x: ~F.exists(taken, lambda t: (t["start"] < x["stop"]) & (x["start"] < t["stop"]))
+    return F.sort_array(F.aggregate(valid, none, lambda taken, x: F.when(free(taken, x), F.concat(taken, F.array(F.struct(x["start"], x["stop"])))).otherwise(taken)))
+
+
+def _run(pieces: Column, cards: Column, key: str) -> Column:
+    """The run with its cards replaced; other numbers stay."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    turn = lambda s, c: F.struct(c["stop"].alias("at"), F.concat(s["out"], F.array(_between(pieces, s["at"], c["start"]), _card(_between(pieces, c["start"], c["stop"]), key))).alias("out"))
+    return F.aggregate(cards, start, turn, lambda s: F.concat(F.array_join(s["out"], ""), _between(pieces, s["at"], F.size(pieces))))
+
+
 def _card(m: Column, key: str) -> Column:
     digits = digits_of(m)
     body = permuted_text(F.substr(digits, F.lit(1), F.length(digits) - 1), "card", key)
@@ -148,7 +185,7 @@ def _phone(m: Column, key: str) -> Column:
 
 
 def kind_of(m: Column) -> Column:
-    """email, date, address, phone, social, card, or null for what fails validation."""
+    """email, date, address, phone, social, run (of numbers, which may hold cards), or null for what fails validation."""
     day = _day(m)
     social = m.rlike(f"^(?:{SOCIAL})$") & ~m.rlike(r"^(?:000|666|9)|-00-|-0000$")
     return (
@@ -157,11 +194,12 @@ def kind_of(m: Column) -> Column:
         .when(m.rlike(f"^(?:{DATE})$"), F.when((day >= 0) & (day < DAYS[0] * DAYS[1]), "date"))
         .when(social, "social")
         .when(m.rlike(f"^(?:{PHONE})$"), "phone")
-        .when(m.rlike(f"^(?:{CARD})$") & (luhn_sum(digits_of(m)) % 10 == 0), "card")
+        .when(m.rlike(r"^\d[\d -]*$"), "run")
     )
 
 
-def _pseudonym(m: Column, kind: Column, key: str) -> Column:
+def _pseudonym(found: Column, key: str) -> Column:
+    m, kind = found["m"], found["kind"]
     local = F.substring_index(m, "@", 1)
     return (
         F.when(kind == "email", F.concat(permuted_text(local, "email", key), F.substr(m, F.length(local) + 1)))
@@ -169,7 +207,7 @@ def _pseudonym(m: Column, kind: Column, key: str) -> Column:
         .when(kind == "address", _address(m, key))
         .when(kind == "phone", _phone(m, key))
         .when(kind == "social", _refilled(m, permuted_text(digits_of(m), "social", key)))
-        .when(kind == "card", _card(m, key))
+        .when(F.size(found["cards"]) > 0, _run(found["pieces"], found["cards"], key))
         .otherwise(m)
     )
 
@@ -177,7 +215,7 @@ def _pseudonym(m: Column, kind: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     """All columns of ``docs`` as ``doc``, n_found (candidates), n_replaced (valid ones) and cleaned.
 
-    A null text stays null with counts 0; empty texts and texts without a
+    A run of numbers is one candidate, or as many as it holds cards. A null text stays null with counts 0; empty texts and texts without a
     candidate are unchanged. Equal rows give equal rows. Other columns are
     passed through whatever their names.
     """
@@ -185,9 +223,12 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFra
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     rows = rows.withColumn("found", F.regexp_extract_all(body, F.lit(ANY), F.lit(0)))
     rows = rows.withColumn("found", F.transform("found", lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind"))))
-    rows = rows.withColumn("made", F.transform("found", lambda x: _pseudonym(x["m"], x["kind"], key)))
+    rows = rows.withColumn("found", F.transform("found", lambda x: F.struct(x["m"], x["kind"], F.when(x["kind"] == "run", _pieces(x["m"])).alias("pieces"))))
+    rows = rows.withColumn("found", F.transform("found", lambda x: F.struct(x["m"], x["kind"], x["pieces"], F.when(x["kind"] == "run", cards_of(x["pieces"])).alias("cards"))))
+    rows = rows.withColumn("made", F.transform("found", lambda x: _pseudonym(x, key)))
     parts = F.split(body, ANY, -1)
     joined = F.array_join(F.flatten(F.zip_with(parts, F.concat("made", F.array(F.lit(""))), lambda p, m: F.array(p, m))), "")
-    replaced = F.size(F.filter("found", lambda x: x["kind"].isNotNull()))
-    rows = rows.withColumn("n_replaced", F.coalesce(replaced, F.lit(0)).cast("long"))
-    return rows.select("doc", F.coalesce(F.size("found"), F.lit(0)).cast("long").alias("n_found"), "n_replaced", F.when(F.col("n_replaced") > 0, joined).otherwise(body).alias("cleaned"))
+    valid = lambda x: F.when(x["kind"] == "run", F.size(x["cards"])).otherwise(x["kind"].isNotNull().cast("int"))
+    total = lambda count: F.coalesce(F.aggregate("found", F.lit(0).cast("long"), lambda n, x: n + count(x)), F.lit(0).cast("long"))
+    rows = rows.withColumn("n_replaced", total(valid))
+    return rows.select("doc", total(lambda x: F.greatest(F.lit(1), valid(x))).alias("n_found"), "n_replaced", F.when(F.col("n_replaced") > 0, joined).otherwise(body).alias("cleaned"))

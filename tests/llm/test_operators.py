@@ -196,6 +196,25 @@ def test_pseudonyms(spark):
     assert back.filter(pseudonyms.permuted_number(F.col("p"), pseudonyms.DAYS, "t", invert=True) != F.col("id")).count() == 0
 
 
+def test_cards_beside_numbers(spark):
+    from panelscope.llm import pseudonyms
+
+    card, other = "4111111111111111", "378282246310005"
+    forms = ["{} 12/27", "{} 123", "5 {}", "{}-737 x", "12 {} 12-27", "{} 2024-02-29", "{} 10.0.0.1", "{} 555-123-4567", "12345678901234567890 {}", "{} 12ab", "{} 4111 1111 1111 1112", "1 2 3 {} 45"]
+    texts = [card, other, *[f.format(card) for f in forms], "4111 1111 1111 1111 123", f"{card} {other}", "4111111111111112 12", " ".join(["1234"] * 6000), "7 3"]
+    rows = [(r.n_replaced, r.cleaned) for r in pseudonyms.pseudonymise(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)).collect()]
+    new, second = rows[0][1], rows[1][1]
+    assert new != card and second != other
+    found = dict(zip(texts, rows))
+    for form in forms:
+        assert found[form.format(card)][1].startswith(form.format(new)[: form.index("{}") + 16]), form
+        assert form.startswith("{} 2024") or form.startswith("{} 10.") or form.startswith("{} 555") or found[form.format(card)] == (1, form.format(new)), form
+    assert all(found[f.format(card)][0] == 2 for f in forms if f.startswith(("{} 2024", "{} 10.", "{} 555")))
+    spaced = found["4111 1111 1111 1111 123"][1]
+    assert spaced.replace(" ", "") == new + "123" and spaced.endswith(" 123")
+    assert found[f"{card} {other}"] == (2, f"{new} {second}") and found["4111111111111112 12"] == (0, "4111111111111112 12") and found["7 3"] == (0, "7 3")
+
+
 def test_templates(odd):
     from panelscope.llm.templates import drop_recurring
 
