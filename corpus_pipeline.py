@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelscope.llm.line_rules import line_rules
+from panelscope.llm.line_rules import corpus_rules
 from panelscope.llm.mixing import mix
 from panelscope.llm.packing import pack
 from panelscope.llm.partenum import jaccard_components
@@ -27,7 +27,7 @@ def _with_text(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Frequent lines go, and documents that fail the rules or are depleted."""
-    return _with_text(line_rules(docs).filter("kept"), docs.columns)
+    return _with_text(corpus_rules(docs).filter("kept"), docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -130,3 +130,36 @@ def rules(docs: DataFrame, frequent: DataFrame, key: str = "doc_id", host: str =
 def line_rules(docs: DataFrame, **options) -> DataFrame:
     """``frequent_lines`` and ``rules`` with default limits."""
     return rules(docs, frequent_lines(docs, **{k: v for k, v in options.items() if k in ("host", "text", "min_docs", "share_percent")}), **{k: v for k, v in options.items() if k in ("key", "host", "text", "min_words", "min_left_percent")})
+
+
+def corpus_rules(docs: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text", min_docs: int = MIN_DOCS, min_words: int = MIN_WORDS, min_left_percent: int = MIN_LEFT_PERCENT) -> DataFrame:
+    """All columns of ``docs`` as ``doc``, kept and cleaned, by one limit for hosts of any size.
+
+    A line is frequent where more than ``min_docs`` distinct texts of its host
+    hold it. Rules and odd texts as in ``rules``. The lines to remove are
+    found by joins on host and line and kept for each text, so a host may have
+    any number of them. Base rules are judged once for each distinct text.
+    """
+    site, content = F.col(host), F.col(text)
+    doc = F.xxhash64(site.isNull(), site, content.isNull(), content)
+    place = lambda line: F.xxhash64(site.isNull(), site, normal(line))
+    slim = docs.select(doc.alias("doc"), F.col(key).alias("id"), F.array_distinct(F.transform(lines_of(content), place)).alias("lines"), words_of(content).alias("words"))
+    slim = with_repeat_words(with_window_hashes(slim.withColumn("n_words", F.size("words").cast("long"))))
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    slim = slim.select("doc", "id", "lines", "n_words", failed.alias("base_failed")).groupBy("doc")
+    slim = durable(slim.agg(F.min("id").alias("id"), F.any_value("lines").alias("lines"), F.any_value("n_words").alias("n_words"), F.any_value("base_failed").alias("base_failed")))
+    lines = slim.select(F.explode("lines").alias("line"), "doc", "id", "base_failed")
+    # tables are written and joined by merging, so that there is one plan at every size and Spark splits a hot line
+    frequent = durable(lines.groupBy("line").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > min_docs).select("line"))
+    held = durable(lines.join(frequent.hint("merge"), "line"))
+    gone = held.groupBy("doc").agg(F.collect_list("line").alias("gone"))
+    judged = durable(slim.filter(~F.col("base_failed")).select("doc", "n_words").join(gone.hint("merge"), "doc", "left"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), doc.alias("doc")).join(judged.hint("merge"), "doc", "left")
+    parts = F.split(F.col(f"row.{text}"), "\n", -1)
+    site = F.col(f"row.{host}")
+    lost_line = lambda x: x.rlike(WORD) & F.array_contains("gone", place(x))
+    lost = F.aggregate(F.filter(parts, lost_line), F.lit(0).cast("long"), lambda n, x: n + F.regexp_count(x, F.lit(WORD)))
+    left = F.col("n_words") - F.when(F.col("gone").isNotNull(), lost).otherwise(F.lit(0).cast("long"))
+    enough = (left == F.col("n_words")) | ((left >= min_words) & (100 * left >= min_left_percent * F.col("n_words")))
+    cleaned = F.when(F.col("gone").isNull(), F.col(f"row.{text}")).otherwise(F.array_join(F.filter(parts, lambda x: ~lost_line(x)), "\n"))
+    return rows.select(F.col("row").alias("doc"), F.coalesce(enough, F.lit(False)).alias("kept"), cleaned.alias("cleaned"))

@@ -223,6 +223,19 @@ def test_templates(odd):
     assert all(r.cleaned == "" and r.n_dropped == 2 for i, r in rows.items() if i > 100)
 
 
+def _prose(i, n, tag=""):
+    return [" ".join(f"{tag}{i}x{j}x{k}" for k in range(12)) for j in range(n)]
+
+
+def test_line_limit_is_the_same_in_a_large_source(spark):
+    import corpus_pipeline
+
+    rows = [(i, "\n".join([*_prose(chr(97 + i % 26) * (1 + i // 26), 3), *["read more of this on our site"] * (i < 30)]), "hot") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {r.doc_id: r.text for r in corpus_pipeline.quality(spark, docs.withColumn("n_chars", F.length("text").cast("long")), "").collect()}
+    assert len(found) == 2000 and sum("read more" in t for t in found.values()) <= 1 and all(found[i].startswith(rows[i][1].split("\n")[0]) for i in found)
+
+
 def test_pipeline(spark, folder, documents):
     import corpus_pipeline
 
