@@ -136,7 +136,9 @@ def corpus_rules(docs: DataFrame, key: str = "doc_id", host: str = "source", tex
     """All columns of ``docs`` as ``doc``, kept and cleaned, by one limit for hosts of any size.
 
     A line is frequent where more than ``min_docs`` distinct texts of its host
-    hold it. Rules and odd texts as in ``rules``. The lines to remove are
+    hold it; the one with the smallest id among those that pass the base rules
+    keeps it, so that of a group of near copies one stays. Rules and odd texts
+    as in ``rules``. The lines to remove are
     found by joins on host and line and kept for each text, so a host may have
     any number of them. Base rules are judged once for each distinct text.
     """
@@ -152,6 +154,9 @@ def corpus_rules(docs: DataFrame, key: str = "doc_id", host: str = "source", tex
     # tables are written and joined by merging, so that there is one plan at every size and Spark splits a hot line
     frequent = durable(lines.groupBy("line").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > min_docs).select("line"))
     held = durable(lines.join(frequent.hint("merge"), "line"))
+    # held by texts that pass the base rules first; null ids last, as in ``recurring_lines``
+    first = durable(held.groupBy("line").agg(F.min(F.struct("base_failed", F.col("id").isNull().alias("last"), "id", "doc")).alias("first")).select("line", F.col("first.doc").alias("first")))
+    held = held.join(first.hint("merge"), "line").filter("doc != first")
     gone = held.groupBy("doc").agg(F.collect_list("line").alias("gone"))
     judged = durable(slim.filter(~F.col("base_failed")).select("doc", "n_words").join(gone.hint("merge"), "doc", "left"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), doc.alias("doc")).join(judged.hint("merge"), "doc", "left")

@@ -236,6 +236,20 @@ def test_line_limit_is_the_same_in_a_large_source(spark):
     assert len(found) == 2000 and sum("read more" in t for t in found.values()) <= 1 and all(found[i].startswith(rows[i][1].split("\n")[0]) for i in found)
 
 
+def test_one_of_a_group_of_near_copies_remains(spark):
+    import corpus_pipeline
+
+    def copy(i):
+        lines = _prose("copy", 10)
+        lines[i % 10] += " changed " + "z" * (1 + i)
+        return "\n".join(lines)
+
+    rows = [(50 + i, copy(i), "s") for i in range(30)] + [(1, _prose("copy", 1)[0][:40], "s"), (None, copy(31), "s"), (200, "\n".join(_prose("alone", 3)), "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    left = corpus_pipeline.near_duplicates(spark, corpus_pipeline.quality(spark, docs, ""), "").collect()
+    assert sorted((r.doc_id, r.text) for r in left) == [(50, copy(0)), (200, rows[-1][1])]
+
+
 def test_pipeline(spark, folder, documents):
     import corpus_pipeline
 
