@@ -4,7 +4,9 @@ A line goes down the tree by its number of tokens and its leading tokens;
 tokens with a digit count as variable from the start. In a leaf, a position
 whose most frequent token covers enough of the leaf's documents is constant,
 the others are variable fields. A line that agrees with enough constants has
-the leaf's template; any other line is a template of its own. Templates that
+the leaf's template. The other lines are parted by their most frequent token
+that is not constant and tried again, several times, so that a leaf can hold
+several templates; a line that agrees with none is a template of its own. Templates that
 recur in at least ``min_docs`` documents (copies of a text are one document)
 are dropped; their first line, by document id and position, stays.
 
@@ -20,12 +22,13 @@ from pyspark.sql import functions as F
 
 from panelscope.llm.line_rules import words_of
 from panelscope.llm.words import WORD
-from panelscope.sources.durable import durable
+from panelscope.sources.durable import count_rows, durable
 
 MIN_DOCS = 10
 LEADING = 3
 CONSTANT_PERCENT = 60
 AGREE_PERCENT = 70
+TURNS = 8  # templates are looked for so often in a leaf
 
 
 def tokens_of(line: Column) -> Column:
@@ -45,6 +48,37 @@ def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.withColumn("leaf", leaf).withColumn("same", F.xxhash64("tokens"))
 
 
+def _templates(kinds: DataFrame, min_docs: int) -> DataFrame:
+    """leaf, same, template of the distinct lines that agree with a template of their leaf.
+
+    Each turn makes one template for each group of lines, at first the leaf.
+    Lines that do not agree are parted by the most frequent token that is not
+    constant and tried again, so a leaf can hold several templates. A group
+    ends where it has fewer documents than recur, or nothing parts it.
+    """
+    rest, fitted = kinds.withColumn("group", F.col("leaf")), None
+    for _ in range(TURNS):
+        field = rest.select("group", "docs", F.posexplode("tokens").alias("place", "token")).groupBy("group", "place", "token").agg(F.sum("docs").alias("docs"))
+        field = field.groupBy("group", "place").agg(F.max(F.struct("docs", "token")).alias("top"), F.sum("docs").alias("all"))
+        is_constant = F.col("top.docs") * 100 >= F.col("all") * CONSTANT_PERCENT
+        fields = F.sort_array(F.collect_list(F.struct("place", F.when(is_constant, F.col("top.token")).alias("token"))))
+        mark = F.max(F.when(~is_constant & (F.col("top.docs") >= min_docs), F.struct(F.col("top.docs").alias("docs"), F.col("place"), F.col("top.token").alias("token"))))
+        template = field.groupBy("group").agg(fields.alias("fields"), mark.alias("mark"), F.max("all").alias("all"))
+        agree = F.size(F.filter(F.zip_with("tokens", F.col("fields.token"), lambda a, b: a == b), lambda x: x))
+        fits = agree * 100 >= F.size("tokens") * AGREE_PERCENT
+        part = F.xxhash64("group", F.coalesce(F.get("tokens", F.col("mark.place")) == F.col("mark.token"), F.lit(False)))
+        judged = durable(rest.join(template, "group").select("leaf", "same", "tokens", "docs", "all", fits.alias("fits"), F.when(fits, F.xxhash64("group", F.lit("leaf"))).otherwise(part).alias("group")))
+        now = judged.filter("fits").select("leaf", "same", F.col("group").alias("template"))
+        fitted = now if fitted is None else fitted.union(now)
+        others = judged.filter("not fits").select("leaf", "same", "tokens", "docs", "all", "group")
+        groups = others.groupBy("group").agg(F.sum("docs").alias("n"), F.count(F.lit(1)).alias("kinds"), F.max("all").alias("all"))
+        groups = durable(groups.filter((F.col("n") >= min_docs) & (F.col("n") < F.col("all")) & (F.col("kinds") > 1)).select("group"))
+        if not count_rows(groups):
+            break
+        rest = durable(others.drop("all").join(groups, "group", "left_semi"))
+    return fitted
+
+
 def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """row, gone: the numbers of the lines to drop, one row for each text that loses any."""
     lines = _lines(docs, key, text)
@@ -56,13 +90,9 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", mi
     counts = slim.groupBy("leaf", "same").agg(F.count_distinct("doc").alias("docs"))
     kinds = lines.select("leaf", "same", "tokens").join(leaves, "leaf", "left_semi").groupBy("leaf", "same").agg(F.any_value("tokens").alias("tokens"))
     kinds = durable(kinds.join(counts, ["leaf", "same"]))
-    field = kinds.select("leaf", "docs", F.posexplode("tokens").alias("place", "token")).groupBy("leaf", "place", "token").agg(F.sum("docs").alias("docs"))
-    field = field.groupBy("leaf", "place").agg(F.max(F.struct("docs", "token")).alias("top"), F.sum("docs").alias("all"))
-    constant = F.when(F.col("top.docs") * 100 >= F.col("all") * CONSTANT_PERCENT, F.col("top.token"))
-    template = field.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("place", constant.alias("token")))).alias("fields"))
-    agree = F.size(F.filter(F.zip_with("tokens", F.col("fields.token"), lambda a, b: a == b), lambda x: x))
-    fits = agree * 100 >= F.size("tokens") * AGREE_PERCENT
-    kinds = kinds.join(template, "leaf").select("leaf", "same", F.when(fits, F.xxhash64("leaf", F.lit("leaf"))).otherwise(F.xxhash64("leaf", "same")).alias("template"))
+    fitted = _templates(kinds, min_docs)
+    # written, so that Spark splits the next join where a line is hot
+    kinds = durable(kinds.select("leaf", "same").join(fitted, ["leaf", "same"], "left").select("leaf", "same", F.coalesce("template", F.xxhash64("leaf", "same")).alias("template")))
     placed = durable(slim.join(kinds, ["leaf", "same"]).select("template", "doc", "row", "doc_id", "line_no"))
     recurring = placed.groupBy("template").agg(F.count_distinct("doc").alias("docs"), F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no", "row")).alias("first")).filter(F.col("docs") >= min_docs)
     # written, so that both sides of the next join are plain shuffles, which Spark splits where a template is hot

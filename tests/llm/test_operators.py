@@ -223,6 +223,17 @@ def test_templates(odd):
     assert all(r.cleaned == "" and r.n_dropped == 2 for i, r in rows.items() if i > 100)
 
 
+@pytest.mark.parametrize("shares", [(30, 30), (110, 12), (40, 40, 40)])
+def test_several_templates_in_a_leaf(spark, shares):
+    from panelscope.llm.templates import drop_recurring
+
+    forms = ["the daily report lists open roads near {} with few delays", "the daily report was written for {} by our local staff", "the daily report can tell which {} team has won again"]
+    rows = [(1000 * f + i, form.format("".join(chr(97 + int(c)) for c in str(7919 * (i + 1))))) for f, (form, n) in enumerate(zip(forms, shares)) for i in range(n)]
+    rows += [(9000 + i, "the daily report " + " ".join(f"{chr(97 + i)}w{chr(97 + j)}" for j in range(7))) for i in range(9)]
+    found = {r.doc.doc_id: r.n_dropped for r in drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k for k, n in found.items() if not n} == {1000 * f for f in range(len(shares))} | {9000 + i for i in range(9)}
+
+
 def _prose(i, n, tag=""):
     return [" ".join(f"{tag}{i}x{j}x{k}" for k in range(12)) for j in range(n)]
 
