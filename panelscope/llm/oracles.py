@@ -77,4 +77,64 @@ select d.doc_id, len(d.s)::bigint as n_shingles, coalesce(component_id, d.doc_id
 from sets d left join nodes k on k.s = d.s left join lowest on start = k.node
 """
 
-SQL = {"op1_pareto_mix": OP1, "op3_impact_ordered_search": OP3, "op4_line_frequency": OP4, "op6_partenum_join": OP6}
+OP11 = """
+with rows as (
+  select row_number() over () as row, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+  from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+anchors as (select * from rows where vec_id % 100 = 0 qualify row_number() over (partition by vec_id order by label, v) = 1),
+scores as (
+  select a.vec_id as anchor_id, r.row, r.vec_id, a.label = r.label as same,
+    list_sum(list_transform(range(1, greatest(len(a.v), len(r.v)) + 1), lambda i: coalesce(a.v[i], 0) * coalesce(r.v[i], 0)))::bigint as score
+  from anchors a join rows r on a.vec_id != r.vec_id or a.label != r.label),
+positives as (select *, row_number() over (partition by anchor_id order by score desc, vec_id) as place from scores where same),
+pairs as (
+  select p.anchor_id, p.place, p.vec_id as positive_id, n.vec_id as negative_id, p.score as positive_score, n.score as negative_score,
+    row_number() over (partition by p.anchor_id, p.place order by n.score desc, n.vec_id)::int as rank
+  from positives p join scores n on p.anchor_id = n.anchor_id and not n.same and p.place <= 5 and 80 * p.score <= 100 * n.score and n.score <= p.score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from pairs where rank <= 5
+"""
+
+
+def _field(value: str) -> str:
+    text = f"({value})::varchar"
+    return f"coalesce(strlen({text})::varchar || ':' || {text}, '-')"
+
+
+def _leaf(chars: str) -> str:
+    return "sha256(" + " || ".join(map(_field, ("doc_id", "source", "lang", chars, "text"))) + ")"
+
+
+# A checksum by bits, a tree level by level, and a proof and a fold by climbing it.
+_BIT = "lambda c, i: xor(c >> 1, 3988292384 * (c & 1))"
+_BYTE = f"lambda c, b: xor(c >> 8, list_reduce(list_prepend(xor(c, b) & 255, range(8)), {_BIT}))"
+_CRC32 = f"xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)), {_BYTE}))"
+OP13 = f"""
+with recursive docs as (
+  select row_number() over () as row, doc_id, coalesce('=' || lang, '') as tree, {_leaf("n_chars")} as leaf, {_leaf("n_chars + 1")} as changed, coalesce({_CRC32} % 7 = 0, false) as altered from documents),
+leaves as (select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as idx from docs),
+nodes as (
+  select tree, 0 as level, idx, leaf as hash, count(*) over (partition by tree) as n from leaves
+  union all
+  select tree, level + 1, idx // 2, sha256(string_agg(hash, '' order by idx)), (any_value(n) + 1) // 2 from nodes where n > 1 group by tree, level, idx // 2),
+subroots as (select tree, hash, row_number() over (order by encode(tree)) - 1 as idx, count(*) over () as n from nodes where n = 1),
+tops as (
+  select 0 as level, idx, hash, n from subroots
+  union all
+  select level + 1, idx // 2, sha256(string_agg(hash, '' order by idx)), (any_value(n) + 1) // 2 from tops where n > 1 group by level, idx // 2),
+climb as (
+  select row, tree, 0 as level, idx, case when altered then changed else leaf end as hash, '' as proof, false as done from leaves
+  union all
+  select c.row, c.tree, c.level + 1, c.idx // 2, sha256(case when c.idx % 2 = 1 then o.hash || c.hash else c.hash || coalesce(o.hash, '') end), c.proof || coalesce(o.hash, ''), false
+  from climb c join nodes s on s.tree = c.tree and s.level = c.level and s.idx = c.idx and s.n > 1
+  left join nodes o on o.tree = c.tree and o.level = c.level and o.idx = xor(c.idx, 1)),
+reached as (select c.row, c.tree, s.hash as subroot, s.idx, c.hash, c.proof from climb c join nodes t on t.tree = c.tree and t.level = c.level and t.n = 1 join subroots s on s.tree = c.tree),
+rise as (
+  select row, 0 as level, idx, hash, proof from reached
+  union all
+  select c.row, c.level + 1, c.idx // 2, sha256(case when c.idx % 2 = 1 then o.hash || c.hash else c.hash || coalesce(o.hash, '') end), c.proof || coalesce(o.hash, '')
+  from rise c join tops s on s.level = c.level and s.idx = c.idx and s.n > 1 left join tops o on o.level = c.level and o.idx = xor(c.idx, 1))
+select l.doc_id, l.leaf, r.subroot, t.hash as root, sha256(u.proof) as proof_sha256, u.hash as folded_root, u.hash = t.hash as verified
+from leaves l join reached r on r.row = l.row join tops t on t.n = 1 join rise u on u.row = l.row and u.level = t.level
+"""
+
+SQL = {"op1_pareto_mix": OP1, "op3_impact_ordered_search": OP3, "op4_line_frequency": OP4, "op6_partenum_join": OP6, "op11_angular_negatives": OP11, "op13_merkle_manifest": OP13}

@@ -72,6 +72,26 @@ def op10_template_tree(spark: SparkSession, folder: str) -> DataFrame:
     return drop_recurring(table(spark, folder, "documents")).select(F.col("doc.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.col("cleaned").alias("text"))
 
 
+def op11_angular_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    from panelscope.llm.angular_negatives import hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, folder, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op12_best_two_fit(spark: SparkSession, folder: str) -> DataFrame:
+    from panelscope.llm.two_fit import pack_two_fit
+
+    return pack_two_fit(table(spark, folder, "documents")).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    from panelscope.llm.merkle import manifest
+
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    return manifest(table(spark, folder, "documents"), {"n_chars": F.col("n_chars") + 1}, tampered)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
