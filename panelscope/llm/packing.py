@@ -10,22 +10,16 @@ their two, so the first fit is found on one path from the root.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
-from functools import lru_cache
-
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelscope.llm.token_count import default_path
-from panelscope.llm.token_words import runs, texts
+from panelscope.llm.token_ids import encoder
 
 LENGTH = 4096
 GROUP = 1024
 END = 2
-CACHE = 800_000  # runs a worker remembers
-TOGETHER = 2_000
 
 
 class Rooms:
@@ -62,102 +56,30 @@ def first_fit_decreasing(sizes: list[int], capacity: int = LENGTH) -> list[tuple
     return placed
 
 
-class Encoder:
-    """Ids of runs, as little-endian unsigned 32-bit bytes.
-
-    Runs that are not known are encoded together, a special string between
-    them, whose id marks where each one ends; runs that hold the start of such
-    a string are encoded alone.
-    """
-
-    def __init__(self, path: str) -> None:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-        special = next(iter(self.tokenizer.get_added_tokens_decoder().items()), None)
-        self.mark, self.between = (special[0], special[1].content) if special else (-1, "")
-        self.start = self.between[:2].encode()
-
-    def ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def learn(self, words: set[bytes]) -> None:
-        """Afterwards all ``words`` are known."""
-        missing = words.difference(self.known)
-        if len(self.known) + len(missing) > CACHE:
-            self.known.clear()  # costs time and changes nothing
-            missing = words
-        alone = [w for w in missing if not self.start or self.start in w]
-        for word in alone:
-            self.known[word] = self.ids(word.decode("utf-8", "replace")).tobytes()
-        together = list(missing.difference(alone))
-        for at in range(0, len(together), TOGETHER):
-            some = together[at : at + TOGETHER]
-            ids = self.ids(b"".join((w if i == 0 else self.between.encode() + w) for i, w in enumerate(some)).decode("utf-8", "replace"))
-            data, ends = ids.tobytes(), [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
-            begin = 0
-            for word, end in zip(some, ends, strict=True):
-                self.known[word] = data[4 * begin : 4 * end]
-                begin = end + 1
-
-    def texts(self, batch: list[bytes]) -> Iterator[bytes]:
-        """The ids of each text."""
-        parts = [list(runs(data)) for data in batch]
-        self.learn({w for text in parts for part in text for w in part})
-        known = self.known.__getitem__
-        for text in parts:
-            yield b"".join(b"".join(map(known, part)) for part in text)
-
-    def text(self, data: bytes) -> bytes:
-        return next(self.texts([data]))
-
-
-def batches(texts: Iterator[bytes], size: int = 1 << 20) -> Iterator[list[bytes]]:
-    held: list[bytes] = []
-    total = 0
-    for data in texts:
-        held.append(data)
-        total += len(data)
-        if total >= size:
-            yield held
-            held, total = [], 0
-    if held:
-        yield held
-
-
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """Made once per worker process and file."""
-    return Encoder(path)
-
-
 def _pack(table: pa.Table, path: str, length: int) -> pa.Table:
     own = encoder(path)
     group = table.column("group")[0].as_py()
     columns: dict[str, list] = {c: [] for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")}
     rests, made = [], 0
 
-    def add(doc_id, start, ids, total, sequence, offset):
-        for name, value in zip(columns, (doc_id, start, len(ids) // 4, zlib.crc32(ids), total, sequence, offset)):
-            columns[name].append(value)
+    def add(*piece) -> None:
+        for column, value in zip(columns.values(), piece):
+            column.append(value)
 
     for ids_column, text_column in zip(table.column("doc_id").chunks, table.column("text").chunks):
-        encoded = (ids for batch in batches(texts(text_column)) for ids in own.texts(batch))
-        for doc_id, ids in zip(ids_column.to_pylist(), encoded):
-            ids += END.to_bytes(4, "little")
-            total = len(ids) // 4
-            whole = total // length * length
-            for start in range(0, whole, length):
-                add(doc_id, start, ids[4 * start : 4 * (start + length)], total, made, 0)
-                made += 1
-            if whole < total:
-                rests.append((doc_id, whole, ids[4 * whole :], total))
-    for (doc_id, start, ids, total), (slot, offset) in zip(rests, first_fit_decreasing([len(r[2]) // 4 for r in rests], length)):
-        add(doc_id, start, ids, total, made + slot, offset)
+        for doc_id, ids in zip(ids_column.to_pylist(), own.texts(text_column)):
+            total = len(ids) + 1
+            data = ids.tobytes() + END.to_bytes(4, "little")
+            for start in range(0, total, length):
+                size = min(length, total - start)
+                piece = (doc_id, start, size, zlib.crc32(data[4 * start : 4 * (start + size)]), total)
+                if size == length:
+                    add(*piece, made, 0)
+                    made += 1
+                else:
+                    rests.append(piece)
+    for piece, (slot, offset) in zip(rests, first_fit_decreasing([r[2] for r in rests], length)):
+        add(*piece, made + slot, offset)
     columns["sequence_id"] = [(group << 32) + s for s in columns["sequence_id"]]
     return pa.table({c: pa.array(v, table.schema.field("doc_id").type if c == "doc_id" else pa.int64()) for c, v in columns.items()})
 
