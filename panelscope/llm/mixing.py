@@ -78,11 +78,12 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     its source (null or <= 0: 1). A null text has size 0; documents without
     words are taken floor(r) times, which adds no words. A null source is a
     source of its own, last in order. Repeated rows are documents of their own
-    that share one random number. Columns other than key, source and text are
+    that share one random number, taken in the order of the written table; one
+    of them may close the gap. Columns other than key, source and text are
     ignored, whatever their names. An empty table gives an empty result.
     """
     factor = F.lit(1.0) if odds is None else F.coalesce(F.when(odds > 0, odds.cast("double")), F.lit(1.0))
-    base = durable(docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), factor.alias("factor")))
+    base = durable(docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), factor.alias("factor"), F.monotonically_increasing_id().alias("at")))
     rows = base.count()  # footers only
     slots = max(16, math.isqrt(rows))
     totals = base.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -105,21 +106,22 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     edge = sums.filter("through > missing").groupBy("source").agg(F.min_by("slot", "slot").alias("edge"), F.min_by(F.col("through") - F.col("words"), "slot").alias("before"))
     edge = durable(edge)
     placed = ranked.alias("a").join(edge.alias("b"), same("source", "source"), "left").select("a.*", "edge", "before")
-    order = W.partitionBy("source").orderBy("rank", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
+    order = W.partitionBy("source").orderBy("rank", "doc_id", "size", "at").rowsBetween(W.unboundedPreceding, 0)
     inside = placed.filter("slot = edge").withColumn("through", F.col("before") + F.sum("size").over(order))
     inside = durable(inside.withColumn("extra", (F.col("through") <= F.col("missing")).cast("int")))
     outside = placed.filter("p = 0 or edge is null or slot != edge").withColumn("extra", F.when(F.col("p") > 0, (F.col("edge").isNull() | (F.col("slot") < F.col("edge"))).cast("int")).otherwise(0))
     reached = inside.groupBy("source").agg(F.max("before").alias("base"), F.max(F.when(F.col("extra") == 1, F.col("through"))).alias("top"))
     reached = reached.select("source", F.coalesce("top", "base").alias("reached"))
-    every = outside.select("source", "doc_id", "size", "rank", "missing", "extra", "edge").unionByName(inside.select("source", "doc_id", "size", "rank", "missing", "extra", "edge"))
+    part = ["source", "doc_id", "size", "rank", "missing", "extra", "edge", "at"]
+    every = outside.select(*part).unionByName(inside.select(*part))
     left = F.col("missing") - F.col("reached")
     closing = every.filter("extra = 0 and edge is not null and size > 0").alias("a").join(reached.alias("b"), same("source", "source")).select("a.*", left.alias("left"))
     closing = closing.filter(F.abs(F.col("left") - F.col("size")) < F.col("left"))
-    closing = closing.groupBy("source").agg(F.min(F.struct(F.abs(F.col("left") - F.col("size")).alias("off"), "rank", "doc_id", "size")).alias("last"))
-    closing = durable(closing.select("source", "last.rank", "last.doc_id", "last.size"))
-    columns = ["doc_id", "source", "size", "source_size", "target", "sure", "rank", "extra"]
+    closing = closing.groupBy("source").agg(F.min(F.struct(F.abs(F.col("left") - F.col("size")).alias("off"), "rank", "doc_id", "size", "at")).alias("last"))
+    closing = durable(closing.select("source", "last.at"))
+    columns = ["doc_id", "source", "size", "source_size", "target", "sure", "extra", "at"]
     result = outside.select(*columns).unionByName(inside.select(*columns))
-    result = result.alias("a").join(closing.alias("b"), same("source", "source"), "left").select("a.*", F.col("b.doc_id").alias("last_id"), F.col("b.rank").alias("last_rank"), F.col("b.size").alias("last_size"))
-    closes = (F.col("extra") == 0) & F.col("last_rank").isNotNull() & F.col("doc_id").eqNullSafe(F.col("last_id")) & (F.col("rank") == F.col("last_rank")) & (F.col("size") == F.col("last_size"))
+    result = result.alias("a").join(closing.alias("b"), same("source", "source"), "left").select("a.*", F.col("b.at").alias("last"))
+    closes = (F.col("extra") == 0) & F.coalesce(F.col("at") == F.col("last"), F.lit(False))  # one row, whatever others equal it
     copies = (F.col("sure") + F.col("extra") + closes.cast("int")).cast("long")
     return result.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))

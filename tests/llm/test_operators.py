@@ -77,7 +77,7 @@ def test_bands_and_signatures_meet():
             drop = rng.integers(0, int(0.15 * n) + 1)
             other = base[drop:] if rng.random() < 0.5 else np.unique(np.append(base[drop // 2 :], rng.integers(0, 1 << 63, drop // 2, np.uint64)))
             common = len(np.intersect1d(base, other))
-            if 100 * common >= 85 * (len(base) + len(other) - common):
+            if not np.array_equal(base, other) and 100 * common >= 85 * (len(base) + len(other) - common):  # equal sets are one node
                 assert len(np.intersect1d(signatures(base, starts), signatures(other, starts)))
 
 
