@@ -106,19 +106,20 @@ def path_fold(digest: bytes, number: int, siblings: Sequence[bytes]) -> bytes:
 
 
 # A path is kept as a list of siblings, empty where a node is alone.
-_BLOCK = "tree string, block long, count int, height int, leaves long, nodes binary, root binary"
+_BLOCK = "tree string, block long, count int, height int, nodes binary, root binary"
 
 
 def _build(table: pa.Table) -> pa.Table:
     table = table.sort_by("position")
-    first = {c: table.column(c)[0].as_py() for c in ("tree", "block", "leaves")}
-    height = min(HEIGHT, height_of(first["leaves"]))
+    first = table.column("at")[0].as_py()
+    # a first block with room left is the only one of its tree
+    height = HEIGHT if first["block"] else min(HEIGHT, height_of(table.num_rows))
     tree = Subtree(table.num_rows, height).build(table.column("digest").to_pylist())
     row = {**first, "count": table.num_rows, "height": height, "nodes": bytes(tree.nodes), "root": tree.node(height, 0)}
-    return pa.Table.from_pylist([{c: row[c] for c in ("tree", "block", "count", "height", "leaves", "nodes", "root")}], _SCHEMA)
+    return pa.Table.from_pylist([{c: row[c] for c in _SCHEMA.names}], _SCHEMA)
 
 
-_SCHEMA = pa.schema([("tree", pa.string()), ("block", pa.int64()), ("count", pa.int32()), ("height", pa.int32()), ("leaves", pa.int64()), ("nodes", pa.binary()), ("root", pa.binary())])
+_SCHEMA = pa.schema([("tree", pa.string()), ("block", pa.int64()), ("count", pa.int32()), ("height", pa.int32()), ("nodes", pa.binary()), ("root", pa.binary())])
 
 
 def _spread(table: pa.Table) -> pa.Table:
@@ -132,25 +133,29 @@ def _spread(table: pa.Table) -> pa.Table:
     return pa.table(out, pa.schema([("tree", pa.string()), ("position", pa.int64()), ("path", pa.list_(pa.binary()))]))
 
 
-def forest(leaves: DataFrame, most: int) -> list[DataFrame]:
-    """Blocks by level, from the leaves up, of the trees in ``leaves`` (tree, position, digest, leaves).
+def _at(position: str = "position") -> Column:
+    """Tree and block as one value: rows dealt by ``tree`` alone would do for a grouping by both, and a large tree would be one task."""
+    return F.struct("tree", F.shiftright(position, HEIGHT).alias("block")).alias("at")
 
-    ``leaves`` counts the leaves of the tree, ``most`` those of the largest one.
+
+def forest(leaves: DataFrame) -> list[DataFrame]:
+    """Blocks by level, from the leaves up, of the trees in ``leaves`` (tree, position, digest).
+
+    A level has ``last``, the number of the tree's last block; the next one holds the trees of more than one block.
     """
     levels: list[DataFrame] = []
     while True:
-        dealt = leaves.withColumn("block", F.shiftright("position", HEIGHT))
-        levels.append(durable(dealt.groupBy("tree", "block").applyInArrow(_build, _BLOCK)))
-        if most <= 1 << HEIGHT:
+        blocks = durable(leaves.select("position", "digest", _at()).groupBy("at").applyInArrow(_build, _BLOCK))
+        last = durable(blocks.groupBy("tree").agg(F.max("block").alias("last")))
+        levels.append(blocks.join(last, "tree"))
+        if last.filter("last > 0").isEmpty():
             return levels
-        most = (most + (1 << HEIGHT) - 1) >> HEIGHT
-        up = F.shiftright(F.col("leaves") + ((1 << HEIGHT) - 1), HEIGHT).alias("leaves")
-        leaves = levels[-1].filter(F.col("leaves") > 1 << HEIGHT).select("tree", F.col("block").alias("position"), F.col("root").alias("digest"), up)
+        leaves = blocks.join(last.filter("last > 0"), "tree").select("tree", F.col("block").alias("position"), F.col("root").alias("digest"))
 
 
 def roots(levels: list[DataFrame]) -> DataFrame:
     """tree, root."""
-    found = [blocks.filter(F.col("leaves") <= 1 << HEIGHT).select("tree", "root") for blocks in levels]
+    found = [blocks.filter("last = 0").select("tree", "root") for blocks in levels]
     for more in found[1:]:
         found[0] = found[0].union(more)
     return found[0]
@@ -158,7 +163,6 @@ def roots(levels: list[DataFrame]) -> DataFrame:
 
 def with_paths(levels: list[DataFrame]) -> DataFrame:
     """The lowest blocks with ``path``, the siblings from the block's root up to the tree's."""
-    none = F.array().cast("array<binary>")
 
     def spread(batches):
         for batch in batches:
@@ -166,11 +170,13 @@ def with_paths(levels: list[DataFrame]) -> DataFrame:
 
     blocks = None
     for own in reversed(levels):
-        last = own.filter(F.col("leaves") <= 1 << HEIGHT).withColumn("path", none)
-        if blocks is not None:
+        if blocks is None:
+            blocks = own.withColumn("path", F.array().cast("array<binary>"))
+        else:
             paths = blocks.mapInArrow(spread, "tree string, position long, path array<binary>").withColumnRenamed("position", "block")
-            last = last.unionByName(own.filter(F.col("leaves") > 1 << HEIGHT).join(paths, ["tree", "block"]))
-        blocks = last if own is levels[0] else durable(last)
+            blocks = own.join(paths, ["tree", "block"], "left").withColumn("path", F.coalesce("path", F.array().cast("array<binary>")))
+        if own is not levels[0]:
+            blocks = durable(blocks)
     return blocks
 
 
@@ -231,15 +237,11 @@ def manifest(docs: DataFrame, tampered: dict[str, Column] | None = None, where:
     row = F.struct(F.col(key).alias("doc_id"), leaf_digest(*[F.col(c) for c in fields]).alias("leaf"), other.alias("tampered"))
     counted = durable(docs.select(name.alias("tree"), row.alias("row")).groupBy("tree", "row").agg(F.count(F.lit(1)).alias("n")))
     placed = running_totals(counted, "row", {"upto": "n"}, ["tree"])
-    sizes = counted.groupBy("tree").agg(F.sum("n").alias("leaves"))
     position = F.explode(F.sequence(F.col("upto") - F.col("n"), F.col("upto") - 1)).alias("position")
     rows = durable(placed.select("tree", "row.*", position))
-
-    most = sizes.agg(F.max("leaves")).first()[0] or 0
-    levels = forest(rows.join(sizes, "tree").select("tree", "position", F.col("leaf").alias("digest"), "leaves"), most)
+    levels = forest(rows.select("tree", "position", F.col("leaf").alias("digest")))
     subroots = durable(row_numbers(roots(levels), "tree", "order", start=0))
-    trees = subroots.count()
-    above = forest(subroots.select(F.lit("").alias("tree"), F.col("order").alias("position"), F.col("root").alias("digest"), F.lit(trees).cast("long").alias("leaves")), trees)
+    above = forest(subroots.select(F.lit("").alias("tree"), F.col("order").alias("position"), F.col("root").alias("digest")))
     top = roots(above).first()  # one digest
     upper = leaf_paths(above).select(F.col("position").alias("order"), F.col("path").alias("upper"))
     known = subroots.withColumnRenamed("root", "subroot").join(upper, "order").withColumn("top", F.unhex(F.lit(bytes(top.root).hex() if top else None)))
@@ -250,5 +252,6 @@ def manifest(docs: DataFrame, tampered: dict[str, Column] | None = None, where:
     def proved(leaves: pa.Table, block: pa.Table) -> pa.Table:
         return _prove(leaves, block, leaves.schema.field("doc_id").type)
 
-    dealt = rows.withColumn("block", F.shiftright("position", HEIGHT)).groupBy("tree", "block")
-    return dealt.cogroup(blocks.groupBy("tree", "block")).applyInArrow(proved, f"doc_id {kind}, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")
+    dealt = rows.select("doc_id", "position", "leaf", "tampered", _at()).groupBy("at")
+    known = blocks.select("*", F.struct("tree", "block").alias("at")).groupBy("at")
+    return dealt.cogroup(known).applyInArrow(proved, f"doc_id {kind}, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")
