@@ -19,8 +19,8 @@ the domain dealt anew, which its partners with as many empty choices do too.
 Equal sets are one node (a 64-bit identity), so copies cost nothing. Buckets of
 a signature are linked as stars; only where a bucket still holds several
 components are the pairs between components looked at, and only those whose
-sizes and outlines (512-bit maps of the features, a lower bound of the
-difference) allow the similarity. It is always counted exactly on whole sets.
+sizes and outlines (parities of the features in 512 cells, in 2,048 more for
+large sets; a lower bound of the difference) allow the similarity. It is always counted exactly on whole sets.
 """
 
 from __future__ import annotations
@@ -43,7 +43,9 @@ DEALS = 5  # how often the domain is dealt anew; in the last deal empty choices
 FEW = 16  # k below it: two of three parts
 HUBS = 4
 TURNS = 2  # each with other hubs
-OUTLINE = 8  # words of 64 bits: 512 bits
+OUTLINE = 8  # words of 64 bits: 512 cells
+WIDE = 32  # as many words more for sets of LARGE features and more, whose differences fill 512 cells
+LARGE = 800
 U = np.uint64
 
 
@@ -81,6 +83,8 @@ def identity(features: np.ndarray) -> int:
 
 
 def _signed(features: np.ndarray, tag: int, k: int, deal: int, out: list[np.ndarray]) -> None:
+    if k == 0:
+        return  # only an equal set is similar, and equal sets are one node
     if k < FEW:
         n1, n2, spare = k // 2 + 1, 3, 0
     else:
@@ -119,11 +123,15 @@ def signatures(features: np.ndarray, starts: np.ndarray, num: int = NUM, den: in
     return np.concatenate(out) if out else np.zeros(0, U)
 
 
-def outline(features: np.ndarray) -> np.ndarray:
-    """A bitmap of the features by their leading bits. Two sets differ in at least as many features as their outlines in bits."""
-    bits = np.zeros(64 * OUTLINE, bool)
-    bits[(features >> U(64 - 9)).astype(np.int64)] = True
-    return np.packbits(bits).view(np.int64)
+def outline(features: np.ndarray, words: int = OUTLINE) -> np.ndarray:
+    """Parities of the features in cells by their leading bits.
+
+    A feature that two sets share changes a cell of both, so they differ in at
+    least as many features as their outlines in bits, however large they are.
+    """
+    cells = 64 * words
+    cell = (features >> U(64 - (cells.bit_length() - 1))).astype(np.int64)
+    return np.packbits(np.bincount(cell, minlength=cells).astype(np.uint8) & 1).view(np.int64)
 
 
 def _sets(batch: pa.RecordBatch, text: str) -> Iterator[tuple[int, np.ndarray]]:
@@ -134,10 +142,11 @@ def _sets(batch: pa.RecordBatch, text: str) -> Iterator[tuple[int, np.ndarray]]:
 
 def _identities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [(len(s), identity(s), outline(s)) for _, s in _sets(batch, "text")]
-        size, node, bits = zip(*sets) if sets else ((), (), ())
+        sets = [(len(s), identity(s), outline(s), outline(s, WIDE) if len(s) >= LARGE else None) for _, s in _sets(batch, "text")]
+        size, node, bits, wide = zip(*sets) if sets else ((), (), (), ())
         bits = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * OUTLINE), pa.array(np.concatenate(bits) if sets else np.zeros(0, np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(node, pa.int64()), bits], ["doc_id", "n_shingles", "node", "bits"])
+        columns = [batch.column("doc_id"), batch.column("mark"), pa.array(size, pa.int64()), pa.array(node, pa.int64()), bits, pa.array(wide, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "n_shingles", "node", "bits", "wide"])
 
 
 def _rows(parts: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
@@ -182,8 +191,8 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _similar(base: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (u, v) whose whole sets reach the similarity; features are made only for sets in a pair, from one text each."""
-    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(nodes, "node").select("node", F.col("first").alias("doc_id"))
-    sets = durable(base.join(wanted, "doc_id").mapInArrow(_feature_rows, "node long, features array<long>").groupBy("node").agg(F.any_value("features").alias("features")))
+    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(nodes, "node").select("node", "mark")
+    sets = durable(base.join(wanted, "mark").mapInArrow(_feature_rows, "node long, features array<long>").groupBy("node").agg(F.any_value("features").alias("features")))
     left = sets.select(F.col("node").alias("u"), F.col("features").alias("fu"))
     right = sets.select(F.col("node").alias("v"), F.col("features").alias("fv"))
     both = pairs.join(left, "u").join(right, "v").withColumn("common", F.size(F.array_intersect("fu", "fv")))
@@ -193,10 +202,14 @@ def _similar(base: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 def _possible(a: str, b: str) -> Column:
     """Sizes and outlines of two nodes (structs) allow the similarity."""
     x, y = F.col(a), F.col(b)
-    apart = sum((F.bit_count(x["bits"][i].bitwiseXOR(y["bits"][i])) for i in range(OUTLINE)), F.lit(0))
-    total = x["size"] + y["size"]
+
+    def apart(name: str, words: int) -> Column:
+        return sum((F.bit_count(x[name][i].bitwiseXOR(y[name][i])) for i in range(words)), F.lit(0))
+
+    most = (DEN - NUM) * (x["size"] + y["size"])
     sizes = (DEN * x["size"] >= NUM * y["size"]) & (DEN * y["size"] >= NUM * x["size"])
-    return sizes & ((DEN + NUM) * apart <= (DEN - NUM) * total)
+    both = x["wide"].isNull() | y["wide"].isNull() | ((DEN + NUM) * apart("wide", WIDE) <= most)
+    return sizes & ((DEN + NUM) * apart("bits", OUTLINE) <= most) & both
 
 
 def _stars(members: DataFrame, turn: int) -> DataFrame:
@@ -213,18 +226,21 @@ def _stars(members: DataFrame, turn: int) -> DataFrame:
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id: one row per row of ``docs``.
+def _marked(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """doc_id, text, mark: the mark stands for id and text, also where the id is null."""
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), row_mark(key, text).alias("mark"))
 
-    Null and empty texts have no shingles and are linked with nothing: their
-    component is their own id. Repeated rows and equal texts are one set. Null
-    ids are never the smallest unless the component has no other. Other columns
-    are ignored, whatever their names. An empty table gives an empty result.
-    """
-    base = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    ids = durable(base.mapInArrow(_identities, "doc_id long, n_shingles long, node long, bits array<long>"))
-    nodes = ids.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("size"), F.any_value("bits").alias("bits"))
-    nodes = durable(nodes.select("node", "first", F.struct("size", "bits").alias("look")))
+
+def row_mark(key: str, text: str) -> Column:
+    return F.xxhash64(F.col(key).cast("long"), F.col(text).isNull(), F.col(text))
+
+
+def linked_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, mark, n_shingles, root, component_id: as ``jaccard_components``, with the row's mark and the component's node (null for empty sets)."""
+    base = _marked(docs, key, text)
+    ids = durable(base.mapInArrow(_identities, "doc_id long, mark long, n_shingles long, node long, bits array<long>, wide array<long>"))
+    nodes = ids.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("mark").alias("mark"), F.max("n_shingles").alias("size"), F.any_value("bits").alias("bits"), F.any_value("wide").alias("wide"))
+    nodes = durable(nodes.select("node", "first", "mark", F.struct("size", "bits", "wide").alias("look")))
     signed = base.select("text").mapInArrow(_signature_rows, "sig long, node long")
     bucket = W.partitionBy("sig").orderBy("node")
     members = signed.withColumn("hub", F.first("node").over(bucket)).filter("node != hub")
@@ -251,6 +267,36 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
         roots = durable(components(links.union(more)))
     first = nodes.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     smallest = first.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_node = first.join(smallest, "root").select("node", "component_id")
-    linked = ids.filter("n_shingles > 0").join(by_node, "node").select("doc_id", "n_shingles", "component_id")
-    return linked.unionByName(ids.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    by_node = first.join(smallest, "root").select("node", "root", "component_id")
+    columns = ("doc_id", "mark", "n_shingles", "root", "component_id")
+    linked = ids.filter("n_shingles > 0").join(by_node, "node").select(*columns)
+    alone = ids.filter("n_shingles = 0").select("doc_id", "mark", "n_shingles", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("component_id"))
+    return linked.unionByName(alone)
+
+
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id: one row per row of ``docs``.
+
+    Null and empty texts have no shingles and are linked with nothing: their
+    component is their own id. Repeated rows and equal texts are one set. Rows
+    with a null id are linked like others, but a null is never the smallest id
+    unless the component has no other. Other columns are ignored, whatever
+    their names. An empty table gives an empty result.
+    """
+    return linked_rows(docs, key, text).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near duplicates: one row of each component, and each empty text once per id.
+
+    The row with the smallest id stays, a null id last; of several texts with
+    that id, the one with the smallest mark; repeated rows stay once. Columns of
+    any name are kept as they are. An empty table gives an empty result.
+    """
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    group = F.struct("root", F.when(F.col("root").isNull(), F.col("mark")).alias("own"))
+    kept = linked_rows(docs, key, text).groupBy(group.alias("group")).agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("rows"))
+    kept = kept.select("place.mark", (F.col("rows") > 1).alias("several"))
+    rows = docs.select(F.struct("*").alias("doc"), row_mark(key, text).alias("mark")).join(kept, "mark")
+    once = rows.filter("not several").select("doc").union(rows.filter("several").dropDuplicates(["mark"]).select("doc"))
+    return once.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
