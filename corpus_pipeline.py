@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from panelscope.llm.line_rules import corpus_rules
 from panelscope.llm.mixing import mix
 from panelscope.llm.packing import pack
-from panelscope.llm.partenum import jaccard_components
+from panelscope.llm.partenum import one_of_each
 from panelscope.llm.templates import drop_recurring
 from panelscope.llm.words import WORD
 from panelscope.sources.durable import durable
@@ -26,33 +26,58 @@ def _with_text(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Frequent lines go, and documents that fail the rules or are depleted."""
+    """Frequent lines go, and documents that fail the rules or are depleted.
+
+    Null and empty texts fail. Repeated rows and equal texts count as one
+    document of a line, and each is judged alike. Columns of any name pass
+    through; an empty table gives an empty one.
+    """
     return _with_text(corpus_rules(docs).filter("kept"), docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go, but for the first; documents without a word left go."""
+    """Lines of recurring templates go, but for the first; documents without a word left go.
+
+    Null and empty texts go. Of repeated rows and ties the first line by id
+    stays, and rows that equal its own keep it too. Columns of any name pass
+    through; an empty table gives an empty one.
+    """
     return _with_text(drop_recurring(docs).filter(F.col("cleaned").rlike(WORD)), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component stays; repeated rows stay once."""
-    kept = jaccard_components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    rows = docs.alias("a").join(kept.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))).select("a.*", F.col("b.n").alias("__rows"))
-    once = rows.filter("__rows = 1").unionByName(rows.filter("__rows > 1").dropDuplicates(["doc_id", "text"]))
-    return once.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One row of each component stays: that with the smallest id, of several texts with that id one, of repeated rows one.
+
+    Null and empty texts are linked with nothing; each stays once per id. A null
+    id is the last choice. Columns of any name pass through; an empty table
+    gives an empty one.
+    """
+    return one_of_each(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    row = F.xxhash64("doc_id", "source", "text")
-    copies = mix(docs.select(row.alias("row"), "source", "text"), key="row").filter("copies > 0").select(F.col("doc_id").alias("__row"), "copies").distinct()
-    rows = docs.join(copies, row == F.col("__row"))
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Each row as often as the mix takes it.
+
+    Rows equal in all columns are one row that is taken as often as all of them
+    together. A null source is a source of its own; null and empty texts add no
+    words. Columns of any name pass through; an empty table gives an empty one.
+    """
+    row = F.xxhash64(*[x for c in docs.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))])
+    taken = mix(docs.select(row.alias("row"), "source", "text"), key="row").groupBy(F.col("doc_id").alias("row"))
+    taken = taken.agg(F.sum("copies").alias("copies"), (F.count(F.lit(1)) > 1).alias("several")).filter("copies > 0")
+    rows = docs.select(F.struct("*").alias("doc"), row.alias("row")).join(taken, "row")
+    once = rows.filter("not several").unionByName(rows.filter("several").dropDuplicates(["row"]))
+    copied = once.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    return copied.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents by sequence."""
+    """Pieces of documents by sequence.
+
+    A null or empty text is one piece with the end id alone. Repeated rows and
+    ids are documents of their own; ties between lengths go by their order in
+    the group. Other columns are ignored; an empty table gives no pieces.
+    """
     return pack(docs)
 
 
