@@ -199,7 +199,7 @@ def _similar(base: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.filter(DEN * F.col("common") >= NUM * (F.size("fu") + F.size("fv") - F.col("common"))).select("u", "v")
 
 
-def _possible(a: str, b: str) -> Column:
+def _possible(a: str, b: str, wide: bool = True) -> Column:
     """Sizes and outlines of two nodes (structs) allow the similarity."""
     x, y = F.col(a), F.col(b)
 
@@ -208,8 +208,10 @@ def _possible(a: str, b: str) -> Column:
 
     most = (DEN - NUM) * (x["size"] + y["size"])
     sizes = (DEN * x["size"] >= NUM * y["size"]) & (DEN * y["size"] >= NUM * x["size"])
-    both = x["wide"].isNull() | y["wide"].isNull() | ((DEN + NUM) * apart("wide", WIDE) <= most)
-    return sizes & ((DEN + NUM) * apart("bits", OUTLINE) <= most) & both
+    close = sizes & ((DEN + NUM) * apart("bits", OUTLINE) <= most)
+    if not wide:
+        return close
+    return close & (x["wide"].isNull() | y["wide"].isNull() | ((DEN + NUM) * apart("wide", WIDE) <= most))
 
 
 def _stars(members: DataFrame, turn: int) -> DataFrame:
@@ -219,10 +221,11 @@ def _stars(members: DataFrame, turn: int) -> DataFrame:
     same in all buckets, so that buckets of one group have the same hubs. Pairs are judged where they arise.
     """
     bucket = W.partitionBy("sig").orderBy(F.xxhash64("node", F.lit(turn)), "node").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    members = members.withColumn("look", F.struct("look.size", "look.bits"))  # few pairs: the wide outlines stay on disk
     member = F.struct("node", "root", "look")
     hubs = F.array(F.last(member).over(bucket), *[F.nth_value(member, j).over(bucket) for j in range(1, HUBS)])
     pairs = members.withColumn("hubs", hubs).select("node", "root", F.col("look").alias("lu"), F.explode("hubs").alias("hub")).filter(F.col("root") != F.col("hub.root"))
-    pairs = pairs.select(F.col("node").alias("u"), F.col("hub.node").alias("v"), "lu", F.col("hub.look").alias("lv")).filter(_possible("lu", "lv"))
+    pairs = pairs.select(F.col("node").alias("u"), F.col("hub.node").alias("v"), "lu", F.col("hub.look").alias("lv")).filter(_possible("lu", "lv", wide=False))
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
