@@ -7,6 +7,7 @@ by its own task and ranges are stitched together with their totals.  Ties are
 counted before they are dealt, so one frequent value is one row.  The plan is
 the same at every size: the number of ranges is Spark's own
 (``spark.sql.shuffle.partitions``, merged by AQE where they are small).
+Quantiles need no ranges: a sketch brackets the wanted positions.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..sources.durable import durable
 
+ACCURACY = 10_000  # of the sketch: its ranks are off by at most one row in so many
 _BEFORE = (Window.unboundedPreceding, -1)
 
 
@@ -82,55 +84,93 @@ def row_numbers(df: DataFrame, key: str, output: str = "row_number", start: int
     return ranged.withColumn("_local", inside).join(offsets, "_range").select(*df.columns, number.cast("bigint").alias(output))
 
 
+def _bracket_key(value: Column, lows: Sequence[Column], highs: Sequence[Column]) -> Column:
+    """(at, outside): the value itself inside a bracket, else the end of the last bracket below it.
+
+    Keys sort like the values, and all values between two brackets share one.
+    """
+    inside = reduce(lambda a, b: a | b, [(value >= low) & (value <= high) for low, high in zip(lows, highs)])
+    below = F.when(value > highs[-1], highs[-1])
+    for high in reversed(highs[:-1]):
+        below = below.when(value > high, high)
+    return F.struct(F.when(inside, value).otherwise(below).alias("at"), (~inside).alias("outside"))
+
+
 def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = (), accuracy: int = ACCURACY
 ) -> DataFrame:
     """Linear-interpolation quantiles: rows (``by``, column, q array<double>).
 
-    All columns, groups and probabilities are found together: values are
-    counted with a map-side combine and dealt into ranges, the range totals
-    tell which ranges hold a wanted position, and only those are sorted.  NULLs
-    are left out; q is NULL for a group without values.
+    Two scans, all columns, groups and probabilities together.  The first
+    makes a quantile sketch, whose bounded rank error gives a bracket around
+    every wanted value.  The second counts: a value inside a bracket is its
+    own key, all others between two brackets are one key, so what is shuffled
+    is the few values near the wanted positions.  A position that falls
+    outside its bracket is noticed and all brackets are opened; the result is
+    exact either way.  NULLs are left out; q is NULL for a group without
+    values.
     """
     by, columns, probs = list(by), list(columns), [float(p) for p in probs]
-    group = [*by, "column"]
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])
-    long = df.select(*by, F.explode(pairs).alias("_pair")).select(*by, "_pair.*")
-    ranged = _ranged(long.groupBy(*group, "v").agg(F.count("v").alias("_n")), [*group, "v"])
-
-    whole = Window.partitionBy(*group)  # one row per range of the group
-    cells = ranged.groupBy(*group, "_range").agg(F.sum("_n").alias("_rows"))
-    first = F.coalesce(F.sum("_rows").over(whole.orderBy("_range").rowsBetween(*_BEFORE)), F.lit(0))
-    last = F.sum("_rows").over(whole) - 1
-    slots = []
-    for i, p in enumerate(probs):
-        for side, place in enumerate((F.floor(F.lit(p) * F.col("_last")), F.ceil(F.lit(p) * F.col("_last")))):
-            slots.append(F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), place.alias("place")))
-
-    def within(slots: Column, low: Column, rows: Column) -> Column:
-        return F.filter(slots, lambda s: (s["place"] >= low) & (s["place"] < low + rows))
-
-    wanted = cells.select(*group, "_range", "_rows", first.alias("_first"), last.alias("_last")).withColumn(
-        "_slots", within(F.array(*slots), F.col("_first"), F.col("_rows"))
-    ).where(F.size("_slots") > 0)
-    held = ranged.alias("a").join(wanted.alias("b"), _same("a", "b", [*group, "_range"])).select("a.*", "b._first", "b._last", "b._slots")
-    inside = Window.partitionBy(*group, "_range").orderBy("v").rowsBetween(*_BEFORE)
-    low = F.col("_first") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
-    hits = held.withColumn("_low", low).withColumn("_slot", F.explode(within(F.col("_slots"), F.col("_low"), F.col("_n"))))
-    ends = hits.groupBy(*group, F.col("_slot.i").alias("_i")).agg(
-        F.max("_last").alias("_last"),
-        F.max(F.when(F.col("_slot.side") == 0, F.col("v"))).alias("_a"),
-        F.max(F.when(F.col("_slot.side") == 1, F.col("v"))).alias("_b"),
-    )
-    place = F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("_i") + 1) * F.col("_last")
-    value = F.col("_a") + (F.col("_b") - F.col("_a")) * (place - F.floor(place))
-    found = ends.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_i", value.alias("_q")))).alias("_all"))
+    group, ordered = [*by, "column"], sorted(set(probs))
+    margin = 2.0 / accuracy
+    ends = [[max(0.0, p - margin) for p in ordered], [min(1.0, p + margin) for p in ordered]]
+    values = df.select(*by, *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(columns)])
+    sketches = [
+        F.struct(F.count(v).alias("n"), *[F.percentile_approx(v, e, accuracy).alias(name) for name, e in zip(("low", "high"), ends)])
+        .alias(f"_b{i}")
+        for i, v in enumerate(F.col(f"_v{i}") for i in range(len(columns)))
+    ]
+    stats = durable((values.groupBy(*by) if by else values).agg(*sketches))
     if by:
-        asked = ranged.select(*group).distinct()
-    else:  # also for a table without rows
-        asked = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in columns])).alias("column"))
+        rows = values.alias("a").join(stats.alias("b"), _same("a", "b", by)).select("a.*", *[f"b._b{i}" for i in range(len(columns))])
+        field = lambda i, name, k: F.col(f"_b{i}")[name][k]
+        many = lambda i: F.col(f"_b{i}.n") > accuracy
+    else:
+        rows, row = values, stats.first()
+        field = lambda i, name, k: F.lit(row[f"_b{i}"][name][k] if row[f"_b{i}"]["n"] else None).cast("double")
+        many = lambda i: F.lit(row[f"_b{i}"]["n"] > accuracy)
+
+    def edge(i: int, name: str, k: int) -> Column:
+        """A bracket's end; open where the sketch cannot tell neighbours apart."""
+        return F.when(many(i), field(i, name, k)).otherwise(float("-inf") if name == "low" else float("nan"))  # NaN sorts last
+
+    def keys(open_: bool) -> Column:
+        pairs = []
+        for i, c in enumerate(columns):
+            lows, highs = [[edge(i, name, k) for k in range(len(ordered))] for name in ("low", "high")]
+            key = _bracket_key(F.col(f"_v{i}"), [F.lit(float("-inf"))] if open_ else lows, [F.lit(float("nan"))] if open_ else highs)
+            pairs.append(F.when(F.col(f"_v{i}").isNotNull(), F.struct(F.lit(c).alias("column"), key.alias("key"))))
+        return F.explode(F.filter(F.array(*pairs), lambda x: x.isNotNull())).alias("_pair")
+
+    places = []
+    for k, p in enumerate(ordered):
+        for side, place in enumerate((F.floor(F.lit(p) * F.col("_last")), F.ceil(F.lit(p) * F.col("_last")))):
+            places.append(F.struct(F.lit(k).alias("i"), F.lit(side).alias("side"), place.alias("place")))
+
+    def select(open_: bool) -> DataFrame:
+        counts = rows.select(*by, keys(open_)).groupBy(*by, "_pair.column", "_pair.key").agg(F.count(F.lit(1)).alias("_n"))
+        whole = Window.partitionBy(*group)  # the keys of a column: brackets are narrow, so few
+        before = F.coalesce(F.sum("_n").over(whole.orderBy("key").rowsBetween(*_BEFORE)), F.lit(0))
+        ranked = counts.select(*group, "key", "_n", before.alias("_low"), (F.sum("_n").over(whole) - 1).alias("_last"))
+        wanted = F.filter(F.array(*places), lambda s: (s["place"] >= F.col("_low")) & (s["place"] < F.col("_low") + F.col("_n")))
+        hits = ranked.select(*group, "key", "_last", F.explode(wanted).alias("_slot"))
+        found = hits.groupBy(*group, F.col("_slot.i").alias("_i")).agg(
+            F.max("_last").alias("_last"), F.max("key.outside").alias("_outside"),
+            F.max(F.when(F.col("_slot.side") == 0, F.col("key.at"))).alias("_a"),
+            F.max(F.when(F.col("_slot.side") == 1, F.col("key.at"))).alias("_b"),
+        )
+        place = F.element_at(F.array(*[F.lit(p) for p in ordered]), F.col("_i") + 1) * F.col("_last")
+        value = F.col("_a") + (F.col("_b") - F.col("_a")) * (place - F.floor(place))
+        return durable(found.groupBy(*group).agg(
+            F.map_from_entries(F.collect_list(F.struct("_i", value.alias("_q")))).alias("_all"), F.max("_outside").alias("_outside")
+        ))
+
+    found = select(False)
+    if not found.where("_outside").isEmpty():
+        found = select(True)
+    asked = stats.select(*by, F.explode(F.array(*[F.lit(c) for c in columns])).alias("column"))
     return asked.alias("a").join(found.alias("b"), _same("a", "b", group), "left").select(
-        "a.*", F.transform("b._all", lambda s: s["_q"]).alias("q")
+        "a.*", F.when(F.col("b._all").isNotNull(), F.array(*[F.col("b._all")[ordered.index(p)] for p in probs])).alias("q")
     )
 
 

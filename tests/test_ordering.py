@@ -63,6 +63,28 @@ def test_quantiles_of_nothing(spark):
     assert exact_quantiles(nulls, ["v"], [0.5]).first()["q"] is None
 
 
+@pytest.mark.parametrize("accuracy", [20, 100, 10_000])
+def test_quantiles_from_brackets(spark, accuracy):
+    """Sketches that cannot tell all values apart still give exact quantiles."""
+    pdf = pd.DataFrame({"g": RNG.integers(0, 3, 6000), "v": RNG.permutation(skewed(6000)), "w": RNG.normal(size=6000)})
+    pdf.loc[::7, "w"] = None
+    probs = [0.5, 0.001, 0.25, 0.25, 0.26, 0.999, 0.0, 1.0]
+    df = spark.createDataFrame(pdf).replace(float("nan"), None).repartition(7)
+    for row in exact_quantiles(df, ["v", "w"], probs, accuracy=accuracy).collect():
+        assert np.allclose(row["q"], pdf[row["column"]].quantile(probs).values)
+    for row in exact_quantiles(df, ["v", "w"], probs, ["g"], accuracy).collect():
+        assert np.allclose(row["q"], pdf[pdf.g == row["g"]][row["column"]].quantile(probs).values)
+
+
+def test_a_wrong_bracket_is_noticed(spark, monkeypatch):
+    from panelscope.operators import ordering
+
+    real = ordering.F.percentile_approx
+    monkeypatch.setattr(ordering.F, "percentile_approx", lambda c, e, a: real(c, [x / 3 for x in e], a))
+    df = spark.range(5000).selectExpr("CAST(id AS DOUBLE) AS v")
+    assert exact_quantiles(df, ["v"], [0.5, 0.9], accuracy=50).first()["q"] == pytest.approx([2499.5, 4499.1])
+
+
 @pytest.mark.usefixtures("ranges")
 def test_null_values_and_groups(spark):
     rows = [(None, 1.0), (None, 3.0), ("a", None), ("b", None), ("b", 2.0)]
