@@ -394,12 +394,12 @@ def expanding_folds(df: DataFrame, period: str, n_folds: int = 5) -> list[tuple[
     return folds
 
 
-def tune_time_series(
+def tuning_scores(
     train: DataFrame, kind: str, period: str = "Event_Date", n_draws: int = 20, n_folds: int = 5, seed: int = 42,
     parallelism: int = 2, grid: dict | None = None,
     numeric: Sequence[str] = tuple(NUMERIC_PREDICTORS), categorical: Sequence[str] = tuple(CATEGORICAL_PREDICTORS),
-) -> DataFrame:
-    """Mean average precision per drawn setting, best first."""
+) -> list[tuple[dict, int, float, float, int]]:
+    """(setting, number, mean and sd of average precision, folds) per drawn setting, best first."""
     rows = durable(train.where(F.col(TARGET).isNotNull()).select(period, TARGET, *numeric, *categorical))
     folds = expanding_folds(rows, period, n_folds)
     draws = grid_draws(kind, n_draws, seed, grid)
@@ -419,13 +419,17 @@ def tune_time_series(
             values.setdefault(setting, []).append(value)
     if not values:
         raise ValueError("no fold has both classes")
-    table = [
-        (i, str(sorted(draws[i].items())), float(np.mean(v)), float(np.std(v)), len(v)) for i, v in values.items()
-    ]
-    out = train.sparkSession.createDataFrame(
-        table, "setting int, parameters string, mean_average_precision double, std_average_precision double, n_folds int"
-    )
-    return out.orderBy(F.desc("mean_average_precision"), "setting")
+    table = [(draws[i], i, float(np.mean(v)), float(np.std(v)), len(v)) for i, v in values.items()]
+    return sorted(table, key=lambda r: (-r[2], r[1]))
+
+
+TUNING = "setting int, parameters string, mean_average_precision double, std_average_precision double, n_folds int"
+
+
+def tune_time_series(train: DataFrame, kind: str, **how) -> DataFrame:
+    """Mean average precision per drawn setting, best first; ``selection.EventClassifier`` refits the best one."""
+    table = [(i, str(sorted(draw.items())), *rest) for draw, i, *rest in tuning_scores(train, kind, **how)]
+    return train.sparkSession.createDataFrame(table, TUNING).orderBy(F.desc("mean_average_precision"), "setting")
 
 
 # --- batch scoring ----------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from uuid import uuid4
 
 from pyspark.ml import Pipeline
@@ -10,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions.numeric import rounded
-from ..operators import clusters, metrics, models
+from ..operators import clusters, metrics, models, selection
 from ..operators.aggregates import unit_means
 from ..operators.splits import split_4way, split_regression
 from ..schema import CATEGORICAL_PREDICTORS, NUMERIC_PREDICTORS, PREDICTORS
@@ -20,8 +21,9 @@ from . import oracles as o
 from . import views as v
 from .panel_queries import _r, r6
 from .registry import query
+from .star_queries import build_star
 
-# Model size of the registered fits; the operators default to full size.
+# Model size where a query fits many forests; the operators default to full size. Times of full fits: README.
 FOREST = {"numTrees": 20, "maxDepth": 5}
 BOOST = {"maxIter": 10}
 YEARS = {"train_end": 1998, "cal_end": 1999, "val_end": 2000}
@@ -55,10 +57,10 @@ def _classifier_query(name: str, kind: str, **params):
     return run
 
 
-_classifier_query("fit_logistic", "logistic_regression", maxIter=100)
+_classifier_query("fit_logistic", "logistic_regression")
 _classifier_query("fit_random_forest", "random_forest", **FOREST)
-_classifier_query("fit_gbt", "gradient_boosting", **BOOST)
-_classifier_query("fit_boosted_preset", "xgboost", **BOOST)
+_classifier_query("fit_gbt", "gradient_boosting")
+_classifier_query("fit_boosted_preset", "xgboost")
 
 
 @query("fit_ridge", f"""WITH {o.PANEL}, d AS (SELECT Hazard_Severity x, ln(1+Economic_Loss_Million) y FROM panel WHERE Disaster_Occurred=1),
@@ -90,7 +92,7 @@ def _loss_query(name: str, kind: str, **params):
 
 _loss_query("fit_ridge_full", "ridge")
 _loss_query("fit_rf_regressor", "random_forest", **FOREST)
-_loss_query("fit_gbt_regressor", "gradient_boosting", **BOOST)
+_loss_query("fit_gbt_regressor", "gradient_boosting")
 _loss_query("fit_gamma_glm", "gamma")
 _loss_query("fit_tweedie_glm", "tweedie")
 
@@ -131,6 +133,53 @@ def _package(spark, folder):
     return models.ModelPackage(pipeline, threshold, tuple(PREDICTORS), method), test
 
 
+# --- chosen models: comparison, star -----------------------------------------
+
+CANDIDATES = {"logistic_regression": {}, "random_forest": FOREST, "xgboost": BOOST}
+LOSSES = {"ridge": {}, "random_forest": FOREST, "gradient_boosting": BOOST, "gamma": {}, "tweedie": {}}
+
+
+def _event_models(panel, kinds):
+    rows = selection.with_roles(panel, **YEARS)
+    return rows, {k: selection.EventClassifier(kind=k, settings=json.dumps(CANDIDATES[k])).fit(rows) for k in kinds}
+
+
+@query("fitted_model_comparison")
+def fitted_comparison_query(spark, folder):
+    """Fitted and calibrated classifiers on validation rows at 0.50, at their own and at the winner's threshold."""
+    rows, fitted = _event_models(_panel(spark, folder), CANDIDATES)
+    out = selection.compare_classifiers(fitted, rows.where("Role = 'validation'"))
+    names = ["roc_auc", "pr_auc", "recall", "precision", "f1_score", "brier_score"]
+    return out.select("threshold_kind", "model", "is_winner", *_r("threshold", *names))
+
+
+def _losses(panel):
+    train, _, test = split_regression(panel.where("Disaster_Occurred = 1"), train_end=1998, val_end=2000)
+    return selection.compare_regressors(train, test, "Economic_Loss_Million", LOSSES)
+
+
+@query("fitted_regressor_comparison")
+def regressor_comparison_query(spark, folder):
+    """Fitted loss regressors on test events, the winner by R2."""
+    table, _ = _losses(_panel(spark, folder))
+    return table.select("model", "is_winner", "n", *_r("mae", "rmse", "r_squared"))
+
+
+@query("fact_predictions_fitted")
+def fitted_facts_query(spark, folder):
+    """The prediction fact of the star, scored by the fitted event and loss models."""
+
+    def score(featured):
+        _, fitted = _event_models(featured, ["random_forest"])
+        table, losses = _losses(featured)
+        best = table.where("is_winner").first()["model"]
+        model = fitted["random_forest"]
+        return selection.score_for_star(featured, model, losses[best], best), model.threshold
+
+    facts = build_star(spark, folder, score).predictions
+    return facts.withColumns({c: rounded(F.col(c)) for c in ("Predicted_Disaster_Probability", "Expected_Economic_Risk_Million")})
+
+
 @query("score_batch")
 def score_batch_query(spark, folder):
     package, test = _package(spark, folder)
@@ -161,12 +210,12 @@ def ablation_query(spark, folder):
 def importance_query(spark, folder):
     train, _, val, _ = _parts(spark, folder)
     model = models.fit_classifier(train, "random_forest", **FOREST)
-    return models.permutation_importance(model, val, "Record_ID", PREDICTORS, n_repeats=2)
+    return models.permutation_importance(model, val, "Record_ID", PREDICTORS)
 
 
 @query("group_holdout")
 def holdout_query(spark, folder):
-    reps = models.group_holdout(_panel(spark, folder), n_repeats=3, **FOREST)
+    reps = models.group_holdout(_panel(spark, folder), **FOREST)
     return models.holdout_summary(reps)
 
 
@@ -189,13 +238,13 @@ def _unit_scores(spark, folder):
 
 @query("kmeans_units")
 def kmeans_query(spark, folder):
-    labelled = clusters.kmeans_units(_unit_scores(spark, folder), "District", _CLUST, restarts=3)
+    labelled = clusters.kmeans_units(_unit_scores(spark, folder), "District", _CLUST)
     return labelled.select("District", "Cluster")
 
 
 @query("cluster_diagnostics")
 def diagnostics_query(spark, folder):
-    return clusters.cluster_diagnostics(_unit_scores(spark, folder), "District", _CLUST, ks=(2, 3, 4), restarts=2)
+    return clusters.cluster_diagnostics(_unit_scores(spark, folder), "District", _CLUST)
 
 
 _POINTS = f"""{o.INDEXED}, pt AS (SELECT District u, Region c, avg(Hazard_Score) a, avg(Exposure_Score) b, avg(Vulnerability_Score) d, avg(Preparedness_Score) e FROM indexed GROUP BY 1,2)"""

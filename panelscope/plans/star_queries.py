@@ -45,17 +45,23 @@ fp AS (SELECT Record_ID Prediction_ID, GeographyKey, DateKey Prediction_DateKey,
   ("Year">1998)::INT Is_Out_Of_Sample, '3.1' Model_Version, '1998-12-01' Training_End_Date FROM sc)"""
 
 
-def build_star(spark, folder) -> st.Star:
-    """Featured panel written once; every dimension and fact reads it."""
+def build_star(spark, folder, score=None, threshold: float = T) -> st.Star:
+    """Featured panel written once; every dimension and fact reads it.
+
+    ``score`` adds p and predicted_loss to the panel and may choose the threshold: (rows, threshold).
+    """
     featured = durable(v.featured(spark, folder))
     typology = unit_quadrants(spark, folder, featured)
     geography = st.dim_geography(featured, typology)
     event_type = st.dim_event_type(featured)
     keyed = st.join_dim_keys(featured, geography, event_type)
-    scored = featured.withColumns({"p": F.expr(_P), "predicted_loss": F.expr(_LOSS)})
+    if score is None:
+        scored = featured.withColumns({"p": F.expr(_P), "predicted_loss": F.expr(_LOSS)})
+    else:
+        scored, threshold = score(featured)
     return st.Star(
         st.dim_date(featured), geography, event_type, st.fact_unit_month(keyed), st.fact_events(keyed),
-        st.fact_predictions(scored, geography, T, train_end=1998, cal_end=1999, val_end=2000, training_end_date="1998-12-01"),
+        st.fact_predictions(scored, geography, threshold, train_end=1998, cal_end=1999, val_end=2000, training_end_date="1998-12-01"),
     )
 
 

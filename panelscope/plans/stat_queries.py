@@ -218,7 +218,7 @@ _RESID = f"""{o.FEATURED}, res AS (SELECT District, avg(Disaster_Occurred-0.15::
 
 
 @query("residual_morans", " UNION ALL ".join(
-    f"SELECT {k} k, * FROM (WITH {_RESID}, {_knn(k)}, {_moran_perm('res', k, 199, 7)} {_MORAN_OUT})" for k in (3, 5)))
+    f"SELECT {k} k, * FROM (WITH {_RESID}, {_knn(k)}, {_moran_perm('res', k, 999, 7)} {_MORAN_OUT})" for k in (3, 5, 8)))
 def residual_morans_query(spark, folder):
     featured = v.featured(spark, folder).withColumn(
         "p", F.lit(0.15) * F.col("Previous_Month_Disaster_Occurred") + F.col("Poverty_Rate") / 4
@@ -226,10 +226,10 @@ def residual_morans_query(spark, folder):
     residuals = durable(
         spatial.unit_residuals(featured, "District", "Disaster_Occurred", "p", "Latitude", "Longitude", "Event_Date")
     )
-    edges = durable(spatial.knn_edges(residuals, 5))
+    edges = durable(spatial.knn_edges(residuals, 8))
     out = None
-    for k in (3, 5):
-        part = spatial.morans_permutation(residuals, edges.where(F.col("rank") <= k), "District", "residual", 199, 7)
+    for k in (3, 5, 8):
+        part = spatial.morans_permutation(residuals, edges.where(F.col("rank") <= k), "District", "residual", 999, 7)
         part = part.select(F.lit(k).alias("k"), "n_permutations", "n_as_large", *_r("morans_i", "p_value"), *_r("z_score", digits=5))
         out = part if out is None else out.unionByName(part)
     return out
@@ -467,9 +467,9 @@ def replicate_join_query(spark, folder):
     )
 
 
-@query("union_replicates", f"WITH {o.SCORED}, {_draws('scored', 20, 5)} SELECT rep, unit, mult FROM draws")
+@query("union_replicates", f"WITH {o.SCORED}, {_draws('scored', 500, 5)} SELECT rep, unit, mult FROM draws")
 def union_replicates_query(spark, folder):
-    return permute.cluster_draws(v.scored(spark, folder), "unit", 20, 5)
+    return permute.cluster_draws(v.scored(spark, folder), "unit", 500, 5)
 
 
 def _interval(column: str, source: str) -> str:

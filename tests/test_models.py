@@ -170,3 +170,52 @@ def test_logistic_penalty_is_one_over_n(parts):
     beta = model.stages[-1].coefficients.toArray()
     gradient = (x * ((pdf["p"] - pdf["y"]) * pdf[models.WEIGHT]).values[:, None]).sum(0) + beta
     assert np.abs(gradient).max() < 0.05 * max(1.0, np.abs(beta).max())
+
+
+def test_event_classifier_tunes_refits_and_is_saved(spark, featured, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    from panelscope.operators import selection
+
+    rows = selection.with_roles(featured, train_end=1998, cal_end=1999, val_end=2000)
+    grid = '{"numTrees": [3, 5], "maxDepth": [2, 3]}'
+    model = selection.EventClassifier(tune=True, grid=grid, draws=2, folds=2).fit(rows)
+    table = model.tuning(spark).collect()
+    best = max(table, key=lambda r: (r["mean_average_precision"], -r["setting"]))
+    forest = next(s for s in model.package.pipeline.stages if hasattr(s, "trees"))
+    assert len(table) == 2 and f"('numTrees', {len(forest.trees)})" in best["parameters"]
+    val = rows.where("Role = 'validation'")
+    scored = model.transform(val)
+    assert scored.where((F.col("p") >= model.threshold) != (F.col("event") == 1)).count() == 0
+    total, hit = scored.where("Disaster_Next_Month = 1").agg(F.count("*"), F.sum("event")).first()
+    assert hit >= 0.75 * total
+    path = str(tmp_path / "m")
+    PipelineModel(stages=[model]).write().overwrite().save(path)
+    again = PipelineModel.load(path).stages[0]
+    assert again.threshold == model.threshold and again.table == model.table and again.getOrDefault("folds") == 2
+    both = scored.select("Record_ID", "p").join(again.transform(val).select("Record_ID", F.col("p").alias("q")), "Record_ID")
+    assert both.where("p != q").count() == 0
+
+
+def test_comparison_and_star_use_fitted_models(featured):
+    from panelscope.operators import selection
+    from panelscope.plans import star
+
+    rows = selection.with_roles(featured, train_end=1998, cal_end=1999, val_end=2000)
+    fitted = {k: selection.EventClassifier(kind=k, settings=s).fit(rows) for k, s in (("random_forest", '{"numTrees": 5, "maxDepth": 3}'), ("logistic_regression", "{}"))}
+    out = selection.compare_classifiers(fitted, rows.where("Role = 'validation'")).collect()
+    assert len(out) == 6 and len({r["model"] for r in out if r["is_winner"]}) == 1
+    by_kind = {(r["threshold_kind"], r["model"]): r for r in out}
+    best = next(r["model"] for r in out if r["is_winner"])
+    for name, model in fitted.items():
+        assert by_kind["default", name]["threshold"] == 0.5 and by_kind["own", name]["threshold"] == model.threshold
+        assert by_kind["own", name]["recall"] >= 0.75 and by_kind["winner", name]["threshold"] == fitted[best].threshold
+        assert by_kind["own", name]["pr_auc"] == by_kind["default", name]["pr_auc"]
+    events = featured.where("Disaster_Occurred = 1")
+    table, losses = selection.compare_regressors(events.where("Year <= 1998"), events.where("Year > 1998"), "Economic_Loss_Million", {"ridge": {}, "gamma": {}})
+    found = {r["model"]: r for r in table.collect()}
+    assert sum(r["is_winner"] for r in found.values()) == 1 and max(found.values(), key=lambda r: r["r_squared"])["is_winner"]
+    scored = selection.score_for_star(featured, fitted["random_forest"], losses["ridge"], "ridge")
+    facts = star.fact_predictions(scored, star.dim_geography(featured), fitted["random_forest"].threshold).collect()
+    assert len(facts) == rows.count() and {r["Decision_Threshold"] for r in facts} == {fitted["random_forest"].threshold}
+    assert all((r["Predicted_Disaster_Probability"] >= r["Decision_Threshold"]) == (r["Predicted_Disaster_Class"] == 1) for r in facts)
