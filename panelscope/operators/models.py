@@ -568,13 +568,14 @@ def holdout_summary(reps: DataFrame) -> DataFrame:
 
 
 def _tree_arrays(tree, weight: float) -> dict[str, np.ndarray]:
-    """Flat arrays of one fitted tree (feature, threshold, children, value)."""
-    feature, threshold, left, right, value = [], [], [], [], []
+    """Flat arrays of one fitted tree (feature, threshold, children, value, cover)."""
+    feature, threshold, left, right, value, cover = [], [], [], [], [], []
 
     def visit(node) -> int:
         i = len(feature)
         stats = list(node.impurityStats().stats())
         feature.append(-1), threshold.append(0.0), left.append(i), right.append(i)
+        cover.append(node.impurityStats().count())
         value.append(weight * (stats[1] / sum(stats) if len(stats) == 2 else node.prediction()))
         if node.subtreeDepth() > 0:
             split = node.split()
@@ -593,44 +594,116 @@ def _tree_arrays(tree, weight: float) -> dict[str, np.ndarray]:
     visit(tree._call_java("rootNode"))
     return {
         "feature": np.array(feature), "threshold": np.array(threshold), "left": np.array(left),
-        "right": np.array(right), "value": np.array(value),
+        "right": np.array(right), "value": np.array(value), "cover": np.array(cover, dtype=float),
     }
 
 
-def attribution_topk(model: PipelineModel, rows: DataFrame, names: Sequence[str], k: int = 10) -> DataFrame:
-    """Mean absolute path contribution per feature slot of a tree ensemble.
+@dataclass(frozen=True)
+class LeafPath:
+    """The way to a leaf: per feature the interval (low, high] that leads there and the share of rows that take it."""
+
+    value: float
+    features: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    share: np.ndarray
+
+
+def tree_paths(tree: dict[str, np.ndarray]) -> list[LeafPath]:
+    """Every leaf with the features on its path merged, so that each counts once."""
+    found, stack = [], [(0, {})]
+    while stack:
+        node, way = stack.pop()
+        split = int(tree["feature"][node])
+        if split < 0:
+            ends = np.array([[*way[f]] for f in way]).reshape(-1, 3)
+            found.append(LeafPath(float(tree["value"][node]), np.array(list(way), dtype=int), ends[:, 0], ends[:, 1], ends[:, 2]))
+            continue
+        low, high, share = way.get(split, (-np.inf, np.inf, 1.0))
+        cut = tree["threshold"][node]
+        for child, ends in ((tree["left"][node], (low, min(high, cut))), (tree["right"][node], (max(low, cut), high))):
+            stack.append((child, {**way, split: (*ends, share * tree["cover"][child] / tree["cover"][node])}))
+    return found
+
+
+def expected_value(paths: Sequence[LeafPath]) -> float:
+    """The value of a row of which nothing is known."""
+    return sum(p.value * float(p.share.prod()) for p in paths)
 
-    Walking a row from the root, each split adds the change in node value to
-    its feature.  Trees (a model-sized object) travel with the task; batches
-    are walked with array operations and only per-batch sums leave the task.
+
+def add_shapley(paths: Sequence[LeafPath], x: np.ndarray, out: np.ndarray) -> None:
+    """Add the path-dependent Shapley values of one tree to ``out`` (rows x slots).
+
+    A feature that is known follows the row, one that is not divides it by the
+    shares of the children.  For a leaf with d features, the Shapley weights of
+    feature i sum the coefficients of the polynomial of the others; that sum is
+    the integral over t in (0, 1) of the product of
+    share_j (1 - t) + follows_j t, of degree d - 1, which (d + 1) / 2 nodes of
+    Gauss-Legendre give without error.
     """
-    ensemble = model.stages[-1]
+    for path in paths:
+        d = len(path.features)
+        if not d:
+            continue
+        own = x[:, path.features]
+        follows = ((own > path.low) & (own <= path.high)).astype(float)
+        nodes, weights = np.polynomial.legendre.leggauss((d + 1) // 2)
+        total = np.zeros_like(follows)
+        for t, w in zip((nodes + 1) / 2, weights / 2):
+            factors = path.share * (1 - t) + follows * t  # positive, as t < 1 and every child has rows
+            total += w * factors.prod(axis=1, keepdims=True) / factors
+        out[:, path.features] += path.value * (follows - path.share) * total
+
+
+def ensemble_paths(ensemble) -> list[list[LeafPath]]:
+    """The leaf paths of the trees of a fitted ensemble, with the trees' weights in the values."""
     weights = [1.0 / len(ensemble.trees)] * len(ensemble.trees)
     if "GBT" in type(ensemble).__name__:
         weights = list(ensemble.treeWeights)
-    trees = [_tree_arrays(t, w) for t, w in zip(ensemble.trees, weights)]
+    return [tree_paths(_tree_arrays(t, w)) for t, w in zip(ensemble.trees, weights)]
+
+
+def shapley_values(model: PipelineModel, rows: DataFrame, key: str) -> DataFrame:
+    """key, base, values: Shapley values per feature slot; base plus their sum is the ensemble's output.
+
+    The output is the probability of a forest classifier, the margin of boosted
+    trees and the prediction of a regressor.  The model travels with the task.
+    """
+    trees = ensemble_paths(model.stages[-1])
+    base = sum(expected_value(t) for t in trees)
+    prepared = PipelineModel(stages=model.stages[:-1]).transform(rows).select(key, vector_to_array("features").alias("x"))
+
+    def explain(batches):
+        for pdf in batches:
+            x = np.stack(pdf["x"].to_numpy()) if len(pdf) else np.zeros((0, 0))
+            out = np.zeros(x.shape)
+            for paths in trees:
+                add_shapley(paths, x, out)
+            yield pd.DataFrame({key: pdf[key], "base": base, "values": list(out)})
+
+    kind = prepared.schema[key].dataType.simpleString()
+    return prepared.mapInPandas(explain, f"`{key}` {kind}, base double, values array<double>")
+
+
+def attribution_topk(model: PipelineModel, rows: DataFrame, names: Sequence[str], k: int = 10) -> DataFrame:
+    """Mean absolute Shapley value per feature slot of a tree ensemble.
+
+    Trees (a model-sized object) travel with the task; only per-batch sums
+    leave it.
+    """
+    trees = ensemble_paths(model.stages[-1])
     n_slots, labels = len(names), list(names)
     prepared = PipelineModel(stages=model.stages[:-1]).transform(rows).select(vector_to_array("features").alias("x"))
 
-    def walk(batches):
+    def explain(batches):
         for pdf in batches:
             x = np.stack(pdf["x"].to_numpy()) if len(pdf) else np.zeros((0, n_slots))
             total = np.zeros((len(x), n_slots))
-            index = np.arange(len(x))
-            for t in trees:
-                node = np.zeros(len(x), dtype=int)
-                while True:
-                    split = t["feature"][node]
-                    active = split >= 0
-                    if not active.any():
-                        break
-                    r, nd, f = index[active], node[active], split[active]
-                    child = np.where(x[r, f] <= t["threshold"][nd], t["left"][nd], t["right"][nd])
-                    total[r, f] += t["value"][child] - t["value"][nd]
-                    node[active] = child
+            for paths in trees:
+                add_shapley(paths, x, total)
             yield pd.DataFrame({"feature": labels, "total": np.abs(total).sum(axis=0), "n": len(x)})
 
-    sums = prepared.mapInPandas(walk, "feature string, total double, n long").groupBy("feature").agg(
+    sums = prepared.mapInPandas(explain, "feature string, total double, n long").groupBy("feature").agg(
         (F.sum("total") / F.sum("n")).alias("mean_abs_contribution")
     )
     return sums.orderBy(F.desc("mean_abs_contribution"), "feature").limit(k)

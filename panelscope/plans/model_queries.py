@@ -227,6 +227,16 @@ def attribution_query(spark, folder):
     return models.attribution_topk(model, test, names)
 
 
+@query("shapley_values")
+def shapley_query(spark, folder):
+    """Shapley values of every test row; base plus their sum is the forest's probability."""
+    train, _, _, test = _parts(spark, folder)
+    model = models.fit_classifier(train, "random_forest", **FOREST)
+    out = models.shapley_values(model, test, "Record_ID")
+    total = F.aggregate("values", F.lit(0.0), lambda a, b: a + b)
+    return out.select("Record_ID", F.size("values").alias("n_slots"), rounded(F.col("base")).alias("base"), rounded(F.col("base") + total).alias("p"))
+
+
 # --- clustering -------------------------------------------------------------
 
 _CLUST = ["Hazard_Score", "Exposure_Score", "Vulnerability_Score", "Preparedness_Score"]

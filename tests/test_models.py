@@ -219,3 +219,67 @@ def test_comparison_and_star_use_fitted_models(featured):
     facts = star.fact_predictions(scored, star.dim_geography(featured), fitted["random_forest"].threshold).collect()
     assert len(facts) == rows.count() and {r["Decision_Threshold"] for r in facts} == {fitted["random_forest"].threshold}
     assert all((r["Predicted_Disaster_Probability"] >= r["Decision_Threshold"]) == (r["Predicted_Disaster_Class"] == 1) for r in facts)
+
+
+def plain_shapley(tree, x):
+    """Shapley values by all subsets of features."""
+    from itertools import combinations
+    from math import factorial
+
+    def value(node, known):
+        f = tree["feature"][node]
+        if f < 0:
+            return tree["value"][node]
+        left, right = tree["left"][node], tree["right"][node]
+        if f in known:
+            return value(left if x[f] <= tree["threshold"][node] else right, known)
+        return (tree["cover"][left] * value(left, known) + tree["cover"][right] * value(right, known)) / tree["cover"][node]
+
+    n = len(x)
+    out = [0.0] * n
+    for i in range(n):
+        others = [j for j in range(n) if j != i]
+        for size in range(n):
+            for known in combinations(others, size):
+                out[i] += factorial(size) * factorial(n - size - 1) / factorial(n) * (value(0, {*known, i}) - value(0, set(known)))
+    return out
+
+
+def test_shapley_values_equal_all_subsets():
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+
+    def grown(depth):
+        tree = {k: [] for k in ("feature", "threshold", "left", "right", "value", "cover")}
+
+        def visit(level, cover):
+            i = len(tree["feature"])
+            for k, v in zip(tree, (-1, 0.0, i, i, rng.normal(), cover)):
+                tree[k].append(v)
+            if level and rng.random() < 0.85:
+                part = cover * rng.uniform(0.1, 0.9)
+                tree["feature"][i], tree["threshold"][i] = int(rng.integers(0, 5)), rng.normal()
+                tree["left"][i], tree["right"][i] = visit(level - 1, part), visit(level - 1, cover - part)
+            return i
+
+        visit(depth, 100.0)
+        return {k: np.array(v) for k, v in tree.items()}
+
+    for depth in (0, 1, 2, 4, 6):
+        tree = grown(depth)
+        x = rng.normal(size=(6, 5))
+        out = np.zeros(x.shape)
+        models.add_shapley(models.tree_paths(tree), x, out)
+        assert np.allclose(out, [plain_shapley(tree, row) for row in x])
+
+
+def test_shapley_values_add_up(parts):
+    train, _, _, test = parts
+    for kind, settings in (("random_forest", SMALL), ("gradient_boosting", {"maxIter": 3, "maxDepth": 3})):
+        model = models.fit_classifier(train, kind, **settings)
+        rows = test.limit(200)
+        total = models.shapley_values(model, rows, "Record_ID").selectExpr("Record_ID", "base + aggregate(values, 0D, (a, b) -> a + b) AS total")
+        raw = vector_to_array("base_raw")[1] if kind == "gradient_boosting" else vector_to_array("base_probability")[1]
+        both = model.transform(rows).select("Record_ID", raw.alias("out")).join(total, "Record_ID").collect()
+        assert len(both) == rows.count() and all(r["out"] == pytest.approx(r["total"], abs=1e-9) for r in both)
