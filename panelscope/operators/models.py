@@ -47,6 +47,7 @@ from ..schema import (
 )
 from ..sources.durable import count_rows, durable
 from . import metrics
+from .newton import NewtonClassifier, NewtonRegressor
 from .ordering import row_numbers
 from .permute import permuted_values
 from .profile import mode_values
@@ -55,6 +56,17 @@ TARGET = "Disaster_Next_Month"
 WEIGHT = "class_weight"
 
 
+# Settings of second-order boosting by the name of the library whose defaults they are.
+# Leaves are unlimited in depth there where 31 leaves are the limit; here eight levels are.
+NEWTON = {
+    "xgboost": {"maxIter": 100, "maxDepth": 6, "stepSize": 0.3, "regLambda": 1.0, "minChildWeight": 1.0},
+    "lightgbm": {
+        "maxIter": 100, "maxDepth": 8, "maxLeaves": 31, "stepSize": 0.1, "regLambda": 0.0, "minChildWeight": 0.001,
+        "minInstancesPerNode": 20,
+    },
+}
+
+
 def _base_columns(model):
     """Output columns of the uncalibrated classifier inside a calibrated pipeline."""
     model.setPredictionCol("base_prediction")
@@ -148,15 +160,10 @@ def with_positive_weight(df: DataFrame, label: str = TARGET, output: str = WEIGH
 def classifier(kind: str, seed: int = 42, **params):
     """Unfitted classifier by name, with the weights column attached.
 
-    ``xgboost`` and ``lightgbm`` are presets of MLlib's boosted trees with the
-    default depth and learning rate of those libraries.
+    ``xgboost`` and ``lightgbm`` are second-order boosting with the default
+    settings of those libraries; see ``NEWTON``.
     """
     common = {"labelCol": TARGET, "weightCol": WEIGHT, "featuresCol": "features"}
-    boosted = {
-        "gradient_boosting": {"maxDepth": 5, "stepSize": 0.1},
-        "xgboost": {"maxDepth": 6, "stepSize": 0.3},
-        "lightgbm": {"maxDepth": 5, "stepSize": 0.1},
-    }
     if kind == "logistic_regression":
         # features are already standardised; see ``fit_classifier`` for the penalty
         model = LogisticRegression(**{**common, "maxIter": 1000, "standardization": False, **params})
@@ -164,8 +171,10 @@ def classifier(kind: str, seed: int = 42, **params):
         model = RandomForestClassifier(
             **{**common, "numTrees": 100, "maxDepth": 30, "featureSubsetStrategy": "sqrt", "seed": seed, **params}
         )
-    elif kind in boosted:
-        model = GBTClassifier(**{**common, "maxIter": 100, "seed": seed, **boosted[kind], **params})
+    elif kind == "gradient_boosting":
+        model = GBTClassifier(**{**common, "maxIter": 100, "maxDepth": 5, "stepSize": 0.1, "seed": seed, **params})
+    elif kind in NEWTON:
+        model = NewtonClassifier(**{**common, "seed": seed, **NEWTON[kind], **params})
     else:
         raise ValueError(f"unknown classifier: {kind}")
     return _base_columns(model)
@@ -299,13 +308,10 @@ def regressor(kind: str, rows: DataFrame, label: str, seed: int = 42, **params):
         return ridge(label, _ridge_penalty(rows, label, params.pop("alpha", 1.0)))
     if kind == "random_forest":
         return RandomForestRegressor(**{**tree, "numTrees": 100, "maxDepth": 30, "featureSubsetStrategy": "all", **params})
-    boosted = {
-        "gradient_boosting": {"maxDepth": 5, "stepSize": 0.1},
-        "xgboost": {"maxDepth": 6, "stepSize": 0.3},
-        "lightgbm": {"maxDepth": 5, "stepSize": 0.1},
-    }
-    if kind in boosted:
-        return GBTRegressor(**{**tree, "maxIter": 100, **boosted[kind], **params})
+    if kind == "gradient_boosting":
+        return GBTRegressor(**{**tree, "maxIter": 100, "maxDepth": 5, "stepSize": 0.1, **params})
+    if kind in NEWTON:
+        return NewtonRegressor(**{**tree, **NEWTON[kind], **params})
     if kind == "gamma":
         return GeneralizedLinearRegression(
             **{"family": "gamma", "link": "log", "labelCol": label, "featuresCol": "features", "regParam": 1.0, "maxIter": 100, **params}
@@ -657,6 +663,8 @@ def add_shapley(paths: Sequence[LeafPath], x: np.ndarray, out: np.ndarray) -> No
 
 def ensemble_paths(ensemble) -> list[list[LeafPath]]:
     """The leaf paths of the trees of a fitted ensemble, with the trees' weights in the values."""
+    if hasattr(ensemble, "tree_arrays"):
+        return [tree_paths(t) for t in ensemble.tree_arrays]
     weights = [1.0 / len(ensemble.trees)] * len(ensemble.trees)
     if "GBT" in type(ensemble).__name__:
         weights = list(ensemble.treeWeights)
@@ -670,7 +678,7 @@ def shapley_values(model: PipelineModel, rows: DataFrame, key: str) -> DataFrame
     trees and the prediction of a regressor.  The model travels with the task.
     """
     trees = ensemble_paths(model.stages[-1])
-    base = sum(expected_value(t) for t in trees)
+    base = sum(expected_value(t) for t in trees) + getattr(model.stages[-1], "base", 0.0)
     prepared = PipelineModel(stages=model.stages[:-1]).transform(rows).select(key, vector_to_array("features").alias("x"))
 
     def explain(batches):
