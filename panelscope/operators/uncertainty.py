@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw_index, uniform
@@ -392,6 +392,63 @@ def residual_bootstrap_intervals(
     )
 
 
+def residual_rank_intervals(
+    df: DataFrame, key: str, unit: str = "unit", y: str = "y", y_hat: str = "y_hat",
+    n_replicates: int = 500, seed: int = 42,
+) -> DataFrame:
+    """(key, y, y_hat, lower, upper): as ``residual_bootstrap_intervals``, for units of any size.
+
+    A unit's residuals have slots in ascending order, so that sorted draws of
+    slots are sorted draws of residuals: a row finds out by itself which slots
+    its quantiles need, and only those (four a row, not one a replicate) are
+    looked up by an equal join on (unit, slot).  No residuals travel in arrays,
+    and lookups of one large unit spread over its slots.
+
+    ``key`` is unique.  Rows without unit, ``y`` or ``y_hat`` take no part.
+    Equal residuals share a value, so their order does not matter.
+    """
+    fit, truth = F.col(y_hat).cast("double"), F.col(y).cast("double")
+    rows = durable(
+        df.select(F.col(key).alias("_key"), F.col(unit).alias("_unit"), truth.alias("_y"), fit.alias("_fit"), (truth - fit).alias("_e"))
+        .where("_unit IS NOT NULL AND _e IS NOT NULL")
+    )
+    ties = durable(rows.groupBy("_unit", "_e").agg(F.count(F.lit(1)).alias("_ties")))
+    run = running_totals(ties, "_e", {"_upto": "_ties"}, ["_unit"])
+    slots = run.select("_unit", "_e", F.explode(F.sequence(F.col("_upto") - F.col("_ties"), F.col("_upto") - 1)).alias("_slot"))
+    sizes = ties.groupBy("_unit").agg(
+        F.sum("_ties").alias("_n"), F.sum(F.when(F.col("_e") < 0, F.col("_ties")).otherwise(0)).alias("_negative")
+    )
+    drawn = cluster_draws(sizes, "_unit", n_replicates, seed).groupBy("_unit").agg(F.collect_set("rep").alias("_reps"))
+    units = sizes.join(drawn, "_unit", "left").withColumn("_reps", F.coalesce("_reps", F.array().cast("array<int>")))
+    picks = F.array_sort(F.transform("_reps", lambda r: draw_index(F.col("_n"), seed, "residual", r, F.col("_key"))))
+    drawn_rows = rows.join(units, "_unit").select("_key", "_unit", "_negative", picks.alias("_picks"))
+
+    # replicates that miss the unit give residual 0, which stands between negative and other draws
+    below, zeros = F.size(F.filter("_picks", lambda s: s < F.col("_negative"))), F.lit(int(n_replicates)) - F.size("_picks")
+
+    def slot(rank: int) -> Column:
+        at = F.when(F.lit(rank) < F.col("_below"), rank).when(F.lit(rank) >= F.col("_below") + F.col("_zeros"), F.lit(rank) - F.col("_zeros"))
+        return F.when(at.isNotNull(), F.get("_picks", at))
+
+    places = [q * (n_replicates - 1) for q in CI_LEVELS]
+    ranks = [r for p in places for r in (int(p), min(int(p) + 1, n_replicates - 1))]
+    asked = drawn_rows.withColumn("_below", below).withColumn("_zeros", zeros).select(
+        "_key", "_unit", F.posexplode(F.array(*[slot(r) for r in ranks])).alias("_i", "_slot")
+    ).where("_slot IS NOT NULL")
+    found = asked.join(slots, ["_unit", "_slot"]).groupBy("_key").agg(
+        *[F.max(F.when(F.col("_i") == i, F.col("_e"))).alias(f"_e{i}") for i in range(len(ranks))]
+    )
+
+    def quantile(i: int) -> Column:
+        a, b = F.coalesce(f"_e{2 * i}", F.lit(0.0)), F.coalesce(f"_e{2 * i + 1}", F.lit(0.0))
+        return a + (b - a) * F.lit(places[i] - int(places[i]))
+
+    return rows.join(found, "_key", "left").select(
+        F.col("_key").alias(key), F.col("_y").alias("y"), F.col("_fit").alias("y_hat"),
+        (F.col("_fit") + quantile(0)).alias("lower"), (F.col("_fit") + quantile(1)).alias("upper"),
+    )
+
+
 def interval_summary(intervals: DataFrame) -> DataFrame:
     """Coverage, mean and median width, mean prediction and mean truth."""
     held = durable(intervals)

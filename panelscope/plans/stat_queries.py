@@ -257,6 +257,15 @@ def ks_query(spark, folder):
     return hyp.ks_normal(v.losses(spark, folder), _error())
 
 
+@query("residual_normality_ad", f"""WITH {o.LOSSES}, e AS (SELECT y-y_hat e FROM losses), m AS (SELECT count(*) n, avg(e) mu, stddev_samp(e) sd FROM e),
+  z AS (SELECT (e-mu)/sd z, n, row_number() OVER (ORDER BY e) i FROM e, m), g AS (SELECT unnest(generate_series(0,1200)) k),
+  t AS (SELECT i, any_value(n) n, any_value(z) z, sum((CASE WHEN k IN (0,1200) THEN 1 WHEN k%2=1 THEN 4 ELSE 2 END)*exp(-pow(abs(z)/sqrt(2)+k*0.005::DOUBLE,2)))*0.005::DOUBLE/3/sqrt(pi()) q FROM z, g GROUP BY i),
+  l AS (SELECT i, n, CASE WHEN z<0 THEN ln(q) ELSE ln(1-q) END lo, CASE WHEN z<0 THEN ln(1-q) ELSE ln(q) END hi FROM t)
+  SELECT n, {r6('-n-s/n', 4)} a_squared FROM (SELECT any_value(n)::BIGINT n, sum((2*i-1)*lo+(2*(n-i)+1)*hi) s FROM l)""")
+def anderson_query(spark, folder):
+    return hyp.anderson_darling(v.losses(spark, folder), _error()).select("n", *_r("a_squared", digits=4))
+
+
 @query("heteroscedasticity", f"""WITH {o.LINE_LOSSES}, p AS (SELECT y_hat a, abs(y-y_hat) b FROM line_losses),
   r AS (SELECT rank() OVER (ORDER BY a DESC)+(count(*) OVER (PARTITION BY a)-1)/2.0::DOUBLE ra,
   rank() OVER (ORDER BY b DESC)+(count(*) OVER (PARTITION BY b)-1)/2.0::DOUBLE rb FROM p)
@@ -518,6 +527,18 @@ def residual_bootstrap_query(spark, folder):
     return out.select("Record_ID", *_r("lower", "upper", "y", "y_hat"))
 
 
+@query("residual_rank_intervals", f"""WITH {o.LOSSES}, {_draws('losses', 500, 42)},
+  e AS (SELECT Record_ID, unit, y, y_hat, y-y_hat e, row_number() OVER (PARTITION BY unit ORDER BY y-y_hat, Record_ID) rn, count(*) OVER (PARTITION BY unit) n FROM losses),
+  pk AS (SELECT a.Record_ID, a.y, a.y_hat, r.rep, CASE WHEN d.rep IS NULL THEN 0.0::DOUBLE ELSE b.e END e
+    FROM e a CROSS JOIN (SELECT unnest(generate_series(1,500)) rep) r LEFT JOIN draws d ON d.rep=r.rep AND d.unit=a.unit
+    JOIN e b ON b.unit=a.unit AND b.rn=floor({o.uniform("42", "'residual'", 'r.rep', 'a.Record_ID')}*a.n)::BIGINT+1),
+  iv AS (SELECT Record_ID, any_value(y) y, any_value(y_hat) y_hat, any_value(y_hat)+quantile_cont(e,0.025) lo, any_value(y_hat)+quantile_cont(e,0.975) hi FROM pk GROUP BY 1)
+  SELECT Record_ID, {r6('lo')} "lower", {r6('hi')} "upper", {r6('y')} y, {r6('y_hat')} y_hat FROM iv""")
+def residual_rank_query(spark, folder):
+    out = unc.residual_rank_intervals(v.losses(spark, folder), "Record_ID")
+    return out.select("Record_ID", *_r("lower", "upper", "y", "y_hat"))
+
+
 @query("interval_summary", f"""WITH {o.LOSSES}, iv AS (SELECT y, y_hat, y_hat-5 lo, y_hat+5 hi FROM losses)
   SELECT {r6('avg((y BETWEEN lo AND hi)::INT)')} coverage, {r6('avg(hi-lo)')} mean_width, {r6('median(hi-lo)')} median_width,
   {r6('avg(y_hat)')} mean_prediction, {r6('avg(y)')} mean_true FROM iv""")

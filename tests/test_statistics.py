@@ -163,3 +163,46 @@ def test_residual_diagnostics(spark):
     assert inf["n_influential"] == want
     qq = hyp.qq_points(df, e, 9).orderBy("prob").collect()
     assert [r["sample"] for r in qq] == sorted(r["sample"] for r in qq) and len(qq) == 9
+
+
+def test_anderson_darling_against_sorted_values(spark):
+    for values in (RNG.normal(3, 2, 300), RNG.exponential(1, 300), RNG.integers(0, 6, 300).astype(float), RNG.normal(0, 1, 8)):
+        e = np.sort(values)
+        cdf = np.array([math.erfc(-v / math.sqrt(2)) / 2 for v in (e - e.mean()) / e.std(ddof=1)])
+        i, n = np.arange(1, len(e) + 1), len(e)
+        want = -n - ((2 * i - 1) * (np.log(cdf) + np.log1p(-cdf[::-1]))).sum() / n
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "e double")
+        row = hyp.anderson_darling(df, F.col("e")).first()
+        assert row["n"] == n and row["a_squared"] == pytest.approx(want, abs=1e-7) and 0 <= row["p_value"] <= 1
+
+
+def test_anderson_darling_levels(spark, ranges):
+    def p(values):
+        return hyp.anderson_darling(spark.createDataFrame([(float(v),) for v in values], "e double"), F.col("e")).first()
+
+    grid = [tails.normal_quantile((i + 0.5) / 200) for i in range(200)]
+    assert p(grid)["p_value"] > 0.99 and p(np.exp(grid))["p_value"] < 1e-6
+    assert p([1.0] * 20)["a_squared"] is None and p([1.0] * 20)["p_value"] is None
+    assert p([1.0, 2.0, 4.0])["p_value"] is None and p([])["n"] == 0
+
+
+def test_residual_rank_intervals_against_brute_force(spark, ranges):
+    import hashlib
+
+    from panelscope.operators import uncertainty as unc
+
+    reps, seed = 40, 7
+    rows = [(k, "hot" if k % 3 else f"u{k % 15}", float(RNG.integers(-3, 4)), float(RNG.integers(0, 3)) / 2) for k in range(150)]
+    df = spark.createDataFrame([*rows, (900, None, 1.0, 1.0), (901, "hot", None, 1.0)], "k long, unit string, y double, f double")
+    draws = permute.cluster_draws(df.where("unit IS NOT NULL"), "unit", reps, seed).collect()
+    hit = {(r["rep"], r["unit"]) for r in draws}
+    got = {r["k"]: r for r in unc.residual_rank_intervals(df, "k", y_hat="f", n_replicates=reps, seed=seed).collect()}
+    assert len(got) == 150
+    for k, unit, y, f in rows:
+        pool = sorted(a - b for _, u, a, b in rows if u == unit)
+        values = []
+        for r in range(1, reps + 1):
+            u = int(hashlib.md5(f"{seed}:residual:{r}:{k}".encode()).hexdigest()[:8], 16) / 2**32
+            values.append(pool[int(u * len(pool))] if (r, unit) in hit else 0.0)
+        low, high = np.quantile(values, [0.025, 0.975])
+        assert (got[k]["lower"], got[k]["upper"]) == pytest.approx((f + low, f + high), abs=1e-9)
