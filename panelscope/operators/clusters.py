@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import divide
-from ..sources.durable import count_rows, durable
+from ..sources.durable import count_rows, durable, with_rows
 
 # Labels of the four operational clusters.
 TYPOLOGY = {
@@ -33,14 +35,146 @@ def standardised(df: DataFrame, columns: Sequence[str], output: str = "features"
     return model.transform(df).drop("_raw"), model
 
 
-def kmeans(df: DataFrame, k: int, restarts: int = 10, seed: int = 42, features: str = "features", output: str = "Cluster"):
-    """Best of ``restarts`` k-means fits by within-cluster cost."""
-    best = None
-    for i in range(restarts):
-        model = KMeans(k=k, seed=seed + i, maxIter=300, tol=1e-6, featuresCol=features, predictionCol=output).fit(df)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    return best
+def _mixed(keys: np.ndarray, *labels: int) -> np.ndarray:
+    """Uniforms in (0, 1] from 64-bit row keys and labels (splitmix64 steps)."""
+    h = keys.astype(np.uint64)
+    with np.errstate(over="ignore"):
+        for label in (*labels, 0):
+            h = h + np.uint64(0x9E3779B97F4A7C15) * np.uint64(label + 1)
+            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            h = h ^ (h >> np.uint64(31))
+    return ((h >> np.uint64(11)).astype(float) + 1.0) / 2.0**53
+
+
+def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances, rows x centres, coordinate by coordinate, so that equal points are at 0."""
+    out = np.zeros((len(x), len(centres)))
+    for j in range(x.shape[1]):
+        out += (x[:, j, None] - centres[None, :, j]) ** 2
+    return out
+
+
+def _next_centres(points: DataFrame, sets: dict[int, np.ndarray], step: int, seed: int) -> dict[int, np.ndarray]:
+    """One more centre per set, drawn by squared distance to its centres: the row with the least exponential clock."""
+
+    def clocks(batches):
+        best = {}
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x, keys = np.stack(pdf["x"].to_numpy()), pdf["h"].to_numpy().view(np.uint64)
+            for number, centres in sets.items():
+                weight = _distances(x, centres).min(axis=1) if len(centres) else np.ones(len(x))
+                with np.errstate(divide="ignore"):
+                    clock = -np.log(_mixed(keys, seed, number, step)) / weight
+                clock = np.where(weight > 0, clock, np.inf)
+                at = np.lexsort((keys, clock))[0]
+                best[number] = min(best.get(number, (np.inf, 0, None)), (clock[at], keys[at], x[at]), key=lambda b: b[:2])
+        rows = [(n, float(c), k.astype(np.int64), x) for n, (c, k, x) in best.items() if x is not None and np.isfinite(c)]
+        yield pd.DataFrame(rows, columns=["s", "clock", "h", "x"])
+
+    drawn = points.mapInPandas(clocks, "s int, clock double, h long, x array<double>").groupBy("s")
+    found = {r["s"]: np.array(r["x"]) for r in drawn.agg(F.min_by("x", F.struct("clock", "h")).alias("x")).collect()}  # one row per set
+    return {n: np.array([*c, found[n]]) if n in found else c for n, c in sets.items()}
+
+
+def _moved(points: DataFrame, sets: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, float]]:
+    """Means of the rows nearest to every centre, and the cost before the move, of all sets in one scan."""
+    numbers = list(sets)
+    width = len(next(iter(sets.values()))[0])
+
+    def partial(batches):
+        part = TaskContext.get().partitionId()
+        sums = {n: np.zeros((len(sets[n]), width + 2)) for n in numbers}
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = np.stack(pdf["x"].to_numpy())
+            for n in numbers:
+                d = _distances(x, sets[n])
+                own = d.argmin(axis=1)
+                for j, v in enumerate((*x.T, np.ones(len(x)), d[np.arange(len(x)), own])):
+                    sums[n][:, j] += np.bincount(own, v, len(sets[n]))
+        yield pd.DataFrame({"s": numbers, "part": part, "sums": [sums[n].tobytes() for n in numbers]})
+
+    def add(batches):
+        number, total = None, None
+        for pdf in batches:
+            for n, sums in zip(pdf["s"], pdf["sums"]):
+                if n != number:
+                    if total is not None:
+                        yield pd.DataFrame({"s": [number], "sums": [total.tobytes()]})
+                    number, total = n, 0.0
+                total = total + np.frombuffer(sums)
+        if total is not None:
+            yield pd.DataFrame({"s": [number], "sums": [total.tobytes()]})
+
+    # added in the order of the tasks, so that reruns agree; the driver takes one row per set
+    rows = points.mapInPandas(partial, "s int, part int, sums binary").repartition("s").sortWithinPartitions("s", "part")
+    out = {}
+    for r in rows.mapInPandas(add, "s int, sums binary").collect():
+        total = np.frombuffer(r["sums"]).reshape(-1, width + 2)
+        n = total[:, width, None]
+        out[r["s"]] = np.where(n > 0, total[:, :width] / np.maximum(n, 1.0), sets[r["s"]]), float(total[:, width + 1].sum())
+    return out
+
+
+def kmeans_all(
+    df: DataFrame, unit: str, ks: Sequence[int], restarts: int = 10, seed: int = 42, features: str = "features", rounds: int = 300,
+    tol: float = 1e-6,
+) -> dict[int, tuple[np.ndarray, float]]:
+    """{k: (centres, cost)}: the best of ``restarts`` k-means fits of every k, all fitted together.
+
+    One scan a step serves every (k, restart): distance-weighted seeding takes
+    as many as the largest k has centres, then each scan assigns the rows and
+    sums them, until no centre of a set moves by more than ``tol`` or after
+    ``rounds``.  A set that has settled leaves the scans.  Centres come sorted.
+
+    Draws are keyed by the unit.  Rows with null features take no part; with
+    fewer distinct points than k there are fewer centres; a centre that loses
+    all rows stays.  No rows: no centres and cost 0.
+    """
+    points = durable(df.where(F.col(features).isNotNull()).select(vector_to_array(features).alias("x"), F.xxhash64(unit).alias("h")))
+    size = {i * restarts + r: k for i, k in enumerate(ks) for r in range(restarts)}
+    sets: dict[int, np.ndarray] = {n: np.zeros((0, 0)) for n in size}
+    for step in range(max(ks)):
+        growing = {n: c for n, c in sets.items() if size[n] > step and len(c) == step}
+        if not growing:
+            break
+        sets.update(_next_centres(points, growing, step, seed))
+    cost, active = dict.fromkeys(sets, 0.0), [n for n, c in sets.items() if len(c)]
+    for _ in range(rounds):
+        if not active:
+            break
+        still = []
+        for n, (centres, spent) in _moved(points, {n: sets[n] for n in active}).items():
+            cost[n] = spent
+            if ((centres - sets[n]) ** 2).sum(axis=1).max() > tol * tol:
+                still.append(n)
+                sets[n] = centres
+        active = sorted(still)
+    if active:
+        cost.update({n: spent for n, (_, spent) in _moved(points, {n: sets[n] for n in active}).items()})
+    out = {}
+    for k in ks:
+        best = min((n for n in size if size[n] == k), key=lambda n: (cost[n], n))
+        out[k] = np.array(sorted(sets[best].tolist())), cost[best]
+    return out
+
+
+def with_clusters(df: DataFrame, fitted: dict[int, tuple[np.ndarray, float]], columns: dict[int, str], features: str = "features") -> DataFrame:
+    """Add the number of the nearest centre for every k; null without features, the first centre on a tie."""
+    x = vector_to_array(features)
+
+    def nearest(centres: np.ndarray) -> Column:
+        gaps = F.array(*[
+            F.aggregate(F.zip_with(x, F.array(*[F.lit(float(v)) for v in c]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+            for c in centres
+        ])
+        return (F.array_position(gaps, F.array_min(gaps)) - 1).cast("int")
+
+    return df.withColumns({name: nearest(fitted[k][0]) if len(fitted[k][0]) else F.lit(None).cast("int") for k, name in columns.items()})
 
 
 def kmeans_units(
@@ -48,12 +182,8 @@ def kmeans_units(
 ) -> DataFrame:
     """Cluster of every unit; ids are ordered by the first centroid coordinate."""
     scaled, _ = standardised(df, columns)
-    model = kmeans(scaled, k, restarts, seed)
-    order = sorted(range(len(model.clusterCenters())), key=lambda c: tuple(model.clusterCenters()[c]))
-    renumber = F.create_map(*[F.lit(x) for new, old in enumerate(order) for x in (old, new)])
-    return model.transform(scaled).select(
-        unit, *columns, renumber[F.col("Cluster")].cast("int").alias("Cluster")
-    )
+    fitted = kmeans_all(scaled, unit, [k], restarts, seed)
+    return with_clusters(scaled, fitted, {k: "Cluster"}).select(unit, *columns, "Cluster")
 
 
 def cluster_sums(df: DataFrame, cluster: str, columns: Sequence[str]) -> DataFrame:
@@ -172,9 +302,11 @@ def cluster_diagnostics(
     scaled, _ = standardised(df.select(unit, *columns), columns)
     coords = [f"z{i}" for i in range(len(columns))]
     flat = durable(scaled.select(unit, "features", *[vector_to_array("features")[i].alias(z) for i, z in enumerate(coords)]))
+    fitted = kmeans_all(flat, unit, ks, restarts, seed)
+    assigned = durable(with_clusters(flat, fitted, {k: f"Cluster_{k}" for k in ks}).drop("features"))
     out = None
     for k in ks:
-        labels = durable(kmeans(flat, k, restarts, seed).transform(flat).select(unit, *coords, "Cluster"))
+        labels = with_rows(assigned.select(unit, *coords, F.col(f"Cluster_{k}").alias("Cluster")), count_rows(assigned))
         sizes = labels.groupBy("Cluster").count().agg(F.sort_array(F.collect_list("count"), asc=False).alias("cluster_sizes"))
         # single aggregate rows
         row = silhouette(labels, unit, "Cluster", coords).join(

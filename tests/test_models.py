@@ -155,6 +155,33 @@ def test_clusters(spark):
     assert pcs.columns == ["u", "PCA_1", "PCA_2"] and pcs.count() == 60
 
 
+def test_all_kmeans_fits_together(spark, ranges):
+    import numpy as np
+    from pyspark.ml.functions import array_to_vector
+
+    rng = np.random.default_rng(2)
+    towns = np.array([[0.0, 0.0], [9.0, 0.0], [0.0, 9.0], [9.0, 9.0]])
+    x = np.vstack([t + rng.normal(size=(n, 2)) for t, n in zip(towns, (300, 20, 20, 60))])
+    rows = [(i, [float(v) for v in p]) for i, p in enumerate(x)]
+    df = spark.createDataFrame(rows, "u long, x array<double>").repartition(5, "u").select("u", array_to_vector("x").alias("features"))
+    fitted = clusters.kmeans_all(df, "u", [2, 4, 5], restarts=6)
+    again = clusters.kmeans_all(df.repartition(2), "u", [2, 4, 5], restarts=6)
+    for k, (centres, cost) in fitted.items():
+        d = ((x[:, None] - centres[None]) ** 2).sum(axis=2)
+        own = d.argmin(axis=1)
+        assert len(centres) == k and cost == pytest.approx(d.min(axis=1).sum())
+        assert np.allclose(centres, [x[own == c].mean(axis=0) for c in range(k)], atol=1e-6)  # settled
+        assert np.allclose(centres, again[k][0]) and cost == pytest.approx(again[k][1])
+        labels = clusters.with_clusters(df, fitted, {k: "c"}).orderBy("u").toPandas()["c"].to_numpy()
+        assert (labels == own).all()
+    assert np.abs(towns[:, None] - fitted[4][0][None]).max(axis=2).min(axis=1).max() < 0.8  # every town has a centre
+    assert fitted[5][1] < fitted[4][1] < fitted[2][1]
+    few = clusters.kmeans_all(df.where("u < 2").unionByName(df.where("u < 2")), "u", [3], restarts=2)
+    assert len(few[3][0]) == 2 and few[3][1] == 0.0
+    odd = df.limit(3).withColumn("features", F.when(F.col("u") < 0, F.col("features")))
+    assert len(clusters.kmeans_all(odd, "u", [2], restarts=1)[2][0]) == 0
+
+
 def test_logistic_penalty_is_one_over_n(parts):
     """Weighted mean loss plus |w|^2 / (2 n): the gradient vanishes at the fit."""
     import numpy as np
