@@ -6,8 +6,10 @@ loop, no per-replicate job.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,21 +62,49 @@ def permuted_values(
     return placed.join(numbered.select("_i", unit, *keep), "_i").join(values, "_pos").select("rep", unit, *keep, value)
 
 
+def _drawn(units: DataFrame, unit: str, n_replicates: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Numbered units, and (rep, number) of the unit that each slot of each replicate takes."""
+    distinct = durable(units.select(unit).distinct())
+    n = count_rows(distinct)
+    numbered = durable(row_numbers(distinct, unit, "_index", start=0))
+    slots = replicates(numbered.select(F.col("_index").alias("_slot")), n_replicates)
+    return numbered, slots.select("rep", draw_index(n, seed, F.col("rep"), F.col("_slot")).alias("_index"))
+
+
 def cluster_draws(units: DataFrame, unit: str, n_replicates: int, seed: int = 42) -> DataFrame:
     """(rep, unit, mult): n units drawn with replacement per replicate.
 
     Slot i of replicate r takes unit number floor(u(r, i) * n).  Multiplicity
     is carried as a weight; rows are never copied.
     """
-    distinct = durable(units.select(unit).distinct())
-    n = count_rows(distinct)
-    numbered = row_numbers(distinct, unit, "_index", start=0)
-    slots = replicates(numbered.select(F.col("_index").alias("_slot")), n_replicates)
-    drawn = slots.select("rep", draw_index(n, seed, F.col("rep"), F.col("_slot")).alias("_index"))
+    numbered, drawn = _drawn(units, unit, n_replicates, seed)
     mult = drawn.groupBy("rep", "_index").agg(F.count(F.lit(1)).alias("mult"))
     return mult.join(numbered, "_index").select("rep", unit, "mult")
 
 
+def draw_vectors(units: DataFrame, unit: str, n_replicates: int, seed: int = 42) -> DataFrame:
+    """(unit, mult): ``cluster_draws`` with one array per unit, place r - 1 for replicate r.
+
+    Units that no replicate draws are left out.  A unit is drawn about once a
+    replicate, so its list of draws is about as long as its vector.
+    """
+    numbered, drawn = _drawn(units, unit, n_replicates, seed)
+    size = int(n_replicates)
+
+    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                reps = part.column("reps")
+                row = np.repeat(np.arange(part.num_rows), reps.value_lengths().to_numpy())
+                mult = np.bincount(row * size + reps.flatten().to_numpy() - 1, minlength=part.num_rows * size)
+                offsets = pa.array(np.arange(part.num_rows + 1) * size, pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column("_index"), pa.ListArray.from_arrays(offsets, pa.array(mult, pa.int64()))], ["_index", "mult"])
+
+    lists = drawn.groupBy("_index").agg(F.collect_list("rep").alias("reps"))
+    return lists.mapInArrow(dense, "_index bigint, mult array<bigint>").join(numbered, "_index").select(unit, "mult")
+
+
 def weighted_replicates(rows: DataFrame, draws: DataFrame, unit: str) -> DataFrame:
     """Rows of drawn units once per replicate, with ``mult`` as weight."""
     return rows.join(draws, unit)

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw_index, uniform
 from ..functions.numeric import divide
 from ..schema import COMPONENTS, EXPERT_WEIGHTS
-from ..sources.durable import count_rows, durable
+from ..sources.durable import durable
 from . import metrics
-from .ordering import average_rank, exact_quantiles, running_totals
-from .permute import cluster_draws
+from .ordering import _ranged, average_rank, exact_quantiles, running_totals
+from .permute import cluster_draws, draw_vectors
+
+MAX_SIMULATIONS = 1_000_000  # weight rows that travel with a task
 
 
 def _literal_weights(spark: SparkSession, rows: list[tuple], columns: Sequence[str], id_schema: str) -> DataFrame:
@@ -90,37 +95,48 @@ def dirichlet_weights(
     return spark.range(1, n + 1).mapInPandas(draw, "sim long, " + ", ".join(f"{c} double" for c in names))
 
 
-def simulated_scores(
+def _in_row(means: DataFrame, weights: DataFrame, ids: Sequence[str], score: Column) -> DataFrame:
+    """``means`` with ``_sims``, an array of (ids, score) in the order of ``ids``.
+
+    The weight table has one row per simulation, a parameter of the method and
+    not of the data; its size is checked where it becomes one row.
+    """
+    table = weights.agg(F.array_sort(F.collect_list(F.struct(*ids, *[c for c in weights.columns if c not in ids]))).alias("_w"))
+    message = F.lit(f"more than {MAX_SIMULATIONS} simulations")
+    table = table.select(F.when(F.size("_w") <= MAX_SIMULATIONS, F.col("_w")).otherwise(F.raise_error(message)).alias("_w"))
+    # the right side is a single aggregate row
+    return means.join(F.broadcast(table), F.lit(True)).withColumn("_sims", score).drop("_w")
+
+
+def simulated_arrays(
     means: DataFrame, weights: DataFrame, ids: Sequence[str], unit: str = "District",
-    components: Sequence[str] = tuple(COMPONENTS), output: str = "score",
+    components: Sequence[str] = tuple(COMPONENTS),
 ) -> DataFrame:
-    """(ids, unit, score): every weight row applied to every unit.
+    """(unit, components..., _sims): every weight row applied to a unit inside its row.
 
-    The weight table has one row per simulation, a parameter of the method and
-    not of the data, so it is gathered into one array literal column and
-    exploded on the unit side: no cross join, no shuffle of the units.  The
-    mean over time commutes with the linear index, so unit means suffice.
+    ``_sims`` holds (ids, score) in the order of ``ids``; a score is NULL where
+    a component is.  The mean over time commutes with the linear index, so
+    unit means suffice.  Nothing is shuffled.
     """
     names = [c for c in weights.columns if c not in ids]
-    rows = weights.select(*ids, *names).collect()
-    types = dict(weights.dtypes)
-    table = F.array(
-        *[F.struct(*[F.lit(r[c]).cast(types[c]).alias(c) for c in weights.columns]) for r in rows]
-    ) if len(rows) <= 128 else None
-    if table is not None:
-        spread = means.select(unit, *components, F.explode(table).alias("_w"))
-    else:
-        # larger simulations join on the simulation number
-        numbered = [(i, *[r[c] for c in weights.columns]) for i, r in enumerate(rows)]
-        schema = "_k int, " + ", ".join(f"`{c}` {types[c]}" for c in weights.columns)
-        lookup = means.sparkSession.createDataFrame(numbered, schema)
-        slots = means.select(unit, *components, F.explode(F.sequence(F.lit(0), F.lit(len(rows) - 1))).alias("_k"))
-        spread = slots.join(F.broadcast(lookup), "_k").select(unit, *components, F.struct(*weights.columns).alias("_w"))
-    score = None
-    for c, w in zip(components, names):
-        term = F.col(f"_w.{w}") * F.col(c)
-        score = term if score is None else score + term
-    return spread.select(*[F.col(f"_w.{i}").alias(i) for i in ids], unit, *components, score.alias(output))
+
+    def score(w: Column) -> Column:
+        total = None
+        for c, name in zip(components, names):
+            term = w[name] * F.col(c)
+            total = term if total is None else total + term
+        return F.struct(*[w[i].alias(i) for i in ids], total.alias("score"))
+
+    return _in_row(means.select(unit, *components), weights, ids, F.transform("_w", score))
+
+
+def simulated_scores(
+    means: DataFrame, weights: DataFrame, ids: Sequence[str], unit: str = "District",
+    components: Sequence[str] = tuple(COMPONENTS), output: str = "score",
+) -> DataFrame:
+    """(ids, unit, components..., score): ``simulated_arrays`` as rows, for operators that rank units within a simulation."""
+    rows = simulated_arrays(means, weights, ids, unit, components).select(unit, *components, F.explode("_sims").alias("_s"))
+    return rows.select(*[F.col(f"_s.{i}").alias(i) for i in ids], unit, *components, F.col("_s.score").alias(output))
 
 
 def _ranked(means: DataFrame, weights: DataFrame, ids: Sequence[str], unit: str, baseline: str, digits: int) -> DataFrame:
@@ -199,19 +215,28 @@ def random_weight_sensitivity(
 # --- Monte Carlo index ------------------------------------------------------
 
 
+def _place(values: str, size: Column, prob: float) -> Column:
+    """Linear-interpolation quantile of a sorted array column; NULL if it is empty."""
+    at = F.lit(prob) * (size - 1)
+    low, high = F.get(values, F.floor(at).cast("int")), F.get(values, F.ceil(at).cast("int"))
+    return F.when(size > 0, low + (high - low) * (at - F.floor(at)))
+
+
 def mc_risk_index(means: DataFrame, weights: DataFrame, unit: str = "District") -> DataFrame:
     """Mean, median, population sd and percentiles of the score per unit.
 
-    A unit has one value per simulation, so the percentile buffer is bounded by
-    the simulation count.
+    A unit's scores are one sorted array, as long as there are simulations, and
+    everything is computed from it in the unit's row.
     """
-    sims = simulated_scores(means, weights, ["sim"], unit)
-    levels = F.array(*[F.lit(x) for x in (0.5, 0.025, 0.975, 0.05, 0.95)])
-    out = sims.groupBy(unit).agg(
-        F.avg("score").alias("mean_risk"), F.stddev_pop("score").alias("std_risk"), F.percentile("score", levels).alias("q")
+    scores = F.array_sort(F.filter(F.transform("_sims", lambda s: s["score"]), lambda x: x.isNotNull()))
+    rows = simulated_arrays(means, weights, ["sim"], unit).select(unit, scores.alias("_x"))
+    n = F.size("_x")
+    rows = rows.withColumn("mean_risk", divide(F.aggregate("_x", F.lit(0.0), lambda acc, x: acc + x), n))
+    squares = F.aggregate("_x", F.lit(0.0), lambda acc, x: acc + (x - F.col("mean_risk")) * (x - F.col("mean_risk")))
+    levels = {"median_risk": 0.5, "ci_lower_2_5": 0.025, "ci_upper_97_5": 0.975, "ci_lower_5": 0.05, "ci_upper_95": 0.95}
+    return rows.select(
+        unit, "mean_risk", F.sqrt(divide(squares, n)).alias("std_risk"), *[_place("_x", n, q).alias(name) for name, q in levels.items()]
     )
-    names = ["median_risk", "ci_lower_2_5", "ci_upper_97_5", "ci_lower_5", "ci_upper_95"]
-    return out.select(unit, "mean_risk", "std_risk", *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
 
 
 def mc_weight_stats(weights: DataFrame, ids: Sequence[str] = ("sim",)) -> DataFrame:
@@ -229,22 +254,34 @@ def mc_convergence(
 ) -> DataFrame:
     """Grand mean, sd across simulations and sd of unit means at each checkpoint.
 
-    Simulations and units enter through sums: unit sums per checkpoint and
-    simulation totals weighted by the unit's row count.  Checkpoints are
+    The index is linear, so sums over units and means over simulations commute
+    with it: a simulation's grand mean is its weights applied to the mean
+    components of all rows, and a unit's mean at a checkpoint is the mean
+    weights applied to its components.  Neither needs a score per unit and
+    simulation.  Units that lack a component take no part.  Checkpoints are
     distinct and none exceeds the number of simulations.
     """
+    names = [c for c in weights.columns if c != "sim"]
     total_sims = weights.count()
     points = sorted({min(c, total_sims) for c in checkpoints})
-    sims = durable(simulated_scores(means, weights, ["sim"], unit).join(row_counts.select(unit, n_column), unit))
     marks = F.filter(F.array(*[F.lit(p) for p in points]), lambda c: c >= F.col("sim"))
-    per_sim = sims.groupBy("sim").agg((F.sum(F.col("score") * F.col(n_column)) / F.sum(n_column)).alias("m"))
-    across = per_sim.select("m", F.explode(marks).alias("n_iterations")).groupBy("n_iterations").agg(
-        F.avg("m").alias("grand_mean"), F.stddev_pop("m").alias("std_across_sims")
-    )
-    per_unit = sims.select(unit, "score", F.explode(marks).alias("n_iterations")).groupBy("n_iterations", unit).agg(
-        F.avg("score").alias("m")
+    marked = weights.select(*names, "sim", F.explode(marks).alias("n_iterations"))
+
+    def index(values: Sequence[Column], factors: Sequence[Column]) -> Column:
+        return sum((w * c for c, w in zip(values[1:], factors[1:])), factors[0] * values[0])
+
+    units = durable(means.join(row_counts.select(unit, n_column), unit).select(*COMPONENTS, n_column).dropna(subset=list(COMPONENTS)))
+    centre = units.agg(*[divide(F.sum(F.col(c) * F.col(n_column)), F.sum(n_column)).alias(f"_m{i}") for i, c in enumerate(COMPONENTS)])
+    # the right side is a single aggregate row
+    per_sim = marked.join(F.broadcast(centre), F.lit(True)).select(
+        "n_iterations", index([F.col(f"_m{i}") for i in range(len(names))], [F.col(c) for c in names]).alias("m")
     )
-    spread = per_unit.groupBy("n_iterations").agg(F.stddev_pop("m").alias("std_of_unit_means"))
+    across = per_sim.groupBy("n_iterations").agg(F.avg("m").alias("grand_mean"), F.stddev_pop("m").alias("std_across_sims"))
+    mean_weights = marked.groupBy("n_iterations").agg(*[F.avg(c).alias(c) for c in names])
+    table = mean_weights.agg(F.collect_list(F.struct("n_iterations", *names)).alias("_w"))  # one entry per checkpoint
+    at = units.join(F.broadcast(table), F.lit(True)).select(*COMPONENTS, F.explode("_w").alias("_w"))
+    at = at.select("_w.n_iterations", index([F.col(c) for c in COMPONENTS], [F.col(f"_w.{c}") for c in names]).alias("m"))
+    spread = at.groupBy("n_iterations").agg(F.stddev_pop("m").alias("std_of_unit_means"))
     return across.join(spread, "n_iterations")
 
 
@@ -283,6 +320,65 @@ def ordinal_rank(df: DataFrame, by: Sequence[str], value: str, unit: str) -> Dat
 CI_LEVELS = (0.025, 0.975)
 
 
+def _vector_sum(values: Column) -> Column:
+    """Element-wise sum of array columns, combined map side."""
+    return vector_to_array(Summarizer.sum(array_to_vector(values)))
+
+
+def _times(vector: str, factor: str) -> Column:
+    return F.transform(vector, lambda m: (m * F.col(factor)).cast("double"))
+
+
+def _curve_sums(replicates: int):
+    """Sums of the ROC and PR areas of each range, one row per range.
+
+    Rows arrive by range; the first of a range holds [tp, fp, positives] before
+    it, the others [n, positives] of a score, in descending order.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = tp = fp = positives = roc = pr = None
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array([held], pa.int32()), pa.array([roc], pa.list_(pa.float64())), pa.array([pr], pa.list_(pa.float64()))],
+                ["_range", "roc", "pr"],
+            )
+
+        for batch in batches:
+            ranges = batch.column("_range").to_numpy()
+            kinds = batch.column("kind").to_numpy()
+            vectors, lists = batch.column("v"), np.cumsum([0, *batch.column("v").value_lengths().to_pylist()])
+            flat = vectors.flatten().to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.r_[True, (np.diff(ranges) != 0) | (kinds[1:] == 0)]) if len(ranges) else []
+            for first, last in zip(starts, [*starts[1:], len(ranges)]):
+                if kinds[first] == 0:
+                    if held is not None:
+                        yield row()
+                    held = int(ranges[first])
+                    tp, fp, positives = flat[lists[first] : lists[first + 1]].reshape(3, replicates).copy()
+                    roc, pr = np.zeros(replicates), np.zeros(replicates)
+                    first += 1
+                # a few rows at a time, so that memory does not follow the batch
+                for a in range(first, last, 256):
+                    b = min(a + 256, last)
+                    block = flat[lists[a] : lists[b]].reshape(b - a, 2, replicates)
+                    pos, neg = block[:, 1], block[:, 0] - block[:, 1]
+                    above, false = tp + np.cumsum(pos, axis=0), fp + np.cumsum(neg, axis=0)
+                    before = above - pos
+                    flagged, flagged_before = above + false, before + false - neg
+                    precision = np.divide(above, flagged, out=np.ones_like(above), where=flagged > 0)
+                    previous = np.divide(before, flagged_before, out=np.ones_like(above), where=flagged_before > 0)
+                    step = np.divide(pos, positives, out=np.zeros_like(pos), where=positives > 0)
+                    roc += (neg * (before + pos / 2.0)).sum(axis=0)
+                    pr += (step * (precision + previous) / 2.0).sum(axis=0)
+                    tp, fp = above[-1], false[-1]
+        if held is not None:
+            yield row()
+
+    return run
+
+
 def cluster_bootstrap_ci(
     df: DataFrame, unit: str = "unit", y: str = "y", p: str = "p", threshold: float = 0.5,
     n_replicates: int = 500, seed: int = 42,
@@ -290,20 +386,52 @@ def cluster_bootstrap_ci(
     """95% interval of ROC-AUC, PR-AUC, recall, precision and F1.
 
     Whole units are resampled.  Rows are first reduced to a (unit, score)
-    histogram; a replicate weights histogram rows by the unit's multiplicity.
-    Replicates with fewer than 10 rows or 2 positives are skipped.
+    histogram, a unit's multiplicities are one vector with a place for each
+    replicate, and vectors are summed per score with partial sums in the map
+    tasks: no (replicate, score) row is shuffled.  The curves of all replicates
+    are run together over ranges of scores, each beginning with the totals of
+    the ranges above it.  Replicates with fewer than 10 rows or 2 positives
+    are skipped.
     """
+    reps = int(n_replicates)
     unit_hist = durable(metrics.score_histogram(df, y, p, by=[unit]))
-    draws = cluster_draws(unit_hist, unit, n_replicates, seed)
-    weighted = unit_hist.join(draws, unit).groupBy("rep", "p").agg(
-        F.sum(F.col("n") * F.col("mult")).alias("n"), F.sum(F.col("pos") * F.col("mult")).alias("pos")
+    draws = draw_vectors(unit_hist, unit, reps, seed)
+    ranges = _ranged(unit_hist.select("p").distinct(), ["p"])
+    scaled = F.concat(_times("mult", "n"), _times("mult", "pos"))
+    summed = unit_hist.join(draws, unit).groupBy("p").agg(_vector_sum(scaled).alias("v"))
+    # the sums are whole numbers held as mean times weight
+    hist = durable(summed.join(ranges, "p").select("_range", "p", F.transform("v", lambda x: F.rint(x)).alias("v")))
+
+    flagged = F.when(F.col("p") >= F.lit(float(threshold)), F.col("v")).otherwise(F.array_repeat(F.lit(0.0), 2 * reps))
+    totals = hist.groupBy("_range").agg(_vector_sum(F.concat("v", flagged)).alias("t"))
+    parts = [F.slice("t", i * reps + 1, reps).alias(name) for i, name in enumerate(("n", "pos", "n_at", "pos_at"))]
+    rows = totals.select("_range", F.posexplode(F.arrays_zip(*parts)).alias("rep", "t")).select(
+        "_range", "rep", *[F.rint(f"t.{name}").alias(name) for name in ("n", "pos", "n_at", "pos_at")]
     )
-    hist = durable(weighted)
-    size = hist.groupBy("rep").agg(F.sum("n").alias("_n"), F.sum("pos").alias("_pos"))
-    areas = metrics.curve_areas(hist, ["rep"]).select("rep", "roc_auc", "pr_auc")
-    points = metrics.threshold_metrics(hist, threshold, ["rep"]).select("rep", "recall", "precision", "f1_score")
-    reps = areas.join(points, "rep").join(size, "rep").where("_n >= 10 AND _pos >= 2")
-    return replicate_intervals(reps, ["roc_auc", "pr_auc", "recall", "precision", "f1_score"])
+    above = Window.partitionBy("rep").orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    whole = Window.partitionBy("rep")
+    rows = durable(rows.select(
+        "_range", "rep", "n", "pos", "n_at", "pos_at", F.sum("pos").over(whole).alias("all"),
+        F.coalesce(F.sum("pos").over(above), F.lit(0.0)).alias("tp"), F.coalesce(F.sum(F.col("n") - F.col("pos")).over(above), F.lit(0.0)).alias("fp"),
+    ))
+    ordered = F.array_sort(F.collect_list(F.struct("rep", "tp", "fp", "all")))
+    heads = rows.groupBy("_range").agg(ordered.alias("x")).select(
+        "_range", F.lit(0).alias("kind"), F.lit(None).cast("double").alias("p"), F.concat("x.tp", "x.fp", "x.all").alias("v")
+    )
+    stream = heads.unionByName(hist.select("_range", F.lit(1).alias("kind"), F.col("p").cast("double").alias("p"), "v"))
+    stream = stream.repartition("_range").sortWithinPartitions("_range", "kind", F.desc("p")).drop("p")
+    areas = stream.mapInArrow(_curve_sums(reps), "_range int, roc array<double>, pr array<double>")
+    areas = areas.select(F.posexplode(F.arrays_zip("roc", "pr")).alias("rep", "a")).groupBy("rep").agg(
+        F.sum("a.roc").alias("roc"), F.sum("a.pr").alias("pr_auc")
+    )
+    points = rows.groupBy("rep").agg(*[F.sum(c).alias(c) for c in ("n", "pos")], F.sum("pos_at").alias("tp"), F.sum(F.col("n_at") - F.col("pos_at")).alias("fp"))
+    points = points.where("n >= 10 AND pos >= 2").withColumn("fn", F.col("pos") - F.col("tp")).withColumn("tn", F.col("n") - F.col("pos") - F.col("fp"))
+    names = ["roc_auc", "pr_auc", "recall", "precision", "f1_score"]
+    rates = metrics.threshold_columns()
+    result = points.join(areas, "rep").select(
+        divide(F.col("roc"), F.col("pos") * (F.col("n") - F.col("pos"))).alias("roc_auc"), "pr_auc", *[rates[c].alias(c) for c in names[2:]]
+    )
+    return replicate_intervals(result, names)
 
 
 def replicate_intervals(reps: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -322,7 +450,7 @@ def bootstrap_r2_ci(
     """95% interval of R2 under unit resampling.
 
     R2 depends on a unit only through four sums, so rows are reduced to one row
-    per unit before the replicate join.
+    per unit; a unit adds its sums times its vector of multiplicities.
     """
     t = F.col(y).cast("double")
     e = t - F.col(y_hat)
@@ -331,13 +459,15 @@ def bootstrap_r2_ci(
             F.count(t).alias("n"), F.sum(e * e).alias("sse"), F.sum(t).alias("sy"), F.sum(t * t).alias("syy")
         )
     )
-    draws = cluster_draws(sums, unit, n_replicates, seed)
-    per = sums.join(draws, unit).groupBy("rep").agg(
-        *[F.sum(F.col(c) * F.col("mult")).alias(c) for c in ("n", "sse", "sy", "syy")]
-    )
+    names, reps = ["n", "sse", "sy", "syy"], int(n_replicates)
+    scaled = [_times("mult", c) for c in names]
+    vectors = sums.join(draw_vectors(sums, unit, reps, seed), unit).dropna(subset=names)
+    total = vectors.agg(_vector_sum(F.concat(*scaled)).alias("t"))
+    parts = [F.slice("t", i * reps + 1, reps).alias(c) for i, c in enumerate(names)]
+    per = total.select(F.explode(F.arrays_zip(*parts)).alias("t")).select("t.*").withColumn("n", F.rint("n"))
     sst = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
-    reps = per.where("n >= 10").select("rep", F.when(sst > 0, 1.0 - divide(F.col("sse"), sst)).otherwise(0.0).alias("r_squared"))
-    return replicate_intervals(reps, ["r_squared"])
+    result = per.where("n >= 10").select(F.when(sst > 0, 1.0 - divide(F.col("sse"), sst)).otherwise(0.0).alias("r_squared"))
+    return replicate_intervals(result, ["r_squared"])
 
 
 def prediction_distribution(df: DataFrame, p: str) -> DataFrame:
