@@ -1,20 +1,24 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Each source gets a target in words. A document of a source whose target is
-r times its size is taken floor(r) times for certain; the remaining words come
-from an order sample: documents are ranked by
-
-    random odds / inclusion odds = (u / (1 - u)) / (p / (1 - p)),
-
-p being the inclusion probability of one more copy (r - floor(r), times the
-document's own relative odds if a column gives them), and taken in that order
-while they fit the words that are left. The size of the sample is fixed in
-words, not in documents. The document that closes the gap is the one of the
-others whose size comes nearest to the words still missing, or none.
-
-No source is sorted in one task: ranks are cut into about sqrt(rows) slots of
-a hash-like even scale, words are summed by (source, slot) with partial sums in
-the map tasks, and only the slot in which the target is reached is ordered.
+Each source gets a target in words. Documents of a source are taken in
+proportion to their words: the expected copies of a document are
+min(cap, c x words), with c such that the expected words are the target. The
+whole part of them is taken for certain; the fraction p is the probability of
+one more copy, and these come from an order sample: documents are ranked by
+
+    random odds / inclusion odds = (u / (1 - u)) / (p / (1 - p))
+
+and taken in that order while they fit the words that are left. The size of the
+sample is fixed in words, not in documents. Where the next document is longer
+than what is left, the order goes on once more among the documents that are
+not. The document that closes the gap is the one of the others whose size comes
+nearest to the words still missing, or none.
+
+No source is sorted in one task: ranks r are cut into about sqrt(rows) slots of
+r / (1 + r), words are summed by (source, slot) with partial sums in the map
+tasks, and only the slot in which the target is reached is ordered. That slot
+lies near r = 1, where a document has a density of 4 p (1 - p), one at most, so
+it holds at most about one slot's even share of the rows.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelscope.llm.words import WORD
-from panelscope.sources.durable import durable
+from panelscope.sources.durable import count_rows, durable
 
 SHARE = 1.5  # words of the mix, as a multiple of all words
 CAP = 2  # most copies of a document
@@ -71,57 +75,104 @@ def source_targets(sizes: DataFrame, share: float = SHARE, cap: int = CAP, weigh
     return table.select("source", "source_size", "weight", F.when(F.col("source_size") == 0, 0.0).otherwise(F.least("limit", F.coalesce(F.col("level") * F.col("weight"), F.col("limit")))).alias("target"))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", share: float = SHARE, cap: int = CAP, weights=WEIGHTS, seed: str = SEED, odds: Column | None = None) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken: one row per row of ``docs``.
+def inclusion_rates(sizes: DataFrame, targets: DataFrame, cap: int = CAP) -> DataFrame:
+    """source, rate: the c of min(cap, c x words), from one row (source, size, n) per distinct size of a source.
+
+    The largest documents reach the cap first. With them set aside, c is what is
+    left of the target over the sum of squares of the other sizes; it is right
+    for the largest size that does not reach the cap with it. No rate where the
+    target takes all documents ``cap`` times. Sums are whole numbers of 38
+    digits, so their order does not matter; the window runs over distinct
+    sizes, which the longest text bounds, not over documents.
+    """
+    words = (F.col("n").cast("decimal(19,0)") * F.col("size").cast("decimal(10,0)")).cast("decimal(38,0)")
+    squares = (words.cast("decimal(28,0)") * F.col("size").cast("decimal(10,0)")).cast("decimal(38,0)")
+    table = sizes.filter("size > 0").select("source", "size", words.alias("words"), squares.alias("squares"))
+    down = W.partitionBy("source").orderBy(F.desc("size")).rowsBetween(W.unboundedPreceding, -1)
+    up = W.partitionBy("source").orderBy("size").rowsBetween(W.unboundedPreceding, 0)
+    table = table.select("source", "size", F.coalesce(F.sum("words").over(down).cast("double"), F.lit(0.0)).alias("capped"), F.sum("squares").over(up).cast("double").alias("rest"))
+    table = table.alias("a").join(targets.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.*", "target", "source_size")
+    table = table.withColumn("rate", (F.col("target") - F.lit(float(cap)) * F.col("capped")) / F.col("rest"))
+    fits = (F.col("rate") * F.col("size") <= float(cap)) & (F.col("target") < F.col("source_size") * float(cap))
+    return table.filter(fits).groupBy("source").agg(F.max_by("rate", "size").alias("rate"))
+
+
+ORDER = ("rank", "doc_id", "size", "at")
+
+
+def _same(a: str, b: str) -> Column:
+    return F.col(f"a.{a}").eqNullSafe(F.col(f"b.{b}"))
 
-    ``odds`` multiplies a document's inclusion odds relative to the others of
-    its source (null or <= 0: 1). A null text has size 0; documents without
-    words are taken floor(r) times, which adds no words. A null source is a
+
+def _cut(rows: DataFrame) -> DataFrame:
+    """source, edge, last, reached: how far the rows of a source go in order before they exceed its ``left`` words.
+
+    The slots below ``edge`` are taken, and of that slot the rows up to
+    ``last``; all rows where ``edge`` is null. ``reached`` counts their words.
+    """
+    sums = rows.groupBy("source", "slot").agg(F.sum("size").alias("words"), F.max("left").alias("left"))
+    sums = durable(sums.withColumn("through", F.sum("words").over(W.partitionBy("source").orderBy("slot"))))
+    over = F.col("through") > F.col("left")
+    edges = sums.groupBy("source").agg(F.min(F.when(over, F.col("slot"))).alias("edge"), F.max("through").alias("all"), F.min(F.when(over, F.col("through") - F.col("words"))).alias("before"))
+    edges = durable(edges)
+    order = W.partitionBy("source").orderBy(*ORDER).rowsBetween(W.unboundedPreceding, 0)
+    inside = rows.alias("a").join(edges.alias("b"), _same("source", "source") & (F.col("a.slot") == F.col("b.edge"))).select("a.*", "before")
+    inside = inside.withColumn("through", F.col("before") + F.sum("size").over(order)).filter("through <= left")
+    last = inside.groupBy("source").agg(F.max(F.struct(*ORDER)).alias("last"), F.max("through").alias("reached"))
+    return durable(edges.alias("a").join(last.alias("b"), _same("source", "source"), "left").select("a.source", "edge", "last", F.coalesce("reached", "before", "all").alias("reached")))
+
+
+def _upto(edge: str, last: str) -> Column:
+    """Whether a cut takes the row."""
+    at_edge = (F.col("slot") == F.col(edge)) & F.coalesce(F.struct(*ORDER) <= F.col(last), F.lit(False))
+    return F.col(edge).isNull() | (F.col("slot") < F.col(edge)) | at_edge
+
+
+def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", share: float = SHARE, cap: int = CAP, weights=WEIGHTS, seed: str = SEED) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken, expected: one row per row of ``docs``.
+
+    ``expected`` is the document's expected number of copies. A null text has
+    size 0; documents without words are not taken, unless their source is
+    taken whole ``cap`` times. A null source is a
     source of its own, last in order. Repeated rows are documents of their own
     that share one random number, taken in the order of the written table; one
     of them may close the gap. Columns other than key, source and text are
     ignored, whatever their names. An empty table gives an empty result.
     """
-    factor = F.lit(1.0) if odds is None else F.coalesce(F.when(odds > 0, odds.cast("double")), F.lit(1.0))
-    base = durable(docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), factor.alias("factor"), F.monotonically_increasing_id().alias("at")))
-    rows = base.count()  # footers only
-    slots = max(16, math.isqrt(rows))
-    totals = base.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = source_targets(totals, share, cap, weights)
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    targets = targets.withColumn("sure", F.floor(rate))
-    targets = targets.withColumn("p", rate - F.col("sure"))
-    targets = durable(targets.withColumn("missing", F.col("target") - F.col("sure") * F.col("source_size")))
-    same = lambda a, b: F.col(f"a.{a}").eqNullSafe(F.col(f"b.{b}"))
-    u = uniform(seed, F.col("doc_id"))
-    ranked = base.alias("a").join(targets.alias("b"), same("source", "source")).select("a.*", "source_size", "target", "sure", "p", "missing")
-    open_ = F.when(F.col("p") > 0, F.col("p"))
-    ranked = ranked.withColumn("rank", u / (1 - u) / (open_ / (1 - open_) * F.col("factor")))
-    # random odds over relative odds: the scale on which the ranks of a source are about even
-    even = F.col("rank") * open_ / (1 - open_)
-    ranked = ranked.withColumn("slot", F.floor(even / (1 + even) * slots))
-    slot = W.partitionBy("source").orderBy("slot")
-    sums = ranked.filter("p > 0").groupBy("source", "slot", "missing").agg(F.sum("size").alias("words"))
-    sums = sums.withColumn("through", F.sum("words").over(slot))
-    edge = sums.filter("through > missing").groupBy("source").agg(F.min_by("slot", "slot").alias("edge"), F.min_by(F.col("through") - F.col("words"), "slot").alias("before"))
-    edge = durable(edge)
-    placed = ranked.alias("a").join(edge.alias("b"), same("source", "source"), "left").select("a.*", "edge", "before")
-    order = W.partitionBy("source").orderBy("rank", "doc_id", "size", "at").rowsBetween(W.unboundedPreceding, 0)
-    inside = placed.filter("slot = edge").withColumn("through", F.col("before") + F.sum("size").over(order))
-    inside = durable(inside.withColumn("extra", (F.col("through") <= F.col("missing")).cast("int")))
-    outside = placed.filter("p = 0 or edge is null or slot != edge").withColumn("extra", F.when(F.col("p") > 0, (F.col("edge").isNull() | (F.col("slot") < F.col("edge"))).cast("int")).otherwise(0))
-    reached = inside.groupBy("source").agg(F.max("before").alias("base"), F.max(F.when(F.col("extra") == 1, F.col("through"))).alias("top"))
-    reached = reached.select("source", F.coalesce("top", "base").alias("reached"))
-    part = ["source", "doc_id", "size", "rank", "missing", "extra", "edge", "at"]
-    every = outside.select(*part).unionByName(inside.select(*part))
-    left = F.col("missing") - F.col("reached")
-    closing = every.filter("extra = 0 and edge is not null and size > 0").alias("a").join(reached.alias("b"), same("source", "source")).select("a.*", left.alias("left"))
-    closing = closing.filter(F.abs(F.col("left") - F.col("size")) < F.col("left"))
-    closing = closing.groupBy("source").agg(F.min(F.struct(F.abs(F.col("left") - F.col("size")).alias("off"), "rank", "doc_id", "size", "at")).alias("last"))
-    closing = durable(closing.select("source", "last.at"))
-    columns = ["doc_id", "source", "size", "source_size", "target", "sure", "extra", "at"]
-    result = outside.select(*columns).unionByName(inside.select(*columns))
-    result = result.alias("a").join(closing.alias("b"), same("source", "source"), "left").select("a.*", F.col("b.at").alias("last"))
-    closes = (F.col("extra") == 0) & F.coalesce(F.col("at") == F.col("last"), F.lit(False))  # one row, whatever others equal it
-    copies = (F.col("sure") + F.col("extra") + closes.cast("int")).cast("long")
-    return result.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    u = uniform(seed, F.col(key))
+    base = durable(docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), u.alias("u"), F.monotonically_increasing_id().alias("at")))
+    slots = max(16, math.isqrt(count_rows(base)))
+    sizes = durable(base.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
+    totals = sizes.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
+    targets = durable(source_targets(totals, share, cap, weights).select("source", "source_size", "target"))
+    rates = inclusion_rates(sizes, targets, cap)
+    targets = targets.alias("a").join(rates.alias("b"), _same("source", "source"), "left").select("a.*", "b.rate")
+    whole = F.col("rate").isNull() & (F.col("target") > 0)  # no rate: the source is taken whole
+    expected = F.when(whole, float(cap)).otherwise(F.least(F.lit(float(cap)), F.coalesce("rate", F.lit(0.0)) * F.col("size")))
+    sure = F.floor(expected)
+    certain = sizes.alias("a").join(targets.alias("b"), _same("source", "source")).groupBy("a.source").agg(F.sum(sure * F.col("n") * F.col("size")).alias("certain"))
+    targets = durable(targets.alias("a").join(certain.alias("b"), _same("source", "source")).select("a.*", (F.col("target") - F.col("certain")).alias("left")))
+
+    rows = base.alias("a").join(targets.alias("b"), _same("source", "source")).select("a.*", "source_size", "target", "left", expected.alias("expected"), sure.alias("sure"))
+    p = F.col("expected") - F.col("sure")
+    rows = rows.withColumn("rank", F.when(p > 0, F.col("u") / (1 - F.col("u")) / (p / (1 - p))))
+    rows = rows.withColumn("slot", F.floor(F.col("rank") / (1 + F.col("rank")) * slots))
+    drawn = rows.filter("rank is not null").select("source", "slot", *ORDER, "left")
+    first = _cut(drawn)
+    drawn = drawn.alias("a").join(first.alias("b"), _same("source", "source")).select("a.*", "edge", "last", "reached")
+    passed = drawn.filter(~_upto("edge", "last")).withColumn("left", F.col("left") - F.col("reached")).drop("edge", "last", "reached")
+    second = _cut(passed.filter("size <= left")).select("source", F.col("edge").alias("edge2"), F.col("last").alias("last2"), F.col("reached").alias("reached2"))
+    cuts = durable(first.alias("a").join(second.alias("b"), _same("source", "source"), "left").select("a.*", "edge2", "last2", "reached2"))
+    in_second = F.col("reached2").isNotNull() & (F.col("size") <= F.col("left")) & _upto("edge2", "last2")
+    rest = passed.alias("a").join(cuts.alias("b"), _same("source", "source")).select("a.*", "edge2", "last2", "reached2")
+    gap = F.col("left") - F.coalesce("reached2", F.lit(0))
+    rest = rest.filter(~in_second).withColumn("off", F.abs(gap - F.col("size"))).filter(F.col("off") < gap)
+    closing = rest.groupBy("source").agg(F.min(F.struct("off", *ORDER)).alias("close")).select("source", F.col("close.at").alias("close"))
+    cuts = durable(cuts.alias("a").join(closing.alias("b"), _same("source", "source"), "left").select("a.*", "close"))
+
+    result = rows.alias("a").join(cuts.alias("b"), _same("source", "source"), "left").select("a.*", *[f"b.{c}" for c in cuts.columns if c != "source"])
+    result = result.withColumn("first", _upto("edge", "last")).withColumn("left", F.col("left") - F.col("reached"))
+    closes = F.coalesce(F.col("at") == F.col("close"), F.lit(False))  # one row, whatever others equal it
+    extra = F.when(F.col("rank").isNull(), 0).otherwise((F.col("first") | in_second | closes).cast("int"))
+    copies = (F.col("sure") + extra).cast("long")
+    return result.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "expected")

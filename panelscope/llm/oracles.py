@@ -14,20 +14,30 @@ levels as (
     / (sum(weight) over () - coalesce(sum(weight) over (order by place rows between unbounded preceding and 1 preceding), 0.0::double)) as own from ordered),
 level as (select arg_min(own, place) as l from levels where own * weight <= cap),
 targets as (select source, source_size, case when source_size = 0 then 0.0::double else least(cap, coalesce(l * weight, cap)) end as target from levels left join level on true),
-rates as (select *, case when source_size > 0 then target / source_size else 0.0::double end as rate from targets),
-parts as (select *, floor(rate)::bigint as sure, rate - floor(rate) as p from rates),
-missing as (select *, target - sure * source_size as missing from parts),
-ranked as (select b.*, m.* exclude (source), (('0x' || substr(md5('mix:' || coalesce(b.doc_id::varchar, '')), 1, 13))::bigint::double + 0.5) / 4503599627370496.0::double as u
-  from base b join missing m on b.source is not distinct from m.source),
-placed as (select *, sum(size) over (partition by source order by u, doc_id, size rows unbounded preceding) as through from ranked where p > 0),
+sizes as (select source, size, count(*) as n from base where size > 0 group by all),
+squares as (select *, coalesce(sum(n * size) over (partition by source order by size desc rows between unbounded preceding and 1 preceding), 0)::double as capped,
+  (sum((n * size)::hugeint * size) over (partition by source order by size rows unbounded preceding))::double as rest from sizes),
+tried as (select s.source, size, source_size, target, (target - 2.0::double * capped) / rest as rate from squares s join targets t on s.source is not distinct from t.source),
+rates as (select source, arg_max(rate, size) as rate from tried where rate * size <= 2.0::double and target < source_size * 2.0::double group by source),
+parts as (select b.doc_id, b.source, b.size, t.source_size, t.target,
+  case when r.rate is null and t.target > 0 then 2.0::double else least(2.0::double, coalesce(r.rate, 0.0::double) * b.size) end as expected
+  from base b join targets t on b.source is not distinct from t.source left join rates r on r.source is not distinct from b.source),
+missing as (select source, any_value(target) - sum(floor(expected)::bigint * size)::double as missing from parts group by source),
+chances as (select *, floor(expected)::bigint as sure, expected - floor(expected) as p,
+  (('0x' || substr(md5('mix:' || coalesce(doc_id::varchar, '')), 1, 13))::bigint::double + 0.5) / 4503599627370496.0::double as u from parts),
+ranked as (select c.*, m.missing, case when p > 0 then u / (1 - u) / (p / (1 - p)) end as r from chances c join missing m on c.source is not distinct from m.source),
+placed as (select *, sum(size) over (partition by source order by r, doc_id, size rows unbounded preceding) as through from ranked where p > 0),
 extra as (select *, (through <= missing)::int as extra from placed),
 reached as (select source, coalesce(max(case when extra = 1 then through end), 0) as reached from extra group by source),
-gap as (select e.*, m_.missing - reached as open from extra e join reached r on e.source is not distinct from r.source join missing m_ on m_.source is not distinct from e.source),
-closing as (select source, doc_id, size from gap where extra = 0 and size > 0 and abs(open - size) < open
-  qualify row_number() over (partition by source order by abs(open - size), u, doc_id, size) = 1),
-chosen as (
-  select r.doc_id, r.size, r.source_size, r.target, r.sure + coalesce(e.extra, 0) + (c.doc_id is not null)::int as copies
-  from ranked r left join extra e on e.doc_id = r.doc_id left join closing c on c.doc_id = r.doc_id)
+passed as (select e.* exclude (through, extra), e.missing - reached as open from extra e join reached q on e.source is not distinct from q.source where extra = 0),
+placed2 as (select *, sum(size) over (partition by source order by r, doc_id, size rows unbounded preceding) as through from passed where size <= open),
+reached2 as (select source, max(through) as reached from placed2 where through <= open group by source),
+gap as (select e.*, e.open - coalesce(q.reached, 0) as still from passed e left join reached2 q on e.source is not distinct from q.source
+  where not exists (select 1 from placed2 t where t.doc_id = e.doc_id and t.through <= t.open)),
+closing as (select source, doc_id, size from gap where abs(still - size) < still
+  qualify row_number() over (partition by source order by abs(still - size), r, doc_id, size) = 1),
+more as (select doc_id from extra where extra = 1 union all select doc_id from placed2 where through <= open union all select doc_id from closing),
+chosen as (select r.doc_id, r.size, r.source_size, r.target, r.sure + (m.doc_id is not null)::int as copies from ranked r left join more m on m.doc_id = r.doc_id)
 select doc_id, size, source_size, target, (copies * size)::bigint as taken from chosen
 """
 
