@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import clip
 from ..schema import CLIPPED_COLUMNS
+from ..sources.durable import spread
+
+
+def _n_months(span) -> int:
+    return (span["hi"].year - span["lo"].year) * 12 + span["hi"].month - span["lo"].month + 1
 
 
 def panel_complete(
@@ -31,7 +36,7 @@ def panel_complete(
             facts, [unit, period], "left"
         )
     months = F.sequence(F.lit(span["lo"]), F.lit(span["hi"]), F.expr("interval 1 month"))
-    spine = units.select(unit).distinct().withColumn(period, F.explode(months))
+    spine = spread(units.select(unit).distinct(), _n_months(span)).withColumn(period, F.explode(months))
     joined = spine.join(facts, [unit, period], "left")
     return joined.select(
         unit,
@@ -50,7 +55,8 @@ def panel_complete_sums(
     """Aggregate row-level facts to a balanced panel in one shuffle.
 
     Zero-valued spine rows are unioned to the facts and both are summed by
-    (unit, period); absent cells come out as zero without a join.
+    (unit, period); absent cells come out as zero without a join.  The units
+    are dealt over tasks first, as each makes a row per month.
     ``sums`` maps output names to column expressions over ``facts``.
     """
     span = facts.agg(F.min(period).alias("lo"), F.max(period).alias("hi")).first()
@@ -59,7 +65,7 @@ def panel_complete_sums(
         months = F.sequence(F.lit(span["lo"]), F.lit(span["hi"]), F.expr("interval 1 month"))
         types = dict(rows.dtypes)
         # a unit listed twice would only add zeros
-        spine = units.select(
+        spine = spread(units.select(unit), _n_months(span)).select(
             unit,
             F.explode(months).alias(period),
             *[F.lit(0).cast(types[n]).alias(n) for n in sums],

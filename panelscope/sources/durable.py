@@ -15,6 +15,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Rows that one task makes where a step multiplies rows.
+MADE_ROWS = 500_000
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the session names; one process on one machine may have its own, removed at its end."""
@@ -60,3 +63,12 @@ def count_rows(df: DataFrame) -> int:
     """Row count, counted at most once per durable table."""
     rows = known_rows(df)
     return df.count() if rows is None else rows
+
+
+def spread(df: DataFrame, copies: int, made_rows: int = MADE_ROWS) -> DataFrame:
+    """``df``, whose rows a later step multiplies by ``copies``, dealt over tasks that make about ``made_rows`` rows each.
+
+    Without it a small table is one task, whatever its rows are multiplied by.
+    """
+    tasks = -(-count_rows(df) * copies // made_rows)
+    return with_rows(df.repartition(tasks), known_rows(df)) if tasks > 1 else df
