@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw_index, uniform
-from ..sources.durable import count_rows, durable
+from ..sources.durable import count_rows, durable, spread, with_rows
 from .ordering import row_numbers
 
 # Units whose positions one task sorts.
@@ -22,8 +22,8 @@ RANGE_ROWS = 200_000
 
 
 def replicates(df: DataFrame, n: int, column: str = "rep") -> DataFrame:
-    """Each row once per replicate 1..n (explode, no join)."""
-    return df.withColumn(column, F.explode(F.sequence(F.lit(1), F.lit(int(n)))))
+    """Each row once per replicate 1..n (explode, no join); the rows are dealt over tasks first."""
+    return spread(df, int(n)).withColumn(column, F.explode(F.sequence(F.lit(1), F.lit(int(n)))))
 
 
 def permuted_values(
@@ -40,7 +40,7 @@ def permuted_values(
     numbered = durable(row_numbers(df.select(unit, value, *keep), unit, "_i"))
     rows = count_rows(numbered)
     # only (rep, uniform, number) is shuffled and sorted; numbers follow unit order
-    slots = replicates(numbered.select("_i", unit), n_replicates).select(
+    slots = replicates(with_rows(numbered.select("_i", unit), rows), n_replicates).select(
         F.col("rep"), F.col("_i").cast("int" if rows < 2**31 else "bigint").alias("_i"), uniform(seed, F.col("rep"), F.col(unit)).alias("_u")
     )
     pieces = 1 if rows <= range_rows else 2 * -(-rows // range_rows)
@@ -67,7 +67,7 @@ def _drawn(units: DataFrame, unit: str, n_replicates: int, seed: int) -> tuple[D
     distinct = durable(units.select(unit).distinct())
     n = count_rows(distinct)
     numbered = durable(row_numbers(distinct, unit, "_index", start=0))
-    slots = replicates(numbered.select(F.col("_index").alias("_slot")), n_replicates)
+    slots = replicates(with_rows(numbered.select(F.col("_index").alias("_slot")), n), n_replicates)
     return numbered, slots.select("rep", draw_index(n, seed, F.col("rep"), F.col("_slot")).alias("_index"))
 
 
