@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import divide
-from ..sources.durable import count_rows, durable, with_rows
+from ..sources.durable import count_rows, durable, spread, with_rows
 
 # Labels of the four operational clusters.
 TYPOLOGY = {
@@ -229,40 +230,121 @@ def davies_bouldin(df: DataFrame, cluster: str, columns: Sequence[str]) -> DataF
     )
 
 
-def silhouette(df: DataFrame, unit: str, cluster: str, columns: Sequence[str], block_rows: int = 256) -> DataFrame:
-    """Mean Euclidean silhouette, exact.
+def _distance_sums(points: DataFrame, width: int, sizes: Sequence[int], group_rows: int) -> DataFrame:
+    """(l, u, own, c, d): for every row and labelling the summed distances to each cluster.
 
-    Every unit needs its mean distance to each cluster, an inherently quadratic
-    number of distances.  Units are packed into blocks of a few hundred and
-    blocks are paired by an equi-join on the block number, so a task holds two
-    blocks; distances are reduced inside the block expression and only
-    (unit, cluster, sum) rows are emitted.  ``squared_silhouette`` is linear.
+    ``points`` has u, x0, x1, ... and cluster numbers c0, c1, ..., one per
+    labelling of ``sizes[l]`` clusters, -1 for none.  Rows are dealt into
+    groups of about ``group_rows``; a group meets all rows in a stream, its own
+    first, and holds only its rows and their sums.  A cluster with a missing
+    coordinate has no sum.
     """
-    rows = count_rows(df)
-    blocks = max(1, -(-rows // block_rows))
-    tagged = df.select(
-        F.col(unit).alias("u"), F.col(cluster).alias("c"), F.array(*columns).alias("x"),
-        F.pmod(F.xxhash64(unit), F.lit(blocks)).cast("int").alias("b"),
-    )
-    packed = tagged.groupBy("b", "c").agg(F.collect_list("x").alias("xs"), F.count(F.lit(1)).alias("n"))
-    sizes = tagged.groupBy("c").agg(F.count(F.lit(1)).alias("size"))
-    asking = tagged.select("u", F.col("c").alias("own"), "x", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
-
-    def distance(y):
-        return F.sqrt(F.aggregate(F.zip_with("x", y, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, v: acc + v))
+    rows = count_rows(points)
+    groups = max(1, -(-rows // group_rows))
+    xs, cs = [f"x{j}" for j in range(width)], [f"c{i}" for i in range(len(sizes))]
+    first = np.concatenate([[0], np.cumsum(sizes)]).astype(int)
+    meeting = spread(with_rows(points, rows), groups).withColumn("home", F.pmod(F.xxhash64("u"), F.lit(groups)).cast("int"))
+    meeting = meeting.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("other", F.col("g") != F.col("home"))
+    # only the asking rows need their id
+    meeting = meeting.select("g", "other", F.when(~F.col("other"), F.col("u")).alias("u"), *xs, *cs)
+    kind = points.schema["u"].dataType.simpleString()
+
+    def column(batch: pa.RecordBatch, name: str) -> np.ndarray:
+        return batch.column(name).to_numpy(zero_copy_only=False)
+
+    class Group:
+        def __init__(self, parts: list[pa.RecordBatch]) -> None:
+            own = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+            self.ids, self.x = own.column("u"), np.column_stack([column(own, c) for c in xs]).astype(float)
+            self.own = [column(own, c) for c in cs]
+            self.total, self.missing = np.zeros((own.num_rows, first[-1])), np.zeros(first[-1], dtype=bool)
+            self.meet(own)
+
+        def meet(self, batch: pa.RecordBatch) -> None:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                x, member = np.column_stack([column(part, c) for c in xs]).astype(float), np.zeros((part.num_rows, first[-1]))
+                for i, c in enumerate(cs):
+                    number = column(part, c)
+                    member[np.flatnonzero(number >= 0), first[i] + number[number >= 0]] = 1.0
+                whole = ~np.isnan(x).any(axis=1)
+                self.missing |= member[~whole].any(axis=0)
+                self.total += np.sqrt(_distances(self.x, x[whole])) @ member[whole]
+
+        def result(self) -> Iterator[pa.RecordBatch]:
+            d = np.where(self.missing, np.nan, self.total)
+            for i, n in enumerate(sizes):
+                part = d[:, first[i] : first[i + 1]].ravel()
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(part), i, dtype=np.int32)), self.ids.take(pa.array(np.repeat(np.arange(len(d)), n))),
+                        pa.array(np.repeat(self.own[i], n).astype(np.int32)), pa.array(np.tile(np.arange(n, dtype=np.int32), len(d))),
+                        pa.array(part, mask=np.isnan(part)),
+                    ],
+                    ["l", "u", "own", "c", "d"],
+                )
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, asking, group = None, [], None
+        for batch in batches:
+            keys = column(batch, "g").astype(np.int64) * 2 + column(batch, "other").astype(np.int64)
+            ends = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)] if len(keys) else []
+            for lo, hi in zip(ends, ends[1:]):
+                part, g, other = batch.slice(lo, hi - lo), keys[lo] // 2, keys[lo] % 2
+                if g != number:
+                    if asking:
+                        yield from (group or Group(asking)).result()
+                    number, asking, group = g, [], None
+                if not other:
+                    asking.append(part)
+                elif asking:
+                    group = group or Group(asking)
+                    group.meet(part)
+        if asking:
+            yield from (group or Group(asking)).result()
+
+    dealt = meeting.repartition(4 * groups, "g").sortWithinPartitions("g", "other")
+    return dealt.mapInArrow(sums, f"l int, u {kind}, own int, c int, d double")
+
+
+def silhouettes(df: DataFrame, unit: str, clusters: Sequence[str], columns: Sequence[str], block_rows: int = 2048) -> DataFrame:
+    """(l, silhouette, n_units): mean Euclidean silhouette, exact, of every labelling ``clusters[l]``.
 
-    total = F.aggregate("xs", F.lit(0.0), lambda acc, y: acc + distance(y))
-    sums = asking.join(packed, "b").select("u", "own", "c", total.alias("d")).groupBy("u", "own", "c").agg(F.sum("d").alias("d"))
-    # one row per cluster on the right-hand side
-    per = sums.join(F.broadcast(sizes), "c")
+    Every unit needs its mean distance to each cluster, an inherently quadratic
+    number of distances; all labellings share them.  A task holds
+    ``block_rows`` units and the sums of each to the clusters, and the rest
+    passes by.  ``squared_silhouette`` is linear.
+    """
+    points = durable(df.select(F.col(unit).alias("u"), *[F.col(c).cast("double").alias(f"x{j}") for j, c in enumerate(columns)], *[
+        F.col(c).alias(f"label{i}") for i, c in enumerate(clusters)
+    ]))
+    known = []
+    for i in range(len(clusters)):  # one row per cluster
+        known.append(points.where(F.col(f"label{i}").isNotNull()).groupBy(f"label{i}").count().orderBy(f"label{i}").collect())
+
+    def number(i: int) -> Column:
+        found = F.array_position(F.array(*[F.lit(r[0]) for r in known[i]]), F.col(f"label{i}")) if known[i] else F.lit(0)
+        return (F.coalesce(found, F.lit(0)) - 1).cast("int").alias(f"c{i}")
+
+    numbered = with_rows(points.select("u", *[f"x{j}" for j in range(len(columns))], *[number(i) for i in range(len(clusters))]), count_rows(points))
+    sums = _distance_sums(numbered, len(columns), [len(k) for k in known], block_rows)
+    per = sums.groupBy("l", "u", "own", "c").agg(F.sum("d").alias("d"))
+    sizes = F.array(*[F.array(*[F.lit(r[1]) for r in k]).cast("array<bigint>") for k in known])
+    per = per.withColumn("size", F.get(F.get(sizes, F.col("l")), F.col("c")))
     own = F.col("own") == F.col("c")
-    ab = per.groupBy("u", "own").agg(
+    ab = per.groupBy("l", "u", "own").agg(
         F.max(F.when(own, F.col("size"))).alias("size"),
         F.max(F.when(own & (F.col("size") > 1), divide(F.col("d"), F.col("size") - 1))).alias("a"),
         F.min(F.when(~own, F.col("d") / F.col("size"))).alias("b"),
     )
     s = F.when(F.col("size") == 1, 0.0).otherwise(F.coalesce(divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
-    return ab.agg(F.avg(s).alias("silhouette"), F.count(F.lit(1)).alias("n_units"))
+    return ab.groupBy("l").agg(F.avg(s).alias("silhouette"), F.count(F.lit(1)).alias("n_units"))
+
+
+def silhouette(df: DataFrame, unit: str, cluster: str, columns: Sequence[str], block_rows: int = 2048) -> DataFrame:
+    """(silhouette, n_units) of one labelling; see ``silhouettes``."""
+    out = silhouettes(df, unit, [cluster], columns, block_rows)
+    return out.agg(F.max("silhouette").alias("silhouette"), F.coalesce(F.max("n_units"), F.lit(0)).cast("bigint").alias("n_units"))
 
 
 def squared_silhouette(df: DataFrame, cluster: str, columns: Sequence[str]) -> DataFrame:
@@ -304,12 +386,14 @@ def cluster_diagnostics(
     flat = durable(scaled.select(unit, "features", *[vector_to_array("features")[i].alias(z) for i, z in enumerate(coords)]))
     fitted = kmeans_all(flat, unit, ks, restarts, seed)
     assigned = durable(with_clusters(flat, fitted, {k: f"Cluster_{k}" for k in ks}).drop("features"))
+    scores = durable(silhouettes(assigned, unit, [f"Cluster_{k}" for k in ks], coords))
     out = None
-    for k in ks:
-        labels = with_rows(assigned.select(unit, *coords, F.col(f"Cluster_{k}").alias("Cluster")), count_rows(assigned))
+    for i, k in enumerate(ks):
+        labels = assigned.select(unit, *coords, F.col(f"Cluster_{k}").alias("Cluster"))
         sizes = labels.groupBy("Cluster").count().agg(F.sort_array(F.collect_list("count"), asc=False).alias("cluster_sizes"))
         # single aggregate rows
-        row = silhouette(labels, unit, "Cluster", coords).join(
+        mean = scores.where(F.col("l") == i).agg(F.max("silhouette").alias("silhouette"))
+        row = mean.join(
             F.broadcast(davies_bouldin(labels, "Cluster", coords)), F.lit(True)
         ).join(F.broadcast(sizes), F.lit(True))
         row = row.select(F.lit(k).alias("k"), "silhouette", "davies_bouldin", "cluster_sizes")
