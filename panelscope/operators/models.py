@@ -45,7 +45,7 @@ from ..schema import (
     RECORD_KEYS,
     require_columns,
 )
-from ..sources.durable import count_rows, durable
+from ..sources.durable import count_rows, durable, spread
 from . import metrics
 from .newton import NewtonClassifier, NewtonRegressor
 from .ordering import row_numbers
@@ -54,6 +54,8 @@ from .profile import mode_values
 
 TARGET = "Disaster_Next_Month"
 WEIGHT = "class_weight"
+# Rows that one task scores where rows are multiplied.
+SCORED_ROWS = 100_000
 
 
 # Settings of second-order boosting by the name of the library whose defaults they are.
@@ -515,7 +517,7 @@ def permutation_importance(
     base = durable(rows.where(F.col(TARGET).isNotNull()).select(key, TARGET, *features))
     baseline = _areas(model, base)[0]
     donors = permuted_values(base.select(key, F.struct(*features).alias("donor")), key, "donor", n_repeats, seed)
-    paired = base.join(donors, key).withColumn("feature", F.explode(F.array(*[F.lit(f) for f in features])))
+    paired = spread(durable(base.join(donors, key)), len(features), SCORED_ROWS).withColumn("feature", F.explode(F.array(*[F.lit(f) for f in features])))
     variants = paired.select(
         "feature", "rep", TARGET,
         *[F.when(F.col("feature") == f, F.col("donor")[f]).otherwise(F.col(f)).alias(f) for f in features],
