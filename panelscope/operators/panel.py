@@ -56,7 +56,10 @@ def panel_complete_sums(
 
     Zero-valued spine rows are unioned to the facts and both are summed by
     (unit, period); absent cells come out as zero without a join.  The units
-    are dealt over tasks first, as each makes a row per month.
+    are dealt over tasks first, as each makes a row per month.  The rows are
+    dealt by cell before they are summed: a task that reads a file meets about
+    as many cells as rows, so sums made there would only fill its memory.  A
+    large unit spreads over its months.
     ``sums`` maps output names to column expressions over ``facts``.
     """
     span = facts.agg(F.min(period).alias("lo"), F.max(period).alias("hi")).first()
@@ -71,7 +74,7 @@ def panel_complete_sums(
             *[F.lit(0).cast(types[n]).alias(n) for n in sums],
         )
         rows = rows.unionByName(spine)
-    return rows.groupBy(unit, period).agg(*[F.sum(n).alias(n) for n in sums])
+    return rows.repartition(unit, period).groupBy(unit, period).agg(*[F.sum(n).alias(n) for n in sums])
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
