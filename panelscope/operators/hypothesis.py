@@ -17,7 +17,7 @@ from ..functions.numeric import divide, ratio
 from ..functions.tails import normal_quantile, p_chi_square, p_f, p_normal, p_spearman
 from ..sources.durable import durable
 from .ordering import average_rank, exact_quantiles, running_totals
-from .permute import permuted_values
+from .permute import permuted_cells
 
 
 def _group_sums(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -150,8 +150,7 @@ def chi_square_permutation(
     obs = chi_square(df, row, column).select(
         F.round("chi2", digits).alias("chi2_observed"), F.col("n_observations").alias("n")
     ).first()
-    shuffled = permuted_values(df, unit, column, replicates, seed, keep=[row])
-    cells = shuffled.groupBy("rep", row, column).agg(F.count(F.lit(1)).alias("_o"))
+    cells = permuted_cells(df, unit, row, column, replicates, seed)
     # one row per row label / column label on the right-hand sides
     scored = cells.join(margins_r, row).join(margins_c, column)
     per_rep = scored.groupBy("rep").agg(

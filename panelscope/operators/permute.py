@@ -13,12 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.draws import draw_index, uniform
-from ..sources.durable import count_rows, durable, spread, with_rows
+from ..functions.draws import Keys, draw_index, uniform
+from ..sources.durable import MADE_ROWS, count_rows, durable, spread, with_rows
 from .ordering import row_numbers
 
 # Units whose positions one task sorts.
 RANGE_ROWS = 200_000
+# Units that a task holds while it shuffles them for its replicates, and the shuffled values it makes.
+HELD_UNITS = 1_000_000
+HELD_SLOTS = 64_000_000
 
 
 def replicates(df: DataFrame, n: int, column: str = "rep") -> DataFrame:
@@ -62,6 +65,67 @@ def permuted_values(
     return placed.join(numbered.select("_i", unit, *keep), "_i").join(values, "_pos").select("rep", unit, *keep, value)
 
 
+def held_replicates(numbered: DataFrame, unit: str, n_replicates: int, seed: int, terms, schema: str) -> DataFrame:
+    """Rows that ``terms(table, orders)`` makes, where tasks hold the units and share the replicates.
+
+    ``numbered`` has at most ``HELD_UNITS`` rows with numbers ``_i`` from 1.
+    Its rows travel to every block of replicates, so that a task needs no row
+    per unit and replicate: ``table`` is in order of ``_i``, and ``orders``
+    are the permutations of ``permuted_values`` as (rep, numbers by position).
+    """
+    rows, reps = count_rows(numbered), int(n_replicates)
+    slots = rows * reps
+    blocks = min(reps, max(1, -(-slots // HELD_SLOTS), min(32, -(-slots // 1_000_000))))
+    tail = F.coalesce(F.concat(F.lit(":"), F.col(unit).cast("string")), F.lit("")).cast("binary")
+    travelling = spread(with_rows(numbered.withColumn("_tail", tail).drop(unit), rows), blocks)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_i")
+        block = table.column("_block")[0].as_py()
+        keys = Keys(table.column("_tail").to_pylist())
+        return terms(table, keys.orders(seed, range(block + 1, reps + 1, blocks)))
+
+    copies = travelling.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return copies.repartitionByRange(blocks, "_block").groupBy("_block").applyInArrow(run, schema)
+
+
+def permuted_cells(
+    df: DataFrame, unit: str, row: str, column: str, n_replicates: int, seed: int = 42, held_units: int = HELD_UNITS
+) -> DataFrame:
+    """(rep, row, column, _o): non-empty cell counts after ``permuted_values`` of ``column``."""
+    table = durable(df.select(unit, row, column))
+    if count_rows(table) > held_units:
+        shuffled = permuted_values(table, unit, column, n_replicates, seed, keep=[row])
+        return shuffled.groupBy("rep", row, column).agg(F.count(F.lit(1)).alias("_o"))
+    types = dict(table.dtypes)
+    numbered = durable(row_numbers(table.select(F.col(unit).alias("_u"), F.col(row).alias("_r"), F.col(column).alias("_c")), "_u", "_i"))
+
+    def terms(held: pa.Table, orders) -> pa.Table:
+        (r, rows), (c, columns) = (_coded(held.column(n)) for n in ("_r", "_c"))
+        out = {"rep": [], "cell": [], "_o": []}
+        for rep, order in orders:
+            counts = np.bincount(r[order] * len(columns) + c, minlength=len(rows) * len(columns))
+            cell = np.flatnonzero(counts)
+            out["rep"].append(np.full(len(cell), rep, np.int32))
+            out["cell"].append(cell)
+            out["_o"].append(counts[cell])
+        rep, cell, n = (np.concatenate(v) for v in out.values())
+        return pa.table({
+            "rep": pa.array(rep, pa.int32()), "_r": rows.take(pa.array(cell // len(columns))),
+            "_c": columns.take(pa.array(cell % len(columns))), "_o": pa.array(n, pa.int64()),
+        })
+
+    cells = held_replicates(numbered, "_u", n_replicates, seed, terms, f"rep int, _r {types[row]}, _c {types[column]}, _o bigint")
+    return cells.select("rep", F.col("_r").alias(row), F.col("_c").alias(column), "_o")
+
+
+def _coded(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """(codes, labels); null is a label."""
+    coded = column.combine_chunks().dictionary_encode(null_encoding="encode")
+    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+
+
 def _drawn(units: DataFrame, unit: str, n_replicates: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """Numbered units, and (rep, number) of the unit that each slot of each replicate takes."""
     distinct = durable(units.select(unit).distinct())
@@ -82,6 +146,18 @@ def cluster_draws(units: DataFrame, unit: str, n_replicates: int, seed: int = 42
     return mult.join(numbered, "_index").select("rep", unit, "mult")
 
 
+def drawn_replicates(units: DataFrame, unit: str, n_replicates: int, seed: int = 42, output: str = "reps") -> DataFrame:
+    """(unit, reps): the replicates of ``cluster_draws`` that draw a unit, each once, as an array.
+
+    Units that no replicate draws are left out.  Draws go straight to their
+    unit, dealt over tasks of about ``MADE_ROWS`` draws each.
+    """
+    numbered, drawn = _drawn(units, unit, n_replicates, seed)
+    tasks = max(1, -(-count_rows(numbered) * int(n_replicates) // MADE_ROWS))
+    lists = drawn.repartition(tasks, "_index").groupBy("_index").agg(F.collect_set("rep").alias(output))
+    return lists.join(numbered, "_index").select(unit, output)
+
+
 def draw_vectors(units: DataFrame, unit: str, n_replicates: int, seed: int = 42) -> DataFrame:
     """(unit, mult): ``cluster_draws`` with one array per unit, place r - 1 for replicate r.
 

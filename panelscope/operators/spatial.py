@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import divide
-from ..sources.durable import count_rows, durable
-from .permute import permuted_values
+from ..sources.durable import MADE_ROWS, count_rows, durable, with_rows
+from .ordering import row_numbers
+from .permute import HELD_UNITS, held_replicates, permuted_values
 
 # A grid cell may hold this many sites before the grid is refined.
 CELL_SITES = 64
@@ -56,15 +59,19 @@ def knn_edges(
         side /= 2.0
 
     block = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    found, waiting = None, sites.select("a", "o")
+    found, waiting = None, with_rows(sites.select("a", "o"), n_sites)
     while True:
         whole = side >= width  # the block covers every site
-        grid = sites.select("a", "o", "ids", *cell())
+        # pairs of sites spread evenly; a task makes about MADE_ROWS of them
+        pairs_made = count_rows(waiting) * n_sites * min(1.0, 9.0 * (side / width) ** 2)
+        tasks = max(1, math.ceil(pairs_made / MADE_ROWS))
+        grid = sites.select("a", "o", "ids", *cell()).repartition(tasks, "ca", "co")
         asking = (
             waiting.select(F.col("a").alias("sa"), F.col("o").alias("so"))
             .select("sa", "so", *cell("s"))
             .withColumn("d", F.explode(block))
             .select("sa", "so", (F.col("ca") + F.col("d.i")).alias("ca"), (F.col("co") + F.col("d.j")).alias("co"))
+            .repartition(tasks, "ca", "co")
         )
         da, do = F.col("a") - F.col("sa"), F.col("o") - F.col("so")
         pairs = asking.join(grid, ["ca", "co"]).select("sa", "so", (da * da + do * do).alias("d2"), F.explode("ids").alias("v"))
@@ -103,6 +110,34 @@ def _moran_terms(values: DataFrame, edges: DataFrame, unit: str, value: str, by:
     )
 
 
+def _held_terms(values: DataFrame, edges: DataFrame, unit: str, value: str, n_permutations: int, seed: int) -> DataFrame:
+    """``_moran_terms`` of every permutation, summed by tasks that hold the units with their neighbours' numbers."""
+    numbered = durable(row_numbers(values.select(F.col(unit).alias("_u"), F.col(value).cast("double").alias("_z")), "_u", "_i"))
+    number = numbered.select(F.col("_u").alias("_to"), (F.col("_i") - 1).cast("int").alias("_j"))
+    e = edges.select(F.col(unit).alias("_from"), F.col("neighbour").alias("_to"), "_w").join(number, "_to")
+    near = e.groupBy("_from").agg(F.collect_list("_j").alias("_js"), F.max("_w").alias("_w"))  # one weight per unit
+    linked = numbered.join(near, numbered["_u"] == near["_from"], "left").select("_u", "_i", "_z", "_js", "_w")
+
+    def terms(held: pa.Table, orders) -> pa.Table:
+        js = held.column("_js").combine_chunks()
+        sizes = np.nan_to_num(js.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+        source, target = np.repeat(np.arange(len(sizes)), sizes), js.flatten().to_numpy()
+        w = held.column("_w").to_numpy()[source]
+        z = held.column("_z").fill_null(0.0).to_numpy()  # a null adds nothing to a sum
+        out = []
+        for rep, order in orders if len(source) else ():
+            placed = np.empty(len(z))
+            placed[order] = z
+            out.append((rep, float((w * placed[source] * placed[target]).sum())))
+        return pa.table({
+            "rep": pa.array([r for r, _ in out], pa.int32()), "cross": pa.array([c for _, c in out], pa.float64()),
+            "s0": pa.array([float(w.sum())] * len(out), pa.float64()),
+        })
+
+    linked = durable(linked)
+    return held_replicates(linked, "_u", n_permutations, seed, terms, "rep int, cross double, s0 double")
+
+
 def _weighted(edges: DataFrame, unit: str) -> DataFrame:
     degree = Window.partitionBy(unit)  # k rows per unit
     return edges.withColumn("_w", F.lit(1.0) / F.count(F.lit(1)).over(degree))
@@ -120,14 +155,19 @@ def morans_i(values: DataFrame, edges: DataFrame, unit: str, value: str) -> Data
 
 
 def morans_permutation(
-    values: DataFrame, edges: DataFrame, unit: str, value: str, n_permutations: int = 999, seed: int = 42, digits: int = 9
+    values: DataFrame, edges: DataFrame, unit: str, value: str, n_permutations: int = 999, seed: int = 42, digits: int = 9,
+    held_units: int = HELD_UNITS,
 ) -> DataFrame:
     """Observed I, permutation z and two-sided p = (c + 1) / (B + 1)."""
     observed = durable(morans_i(values, edges, unit, value)).first()
     mean, n, ss = values.agg(F.avg(value), F.count(value), F.count(value) * F.var_pop(value)).first()
-    centred = values.select(unit, (F.col(value) - F.lit(mean)).alias("_z"))
-    shuffled = permuted_values(centred, unit, "_z", n_permutations, seed)
-    terms = _moran_terms(shuffled, _weighted(edges, unit), unit, "_z", ["rep"])
+    centred = durable(values.select(unit, (F.col(value) - F.lit(mean)).alias("_z")))
+    n_units = count_rows(centred)
+    weighted = _weighted(edges, unit)
+    if n_units > held_units:
+        terms = _moran_terms(permuted_values(centred, unit, "_z", n_permutations, seed), weighted, unit, "_z", ["rep"])
+    else:
+        terms = _held_terms(centred, weighted, unit, "_z", n_permutations, seed)
     per_rep = terms.select(F.round(divide(F.lit(float(n)) * F.col("cross"), F.col("s0") * F.lit(ss or 0.0)), digits).alias("i"))
     obs = F.lit(round(observed["morans_i"], digits) if observed["morans_i"] is not None else None).cast("double")
     out = per_rep.agg(

@@ -1,12 +1,13 @@
 """Steps that multiply the rows of small tables run in many tasks."""
 
 import datetime as dt
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelscope.operators import clusters, panel, permute
+from panelscope.operators import clusters, panel, permute, spatial
 from panelscope.sources.durable import spread
 
 
@@ -47,3 +48,37 @@ def test_silhouettes_of_several_labellings_share_their_distances(spark, block_ro
     assert [r["n_units"] for r in found] == [150, 150]
     assert [r["silhouette"] for r in found] == pytest.approx([_brute(x, [r[i] for r in rows]) for i in (1, 2)])
     assert clusters.silhouette(df.limit(0), "u", "c", ["a", "b"]).first() == (None, 0)
+
+
+def test_cells_of_the_panel_are_dealt_before_they_are_summed(spark):
+    units = spark.range(50).withColumnRenamed("id", "u")
+    facts = spark.range(3000).select((F.col("id") % 50).alias("u"), F.lit(dt.date(2000, 1, 1)).alias("p"), F.lit(1).alias("n"))
+    plan = panel.panel_complete_sums(facts, units, "u", "p", {"n": F.col("n")})._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("HashAggregate") < plan.index("hashpartitioning(u")  # no sums below the shuffle
+
+
+def test_pairs_of_sites_are_dealt_over_tasks(spark, monkeypatch):
+    plans, plain = [], spatial.durable
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return plain(df)
+
+    monkeypatch.setattr(spatial, "durable", kept)
+    monkeypatch.setattr(spatial, "MADE_ROWS", 1000)
+    rng = np.random.default_rng(3)
+    points = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.uniform(0, 1, (200, 2)))]
+    edges = spatial.knn_edges(spark.createDataFrame(points, "District int, Latitude double, Longitude double"), 4)
+    assert edges.count() == 800
+    assert any(re.search(r"RepartitionByExpression \[ca#\w+, co#\w+\], 9\b", p) for p in plans)  # about 9 x 5 x 200 pairs
+
+
+def test_draws_go_to_their_unit_in_tasks_of_bounded_size(spark, monkeypatch):
+    df = spark.createDataFrame([(i % 30,) for i in range(300)], "unit int")
+    brute = {}
+    for r in permute.cluster_draws(df, "unit", 40).collect():
+        brute.setdefault(r["unit"], set()).add(r["rep"])
+    monkeypatch.setattr(permute, "MADE_ROWS", 100)
+    lists = permute.drawn_replicates(df, "unit", 40)
+    assert {r["unit"]: set(r["reps"]) for r in lists.collect()} == brute
+    assert "hashpartitioning(_index#" in (plan := lists._jdf.queryExecution().executedPlan().toString()) and ", 12), REPARTITION_BY_NUM" in plan

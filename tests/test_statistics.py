@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelscope.functions import tails
+from panelscope.functions.draws import Keys, uniform
 from panelscope.operators import hypothesis as hyp
 from panelscope.operators import permute, spatial
+from panelscope.sources.durable import durable
 
 RNG = np.random.default_rng(11)
 
@@ -107,6 +109,39 @@ def test_permutation_is_a_shuffle(spark, range_rows):
     assert out.sort_values(key).reset_index(drop=True).equals(plain.sort_values(key).reset_index(drop=True))
 
 
+def test_array_draws_equal_the_column(spark):
+    tails = [None, "", "a", "D_000017", "x" * 47, "x" * 48, "x" * 70, "é"]
+    df = spark.createDataFrame(list(enumerate(tails)), "i int, u string")
+    keys = Keys([b"" if t is None else f":{t}".encode() for t in tails])
+    for rep in (1, 10, 9999):
+        plain = [r["v"] for r in df.select("i", uniform(42, F.lit(rep), F.col("u")).alias("v")).orderBy("i").collect()]
+        assert (keys.first_words(f"42:{rep}") / 2.0**32).tolist() == plain
+
+
+def test_cells_of_held_units_equal_shuffled_rows(spark):
+    rows = [(None if i == 4 else i, None if i % 11 == 0 else "r%d" % (i % 3), None if i % 13 == 0 else i % 4) for i in range(90)]
+    df = spark.createDataFrame(rows, "u int, r string, c int")
+    key = ["rep", "r", "c"]
+    held, shuffled = (
+        sorted(map(tuple, permute.permuted_cells(df, "u", "r", "c", 40, 3, n).collect()), key=str) for n in (1000, 10)
+    )
+    assert held == shuffled and sum(n for *_, n in held) == 90 * 40
+    plan = permute.permuted_cells(df, "u", "r", "c", 40)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "Window" not in plan  # no row per unit and replicate is sorted
+    assert permute.permuted_cells(df, "u", "r", "c", 40).columns == [*key, "_o"]
+
+
+def test_moran_permutations_of_held_units_equal_shuffled_rows(spark):
+    pts = points("uniform")
+    units = spark.createDataFrame(pts, "District int, Latitude double, Longitude double")
+    edges = durable(spatial.knn_edges(units, 4))
+    values = units.select("District", F.when(F.col("District") % 17 != 0, F.sin("District")).alias("v"))
+    values = values.unionByName(values.where("District = 5")).where("District <> 9")  # one listed twice, one without value row
+    held, shuffled = (spatial.morans_permutation(values, edges, "District", "v", 60, 7, held_units=n).first() for n in (1000, 0))
+    assert held["n_permutations"] == 60 and held["n_as_large"] == shuffled["n_as_large"]
+    assert list(held.asDict().values()) == pytest.approx(list(shuffled.asDict().values()), abs=1e-8)
+
+
 def test_cluster_draws_have_n_units(spark):
     df = spark.createDataFrame([(i % 30,) for i in range(300)], "unit int")
     totals = permute.cluster_draws(df, "unit", 40).groupBy("rep").agg(F.sum("mult").alias("n")).collect()
