@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 from ..functions.draws import draw_index, uniform
 from ..functions.numeric import divide
 from ..schema import COMPONENTS, EXPERT_WEIGHTS
-from ..sources.durable import durable
+from ..sources.durable import count_rows, durable
 from . import metrics
 from .ordering import _ranged, average_rank, exact_quantiles, running_totals
-from .permute import cluster_draws, draw_vectors
+from .permute import draw_vectors, drawn_replicates
 
 MAX_SIMULATIONS = 1_000_000  # weight rows that travel with a task
+DRAWN = 5_000_000  # residuals that one task draws
 
 
 def _literal_weights(spark: SparkSession, rows: list[tuple], columns: Sequence[str], id_schema: str) -> DataFrame:
@@ -480,6 +481,12 @@ def prediction_distribution(df: DataFrame, p: str) -> DataFrame:
     )
 
 
+def _dealt_join(rows: DataFrame, units: DataFrame, unit: str, n_replicates: int) -> DataFrame:
+    """``rows`` with their units, in tasks that draw about ``DRAWN`` residuals each, however few bytes the rows are."""
+    tasks = max(1, -(-count_rows(rows) * int(n_replicates) // DRAWN))
+    return rows.repartition(tasks, unit).join(units.repartition(tasks, unit), unit)
+
+
 def residual_bootstrap_intervals(
     df: DataFrame, key: str, unit: str = "unit", y: str = "y", y_hat: str = "y_hat",
     n_replicates: int = 500, seed: int = 42,
@@ -498,7 +505,7 @@ def residual_bootstrap_intervals(
     residuals = rows.groupBy("_unit").agg(
         F.array_sort(F.collect_list(F.struct("_key", (F.col("_y") - F.col("_fit")).alias("e")))).alias("_e")
     )
-    drawn = cluster_draws(rows, "_unit", n_replicates, seed).groupBy("_unit").agg(F.collect_set("rep").alias("_reps"))
+    drawn = drawn_replicates(rows, "_unit", n_replicates, seed, "_reps")
     per_unit = residuals.join(drawn, "_unit", "left").withColumn("_reps", F.coalesce("_reps", F.array().cast("array<int>")))
     reps = F.sequence(F.lit(1), F.lit(int(n_replicates)))
     hit = F.array_sort("_reps")
@@ -515,7 +522,7 @@ def residual_bootstrap_intervals(
         b = F.element_at(F.col("_v"), min(lo + 2, n_replicates))
         return a + (b - a) * F.lit(pos - lo)
 
-    out = rows.join(per_unit, "_unit").select("_key", "_y", "_fit", values.alias("_v"))
+    out = _dealt_join(rows, per_unit, "_unit", n_replicates).select("_key", "_y", "_fit", values.alias("_v"))
     return out.select(
         F.col("_key").alias(key), F.col("_y").alias("y"), F.col("_fit").alias("y_hat"),
         (F.col("_fit") + quantile(CI_LEVELS[0])).alias("lower"), (F.col("_fit") + quantile(CI_LEVELS[1])).alias("upper"),
@@ -548,10 +555,10 @@ def residual_rank_intervals(
     sizes = ties.groupBy("_unit").agg(
         F.sum("_ties").alias("_n"), F.sum(F.when(F.col("_e") < 0, F.col("_ties")).otherwise(0)).alias("_negative")
     )
-    drawn = cluster_draws(sizes, "_unit", n_replicates, seed).groupBy("_unit").agg(F.collect_set("rep").alias("_reps"))
+    drawn = drawn_replicates(sizes, "_unit", n_replicates, seed, "_reps")
     units = sizes.join(drawn, "_unit", "left").withColumn("_reps", F.coalesce("_reps", F.array().cast("array<int>")))
     picks = F.array_sort(F.transform("_reps", lambda r: draw_index(F.col("_n"), seed, "residual", r, F.col("_key"))))
-    drawn_rows = rows.join(units, "_unit").select("_key", "_unit", "_negative", picks.alias("_picks"))
+    drawn_rows = _dealt_join(rows, units, "_unit", n_replicates).select("_key", "_unit", "_negative", picks.alias("_picks"))
 
     # replicates that miss the unit give residual 0, which stands between negative and other draws
     below, zeros = F.size(F.filter("_picks", lambda s: s < F.col("_negative"))), F.lit(int(n_replicates)) - F.size("_picks")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelscope.operators import clusters, panel, permute, spatial
+from panelscope.operators import clusters, panel, permute, spatial, uncertainty
 from panelscope.sources.durable import spread
 
 
@@ -82,3 +82,12 @@ def test_draws_go_to_their_unit_in_tasks_of_bounded_size(spark, monkeypatch):
     lists = permute.drawn_replicates(df, "unit", 40)
     assert {r["unit"]: set(r["reps"]) for r in lists.collect()} == brute
     assert "hashpartitioning(_index#" in (plan := lists._jdf.queryExecution().executedPlan().toString()) and ", 12), REPARTITION_BY_NUM" in plan
+
+
+def test_rows_draw_their_residuals_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(uncertainty, "DRAWN", 1000)
+    df = spark.createDataFrame([(f"k{i}", i % 20, float(i % 7), 1.0) for i in range(200)], "k string, unit int, y double, y_hat double")
+    for intervals in (uncertainty.residual_bootstrap_intervals, uncertainty.residual_rank_intervals):
+        out = intervals(df, "k", n_replicates=50)
+        assert out._jdf.queryExecution().executedPlan().toString().count(", 10), REPARTITION_BY_NUM") >= 2
+        assert out.count() == 200
