@@ -79,12 +79,13 @@ def binned(rows: DataFrame, cuts: Sequence[np.ndarray], base: float) -> DataFram
 
 def walk(tree: dict[str, np.ndarray], x: np.ndarray, ends: str) -> np.ndarray:
     """The node that every row of ``x`` reaches, by ``x <= tree[ends]``; a leaf leads to itself."""
-    node, every = np.zeros(len(x), dtype=np.int64), np.arange(len(x))
-    while True:
-        split = tree["feature"][node]
-        if (split < 0).all():
-            return node
-        node = np.where(x[every, np.maximum(split, 0)] <= tree[ends][node], tree["left"][node], tree["right"][node])
+    node, row, flat = np.zeros(len(x), dtype=np.int64), np.arange(len(x)) * x.shape[1], x.ravel()
+    slot, sides = np.maximum(tree["feature"], 0), np.column_stack([tree["right"], tree["left"]]).ravel()
+    for _ in range(len(slot)):  # at most as many levels
+        if (tree["feature"][node] < 0).all():
+            break
+        node = sides[2 * node + (flat[row + slot[node]] <= tree[ends][node])]
+    return node
 
 
 def gradients(loss: str, y: np.ndarray, w: np.ndarray, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,7 +156,7 @@ def level_splits(
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
         draws = np.random.Generator(np.random.Philox(key=[seed, part]))
-        sums = np.zeros((3, nodes * slots * width))
+        shaped = np.zeros((3, slots, nodes * width))
         for pdf in batches:
             if not len(pdf):
                 continue
@@ -166,11 +167,13 @@ def level_splits(
                 at = np.where(draws.random(len(x)) < rate, at, -1)
             in_use = at >= 0
             g, h = gradients(loss, pdf["y"].to_numpy(), pdf["w"].to_numpy(), margin)
-            cell = ((np.arange(slots) * nodes + at[in_use, None]) * width + x[in_use]).ravel()
-            for i, v in enumerate((g, h)):
-                sums[i] += np.bincount(cell, np.repeat(v[in_use], slots), sums.shape[1])
-            sums[2] += np.bincount(cell, minlength=sums.shape[1])
-        shaped = sums.reshape(3, slots, -1)
+            if not in_use.all():
+                x, at, g, h = x[in_use], at[in_use], g[in_use], h[in_use]
+            first = at * width
+            for f, bin_ in enumerate(np.ascontiguousarray(x.T)):  # one slot at a time: its cells stay in the processor's cache
+                cell = first + bin_
+                for i, v in enumerate((g, h, None)):
+                    shaped[i, f] += np.bincount(cell, v, nodes * width)
         yield pd.DataFrame({"feature": range(slots), "part": part, "sums": [shaped[:, i].tobytes() for i in range(slots)]})
 
     def best(feature: int, total: np.ndarray) -> pd.DataFrame:
