@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import (
@@ -200,8 +201,14 @@ def fit_classifier(
     if kind == "logistic_regression":
         # unit inverse penalty on the summed loss: balanced weights sum to n
         params.setdefault("regParam", 1.0 / max(1, count_rows(rows)))
-    stages = feature_pipeline(rows, numeric, categorical) + [classifier(kind, seed, **params)]
-    return Pipeline(stages=stages).fit(rows)
+    features = Pipeline(stages=feature_pipeline(rows, numeric, categorical)).fit(rows)
+    # a forest passes over its rows once a level; kept on disk, the features are computed once, in the same partitions
+    prepared = features.transform(rows).select("features", TARGET, WEIGHT).persist(StorageLevel.DISK_ONLY)
+    try:
+        final = classifier(kind, seed, **params).fit(prepared)
+    finally:
+        prepared.unpersist()
+    return PipelineModel(stages=[*features.stages, final])
 
 
 def base_probability() -> Column:
@@ -267,16 +274,26 @@ def calibrated_pipeline(base: PipelineModel, calibrator) -> PipelineModel:
     return PipelineModel(stages=[*base.stages, cut, calibrator])
 
 
-def calibrate_best(base: PipelineModel, calibration: DataFrame, validation: DataFrame, y: str = TARGET) -> tuple[PipelineModel, str, dict]:
-    """Sigmoid or isotonic, whichever has the lower validation ECE (isotonic on a tie)."""
-    cal = durable(score(base, calibration).select(y, "p"))
+def calibrate_with_scores(base: PipelineModel, calibration: DataFrame, validation: DataFrame, y: str = TARGET) -> tuple[PipelineModel, str, dict, DataFrame]:
+    """``calibrate_best`` with the score histogram of the chosen pipeline on the validation rows.
+
+    The base scores either part once; calibration is a function of the score,
+    so the candidates are applied to written scores.
+    """
+    cal, val = [durable(score(base, part).select(y, "p")) for part in (calibration, validation)]
     candidates = {"sigmoid": calibrate_platt(cal, y), "isotonic": calibrate_isotonic(cal, y)}
-    errors = {}
-    for name, fitted in candidates.items():
-        scored = score(calibrated_pipeline(base, fitted), validation, method=name)
-        errors[name] = metrics.ece(metrics.score_histogram(scored, y)).first()["ece"]
+    hists = {
+        name: durable(metrics.score_histogram(apply_calibration(val, fitted).select(y, F.col("p_calibrated").alias("p")), y))
+        for name, fitted in candidates.items()
+    }
+    errors = {name: metrics.ece(hist).first()["ece"] for name, hist in hists.items()}
     best = "sigmoid" if errors["sigmoid"] < errors["isotonic"] else "isotonic"
-    return calibrated_pipeline(base, candidates[best]), best, errors
+    return calibrated_pipeline(base, candidates[best]), best, errors, hists[best]
+
+
+def calibrate_best(base: PipelineModel, calibration: DataFrame, validation: DataFrame, y: str = TARGET) -> tuple[PipelineModel, str, dict]:
+    """Sigmoid or isotonic, whichever has the lower validation ECE (isotonic on a tie)."""
+    return calibrate_with_scores(base, calibration, validation, y)[:3]
 
 
 # --- regressors -------------------------------------------------------------

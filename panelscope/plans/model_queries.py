@@ -14,7 +14,7 @@ from ..functions.numeric import rounded
 from ..operators import clusters, metrics, models, selection
 from ..operators.aggregates import unit_means
 from ..operators.splits import split_4way, split_regression
-from ..schema import CATEGORICAL_PREDICTORS, NUMERIC_PREDICTORS, PREDICTORS
+from ..schema import CATEGORICAL_PREDICTORS, NUMERIC_PREDICTORS, PREDICTORS, RECORD_KEYS
 from ..sources.durable import durable, shared_folder
 from ..sources.model_store import load_model, save_model
 from . import oracles as o
@@ -29,8 +29,12 @@ BOOST = {"maxIter": 10}
 YEARS = {"train_end": 1998, "cal_end": 1999, "val_end": 2000}
 
 
+# What fits, splits and scores of this module read of the featured panel.
+MODEL_COLUMNS = [*RECORD_KEYS, "Event_Date", "Disaster_Occurred", "Economic_Loss_Million", models.TARGET, *PREDICTORS]
+
+
 def _panel(spark, folder):
-    return durable(v.featured(spark, folder))
+    return durable(v.featured(spark, folder).select(*MODEL_COLUMNS))
 
 
 def _parts(spark, folder):
@@ -127,8 +131,7 @@ def isotonic_query(spark, folder):
 def _package(spark, folder):
     train, cal, val, test = _parts(spark, folder)
     base = models.fit_classifier(train, "random_forest", **FOREST)
-    pipeline, method, _ = models.calibrate_best(base, cal, val)
-    hist = metrics.score_histogram(models.score(pipeline, val, method=method).select(models.TARGET, "p"), models.TARGET)
+    pipeline, method, _, hist = models.calibrate_with_scores(base, cal, val)
     threshold = metrics.optimal_threshold(hist).first()["threshold"]
     return models.ModelPackage(pipeline, threshold, tuple(PREDICTORS), method), test
 

@@ -26,6 +26,40 @@ def package(parts):
     return models.ModelPackage(pipeline, 0.2, tuple(PREDICTORS), method)
 
 
+def test_a_fit_computes_its_features_once(spark, parts, monkeypatch):
+    train, _, _, test = parts
+    plans, plain = [], models.classifier
+
+    def seen(*args, **kwargs):
+        model = plain(*args, **kwargs)
+        fit = model.fit
+        model.fit = lambda rows: (plans.append(rows._jdf.queryExecution().executedPlan().toString()), fit(rows))[1]
+        return model
+
+    monkeypatch.setattr(models, "classifier", seen)
+    model = models.fit_classifier(train, "random_forest", **SMALL)
+    assert len(plans) == 1 and "InMemoryTableScan" in plans[0]
+    assert not spark._jsc.getPersistentRDDs()
+    rows = models.with_class_weight(train.select(*PREDICTORS, F.col(models.TARGET).cast("double").alias(models.TARGET)))
+    rows = models.durable(rows)
+    whole = Pipeline(stages=[*models.feature_pipeline(rows), plain("random_forest", **SMALL)]).fit(rows)
+    a = models.score(model, test, "a").select("Record_ID", "a")
+    assert a.join(models.score(whole, test, "b").select("Record_ID", "b"), "Record_ID").where("a <> b").count() == 0
+
+
+def test_calibration_scores_each_part_once(parts, monkeypatch):
+    train, cal, val, _ = parts
+    base = models.fit_classifier(train, "random_forest", **SMALL)
+    calls, plain = [], models.score
+    monkeypatch.setattr(models, "score", lambda *a, **k: (calls.append(1), plain(*a, **k))[1])
+    pipeline, method, errors = models.calibrate_best(base, cal, val)
+    assert len(calls) == 2
+    *same, hist = models.calibrate_with_scores(base, cal, val)
+    assert same[1:] == [method, errors]
+    whole = models.metrics.score_histogram(plain(pipeline, val, method=method).select(models.TARGET, "p"), models.TARGET)
+    assert sorted(hist.collect()) == sorted(whole.collect())
+
+
 def test_no_leakage(parts):
     assert len(PREDICTORS) == 34 and not set(PREDICTORS) & set(POST_EVENT_COLUMNS)
     with pytest.raises(ValueError, match="Economic_Loss_Million"):
