@@ -7,6 +7,7 @@ streaming rows without Python in the row path.
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -564,10 +565,14 @@ def group_holdout(
     """
     rows = durable(df.where(F.col(TARGET).isNotNull()).select(unit, TARGET, *numeric, *categorical))
     units = durable(rows.select(unit).distinct())
+    reps = [holdout_units(units, unit, share, rep, seed).withColumn("_rep", F.lit(rep)) for rep in range(n_repeats)]
+    if reps:  # the rows meet the units once, not once for each part of each repeat
+        held = functools.reduce(DataFrame.unionByName, reps).groupBy(unit).agg(F.collect_set("_rep").alias("_held"))
+        rows = durable(rows.join(held, unit, "left"))
     found = []
     for rep in range(n_repeats):
-        held = holdout_units(units, unit, share, rep, seed)
-        test, train = rows.join(held, unit, "left_semi"), rows.join(held, unit, "left_anti")
+        is_held = F.coalesce(F.array_contains("_held", rep), F.lit(False))
+        test, train = rows.where(is_held), rows.where(~is_held)
         classes = [part.select(TARGET).distinct().count() for part in (train, test)]
         if min(classes) < 2:
             continue

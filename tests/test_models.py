@@ -60,6 +60,23 @@ def test_calibration_scores_each_part_once(parts, monkeypatch):
     assert sorted(hist.collect()) == sorted(whole.collect())
 
 
+def test_holdout_rows_meet_the_units_once(spark, featured, monkeypatch):
+    small = ["Rainfall_Anomaly", "Poverty_Rate"]
+    odd = featured.where("Month = 1").withColumn("District", F.lit(None).cast("string"))  # in no unit: always trained on
+    rows = models.durable(featured.unionByName(odd).select("District", models.TARGET, *small, "Season").coalesce(1))
+    trained, plain = [], models.fit_classifier
+    monkeypatch.setattr(models, "fit_classifier", lambda t, *a, **k: (trained.append(t), plain(t, *a, **k))[1])
+    found = models.group_holdout(rows, numeric=small, categorical=["Season"], n_repeats=2, **SMALL).collect()
+    assert len(found) == 2 and not any("Join" in t._jdf.queryExecution().executedPlan().toString() for t in trained)
+    usable = rows.where(F.col(models.TARGET).isNotNull())
+    units = usable.select("District").distinct()
+    for rep, train in enumerate(trained):
+        held = models.holdout_units(units, "District", 0.2, rep, 42)
+        columns = ["District", models.TARGET, *small, "Season"]
+        left = usable.join(held, "District", "left_anti").select(*columns)
+        assert sorted(map(str, train.select(*columns).collect())) == sorted(map(str, left.collect()))
+
+
 def test_no_leakage(parts):
     assert len(PREDICTORS) == 34 and not set(PREDICTORS) & set(POST_EVENT_COLUMNS)
     with pytest.raises(ValueError, match="Economic_Loss_Million"):
