@@ -71,7 +71,8 @@ class EventClassifier(Estimator, _Settings, DefaultParamsReadable, DefaultParams
 
     def _fit(self, df: DataFrame) -> EventClassifierModel:
         get = lambda name: self.getOrDefault(getattr(self, name))
-        rows = durable(df.where(F.col(get("role")).isin(*ROLES)))
+        needed = dict.fromkeys([get("role"), models.TARGET, *PREDICTORS, *([get("period")] if get("tune") else [])])
+        rows = durable(df.where(F.col(get("role")).isin(*ROLES)).select(*needed))
         train, calibration, validation = [rows.where(F.col(get("role")) == part) for part in ROLES]
         settings, table = json.loads(get("settings")), []
         if get("tune"):
@@ -80,9 +81,8 @@ class EventClassifier(Estimator, _Settings, DefaultParamsReadable, DefaultParams
             settings = {**settings, **found[0][0]}
             table = [(i, str(sorted(draw.items())), *rest) for draw, i, *rest in found]
         base = models.fit_classifier(train, get("kind"), seed=get("seed"), **settings)
-        pipeline, method, _ = models.calibrate_best(base, calibration, validation)
-        scored = models.score(pipeline, validation, method=method).select(models.TARGET, "p")
-        threshold = metrics.optimal_threshold(metrics.score_histogram(scored, models.TARGET), get("recall")).first()["threshold"]
+        pipeline, method, _, hist = models.calibrate_with_scores(base, calibration, validation)
+        threshold = metrics.optimal_threshold(hist, get("recall")).first()["threshold"]
         package = models.ModelPackage(pipeline, float(threshold), tuple(PREDICTORS), method)
         return self._copyValues(EventClassifierModel(package, table))
 

@@ -3,7 +3,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from panelscope.operators import clusters, models
+from panelscope.operators import clusters, models, selection
 from panelscope.operators.splits import split_3way, split_4way
 from panelscope.schema import NUMERIC_PREDICTORS, POST_EVENT_COLUMNS, PREDICTORS
 from panelscope.sources.model_store import load_model, save_model
@@ -77,6 +77,14 @@ def test_holdout_rows_meet_the_units_once(spark, featured, monkeypatch):
         assert sorted(map(str, train.select(*columns).collect())) == sorted(map(str, left.collect()))
 
 
+def test_the_chosen_model_copies_only_its_columns(featured, monkeypatch):
+    copied, plain = [], selection.durable
+    monkeypatch.setattr(selection, "durable", lambda df: (copied.append(df.columns), plain(df))[1])
+    rows = selection.with_roles(featured, train_end=1998, cal_end=1999, val_end=2000)
+    selection.EventClassifier(kind="random_forest", settings='{"numTrees": 5, "maxDepth": 3}').fit(rows)
+    assert set(copied[0]) == {"Role", models.TARGET, *PREDICTORS}
+
+
 def test_no_leakage(parts):
     assert len(PREDICTORS) == 34 and not set(PREDICTORS) & set(POST_EVENT_COLUMNS)
     with pytest.raises(ValueError, match="Economic_Loss_Million"):
