@@ -5,10 +5,13 @@ sorted by component, so that a query with a positive weight reads them from the
 top and one with a negative weight from the bottom. Weight times distance from
 the far end of the list is an impact >= 0, and a score is a constant of the
 query plus the impacts of its postings. Segments are processed over all
-dimensions by descending impact level. After each level a vector's score lies
-between what it has gathered and that plus (postings not met) x (level); when
-the k-th best lower bound leaves few vectors possible, or nothing is left, the
-possible ones, ties included, are rescored exactly. Nothing else ends a search.
+dimensions by descending impact level. After each level a vector's score is at
+most what it has gathered plus, for each posting not met, the level, or the
+highest impact of a list that lies below the level as a whole; the vectors
+ahead are rescored, which bounds the k-th best score from below. When the
+vectors still possible cost less to rescore than the next level to read, or
+nothing is left, all of them, ties included, are rescored exactly. Nothing
+else ends a search.
 
 Query chunks meet vector blocks by their numbers; both have fixed sizes.
 """
@@ -23,10 +26,13 @@ from pyspark.sql import functions as F
 
 K = 5
 SCALE = 256
-BLOCK = 8192  # vectors of a block
+BLOCK = 16384  # vectors of a block
 CHUNK = 4096  # queries that meet a block at once
-LEVELS = 10
-FEW = 64  # possible members that are cheaper to rescore than to bound
+LEVELS = 5
+FALL = 0.4  # of the level from one to the next; the last is 0
+LISTS = 8  # posting lists added up at once
+AHEAD = 4  # times k vectors are rescored after a level
+RESCORED = 1.0  # components rescored for a posting of the next level
 
 
 def _matrix(vectors: list[np.ndarray], width: int) -> np.ndarray:
@@ -46,58 +52,74 @@ class Index:
 
     def __init__(self, ids: np.ndarray, values: np.ndarray) -> None:
         self.ids, self.values = ids, values
+        self.largest = np.abs(values).max(initial=0)
         order = np.argsort(values, axis=0, kind="stable")
         self.order = np.ascontiguousarray(order.T)
         self.sorted = np.ascontiguousarray(np.take_along_axis(values, order, 0).T)
+        self.found, self.parts = np.empty(LISTS * len(ids), np.int64), np.empty(LISTS * len(ids))  # postings being added up
+
+    def cuts(self, query: np.ndarray, used: np.ndarray, levels: np.ndarray) -> np.ndarray:
+        """Postings of impact at least the level, by dimension and level; level 0 takes all."""
+        n = len(self.ids)
+        out = np.empty((len(used), len(levels)), np.int64)
+        for i, d in enumerate(used):
+            column, reach = self.sorted[d], levels / abs(query[d])
+            if query[d] > 0:  # from the top
+                out[i] = n - np.searchsorted(column, column[0] + reach, "left")
+            else:
+                out[i] = np.searchsorted(column, column[-1] - reach, "right")
+        return out
 
     def possible(self, query: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
         """A mask that holds every vector of the block's top k and its ties."""
         n = len(self.ids)
         used = np.flatnonzero(query)
-        weight = np.abs(query)
-        width = self.sorted[:, -1] - self.sorted[:, 0]
-        most = float((weight * width).max(initial=0.0))
-        if n - own.sum() <= k or not most:
+        far = np.where(query > 0, self.sorted[:, 0], self.sorted[:, -1]) * query  # what a vector scores at least, by dimension
+        most = np.abs(query) * (self.sorted[:, -1] - self.sorted[:, 0])  # the highest impact, by dimension
+        if n - own.sum() <= k or not most.any():
             return ~own
-        gathered, met = np.zeros(n), np.zeros(n)
-        done = dict.fromkeys(used.tolist(), 0)
-        for step in range(1, LEVELS + 1):
-            level = most * (1 - step / LEVELS) if step < LEVELS else 0.0
-            ids, impacts = [], []
-            for d in done:
-                column, w = self.sorted[d], weight[d]
-                if query[d] > 0:  # from the top
-                    stop = n - int(np.searchsorted(column, column[0] + level / w, "left"))
-                    part = slice(n - stop, n - done[d])
-                    impact = (column[part] - column[0]) * w
-                else:
-                    stop = int(np.searchsorted(column, column[-1] - level / w, "right"))
-                    part = slice(done[d], stop)
-                    impact = (column[-1] - column[part]) * w
-                if stop > done[d]:
-                    ids.append(self.order[d, part])
-                    impacts.append(impact)
-                    done[d] = stop
-            if ids:
-                found = np.concatenate(ids)
-                gathered += np.bincount(found, np.concatenate(impacts), n)
-                met += np.bincount(found, minlength=n)
-            lower = np.where(own, -1.0, gathered)
-            floor = np.partition(lower, n - k)[n - k]
-            # a posting not met has an impact of at most the level; a unit more guards the division above
-            upper = gathered + (len(used) - met) * (level + weight.max())
+        levels = np.append(most.max() * FALL ** np.arange(1.0, LEVELS), 0.0)
+        cuts = self.cuts(query, used, levels)
+        unit = 2.0 ** len(used).bit_length()  # sums hold whole impacts times this, plus the postings met
+        sums, floor, before = np.zeros(n), -1.0, np.zeros(len(used), np.int64)
+        for step, level in enumerate(levels):
+            stops = np.maximum(cuts[:, step], before)
+            for at in range(0, len(used), LISTS):
+                end = 0
+                for i in range(at, min(at + LISTS, len(used))):
+                    d, start, stop = used[i], before[i], stops[i]
+                    if stop > start:
+                        postings = slice(n - stop, n - start) if query[d] > 0 else slice(start, stop)
+                        here = slice(end, end := end + stop - start)
+                        self.found[here] = self.order[d, postings]
+                        np.multiply(self.sorted[d, postings], query[d] * unit, out=self.parts[here])
+                        self.parts[here] += 1 - far[d] * unit
+                if end:
+                    sums += np.bincount(self.found[:end], self.parts[:end], n)
+            before = stops
+            gathered = np.floor(sums / unit)
+            met = sums - gathered * unit
+            # the best so far are rescored: the k-th of their scores is a bound for the k-th best of all
+            gathered[own] = -1.0
+            ahead = np.argpartition(gathered, n - min(n, AHEAD * k))[n - min(n, AHEAD * k) :]
+            ahead = ahead[~own[ahead]]
+            if len(ahead) >= k:
+                floor = max(floor, np.partition(self.values[ahead] @ query, len(ahead) - k)[len(ahead) - k] - far.sum())
+            # a posting not met has an impact of at most the level and its list's highest; two units more guard the division in the cuts
+            opened = stops > 0
+            upper = gathered + (opened.sum() - met) * (level + 2.0) + most[used][~opened].sum()
             mask = (upper >= floor) & ~own
-            if mask.sum() <= max(FEW, k):
+            if level and mask.sum() * len(used) <= RESCORED * (cuts[:, step + 1].sum() - stops.sum()):
                 break
         return mask
 
     def top(self, query: np.ndarray, query_id: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the best k, ties to the smaller id."""
         own = self.ids == query_id
-        size = np.abs(query).sum() * np.abs(self.values).max(initial=0)
-        if size < 2**52:
+        size = np.abs(query).sum() * self.largest
+        if size < 2**50 / (len(query) + 1):
             at = np.flatnonzero(self.possible(query, own, k))
-            scores = self.values[at].astype(np.int64) @ query.astype(np.int64)
+            scores = (self.values[at] @ query).astype(np.int64)
         else:  # beyond exact floats: whole numbers of any size
             at = np.flatnonzero(~own)
             whole = lambda x: np.array([int(v) for v in x.ravel()], object).reshape(x.shape)

@@ -181,6 +181,29 @@ def test_search(spark):
     assert impact_index.top_k(vectors.filter("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_search_reads_few_postings(monkeypatch):
+    import numpy as np
+
+    from panelscope.llm import impact_index
+
+    draw, added, count = np.random.default_rng(5), [], np.bincount
+    values = np.floor(draw.normal(0, 32, (4000, 64)))
+    values[:40], values[40:60, ::2], values[60:70] = values[0], 0, np.floor(draw.normal(0, 90, 64))
+    index = impact_index.Index(draw.permutation(4000), values)
+
+    def counted(x, *args, **kwargs):
+        added.append(len(x))
+        return count(x, *args, **kwargs)
+
+    monkeypatch.setattr(np, "bincount", counted)
+    queries = [*values[[0, 45, 65, *range(500, 540)]], np.zeros(64), np.eye(64)[3], -7 * np.eye(64)[9], np.floor(values[700] * 2.0**12), np.floor(values[701] * 2.0**40)]
+    for at, query in enumerate(queries):
+        ids, scores = index.top(query, own := int(index.ids[at]), 5)
+        exact = sorted((-sum(int(a) * int(b) for a, b in zip(v, query)), int(i)) for i, v in zip(index.ids, values) if i != own)[:5]
+        assert [(-int(s), int(i)) for i, s in zip(ids, scores)] == exact
+    assert sum(added) < 0.9 * 43 * values.size  # two sums over nearly every posting before
+
+
 def test_pseudonyms(spark):
     from panelscope.llm import pseudonyms
 
