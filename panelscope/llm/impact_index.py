@@ -44,7 +44,7 @@ def _matrix(vectors: list[np.ndarray], width: int) -> np.ndarray:
 
 
 def _rows(table: pa.Table) -> list[np.ndarray]:
-    return [np.asarray(v, np.float64) for v in table.column("vector").to_pylist()]
+    return [np.asarray(v, np.float64) for part in table.column("vector").chunks for v in part.to_numpy(zero_copy_only=False)]
 
 
 class Index:
