@@ -20,7 +20,9 @@ Equal sets are one node (a 64-bit identity), so copies cost nothing. Buckets of
 a signature are linked as stars; only where a bucket still holds several
 components are the pairs between components looked at, and only those whose
 sizes and outlines (parities of the features in 512 cells, in 2,048 more for
-large sets; a lower bound of the difference) allow the similarity. It is always counted exactly on whole sets.
+large sets; a lower bound of the difference) allow the similarity. That is
+judged in arrays, where a pair takes nanoseconds, not as a row of a join; large
+buckets are cut into cells. The similarity is always counted exactly on whole sets.
 """
 
 from __future__ import annotations
@@ -46,6 +48,8 @@ TURNS = 2  # each with other hubs
 OUTLINE = 8  # words of 64 bits: 512 cells
 WIDE = 32  # as many words more for sets of LARGE features and more, whose differences fill 512 cells
 LARGE = 800
+CELL = 4096  # members of a bucket that meet in one group; the pairs of a larger bucket are dealt over several
+SMALL = 32  # cells up to this size are compared together, larger ones alone
 U = np.uint64
 
 
@@ -199,19 +203,106 @@ def _similar(base: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.filter(DEN * F.col("common") >= NUM * (F.size("fu") + F.size("fv") - F.col("common"))).select("u", "v")
 
 
-def _possible(a: str, b: str, wide: bool = True) -> Column:
+def _possible(a: str, b: str) -> Column:
     """Sizes and outlines of two nodes (structs) allow the similarity."""
     x, y = F.col(a), F.col(b)
+    apart = sum((F.bit_count(x["bits"][i].bitwiseXOR(y["bits"][i])) for i in range(OUTLINE)), F.lit(0))
+    sizes = (DEN * x["size"] >= NUM * y["size"]) & (DEN * y["size"] >= NUM * x["size"])
+    return sizes & ((DEN + NUM) * apart <= (DEN - NUM) * (x["size"] + y["size"]))
+
+
+class _Cells:
+    """Members of buckets in arrays, sorted by cell and part."""
+
+    def __init__(self, batch: pa.RecordBatch) -> None:
+        self.key = [batch.column(c).to_numpy() for c in ("sig", "low", "high")]
+        self.part, self.node, self.root, self.size = (batch.column(c).to_numpy() for c in ("part", "node", "root", "size"))
+        self.bits = batch.column("bits").flatten().to_numpy().view(U).reshape(-1, OUTLINE)
+        wide = batch.column("wide")
+        self.wide = wide.flatten().to_numpy().view(U).reshape(-1, WIDE)
+        held = wide.is_valid().to_numpy(zero_copy_only=False)
+        self.wide_at = np.where(held, np.cumsum(held) - 1, -1)
+
+    def bounds(self) -> np.ndarray:
+        """First rows of the cells, and the number of rows."""
+        changes = [np.flatnonzero(k[1:] != k[:-1]) + 1 for k in self.key]
+        return np.unique(np.concatenate([[0, len(self.part)], *changes]))
+
+    def possible(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of rows (i, j) in different components whose sizes and outlines allow the similarity."""
+        low, high = self.key[1][i], self.key[2][i]
+        keep = (self.root[i] != self.root[j]) & ((low == high) | (self.part[i] != self.part[j]))
+        i, j = i[keep], j[keep]
+        a, b = self.size[i], self.size[j]
+        keep = (DEN * a >= NUM * b) & (DEN * b >= NUM * a)
+        i, j, most = i[keep], j[keep], (DEN - NUM) * (a + b)[keep]
+        keep = (DEN + NUM) * np.bitwise_count(self.bits[i] ^ self.bits[j]).sum(axis=1, dtype=np.int64) <= most
+        i, j, most = i[keep], j[keep], most[keep]
+        x, y = self.wide_at[i], self.wide_at[j]
+        both = np.flatnonzero((x >= 0) & (y >= 0))
+        far = (DEN + NUM) * np.bitwise_count(self.wide[x[both]] ^ self.wide[y[both]]).sum(axis=1, dtype=np.int64) > most[both]
+        keep = np.ones(len(i), bool)
+        keep[both[far]] = False
+        return i[keep], j[keep]
+
+    def _within(self, first: int, stop: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Possible pairs of one cell, some rows against all that follow at a time."""
+        words = np.ascontiguousarray(self.bits[first:stop].T)
+        most = 2 * (DEN - NUM) * int(self.size[first:stop].max()) // (DEN + NUM)
+        for at in range(0, stop - first, 64):
+            apart = np.zeros((min(64, stop - first - at), stop - first - at), np.uint16)
+            for w in words:
+                apart += np.bitwise_count(w[at : at + 64, None] ^ w[None, at:])
+            i, j = np.nonzero(apart <= most)
+            after = j > i
+            yield self.possible(first + at + i[after], first + at + j[after])
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Possible pairs (i, j) of rows of one cell."""
+        bounds = self.bounds()
+        sizes = np.diff(bounds)
+        for c in np.flatnonzero(sizes > SMALL):
+            yield from self._within(int(bounds[c]), int(bounds[c + 1]))
+        stop = np.repeat(np.where(sizes > SMALL, 0, bounds[1:]), sizes)
+        row = np.arange(len(stop))
+        for step in range(1, SMALL):
+            row = row[row + step < stop[row]]
+            if not len(row):
+                break
+            yield self.possible(row, row + step)
+
+
+def _possible_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        cells = _Cells(batch)
+        for i, j in cells.pairs():
+            if len(i):
+                u, v = cells.node[i], cells.node[j]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+    rest = None  # rows of a cell that may go on in the next batch
+    for batch in batches:
+        batch = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+        if batch.num_rows:
+            last = int(_Cells(batch).bounds()[-2])
+            yield from found(batch.slice(0, last)) if last else ()
+            rest = batch.slice(last)
+    if rest is not None:
+        yield from found(rest)
 
-    def apart(name: str, words: int) -> Column:
-        return sum((F.bit_count(x[name][i].bitwiseXOR(y[name][i])) for i in range(words)), F.lit(0))
 
-    most = (DEN - NUM) * (x["size"] + y["size"])
-    sizes = (DEN * x["size"] >= NUM * y["size"]) & (DEN * y["size"] >= NUM * x["size"])
-    close = sizes & ((DEN + NUM) * apart("bits", OUTLINE) <= most)
-    if not wide:
-        return close
-    return close & (x["wide"].isNull() | y["wide"].isNull() | ((DEN + NUM) * apart("wide", WIDE) <= most))
+def _between(members: DataFrame, cell: int = CELL) -> DataFrame:
+    """u, v: pairs of members of a bucket that are in different components and may be similar, each once.
+
+    ``members`` has sig, node, root, look and the number of members of the bucket. A bucket of more than ``cell``
+    is cut into parts by node, and two parts, or one with itself, meet in a cell of their own.
+    """
+    parted = members.withColumn("parts", F.ceil(F.col("members") / cell).cast("int"))
+    parted = parted.withColumn("part", F.expr("CAST(pmod(xxhash64(node), parts) AS INT)")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    columns = ("part", "node", "root", F.col("look.size").alias("size"), F.col("look.bits").alias("bits"), F.col("look.wide").alias("wide"))
+    cells = parted.select("sig", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), *columns)
+    cells = cells.repartition("sig", "low", "high").sortWithinPartitions("sig", "low", "high", "part")
+    return cells.mapInArrow(_possible_pairs, "u long, v long").distinct()
 
 
 def _stars(members: DataFrame, turn: int) -> DataFrame:
@@ -225,7 +316,7 @@ def _stars(members: DataFrame, turn: int) -> DataFrame:
     member = F.struct("node", "root", "look")
     hubs = F.array(F.last(member).over(bucket), *[F.nth_value(member, j).over(bucket) for j in range(1, HUBS)])
     pairs = members.withColumn("hubs", hubs).select("node", "root", F.col("look").alias("lu"), F.explode("hubs").alias("hub")).filter(F.col("root") != F.col("hub.root"))
-    pairs = pairs.select(F.col("node").alias("u"), F.col("hub.node").alias("v"), "lu", F.col("hub.look").alias("lv")).filter(_possible("lu", "lv", wide=False))
+    pairs = pairs.select(F.col("node").alias("u"), F.col("hub.node").alias("v"), "lu", F.col("hub.look").alias("lv")).filter(_possible("lu", "lv"))
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
@@ -258,13 +349,10 @@ def linked_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         found = durable(_similar(base, nodes, stars))
         links = found if links is None else links.union(found)
         roots = durable(components(links))
-        every = every.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = every.groupBy("sig").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("sig")
+        every = every.drop("root", "members").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = every.groupBy("sig").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("members")).filter("a != b").select("sig", "members")
         every = durable(every.join(mixed, "sig"))
-    one = every.select("sig", F.col("node").alias("u"), F.col("root").alias("ru"), F.col("look").alias("lu")).alias("x")
-    two = every.select("sig", F.col("node").alias("v"), F.col("root").alias("rv"), F.col("look").alias("lv")).alias("y")
-    pair = (F.col("x.sig") == F.col("y.sig")) & (F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & _possible("lu", "lv")
-    between = one.join(two, pair).select("u", "v").distinct().join(tried, ["u", "v"], "left_anti")
+    between = _between(every).join(tried, ["u", "v"], "left_anti")
     more = durable(_similar(base, nodes, durable(between)))
     if more.count():
         roots = durable(components(links.union(more)))

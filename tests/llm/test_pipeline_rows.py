@@ -98,3 +98,46 @@ def test_stages_on_odd_tables(spark, stage):
     found = run(spark, docs, "")
     assert found.columns == docs.columns and {r.text for r in found.collect()} >= {long, prose("y"), prose("x"), prose("z")} - ({prose("z")} if stage == "mixing" else set())
     assert run(spark, docs.filter("false"), "").count() == 0
+
+
+def test_a_large_buckets_pairs_are_judged_in_arrays(spark):
+    """Every possible pair of a bucket once, whatever the cells, without a row for each pair of its members."""
+    import numpy as np
+
+    from panelscope.llm import partenum
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, (4, partenum.OUTLINE))
+    far = rng.integers(0, 2**63, partenum.WIDE)
+    rows, looks = [], {}
+    for node in range(400):
+        bits = base[node % 4].copy()
+        for at in rng.integers(0, 40, 12):  # close to one of four outlines
+            bits[at // 8] ^= 1 << int(at)
+        size = int(rng.choice([60, 75, 800, 900]))
+        wide = [int(v) for v in (far if node % 3 else ~far)] if size >= partenum.LARGE else None
+        looks[node] = (size, [int(v) for v in bits], wide)
+    buckets = {1: range(400), 2: range(0, 400, 2), 3: [7], **{10 + i: range(i, i + 5) for i in range(300)}}
+    for sig, nodes in buckets.items():
+        rows += [(sig, n, n // 6, looks[n], len(nodes)) for n in nodes]
+    schema = "sig long, node long, root long, look struct<size:long,bits:array<long>,wide:array<long>>, members long"
+    members = spark.createDataFrame(rows, schema).repartition(5)
+
+    def apart(x, y):
+        return sum(((a ^ b) & (2**64 - 1)).bit_count() for a, b in zip(x, y))
+
+    def possible(u, v):
+        (a, x, p), (b, y, q) = looks[u], looks[v]
+        most = (partenum.DEN - partenum.NUM) * (a + b)
+        weigh = partenum.DEN + partenum.NUM
+        sizes = partenum.DEN * min(a, b) >= partenum.NUM * max(a, b)
+        return sizes and weigh * apart(x, y) <= most and (p is None or q is None or weigh * apart(p, q) <= most)
+
+    want = sorted((u, v) for u in range(400) for v in range(u + 1, 400) if u // 6 != v // 6 and possible(u, v))
+    assert 1_000 < len(want) < 40_000
+    for cell in (partenum.CELL, 64):
+        found = partenum._between(members, cell)
+        assert sorted(map(tuple, found.collect())) == want
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "MapInArrow" in plan
+    assert partenum._between(members.limit(0)).count() == 0
