@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -51,8 +52,9 @@ from ..sources.durable import count_rows, durable, spread
 from . import metrics
 from .newton import NewtonClassifier, NewtonRegressor
 from .ordering import row_numbers
-from .permute import permuted_values
+from .permute import HELD_UNITS, permuted_values
 from .profile import mode_values
+from .votes import MOST_LEAVES, Ballot, ballot, replaced_areas
 
 TARGET = "Disaster_Next_Month"
 WEIGHT = "class_weight"
@@ -529,11 +531,79 @@ def permutation_importance(
     """Drop in ROC-AUC when one feature is shuffled, mean and sd over repeats.
 
     Every row is paired with a donor row per repeat; shuffling a feature takes
-    its value from the donor.  All (feature, repeat) variants are scored in one
-    job and reduced to score histograms.
+    its value from the donor.  Where the model is a forest of small trees on
+    ``feature_pipeline`` and a task can hold the rows, features are computed
+    once a row and all variants of a replicate are scored in arrays; else all
+    (feature, repeat) variants are scored in one job and reduced to score histograms.
     """
     base = durable(rows.where(F.col(TARGET).isNotNull()).select(key, TARGET, *features))
     baseline = _areas(model, base)[0]
+    forest = forest_ballot(model, features) if 0 < count_rows(base) <= HELD_UNITS and features and n_repeats > 0 else None
+    if forest is not None:
+        numbered = durable(row_numbers(base, key, "_i"))
+        areas = replaced_areas(forest, _coded_rows(model, forest, numbered, key), key, features, n_repeats, seed)
+    else:
+        areas = _replaced_areas(model, base, key, features, n_repeats, seed)
+    drop = F.lit(baseline) - F.col("roc_auc")
+    return areas.groupBy("feature").agg(
+        F.avg(drop).alias("importance_mean"), F.stddev_pop(drop).alias("importance_std"), F.count(F.lit(1)).alias("n_repeats")
+    ).orderBy(F.desc("importance_mean"), "feature")
+
+
+def predictor_slots(model: PipelineModel) -> tuple[dict[str, tuple[int, int]], list[str]] | None:
+    """First slot and end of each predictor in the vector of ``feature_pipeline``, and the one-hot ones; None for other pipelines."""
+    slots, one_hot, expected = {}, [], []
+    for stage in model.stages[:-1]:
+        kind = type(stage).__name__
+        if kind == "VectorAssembler" and stage.getOutputCol() == "_numeric":
+            slots |= {c.removeprefix("_i_"): (i, i + 1) for i, c in enumerate(stage.getInputCols())}
+            expected.append("_scaled")
+        elif kind == "StringIndexerModel":
+            for c, labels in zip(stage.getInputCols(), stage.labelsArray):
+                first = max((stop for _, stop in slots.values()), default=0)
+                slots[c.removeprefix("_c_")] = (first, first + len(labels))
+                one_hot.append(c.removeprefix("_c_"))
+            expected += [f"_o_{c}" for c in one_hot]
+        elif kind == "VectorAssembler":
+            if stage.getOutputCol() != "features" or stage.getInputCols() != expected:
+                return None
+        elif kind not in ("SQLTransformer", "ImputerModel", "StandardScalerModel", "OneHotEncoderModel"):
+            return None
+    last = model.stages[-1]
+    whole = max((stop for _, stop in slots.values()), default=0)
+    return (slots, one_hot) if slots and getattr(last, "numFeatures", None) == whole else None
+
+
+def forest_ballot(model: PipelineModel, features: Sequence[str]) -> Ballot | None:
+    """The model's forest for ``replaced_areas``, None where that does not apply."""
+    forest = model.stages[-1]
+    if type(forest).__name__ != "RandomForestClassificationModel" or forest.numClasses != 2:
+        return None
+    if any(t.numNodes > 2 * MOST_LEAVES - 1 for t in forest.trees):
+        return None
+    found = predictor_slots(model)
+    if found is None or not set(features) <= set(found[0]):
+        return None
+    return ballot([_tree_arrays(t, 1.0) for t in forest.trees], *found)
+
+
+def _coded_rows(model: PipelineModel, forest: Ballot, numbered: DataFrame, key: str) -> DataFrame:
+    """_i, key, _y, _codes: the features of every row, computed once."""
+    prepared = PipelineModel(stages=model.stages[:-1]).transform(numbered)
+    prepared = prepared.select("_i", F.col(key), (F.col(TARGET) == 1).alias("_y"), vector_to_array("features").alias("_x"))
+
+    def code(batches):
+        for batch in batches:
+            x = batch.column(3).flatten().to_numpy().reshape(batch.num_rows, -1)
+            codes = forest.codes(x) if batch.num_rows else np.zeros((0, 1), np.uint16)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([c.tobytes() for c in codes], pa.binary())], ["_i", key, "_y", "_codes"])
+
+    kind = prepared.schema[key].dataType.simpleString()
+    return prepared.mapInArrow(code, f"_i bigint, `{key}` {kind}, _y boolean, _codes binary")
+
+
+def _replaced_areas(model: PipelineModel, base: DataFrame, key: str, features: Sequence[str], n_repeats: int, seed: int) -> DataFrame:
+    """(feature, rep, roc_auc): a row per variant, scored by the whole pipeline."""
     donors = permuted_values(base.select(key, F.struct(*features).alias("donor")), key, "donor", n_repeats, seed)
     paired = spread(durable(base.join(donors, key)), len(features), SCORED_ROWS).withColumn("feature", F.explode(F.array(*[F.lit(f) for f in features])))
     variants = paired.select(
@@ -541,11 +611,7 @@ def permutation_importance(
         *[F.when(F.col("feature") == f, F.col("donor")[f]).otherwise(F.col(f)).alias(f) for f in features],
     )
     hist = metrics.score_histogram(score(model, variants).select("feature", "rep", TARGET, "p"), TARGET, by=["feature", "rep"])
-    areas = metrics.roc_auc(hist, ["feature", "rep"])
-    drop = F.lit(baseline) - F.col("roc_auc")
-    return areas.groupBy("feature").agg(
-        F.avg(drop).alias("importance_mean"), F.stddev_pop(drop).alias("importance_std"), F.count(F.lit(1)).alias("n_repeats")
-    ).orderBy(F.desc("importance_mean"), "feature")
+    return metrics.roc_auc(hist, ["feature", "rep"])
 
 
 def holdout_units(units: DataFrame, unit: str, share: float, rep: int, seed: int) -> DataFrame:
@@ -599,11 +665,12 @@ def holdout_summary(reps: DataFrame) -> DataFrame:
 
 def _tree_arrays(tree, weight: float) -> dict[str, np.ndarray]:
     """Flat arrays of one fitted tree (feature, threshold, children, value, cover)."""
-    feature, threshold, left, right, value, cover = [], [], [], [], [], []
+    feature, threshold, left, right, value, cover, votes = [], [], [], [], [], [], []
 
     def visit(node) -> int:
         i = len(feature)
         stats = list(node.impurityStats().stats())
+        votes.append([s / sum(stats) for s in stats] if sum(stats) else [0.0 for _ in stats])
         feature.append(-1), threshold.append(0.0), left.append(i), right.append(i)
         cover.append(node.impurityStats().count())
         value.append(weight * (stats[1] / sum(stats) if len(stats) == 2 else node.prediction()))
@@ -625,6 +692,7 @@ def _tree_arrays(tree, weight: float) -> dict[str, np.ndarray]:
     return {
         "feature": np.array(feature), "threshold": np.array(threshold), "left": np.array(left),
         "right": np.array(right), "value": np.array(value), "cover": np.array(cover, dtype=float),
+        "votes": np.array(votes) if all(len(v) == 2 for v in votes) else None,
     }
 
 

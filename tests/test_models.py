@@ -60,6 +60,30 @@ def test_calibration_scores_each_part_once(parts, monkeypatch):
     assert sorted(hist.collect()) == sorted(whole.collect())
 
 
+def test_importance_scores_variants_in_arrays(spark, parts, monkeypatch):
+    """The same areas as a row per variant; only the baseline goes through the pipeline as scored rows."""
+    train, _, val, _ = parts
+    model = models.fit_classifier(train, "random_forest", numTrees=7, maxDepth=4)
+    holes = val.withColumn("Region", F.when(F.col("Month") == 3, F.lit("elsewhere")).otherwise(F.col("Region")))
+    holes = holes.withColumn("Soil_Moisture", F.when(F.col("Month") == 5, F.lit(None)).otherwise(F.col("Soil_Moisture")))
+    rows = holes.select("Record_ID", models.TARGET, *PREDICTORS)
+    one = holes.orderBy("Record_ID").limit(1).select(F.lit(None).cast("string").alias("Record_ID"), models.TARGET, *PREDICTORS)
+    rows = rows.unionByName(holes.where("Month = 2").select(*rows.columns)).unionByName(one).unionByName(one)
+    calls, plain = [], models.score
+    monkeypatch.setattr(models, "score", lambda *a, **k: (calls.append(a), plain(*a, **k))[1])
+    found = models.permutation_importance(model, rows, "Record_ID", PREDICTORS, n_repeats=3).collect()
+    assert len(calls) == 1
+    with monkeypatch.context() as m:
+        m.setattr(models, "forest_ballot", lambda *a: None)
+        by = {r.feature: r for r in models.permutation_importance(model, rows, "Record_ID", PREDICTORS, n_repeats=3).collect()}
+    assert {r.feature for r in found} == set(PREDICTORS) == set(by) and len(found) == len(PREDICTORS)
+    for r in found:
+        assert r.n_repeats == by[r.feature].n_repeats == 3
+        assert r.importance_mean == pytest.approx(by[r.feature].importance_mean, abs=1e-12)
+        assert r.importance_std == pytest.approx(by[r.feature].importance_std, abs=1e-12)
+    assert models.forest_ballot(models.fit_classifier(train, "logistic_regression", maxIter=2), PREDICTORS) is None
+
+
 def test_holdout_rows_meet_the_units_once(spark, featured, monkeypatch):
     small = ["Rainfall_Anomaly", "Poverty_Rate"]
     odd = featured.where("Month = 1").withColumn("District", F.lit(None).cast("string"))  # in no unit: always trained on
