@@ -1,6 +1,7 @@
 """Boosted trees by second-order steps over quantised features.
 
-Features become bins once; a row then is one short byte string.  A tree grows
+Features become bins once; a block of rows then is one byte string, slot by
+slot, that a task reads without touching single rows.  A tree grows
 level by level: every task sums gradients and curvatures of its rows by
 (node, feature, bin), the sums of a feature meet in one stream that keeps only
 running totals, and the driver sees one best split per node and feature.  The
@@ -17,7 +18,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
+import pyarrow as pa
+from pyspark import StorageLevel, TaskContext
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -48,6 +50,7 @@ from pyspark.sql import functions as F
 from ..sources.durable import durable
 
 TREE = "tree int, node int, feature int, threshold double, left int, right int, value double, cover double"
+BLOCKS = "bins binary, y binary, w binary, margin binary, ahead binary"
 SPLITS = "feature int, node int, gain double, bin int, left_g double, left_h double, g double, h double"
 
 
@@ -62,25 +65,48 @@ def quantile_cuts(rows: DataFrame, slots: int, max_bins: int) -> list[np.ndarray
 
 
 def binned(rows: DataFrame, cuts: Sequence[np.ndarray], base: float) -> DataFrame:
-    """(bins, y, w, margin): bin b holds values above cut b - 1 and up to cut b; NaN is above all cuts."""
+    """Blocks of rows (bins slot by slot, y, w, margin, ahead): bin b holds values above cut b - 1 and up to cut b; NaN is above all cuts.
+
+    ``ahead`` is the sum of the trees since the margins were written.
+    """
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
                 x = np.stack(pdf["x"].to_numpy())
-                bins = np.column_stack([np.searchsorted(c, x[:, i]) for i, c in enumerate(cuts)]).astype(np.uint8)
-                yield pd.DataFrame({"bins": [b.tobytes() for b in bins], "y": pdf["y"], "w": pdf["w"], "margin": base})
+                bins = np.stack([np.searchsorted(c, x[:, i]) for i, c in enumerate(cuts)]).astype(np.uint8)
+                y, w = (pdf[c].to_numpy(dtype=float) for c in ("y", "w"))
+                yield pd.DataFrame({c: [v.tobytes()] for c, v in zip(_COLUMNS, (bins, y, w, np.full(len(x), base), np.zeros(len(x))))})
+
+    return rows.mapInPandas(deal, BLOCKS)
+
+
+_COLUMNS = [c.split()[0] for c in BLOCKS.split(", ")]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], slots: int) -> Iterator[list[np.ndarray]]:
+    """bins (slots, rows), y, w, margin, ahead of each block; nothing is copied."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            bins, *numbers = [np.frombuffer(column[i].as_buffer(), np.uint8) for column in batch.columns]
+            yield [bins.reshape(slots, -1), *[v.view(np.float64) for v in numbers]]
+
 
-    return rows.mapInPandas(deal, "bins binary, y double, w double, margin double")
+# Least curvature of a child from which no rows need to be counted.
+COUNTLESS = 1e-3
 
 
 # --- trees --------------------------------------------------------------------
 
 
-def walk(tree: dict[str, np.ndarray], x: np.ndarray, ends: str) -> np.ndarray:
-    """The node that every row of ``x`` reaches, by ``x <= tree[ends]``; a leaf leads to itself."""
-    node, row, flat = np.zeros(len(x), dtype=np.int64), np.arange(len(x)) * x.shape[1], x.ravel()
-    slot, sides = np.maximum(tree["feature"], 0), np.column_stack([tree["right"], tree["left"]]).ravel()
+def walk(tree: dict[str, np.ndarray], x: np.ndarray, ends: str, by_slot: bool = False) -> np.ndarray:
+    """The node that every row of ``x`` (``by_slot``: every column) reaches, by ``x <= tree[ends]``; a leaf leads to itself."""
+    rows, slot = len(x), np.maximum(tree["feature"], 0)
+    row, flat, sides = np.arange(rows) * x.shape[1], x.ravel(), np.column_stack([tree["right"], tree["left"]]).ravel()
+    if by_slot:
+        rows = x.shape[1]
+        row, slot = np.arange(rows), slot * rows
+    node = np.zeros(rows, dtype=np.int64)
     for _ in range(len(slot)):  # at most as many levels
         if (tree["feature"][node] < 0).all():
             break
@@ -140,48 +166,49 @@ class _Tree:
         return {k: np.array(v) for k, v in out.items()}
 
 
-def _matrix(column: pd.Series, slots: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype=np.uint8).reshape(len(column), slots)
-
-
 def level_splits(
-    rows: DataFrame, loss: str, pending: Sequence[dict], tree: dict, active: Sequence[int], bins: Sequence[int],
+    rows: DataFrame, loss: str, tree: dict, active: Sequence[int], bins: Sequence[int],
     penalty: float, min_weight: float, min_rows: int, rate: float, seed: int,
 ) -> DataFrame:
-    """The best split of every active node in every feature, with the node's sums; gain null where none is allowed."""
+    """The best split of every active node in every feature, with the node's sums; gain null where none is allowed.
+
+    Rows are counted only where their number matters: every row has a positive
+    curvature, so a child that reaches a least curvature well above rounding has one.
+    """
     slots, width, nodes = len(bins), max(bins), len(active)
+    kinds = 2 if min_rows <= 1 and min_weight >= COUNTLESS else 3
     where = np.full(len(tree["feature"]), -1)
     where[list(active)] = np.arange(nodes)
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         draws = np.random.Generator(np.random.Philox(key=[seed, part]))
-        shaped = np.zeros((3, slots, nodes * width))
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x = _matrix(pdf["bins"], slots)
-            margin = pdf["margin"].to_numpy() + sum(t["value"][walk(t, x, "bin")] for t in pending)
-            at = where[walk(tree, x, "bin")]
+        shaped = np.zeros((kinds, slots, nodes * width))
+        for x, y, w, margin, ahead in _blocks(batches, slots):
+            at = where[walk(tree, x, "bin", by_slot=True)]
             if rate < 1.0:
-                at = np.where(draws.random(len(x)) < rate, at, -1)
+                at = np.where(draws.random(len(y)) < rate, at, -1)
             in_use = at >= 0
-            g, h = gradients(loss, pdf["y"].to_numpy(), pdf["w"].to_numpy(), margin)
+            g, h = gradients(loss, y, w, margin + ahead)
             if not in_use.all():
-                x, at, g, h = x[in_use], at[in_use], g[in_use], h[in_use]
+                x, at, g, h = x[:, in_use], at[in_use], g[in_use], h[in_use]
             first = at * width
-            for f, bin_ in enumerate(np.ascontiguousarray(x.T)):  # one slot at a time: its cells stay in the processor's cache
+            for f, bin_ in enumerate(x):  # one slot at a time: its cells stay in the processor's cache
                 cell = first + bin_
-                for i, v in enumerate((g, h, None)):
+                for i, v in enumerate((g, h, None)[:kinds]):
                     shaped[i, f] += np.bincount(cell, v, nodes * width)
-        yield pd.DataFrame({"feature": range(slots), "part": part, "sums": [shaped[:, i].tobytes() for i in range(slots)]})
+        sums = [shaped[:, i].tobytes() for i in range(slots)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(slots), pa.int32()), pa.array([part] * slots, pa.int32()), pa.array(sums, pa.binary())], ["feature", "part", "sums"])
 
     def best(feature: int, total: np.ndarray) -> pd.DataFrame:
-        total = total.reshape(3, nodes, width)
-        g, h, n = total.sum(axis=2)
-        left = total.cumsum(axis=2)[:, :, :-1] if width > 1 else np.zeros((3, nodes, 1))
-        right = np.stack([g, h, n])[:, :, None] - left
-        allowed = (np.minimum(left[1], right[1]) >= min_weight) & (np.minimum(left[2], right[2]) >= max(1, min_rows))
+        total = total.reshape(kinds, nodes, width)
+        whole = total.sum(axis=2)
+        g, h = whole[:2]
+        left = total.cumsum(axis=2)[:, :, :-1] if width > 1 else np.zeros((kinds, nodes, 1))
+        right = whole[:, :, None] - left
+        allowed = np.minimum(left[1], right[1]) >= min_weight
+        if kinds == 3:
+            allowed &= np.minimum(left[2], right[2]) >= max(1, min_rows)
         with np.errstate(divide="ignore", invalid="ignore"):
             worth = left[0] ** 2 / (left[1] + penalty) + right[0] ** 2 / (right[1] + penalty)
             gain = np.where(allowed, (worth - (g**2 / (h + penalty))[:, None]) / 2, -np.inf)
@@ -199,21 +226,21 @@ def level_splits(
                 if f != feature:
                     if total is not None:
                         yield best(feature, total)
-                    feature, total = f, np.zeros(3 * nodes * width)
+                    feature, total = f, np.zeros(kinds * nodes * width)
                 total += np.frombuffer(sums)
         if total is not None:
             yield best(feature, total)
 
-    partials = rows.mapInPandas(partial, "feature int, part int, sums binary")
+    partials = rows.mapInArrow(partial, "feature int, part int, sums binary")
     return partials.repartition("feature").sortWithinPartitions("feature", "part").mapInPandas(merge, SPLITS)
 
 
-def grow_tree(rows: DataFrame, loss: str, pending: Sequence[dict], cuts: Sequence[np.ndarray], s: dict, seed: int) -> dict:
-    """One tree on the gradients at the margins of ``rows`` plus those of ``pending`` trees."""
+def grow_tree(rows: DataFrame, loss: str, cuts: Sequence[np.ndarray], s: dict, seed: int) -> dict:
+    """One tree on the gradients at the margins of ``rows``."""
     tree, active, bins = _Tree(), [0], [len(c) + 1 for c in cuts]
     for _ in range(s["maxDepth"]):
         found = level_splits(
-            rows, loss, pending, tree.arrays(), active, bins, s["regLambda"], s["minChildWeight"], s["minInstancesPerNode"],
+            rows, loss, tree.arrays(), active, bins, s["regLambda"], s["minChildWeight"], s["minInstancesPerNode"],
             s["subsamplingRate"], seed,
         ).collect()  # nodes of the level x features
         if active == [0]:
@@ -234,8 +261,9 @@ def grow_tree(rows: DataFrame, loss: str, pending: Sequence[dict], cuts: Sequenc
 def boost(rows: DataFrame, loss: str, s: dict) -> tuple[float, list[dict]]:
     """(base margin, trees) from (x array, y, w).
 
-    The margins are written again after every ``checkpointInterval`` trees, so
-    that a task walks only the trees since.
+    A row walks a tree once: its margins are kept on local disk after every
+    tree, and written again after every ``checkpointInterval`` trees, so that
+    what an executor loses is made again from few trees.
     """
     held = durable(rows.where("y IS NOT NULL AND w > 0 AND x IS NOT NULL"))
     first = held.agg(F.sum(F.col("w") * F.col("y")).alias("wy"), F.sum("w").alias("w"), F.max(F.size("x")).alias("slots")).first()
@@ -246,23 +274,37 @@ def boost(rows: DataFrame, loss: str, s: dict) -> tuple[float, list[dict]]:
     mean = first["wy"] / first["w"]
     base = float(np.log(np.clip(mean, 1e-6, 1 - 1e-6) / (1 - np.clip(mean, 1e-6, 1 - 1e-6)))) if loss == "logistic" else float(mean)
     cuts = quantile_cuts(held, first["slots"], s["maxBins"])
-    table, trees, written = durable(binned(held, cuts, base)), [], 0
-    for i in range(s["maxIter"]):
-        pending = trees[written:]
-        if len(pending) >= s["checkpointInterval"]:
-            table, written, pending = durable(_advanced(table, pending, len(cuts))), len(trees), []
-        trees.append(grow_tree(table, loss, pending, cuts, s, s["seed"] % 2**31 * 2**20 + i))
+    table, trees, kept = durable(binned(held, cuts, base)), [], []
+    try:
+        for i in range(s["maxIter"]):
+            if trees:
+                write = (len(trees) - 1) % max(1, s["checkpointInterval"]) == max(1, s["checkpointInterval"]) - 1
+                table = _advanced(table, trees[-1], len(cuts), write)
+                if write:
+                    table = durable(table)
+                else:
+                    kept.append(table.persist(StorageLevel.DISK_ONLY))
+            trees.append(grow_tree(table, loss, cuts, s, s["seed"] % 2**31 * 2**20 + i))
+            while kept and kept[0] is not table:
+                kept.pop(0).unpersist()
+    finally:
+        for old in kept:
+            old.unpersist()
     return base, trees
 
 
-def _advanced(table: DataFrame, trees: Sequence[dict], slots: int) -> DataFrame:
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                x = _matrix(pdf["bins"], slots)
-                yield pdf.assign(margin=pdf["margin"] + sum(t["value"][walk(t, x, "bin")] for t in trees))
+def _advanced(table: DataFrame, tree: dict, slots: int, write: bool) -> DataFrame:
+    """The blocks after one more tree; ``write``: with all trees ahead in the margins."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (x, _, _, margin, ahead) in enumerate(_blocks([batch], slots)):
+                ahead = ahead + tree["value"][walk(tree, x, "bin", by_slot=True)]
+                margin, ahead = (margin + ahead, np.zeros(len(ahead))) if write else (margin, ahead)
+                made = [pa.array([v.tobytes()], pa.binary()) for v in (margin, ahead)]
+                yield pa.RecordBatch.from_arrays([*[c.slice(i, 1) for c in batch.columns[:3]], *made], _COLUMNS)
 
-    return table.mapInPandas(add, table.schema)
+    return table.mapInArrow(add, BLOCKS)
 
 
 # --- estimators ---------------------------------------------------------------

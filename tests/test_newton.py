@@ -146,3 +146,33 @@ def test_boosted_kinds_save_load_and_explain(spark, featured, tmp_path):
     events = featured.where("Disaster_Occurred = 1")
     loss = models.fit_regressor(events, "Economic_Loss_Million", "xgboost", numeric, categorical, **small)
     assert models.predict_loss(loss, events, "xgboost").where("y_hat IS NULL").count() == 0
+
+
+def test_a_level_reads_blocks_and_walks_no_earlier_tree(spark, monkeypatch):
+    """Rows travel in blocks, and a tree that is grown is walked once, not in every level of the trees that follow."""
+    rng = np.random.default_rng(3)
+    x = np.column_stack([rng.normal(size=3000), rng.integers(0, 3, 3000).astype(float), np.where(rng.random(3000) < 0.1, np.nan, rng.random(3000))])
+    y = (x[:, 0] + x[:, 1] + rng.normal(size=3000) > 1).astype(float)
+    tables, plain = [], newton.level_splits
+    monkeypatch.setattr(newton, "level_splits", lambda rows, *a: (tables.append(rows), plain(rows, *a))[1])
+    weights = rng.integers(1, 4, 3000).astype(float)
+    rows = spark.createDataFrame([(list(map(float, r)), float(v), float(w)) for r, v, w in zip(x, y, weights)], "x array<double>, y double, w double").repartition(3)
+    settings = {
+        "maxIter": 5, "maxDepth": 3, "maxLeaves": 0, "maxBins": 16, "stepSize": 0.3, "regLambda": 1.0, "minGain": 0.0, "minChildWeight": 1.0,
+        "minInstancesPerNode": 1, "subsamplingRate": 1.0, "checkpointInterval": 3, "seed": 1,
+    }
+    base, trees = newton.boost(rows, "logistic", settings)
+    held = {id(t): t for t in tables}.values()
+    assert len(held) == 5 and not any(t.is_cached for t in held)  # one table a tree, none left on disk
+    for k, t in enumerate(held):
+        found = t.collect()
+        assert 0 < len(found) < 10
+        bins = np.concatenate([np.frombuffer(r.bins, np.uint8).reshape(3, -1) for r in found], axis=1)
+        margin = np.concatenate([np.frombuffer(r.margin) + np.frombuffer(r.ahead) for r in found])
+        assert bins.shape == (3, 3000)
+        np.testing.assert_allclose(margin, base + sum(t["value"][newton.walk(t, bins.T, "bin")] for t in trees[:k]), rtol=1e-12)
+    counted = newton.boost(rows, "logistic", {**settings, "minInstancesPerNode": 2})[1]
+    monkeypatch.setattr(newton, "COUNTLESS", np.inf)
+    for a, b in zip(trees, newton.boost(rows, "logistic", settings)[1]):
+        assert all(np.array_equal(a[c], b[c]) for c in a)
+    assert len(counted) == 5
